@@ -1,0 +1,5 @@
+"""Intentionally empty: the capability set is batch only.
+
+A newer partition is picked up by re-running a batch query whose as-of date is
+a subquery over the partition column (see ``sources.store.latest_partitions``).
+"""
