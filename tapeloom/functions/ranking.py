@@ -33,36 +33,35 @@ def _with_range(df: DataFrame, keys: list[str], value: str, ranges: int) -> Data
     )
 
 
-def value_positions(
-    df: DataFrame, keys: list[str], value: str, ranges: int = RANGES, staged: bool = False
+def running_totals(
+    df: DataFrame, keys: list[str], value: str, measures: list[str], ranges: int = RANGES
 ) -> DataFrame:
-    """(keys, value, n_below, n_equal, n_total) for every distinct value of a group."""
-    counts = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, value)
-        .agg(F.count(F.lit(1)).alias("n_equal"))
-    )
-    if not staged:
-        counts = stage(counts)
-    ranged = _with_range(counts, keys, value, ranges)
+    """For each row of distinct (keys, value): below_<m> and total_<m> of every measure."""
+    ranged = _with_range(df, keys, value, ranges)
     by_range = Window.partitionBy(*keys).orderBy("_range")
-    offsets = (
-        ranged.groupBy(*keys, "_range")
-        .agg(F.sum("n_equal").alias("_n"))
-        .withColumn("_offset", F.sum("_n").over(by_range) - F.col("_n"))
-        .withColumn("n_total", F.sum("_n").over(Window.partitionBy(*keys)))
-        .drop("_n")
-    )
-    inside = Window.partitionBy(*keys, "_range").orderBy(value)
-    return (
-        ranged.join(offsets, [*keys, "_range"])
-        .withColumn(
-            "n_below",
-            F.col("_offset")
-            + F.sum("n_equal").over(inside.rowsBetween(Window.unboundedPreceding, 0))
-            - F.col("n_equal"),
+    whole = Window.partitionBy(*keys)
+    offsets = ranged.groupBy(*keys, "_range").agg(*[F.sum(m).alias(f"_{m}") for m in measures])
+    for m in measures:
+        offsets = offsets.withColumn(f"_off_{m}", F.sum(f"_{m}").over(by_range) - F.col(f"_{m}"))
+        offsets = offsets.withColumn(f"total_{m}", F.sum(f"_{m}").over(whole))
+    inside = Window.partitionBy(*keys, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    out = ranged.join(offsets, [*keys, "_range"])
+    for m in measures:
+        out = out.withColumn(
+            f"below_{m}", F.col(f"_off_{m}") + F.sum(m).over(inside) - F.col(m)
         )
-        .select(*keys, value, "n_below", "n_equal", "n_total")
+    return out.drop("_range", *[f"_{m}" for m in measures], *[f"_off_{m}" for m in measures])
+
+
+def value_positions(df: DataFrame, keys: list[str], value: str, ranges: int = RANGES) -> DataFrame:
+    """(keys, value, n_below, n_equal, n_total) for every distinct value of a group."""
+    counts = stage(
+        df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n_equal"))
+    )
+    totals = running_totals(counts, keys, value, ["n_equal"], ranges)
+    return totals.select(
+        *keys, value, F.col("below_n_equal").alias("n_below"), "n_equal",
+        F.col("total_n_equal").alias("n_total"),
     )
 
 

@@ -3,5 +3,8 @@
 from tapeloom.plans import (  # noqa: F401
     similarity,
     projections,
+    relational,
+    sets,
     sources,
+    windows,
 )

@@ -115,10 +115,10 @@ def _(m: Market) -> DataFrame:
            max(bar_date) over (partition by entity) as last_day from qfq where bar_date <= (select d from dayref)),
        alt as (select s.template_id, s.f, s.n, s.len, t.entity, sum(s.z * t.x) / (s.len * stddev_pop(t.x)) as score
          from std s join tail t on t.back = s.len - 1 - s.i and t.last_day = (select d from dayref)
-         group by all having count(*) = s.len),
+         group by s.template_id, s.f, s.n, s.len, t.entity having count(*) = s.len),
        altk as (select * from alt qualify row_number() over (partition by template_id, f order by score desc, entity) <= 20),
        basek as (select template_id, entity from allscores where bar_date = (select d from dayref)
-         qualify row_number() over (partition by template_id order by score desc, entity) <= 20)
+         qualify row_number() over (partition by template_id order by score desc, entity) <= 20),
        basef as (select template_id, f, entity from basek, (select unnest([0.9e0, 1.1e0]) as f)),
        ev as (select template_id, f, entity, max(a) * max(b) as hit from (
          select template_id, f, entity, 1 as a, 0 as b from altk union all select template_id, f, entity, 0, 1 from basef) group by all)

@@ -107,3 +107,16 @@ select r.*, coalesce(m.industry_code, -1) as industry_code, coalesce(m.industry,
 from ranked r left join membership m on r.entity = m.entity and m.in_date <= r.bar_date
   and (m.out_date is null or m.out_date > r.bar_date)
 qualify row_number() over (partition by r.template_id, r.entity, r.bar_date order by m.in_date desc) = 1"""
+
+FRAMES["mkt"] = """
+select template_id, s.bar_date, c.ord, count(*) as eligible, count(case when score >= 0.7e0 then 1 end) as n70,
+  count(case when score >= 0.75e0 then 1 end) as n75, count(case when score >= 0.8e0 then 1 end) as n80,
+  max(score) as max_score, median(score) as median_score, quantile_cont(score, 0.05) as p05, quantile_cont(score, 0.95) as p95,
+  quantile_cont(score, 0.99) as p99, avg(case when score < 0 then 1.0e0 else 0.0e0 end) as negative_share, min(score) as min_score
+from scores s join cal c on s.bar_date = c.bar_date group by all"""
+
+FRAMES["daily"] = """select * from panel where rank <= 20"""
+
+FRAMES["events_per_bar"] = """
+select entity, bar_date, close, pct, case when pct >= 10 - 1e-9 then 1 else 0 end as up, case when pct <= -10 + 1e-9 then 1 else 0 end as down
+from (select *, (close / lag(close) over (partition by entity order by bar_date) - 1) * 100 as pct from bars0)"""
