@@ -15,7 +15,9 @@ from tapeloom.plans.common import K, daily_top, ranked, scored
 from tapeloom.plans.registry import query
 from tapeloom.sources.tables import Market
 
-BY_T = Window.partitionBy("template_id").orderBy("bar_date")
+def by_t():
+    """Daily series of one template; one row per date, so bounded by the calendar."""
+    return Window.partitionBy("template_id").orderBy("bar_date")
 
 
 def series(m: Market) -> DataFrame:
@@ -78,7 +80,7 @@ _POS = """(select *, (select count(*) from mkt h where h.template_id = k.templat
 @query("win_expanding_position", "template_id:i bar_date:d p:f label:s",
        f"select template_id, bar_date, p, case when p >= 2/3.0e0 then 'high' when p <= 1/3.0e0 then 'low' else 'mid' end as label from {_POS}")
 def _(m: Market) -> DataFrame:
-    df = series(m).withColumn("p", expanding_share("n70", BY_T))
+    df = series(m).withColumn("p", expanding_share("n70", by_t()))
     return df.withColumn("label", position_label(F.col("p")))
 
 
@@ -98,13 +100,13 @@ def _(m: Market) -> DataFrame:
        "select template_id, bar_date, n70 - lag(n70) over w as change_1, n70 - lag(n70, 5) over w as change_5 from mkt window w as (partition by template_id order by bar_date)")
 def _(m: Market) -> DataFrame:
     n = F.col("n70")
-    return series(m).withColumn("change_1", n - F.lag("n70").over(BY_T)).withColumn("change_5", n - F.lag("n70", 5).over(BY_T))
+    return series(m).withColumn("change_1", n - F.lag("n70").over(by_t())).withColumn("change_5", n - F.lag("n70", 5).over(by_t()))
 
 
 @query("win_moving_average", "template_id:i bar_date:d ma5:f",
        "select template_id, bar_date, avg(n70) over (partition by template_id order by bar_date rows between 4 preceding and current row) as ma5 from mkt")
 def _(m: Market) -> DataFrame:
-    return series(m).withColumn("ma5", F.avg("n70").over(BY_T.rowsBetween(-4, 0)))
+    return series(m).withColumn("ma5", F.avg("n70").over(by_t().rowsBetween(-4, 0)))
 
 
 @query("win_chart_ma", "entity:i bar_date:d ma5:f ma10:f ma20:f ma60:f",
@@ -148,7 +150,7 @@ def _(m: Market) -> DataFrame:
 @query("win_rolling_reference", "template_id:i bar_date:d reference:f",
        "select template_id, bar_date, quantile_cont(p99, 0.75) over (partition by template_id order by bar_date rows between 26 preceding and 1 preceding) as reference from mkt")
 def _(m: Market) -> DataFrame:
-    return weekly_p99(m).withColumn("reference", F.expr("percentile(p99, 0.75)").over(BY_T.rowsBetween(-26, -1)))
+    return weekly_p99(m).withColumn("reference", F.expr("percentile(p99, 0.75)").over(by_t().rowsBetween(-26, -1)))
 
 
 @query("win_recent_slope", "template_id:i bar_date:d slope:f",
@@ -156,7 +158,7 @@ def _(m: Market) -> DataFrame:
           window w as (partition by template_id order by bar_date rows between 3 preceding and current row)
           qualify count(*) over w = 4""")
 def _(m: Market) -> DataFrame:
-    w = BY_T.rowsBetween(-3, 0)
+    w = by_t().rowsBetween(-3, 0)
     df = series(m).withColumn("slope", F.regr_slope(F.col("n70"), F.col("ord")).over(w))
     return df.withColumn("_n", F.count(F.lit(1)).over(w)).where(F.col("_n") == 4)
 
@@ -169,12 +171,12 @@ def _(m: Market) -> DataFrame:
             else (case when sign(d0) = sign(slope) then 1.0e0 else 0 end + case when sign(d1) = sign(slope) then 1 else 0 end + case when sign(d2) = sign(slope) then 1 else 0 end) / 3 end as persistence
           from t where c = 4""")
 def _(m: Market) -> DataFrame:
-    w = BY_T.rowsBetween(-3, 0)
+    w = by_t().rowsBetween(-3, 0)
     df = (
         series(m).withColumn("slope", F.regr_slope(F.col("n70"), F.col("ord")).over(w))
         .withColumn("_n", F.count(F.lit(1)).over(w))
-        .withColumn("_d", F.col("n70") - F.lag("n70").over(BY_T))
-        .withColumn("_ds", F.collect_list("_d").over(BY_T.rowsBetween(-2, 0)))
+        .withColumn("_d", F.col("n70") - F.lag("n70").over(by_t()))
+        .withColumn("_ds", F.collect_list("_d").over(by_t().rowsBetween(-2, 0)))
     )
     moved = F.size(F.filter("_ds", lambda d: F.signum(d.cast("double")) == F.signum("slope"))) / F.lit(3.0)
     quiet = F.abs(F.rint(F.col("slope") * 100) / 100) < 0.25
@@ -197,7 +199,7 @@ _RUNS = """(with d as (select template_id, ord, sign(coalesce(n70 - lag(n70, 5)
 @query("win_sign_runs", "template_id:i persistent_share:f max_run:i",
        f"select z.template_id, coalesce(persistent_share, 0) as persistent_share, coalesce(max_run, 0) as max_run from zlists z left join {_RUNS} r on z.template_id = r.template_id")
 def _(m: Market) -> DataFrame:
-    df = series(m).withColumn("change", F.col("n70") - F.lag("n70", 5).over(BY_T))
+    df = series(m).withColumn("change", F.col("n70") - F.lag("n70", 5).over(by_t()))
     return sign_runs(df, ["template_id"], "bar_date", "change")
 
 
