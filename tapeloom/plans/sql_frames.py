@@ -120,3 +120,89 @@ FRAMES["daily"] = """select * from panel where rank <= 20"""
 FRAMES["events_per_bar"] = """
 select entity, bar_date, close, pct, case when pct >= 10 - 1e-9 then 1 else 0 end as up, case when pct <= -10 + 1e-9 then 1 else 0 end as down
 from (select *, (close / lag(close) over (partition by entity order by bar_date) - 1) * 100 as pct from bars0)"""
+
+
+def _w(n: int, skip: int = 0) -> str:
+    return f"over (partition by entity order by bar_date rows between {n - 1 + skip} preceding and {skip} preceding)" if skip else (
+        f"over (partition by entity order by bar_date rows between {n - 1} preceding and current row)")
+
+
+_E = "over (partition by entity order by bar_date)"
+FRAMES["patw"] = f"""
+select entity, bar_date, pos, close, high, low, volume, least(pos, 120) as n_past,
+  close / lag(close, 20) {_E} - 1 as ret20, close / lag(close, 60) {_E} - 1 as ret60, close / lag(close, 5) {_E} - 1 as b5, close / lag(close, 79) {_E} - 1 as r79,
+  close / max(close) {_w(35, 5)} - 1 as brk, avg(volume) {_w(5)} / avg(volume) {_w(20, 5)} as vr, close / avg(close) {_w(20)} - 1 as ext,
+  avg(close) {_w(20)} as ma20, avg(close) {_w(40)} as ma40, avg(close) {_w(60)} as ma60,
+  regr_slope(close, pos) {_w(20)} * 19 / first_value(close) {_w(20)} as s20, regr_r2(close, pos) {_w(20)} as f20,
+  regr_slope(close, pos) {_w(60)} * 59 / first_value(close) {_w(60)} as s60, regr_r2(close, pos) {_w(60)} as f60,
+  regr_slope(close, pos) {_w(80)} * 79 / first_value(close) {_w(80)} as s80, regr_r2(close, pos) {_w(80)} as f80,
+  max(high) {_w(30)} as peak, min(close) {_w(60)} as base, stddev_pop(ret) {_w(10)} as cv,
+  max(high) {_w(80)} as rh, min(low) {_w(80)} as rl, list(low) {_w(80)} as lows
+from (select *, close / lag(close) {_E} - 1 as ret from bars)"""
+
+
+def _cl(x: str) -> str:
+    return f"greatest(0.0e0, least(1.0e0, {x}))"
+
+
+FRAMES["pats"] = f"""
+select entity, bar_date, pos, n_past, close,
+  case when pos >= 60 then (30 * {_cl('ret20 / 0.16e0')} + 30 * {_cl('(brk + 0.015e0) / 0.065e0')} + 18 * {_cl('(vr - 0.8e0) / 0.75e0')}
+    + 12 * {_cl('f20')} * {_cl('s20 / 0.15e0')} + 10 * (1 - {_cl('greatest(ext, 0) / 0.22e0')}))
+    * case when ret20 < 0.03 or brk < -0.035 or ext > 0.22e0 * 1.5e0 then 0.62e0 else 1 end end as score_breakout,
+  case when pos >= 80 then (28 * {_cl('ret60 / 0.12e0')} + 24 * (1 - {_cl('abs((peak - close) / peak - 0.1025e0) / 0.0775e0')})
+    + 18 * case when close >= ma60 then least(1, 1 - {_cl('least(abs(close / ma20 - 1), abs(close / ma40 - 1)) / 0.1e0')} + 0.15e0) else 1 - {_cl('least(abs(close / ma20 - 1), abs(close / ma40 - 1)) / 0.1e0')} end
+    + 14 * (1 - {_cl('abs((peak - close) / greatest(peak - base, 1e-9) - 0.44e0) / 0.44e0')}) + 8 * (1 - {_cl('cv / 0.035e0')}) + 8 * {_cl('f60')} * {_cl('s60 / 0.2e0')})
+    * case when ret60 < 0.04 or close < ma60 * 0.95e0 or (peak - close) / peak > 0.18e0 * 1.4e0 then 0.62e0 else 1 end end as score_pullback,
+  case when pos >= 100 then (36 * (1 - {_cl('(close - rl) / greatest(rh - rl, 1e-9) / 0.32e0')}) + 24 * {_cl('(b5 + 0.01e0) / 0.025e0')} + 14 * {_cl('greatest(rh - rl, 1e-9) / rl / 0.15e0')}
+    + 14 * {_cl(f"(1 - {_cl('abs(r79) / 0.25e0')}) * (1 - abs(s80))")} + 12 * {_cl('len(list_filter(lows, lambda x: x <= rl + greatest(rh - rl, 1e-9) * 0.08e0)) / 4.0e0')})
+    * case when (close - rl) / greatest(rh - rl, 1e-9) > 0.32e0 * 1.5e0 or greatest(rh - rl, 1e-9) / rl < 0.15e0 * 0.6e0 then 0.58e0 else 1 end end as score_range_bounce
+from patw"""
+
+FRAMES["patlong"] = """
+select entity, bar_date, pos, n_past, category, raw, round_even(raw * 100, 0) / 100 as score, prio from (
+  select entity, bar_date, pos, n_past, 'breakout' as category, score_breakout as raw, 42 as lim, 0 as prio from pats
+  union all select entity, bar_date, pos, n_past, 'pullback', score_pullback, 40, -1 from pats
+  union all select entity, bar_date, pos, n_past, 'range_bounce', score_range_bounce, 38, -2 from pats)
+where raw >= lim"""
+
+FRAMES["samples"] = """
+select bar_date, ord, (row_number() over (order by bar_date)) - 1 as sample from (
+  select *, row_number() over (order by bar_date) as seq from cal
+  where ord <= (select o from dayref) and ord > (select o from dayref) - 120)
+where (seq - 1) % 5 = 4"""
+
+FRAMES["universe"] = """
+select x.sample, x.bar_date, s.entity, s.name, m.industry_code, m.industry
+from samples x join securities s on s.list_date <= x.bar_date and (s.delist_date is null or s.delist_date > x.bar_date)
+left join flags f on f.entity = s.entity and f.bar_date = x.bar_date
+left join membership m on m.entity = s.entity and m.in_date <= x.bar_date and (m.out_date is null or m.out_date >= x.bar_date)
+where s.board in ('main', 'star') and f.entity is null
+qualify row_number() over (partition by x.sample, s.entity order by m.in_date desc) = 1"""
+
+FRAMES["rottop"] = """
+select * from (select sample, bar_date, entity, industry_code, score, row_number() over (partition by sample order by score desc, entity) as rank
+  from (select u.sample, u.bar_date, u.entity, u.industry_code, p.score
+    from universe u join (select x.sample, b.entity, max(b.bar_date) as last_bar from samples x join bars0 b on b.bar_date <= x.bar_date group by 1, 2) l
+      on l.sample = u.sample and l.entity = u.entity
+    join patlong p on p.entity = u.entity and p.bar_date = l.last_bar and p.category = 'breakout'))
+where rank <= 20"""
+
+FRAMES["rotmat"] = """
+select i.industry_code, i.industry, x.sample, x.bar_date, coalesce(c.n, 0) as n, coalesce(c.n, 0) - coalesce(lag(coalesce(c.n, 0)) over (partition by i.industry_code order by x.sample), 0) as change
+from (select distinct industry_code, industry from membership) i cross join samples x
+left join (select sample, industry_code, count(*) as n from rottop group by 1, 2) c on c.sample = x.sample and c.industry_code = i.industry_code"""
+
+FRAMES["rotfeat"] = """
+select f.*, case when abs(slope) < 0.25 then 0.0e0 else round_even((case when sign(n3 - n2) = sign(slope) then 1.0e0 else 0 end + case when sign(n2 - n1) = sign(slope) then 1 else 0 end
+    + case when sign(n1 - n0) = sign(slope) then 1 else 0 end) / 3 * 100, 0) / 100 end as persistence,
+  case when n3 > 0 then n3 when n2 > 0 then n2 when n1 > 0 then n1 else n0 end as effective, n3 - n0 as recent_change, n3 as current_count
+from (select industry_code, any_value(industry) as industry, sum(n) as cumulative,
+    max(case when sample = 20 then n end) as n0, max(case when sample = 21 then n end) as n1, max(case when sample = 22 then n end) as n2, max(case when sample = 23 then n end) as n3,
+    round_even(regr_slope(n, sample) filter (where sample >= 20) * 100, 0) / 100 as slope from rotmat group by 1) f"""
+
+FRAMES["rotrank"] = """
+select *, case when slope >= 0.25 and n2 <= 1 and n3 - n2 >= 3 then 'rapid_start' when slope >= 0.25 and persistence >= 0.66 then 'steady_rise'
+  when slope >= 0.25 then 'rising' when current_rank <= 5 and slope <= -0.25 and greatest(n0, n1, n2, n3) > n3 then 'high_ebb' when slope <= -0.25 then 'falling' else 'flat' end as status
+from (select *, row_number() over (order by n3 desc, cumulative desc, industry_code) as current_rank,
+  row_number() over (order by abs(slope) desc, persistence desc, effective desc, industry_code) as rotation_rank from rotfeat)"""
