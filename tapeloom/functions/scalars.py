@@ -30,11 +30,13 @@ def finite(value: ColumnLike) -> Column:
 
 
 def clamp(value: ColumnLike, low: float = 0.0, high: float = 1.0) -> Column:
-    c = finite(value)
-    return F.coalesce(
-        F.when(c.isNotNull(), F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), c))),
-        F.lit(float(low)),
-    )
+    """Limit to [low, high]; null and NaN become low.
+
+    The argument appears once, so nested clamps do not multiply the plan; ratios
+    built with ``ratio`` are null rather than infinite for a zero denominator.
+    """
+    lo, hi = F.lit(float(low)), F.lit(float(high))
+    return F.least(F.greatest(F.nanvl(col(value).cast("double"), lo), lo), hi)
 
 
 def ratio(num: ColumnLike, den: ColumnLike, default: float | None = 0.0) -> Column:

@@ -39,39 +39,81 @@ def _frame(n: int, skip: int = 0) -> Window:
     return by_entity().rowsBetween(1 - n - skip, -skip)
 
 
+def _ago(name: str, n: int) -> Column:
+    return F.lag(name, n).over(by_entity())
+
+
 def _change(name: str, n: int) -> Column:
-    return ratio(F.col(name), F.lag(name, n).over(by_entity()), 1.0) - 1
+    return ratio(F.col(name), _ago(name, n), 1.0) - 1
+
+
+def with_running_sums(bars: DataFrame) -> DataFrame:
+    """Running sums of a security's history, from which any trailing fit or mean follows.
+
+    A trailing regression or average is a difference of two running sums, so its
+    cost per bar does not depend on the window length.  Prices enter relative to
+    the first close, which keeps the sums small.
+    """
+    past = by_entity().rowsBetween(Window.unboundedPreceding, 0)
+    df = bars.withColumns({
+        "_i": F.row_number().over(by_entity()).cast("double"),
+        "_c0": F.first("close").over(past),
+        "_prev": F.lag("close").over(by_entity()),
+    })
+    u = F.col("close") / F.col("_c0") - 1
+    moved = F.coalesce((F.col("close") != F.col("_prev")).cast("int"), F.lit(0))
+    return df.withColumns({
+        "_s1": F.sum(u).over(past), "_s2": F.sum(u * u).over(past), "_s3": F.sum(u * F.col("_i")).over(past),
+        "_moves": F.sum(moved).over(past),
+    })
+
+
+def fit_columns(n: int, slope: str, fit: str) -> tuple[dict[str, Column], dict[str, Column]]:
+    """Two column layers over running sums: window sums, then (scaled slope, R2) of the last n closes."""
+    def part(name: str) -> Column:
+        return F.col(name) - F.coalesce(_ago(name, n), F.lit(0.0))
+
+    sums = {
+        f"_w1_{n}": part("_s1"), f"_w2_{n}": part("_s2"), f"_w3_{n}": part("_s3"),
+        f"_first_{n}": _ago("close", n - 1), f"_moves_{n}": F.col("_moves") - _ago("_moves", n - 1),
+    }
+    s1 = F.col(f"_w1_{n}")
+    cross = F.col(f"_w3_{n}") - (F.col("_i") - (n - 1) / 2) * s1
+    xx, yy = n * (n * n - 1) / 12, F.col(f"_w2_{n}") - s1 * s1 / n
+    moved = F.coalesce(F.col(f"_moves_{n}") > 0, F.lit(False))
+    scaled = cross / xx * (n - 1) * F.col("_c0") / F.col(f"_first_{n}")
+    return sums, {
+        slope: F.when(moved, scaled).otherwise(0.0),
+        fit: F.when(moved, clamp(F.try_divide(cross * cross, xx * yy))).otherwise(0.0),
+    }
+
+
+def mean_close(n: int) -> Column:
+    return F.col("_c0") * (F.col(f"_w1_{n}") / n + 1)
 
 
 def linear_fit(bars: DataFrame, n: int, slope: str, fit: str) -> DataFrame:
     """Scaled slope and R2 of the last n closes over the first of them (0 for a flat window)."""
-    w = _frame(n)
-    i = F.row_number().over(by_entity()).cast("double")
-    df = bars.withColumn("_i", i)
-    raw = F.regr_slope("close", "_i").over(w)
-    flat = F.var_pop("close").over(w) == 0
-    return (
-        df.withColumn(slope, F.coalesce(raw * (n - 1) / F.first("close").over(w), F.lit(0.0)))
-        .withColumn(fit, F.when(flat, 0.0).otherwise(clamp(F.regr_r2("close", "_i").over(w))))
-        .drop("_i")
-    )
+    sums, fits = fit_columns(n, slope, fit)
+    df = with_running_sums(bars).withColumns(sums).withColumns(fits)
+    return df.drop(*[c for c in df.columns if c.startswith("_")])
 
 
-def with_breakout(bars: DataFrame) -> DataFrame:
+def _breakout_layers() -> tuple[dict, dict, Column, Column]:
     c, w = RULES["breakout"], RULES["breakout"]["weights"]
-    df = linear_fit(bars, 20, "_slope", "_fit")
-    df = (
-        df.withColumn("return_20", _change("close", 20))
-        .withColumn("breakout", ratio(F.col("close"), F.max("close").over(_frame(35, 5)), 1.0) - 1)
-        .withColumn("volume_ratio", ratio(F.avg("volume").over(_frame(5)), F.avg("volume").over(_frame(20, 5)), 1.0))
-        .withColumn("extension", ratio(F.col("close"), F.avg("close").over(_frame(20)), 1.0) - 1)
-    )
+    base = {
+        "return_20": _change("close", 20),
+        "breakout": ratio(F.col("close"), F.max("close").over(_frame(35, 5)), 1.0) - 1,
+        "volume_ratio": ratio(F.avg("volume").over(_frame(5)), F.avg("volume").over(_frame(20, 5)), 1.0),
+    }
+    derived = {"extension": ratio(F.col("close"), mean_close(20), 1.0) - 1}
     ret, brk, vol, ext = (F.col(n) for n in ("return_20", "breakout", "volume_ratio", "extension"))
+    slope, fit = F.col("slope_20"), F.col("fit_20")
     score = (
         w["momentum"] * clamp(ret / c["momentum"])
         + w["breakout"] * clamp((brk + 0.015) / (c["breakout"] + 0.015))
         + w["volume"] * clamp((vol - 0.8) / (c["volume_ratio"] - 0.8))
-        + w["trend_fit"] * F.col("_fit") * clamp(F.col("_slope") / 0.15)
+        + w["trend_fit"] * fit * clamp(slope / 0.15)
         + w["first_wave"] * (1 - clamp(F.greatest(ext, F.lit(0.0)) / c["max_extension"]))
     )
     weak = (ret < 0.03) | (brk < -0.035) | (ext > c["max_extension"] * 1.5)
@@ -80,39 +122,36 @@ def with_breakout(bars: DataFrame) -> DataFrame:
         (brk >= 0, "above the recent platform"),
         (vol >= c["volume_ratio"], "rising volume"),
         (ext.between(0, c["max_extension"]), "first-wave distance to the average"),
-        ((F.col("_fit") >= 0.65) & (F.col("_slope") > 0), "clean short trend"),
+        ((fit >= 0.65) & (slope > 0), "clean short trend"),
     ], "short structure close to a breakout")
-    return _finish(df, "breakout", score, weak, 0.62, notes)
+    return base, derived, F.when(weak, score * 0.62).otherwise(score), notes
 
 
-def with_pullback(bars: DataFrame) -> DataFrame:
+def _pullback_layers() -> tuple[dict, dict, Column, Column]:
     c, w = RULES["pullback"], RULES["pullback"]["weights"]
-    df = linear_fit(bars.withColumn("_ret", F.col("close") / F.lag("close").over(by_entity()) - 1), 60, "_slope", "_fit")
     close = F.col("close")
-    df = (
-        df.withColumn("return_60", _change("close", 60))
-        .withColumn("_peak", F.max("high").over(_frame(30)))
-        .withColumn("_base", F.min("close").over(_frame(60)))
-        .withColumn("_ma20", F.avg("close").over(_frame(20)))
-        .withColumn("_ma40", F.avg("close").over(_frame(40)))
-        .withColumn("_ma60", F.avg("close").over(_frame(60)))
-        .withColumn("_vol", F.stddev_pop("_ret").over(_frame(10)))
-        .withColumn("drawdown", (F.col("_peak") - close) / F.col("_peak"))
-        .withColumn("ma_distance", F.least(F.abs(close / F.col("_ma20") - 1), F.abs(close / F.col("_ma40") - 1)))
-        .withColumn("retracement", (F.col("_peak") - close) / F.greatest(F.col("_peak") - F.col("_base"), F.lit(1e-9)))
-    )
+    base = {
+        "return_60": _change("close", 60),
+        "_peak": F.max("high").over(_frame(30)),
+        "_base": F.min("close").over(_frame(60)),
+        "_vol": F.stddev_pop("_ret").over(_frame(10)),
+    }
+    derived = {
+        "drawdown": (F.col("_peak") - close) / F.col("_peak"),
+        "ma_distance": F.least(F.abs(close / mean_close(20) - 1), F.abs(close / mean_close(40) - 1)),
+        "retracement": (F.col("_peak") - close) / F.greatest(F.col("_peak") - F.col("_base"), F.lit(1e-9)),
+        "_ma60": mean_close(60),
+    }
     ret, dd, dist, back, vol = (F.col(n) for n in ("return_60", "drawdown", "ma_distance", "retracement", "_vol"))
-    middle = (c["drawdown_min"] + c["drawdown_max"]) / 2
-    half = (c["drawdown_max"] - c["drawdown_min"]) / 2
-    support = 1 - clamp(dist / c["ma_distance"])
-    support = F.when(close >= F.col("_ma60"), F.least(F.lit(1.0), support + 0.15)).otherwise(support)
+    middle, half = (c["drawdown_min"] + c["drawdown_max"]) / 2, (c["drawdown_max"] - c["drawdown_min"]) / 2
+    bonus = F.when(close >= F.col("_ma60"), 0.15).otherwise(0.0)
     score = (
         w["trend"] * clamp(ret / c["trend_return"])
         + w["drawdown"] * (1 - clamp(F.abs(dd - middle) / half))
-        + w["ma_support"] * support
+        + w["ma_support"] * F.least(F.lit(1.0), 1 - clamp(dist / c["ma_distance"]) + bonus)
         + w["retracement"] * (1 - clamp(F.abs(back - 0.44) / 0.44))
         + w["consolidation"] * (1 - clamp(vol / c["max_volatility"]))
-        + w["trend_fit"] * F.col("_fit") * clamp(F.col("_slope") / 0.20)
+        + w["trend_fit"] * F.col("fit_60") * clamp(F.col("slope_60") / 0.20)
     )
     weak = (ret < 0.04) | (close < F.col("_ma60") * 0.95) | (dd > c["drawdown_max"] * 1.4)
     notes = reasons([
@@ -122,28 +161,26 @@ def with_pullback(bars: DataFrame) -> DataFrame:
         (back.between(0.32, c["max_retracement"]), "near a 38/50 % retracement"),
         (vol <= c["max_volatility"], "volatility contracting"),
     ], "structure close to a trend pullback")
-    return _finish(df, "pullback", score, weak, 0.62, notes)
+    return base, derived, F.when(weak, score * 0.62).otherwise(score), notes
 
 
-def with_range_bounce(bars: DataFrame) -> DataFrame:
+def _range_layers() -> tuple[dict, dict, Column, Column]:
     c, w = RULES["range_bounce"], RULES["range_bounce"]["weights"]
     n = c["window"]
-    df = linear_fit(bars, n, "_slope", "_fit")
-    df = (
-        df.withColumn("_top", F.max("high").over(_frame(n)))
-        .withColumn("_bottom", F.min("low").over(_frame(n)))
-        .withColumn("_lows", F.collect_list("low").over(_frame(n)))
-        .withColumn("bounce_5", _change("close", 5))
-        .withColumn("_long", _change("close", n - 1))
-    )
+    base = {
+        "_top": F.max("high").over(_frame(n)),
+        "_bottom": F.min("low").over(_frame(n)),
+        "_lows": F.collect_list("low").over(_frame(n)),
+        "bounce_5": _change("close", 5),
+        "_long": _change("close", n - 1),
+    }
     span = F.greatest(F.col("_top") - F.col("_bottom"), F.lit(1e-9))
-    df = (
-        df.withColumn("range_position", (F.col("close") - F.col("_bottom")) / span)
-        .withColumn("range_width", span / F.greatest(F.col("_bottom"), F.lit(1e-9)))
-        .withColumn("_band", F.col("_bottom") + span * 0.08)
-        .withColumn("touches", F.size(F.filter("_lows", lambda x: x <= F.col("_band"))))
-        .withColumn("sideways", (1 - clamp(F.abs(F.col("_long")) / c["max_trend"])) * (1 - F.abs(F.col("_slope"))))
-    )
+    derived = {
+        "range_position": (F.col("close") - F.col("_bottom")) / span,
+        "range_width": span / F.greatest(F.col("_bottom"), F.lit(1e-9)),
+        "touches": F.size(F.filter("_lows", lambda x: x <= F.col("_bottom") + span * 0.08)),
+        "sideways": (1 - clamp(F.abs("_long") / c["max_trend"])) * (1 - F.abs(F.col("slope_80"))),
+    }
     pos, width, bounce, side, touch = (
         F.col(x) for x in ("range_position", "range_width", "bounce_5", "sideways", "touches")
     )
@@ -162,29 +199,38 @@ def with_range_bounce(bars: DataFrame) -> DataFrame:
         (touch >= 3, "support tested repeatedly"),
         (side >= 0.55, "good sideways fit"),
     ], "structure close to a range bounce")
-    return _finish(df, "range_bounce", score, weak, 0.58, notes)
+    return base, derived, F.when(weak, score * 0.58).otherwise(score), notes
 
 
-def _finish(df: DataFrame, category: str, score: Column, weak: Column, penalty: float, notes: Column) -> DataFrame:
-    penalised = F.when(weak, score * penalty).otherwise(score)
-    enough = F.col("n_past") >= RULES[category]["minimum_bars"]
-    drop = [c for c in df.columns if c.startswith("_")]
-    return (
-        df.withColumn(f"score_{category}", F.when(enough, penalised))
-        .withColumn(f"reasons_{category}", F.when(enough, notes))
-        .drop(*drop)
-    )
+_LAYERS = {"breakout": _breakout_layers, "pullback": _pullback_layers, "range_bounce": _range_layers}
+_FITS = {"breakout": (20,), "pullback": (20, 40, 60), "range_bounce": (80,)}
 
 
 def pattern_scores(bars: DataFrame, categories: tuple[str, ...] = CATEGORIES) -> DataFrame:
-    """Scores and reasons of the chosen patterns for every bar (null below the minimum history)."""
-    df = bars.withColumn("volume", F.coalesce(F.col("volume"), F.lit(0.0))).withColumn(
-        "n_past", F.least(F.row_number().over(by_entity()), F.lit(RULES["screen"]["lookback_bars"]))
-    )
-    step = {"breakout": with_breakout, "pullback": with_pullback, "range_bounce": with_range_bounce}
+    """Scores and reasons of the chosen patterns for every bar (null below the minimum history).
+
+    Columns are added layer by layer (running sums, window columns, metrics,
+    scores): five projections whatever the number of patterns.
+    """
+    df = with_running_sums(bars.withColumn("volume", F.coalesce(F.col("volume"), F.lit(0.0))))
+    df = df.withColumns({
+        "n_past": F.least(F.col("_i").cast("int"), F.lit(RULES["screen"]["lookback_bars"])),
+        "_ret": F.col("close") / F.col("_prev") - 1,
+    })
+    base, fits, derived, final = {}, {}, {}, {}
+    for n in sorted({n for c in categories for n in _FITS[c]}):
+        sums, columns = fit_columns(n, f"slope_{n}", f"fit_{n}")
+        base |= sums
+        fits |= columns
     for c in categories:
-        df = step[c](df)
-    return df
+        window_columns, metrics, score, notes = _LAYERS[c]()
+        base |= window_columns
+        derived |= metrics
+        enough = F.col("n_past") >= RULES[c]["minimum_bars"]
+        final[f"score_{c}"] = F.when(enough, score)
+        final[f"reasons_{c}"] = F.when(enough, notes)
+    df = df.withColumns(base).withColumns(fits).withColumns(derived).withColumns(final)
+    return df.drop(*[name for name in df.columns if name.startswith("_")])
 
 
 def recent_bars(bars: DataFrame, n: int = RULES["screen"]["lookback_bars"]) -> DataFrame:

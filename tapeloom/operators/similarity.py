@@ -151,8 +151,41 @@ def rolling_scores(bars: DataFrame, book: TemplateBook) -> DataFrame:
         .repartition("entity")
         .sortWithinPartitions("entity", "bar_date")
     )
+    return series.mapInArrow(_window_scorer(book), schema)
+
+
+def _window_scorer(book: TemplateBook):
+    """Arrow batch function; everything it uses is nested so that it ships by value."""
     templates = [(k, np.asarray(z)) for k, z in book.templates]
     keep = book.longest - 1
+    flat = FLAT
+
+    def score_table(table: pa.Table, seen: int) -> Iterator[pa.RecordBatch]:
+        owner = table.column("entity").to_numpy()
+        x = table.column("x").to_numpy()
+        for key, z in templates:
+            n = len(z)
+            if len(x) < n:
+                continue
+            ends = np.arange(n - 1, len(x))
+            ends = ends[(ends >= seen) & (owner[ends] == owner[ends - n + 1])]
+            if not len(ends):
+                continue
+            windows = np.lib.stride_tricks.sliding_window_view(x, n)[ends - n + 1]
+            sigma = windows.std(axis=1)
+            dots = windows @ z
+            score = np.divide(dots, n * sigma, out=np.zeros_like(dots), where=sigma > flat)
+            last, first = pa.array(ends), pa.array(ends - n + 1)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.full(len(ends), key, dtype=np.int64)),
+                    table.column("entity").take(last).combine_chunks(),
+                    table.column("bar_date").take(last).combine_chunks(),
+                    table.column("bar_date").take(first).combine_chunks(),
+                    pa.array(score),
+                ],
+                names=["template_id", "entity", "bar_date", "window_start", "score"],
+            )
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -160,37 +193,10 @@ def rolling_scores(bars: DataFrame, book: TemplateBook) -> DataFrame:
             fresh = pa.Table.from_batches([batch])
             seen = held.num_rows if held is not None else 0
             table = (pa.concat_tables([held, fresh]) if held is not None else fresh).combine_chunks()
-            yield from _score_table(table, seen, templates)
+            yield from score_table(table, seen)
             held = table.slice(max(0, table.num_rows - keep))
 
-    return series.mapInArrow(score, schema)
-
-
-def _score_table(table: pa.Table, seen: int, templates) -> Iterator[pa.RecordBatch]:
-    owner = table.column("entity").to_numpy()
-    x = table.column("x").to_numpy()
-    for key, z in templates:
-        n = len(z)
-        if len(x) < n:
-            continue
-        ends = np.arange(n - 1, len(x))
-        ends = ends[(ends >= seen) & (owner[ends] == owner[ends - n + 1])]
-        if not len(ends):
-            continue
-        windows = np.lib.stride_tricks.sliding_window_view(x, n)[ends - n + 1]
-        sigma = windows.std(axis=1)
-        dots = windows @ z
-        score = np.divide(dots, n * sigma, out=np.zeros_like(dots), where=sigma > FLAT)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.full(len(ends), key, dtype=np.int64)),
-                table.column("entity").take(pa.array(ends)).combine_chunks(),
-                table.column("bar_date").take(pa.array(ends)).combine_chunks(),
-                table.column("bar_date").take(pa.array(ends - n + 1)).combine_chunks(),
-                pa.array(score),
-            ],
-            names=["template_id", "entity", "bar_date", "window_start", "score"],
-        )
+    return score
 
 
 def window_correlation(k: int) -> Column:
