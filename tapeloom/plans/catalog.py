@@ -2,6 +2,7 @@
 
 from tapeloom.plans import (  # noqa: F401
     similarity,
+    breadth,
     patterns,
     projections,
     relational,

@@ -206,3 +206,65 @@ select *, case when slope >= 0.25 and n2 <= 1 and n3 - n2 >= 3 then 'rapid_start
   when slope >= 0.25 then 'rising' when current_rank <= 5 and slope <= -0.25 and greatest(n0, n1, n2, n3) > n3 then 'high_ebb' when slope <= -0.25 then 'falling' else 'flat' end as status
 from (select *, row_number() over (order by n3 desc, cumulative desc, industry_code) as current_rank,
   row_number() over (order by abs(slope) desc, persistence desc, effective desc, industry_code) as rotation_rank from rotfeat)"""
+
+FRAMES["indday"] = """
+select template_id, bar_date, ord, industry_code, any_value(industry) as industry, count(*) as eligible, count(case when rank <= 20 then 1 end) as top_count
+from panel group by 1, 2, 3, 4"""
+
+FRAMES["flowst"] = """
+select template_id, lag, o as ord, entity, max(c) as c, max(p) as p, max(cr) as cr, max(pr) as pr,
+  case when max(c) is not null and max(p) is not null then 'retained' when max(c) is not null then 'new' else 'exit' end as state
+from (select d.template_id, l.lag, d.ord as o, d.entity, d.industry_code as c, null as p, d.rank as cr, null as pr from daily d, (select unnest([10, 20]) as lag) l
+  union all select d.template_id, l.lag, d.ord + l.lag, d.entity, null, d.industry_code, null, d.rank from daily d, (select unnest([10, 20]) as lag) l where d.ord + l.lag <= (select max(ord) from cal))
+group by 1, 2, 3, 4"""
+
+FRAMES["brdind"] = """
+select coalesce(i.template_id, f.template_id) as template_id, coalesce(i.lag, f.lag) as lag, coalesce(i.ord, f.ord) as ord, coalesce(i.industry_code, f.industry_code) as industry_code,
+  coalesce(i.eligible, 0) as eligible, coalesce(i.top_count, 0) as top_count, coalesce(f.n, 0) as new_count, coalesce(f.r, 0) as retained_count, coalesce(f.x, 0) as exit_count
+from (select i.*, l.lag from indday i, (select unnest([10, 20]) as lag) l) i
+full join (select template_id, lag, ord, coalesce(c, p) as industry_code, count(case when state = 'new' then 1 end) as n, count(case when state = 'retained' then 1 end) as r,
+    count(case when state = 'exit' then 1 end) as x from flowst group by all) f
+  on i.template_id = f.template_id and i.lag = f.lag and i.ord = f.ord and i.industry_code = f.industry_code"""
+
+FRAMES["healthp"] = """
+select bar_date, ord, industry_code, industry, eligible as eligible_count, top_count as b_count, top_count * 1.0e0 / eligible as b_breadth
+from indday where template_id = 1 and industry_code >= 0"""
+
+FRAMES["healthr"] = """
+select *, (rank() over (partition by bar_date order by b_breadth) + (count(*) over (partition by bar_date, b_breadth) - 1) / 2.0e0) / count(*) over (partition by bar_date) as rk
+from healthp"""
+
+
+def _hw(a: int, b: int) -> str:
+    end = "current row" if b == 0 else f"{b} preceding"
+    return f"over (partition by industry_code order by bar_date rows between {a} preceding and {end})"
+
+
+def _hm(x: str, n: int, back: int = 0) -> str:
+    w = _hw(n - 1 + back, back)
+    return f"case when count({x}) {w} = {n} then avg({x}) {w} end"
+
+
+FRAMES["healthl"] = """
+select *, lag(rk) over (partition by industry_code order by bar_date) as pr, lag(b_breadth) over (partition by industry_code order by bar_date) as pb,
+  lag(b_count) over (partition by industry_code order by bar_date) as pc from healthr"""
+
+FRAMES["healthm"] = f"""
+select *, coalesce(count(pr) {_hw(19, 0)} = 20 and count(case when pr >= 0.75 then 1 end) {_hw(19, 0)} >= 12 and quantile_cont(pr, 0.5) {_hw(19, 0)} >= 0.75
+    and quantile_cont(pr, 0.5) {_hw(4, 0)} >= 0.75 and avg(pb) {_hw(19, 0)} > 0, false) as mainline,
+  coalesce(b_count <= pc - 1 and b_breadth < pb, false) as raw_drop,
+  {_hm('rk', 3)} - {_hm('rk', 3, 3)} as dr3, {_hm('rk', 5)} - {_hm('rk', 5, 5)} as dr5,
+  {_hm('b_count', 3)} - {_hm('b_count', 3, 3)} as dc3, {_hm('b_count', 5)} - {_hm('b_count', 5, 5)} as dc5,
+  {_hm('b_breadth', 3)} - {_hm('b_breadth', 3, 3)} as db3, {_hm('b_breadth', 5)} - {_hm('b_breadth', 5, 5)} as db5,
+  {_hm('rk', 5)} - {_hm('rk', 15, 5)} as drf, {_hm('b_breadth', 5)} - {_hm('b_breadth', 15, 5)} as dbf
+from healthl"""
+
+FRAMES["health"] = """
+select *, coalesce(dc3 < -1e-9 and db3 < -1e-9 and dr3 <= -0.1e0 + 1e-9, false) as smooth3, coalesce(dc5 < -1e-9 and db5 < -1e-9 and dr5 <= -0.1e0 + 1e-9, false) as smooth5,
+  coalesce(drf <= -0.15e0 + 1e-9 and dbf < -1e-9 and mainline, false) as cooling from healthm"""
+
+FRAMES["healthd"] = """
+select *, case when act and st is not null then pos - st + 1 else 0 end as weak_duration from (
+  select *, min(case when act and smooth3 then pos end) over (partition by industry_code, island order by bar_date) as st from (
+    select *, sum(case when act then 0 else 1 end) over (partition by industry_code order by bar_date) as island from (
+      select *, smooth3 or smooth5 or cooling as act, row_number() over (partition by industry_code order by bar_date) as pos from health)))"""
