@@ -7,6 +7,7 @@ from tapeloom.plans import (  # noqa: F401
     projections,
     relational,
     sets,
+    shape,
     sources,
     windows,
 )

@@ -268,3 +268,91 @@ select *, case when act and st is not null then pos - st + 1 else 0 end as weak_
   select *, min(case when act and smooth3 then pos end) over (partition by industry_code, island order by bar_date) as st from (
     select *, sum(case when act then 0 else 1 end) over (partition by industry_code order by bar_date) as island from (
       select *, smooth3 or smooth5 or cooling as act, row_number() over (partition by industry_code order by bar_date) as pos from health)))"""
+
+FRAMES["w120"] = """
+select entity, (select d from dayref) as bar_date, list(close order by pos) as c, list(high order by pos) as h, list(low order by pos) as l, list(volume order by pos) as v
+from (select *, max(bar_date) over (partition by entity) as d2, row_number() over (partition by entity order by bar_date desc) as rn from qfq where bar_date <= (select d from dayref))
+where rn <= 120 and d2 = (select d from dayref) group by entity having count(*) = 120"""
+
+FRAMES["w120e"] = """
+select *, coalesce(ev, 119) as e, coalesce(ev, 120) as ce, c[120] as now,
+  list_max(h[coalesce(ev, 119) - 19 : coalesce(ev, 119)]) as res, list_position(h[61:120], list_max(h[61:120])) + 59 as pk, list_max(h[1:90]) as early
+from (select *, list_filter(range(104, 120), lambda i: c[i + 1] >= list_max(h[i - 19 : i]) * 1.003e0)[1] as ev,
+  list_transform(range(1, 120), lambda i: c[i + 1] / c[i] - 1) as r from w120)"""
+
+FRAMES["wl120"] = """
+select entity, bar_date, i, c[i + 1] as x, h[i + 1] as hi, l[i + 1] as lo, ce, c from (select *, unnest(range(120)) as i from w120e)"""
+
+
+def _fit_sql() -> str:
+    parts = []
+    for n in (10, 20, 60, 120):
+        parts.append(f"(regr_slope(x, i) filter (where i >= {120 - n})) * {n - 1} / max(case when i = {120 - n} then x end) as trend_slope_{n}, regr_r2(x, i) filter (where i >= {120 - n}) as trend_fit_{n}")
+    for n in (40, 60, 100):
+        parts.append(f"(regr_slope(x, i) filter (where i between ce - {n} and ce - 1)) * {n - 1} / max(case when i = ce - {n} then x end) as pre_breakout_trend_slope_{n}, regr_r2(x, i) filter (where i between ce - {n} and ce - 1) as pre_breakout_trend_fit_{n}")
+    return ", ".join(parts)
+
+
+FRAMES["wfit"] = f"select entity, {_fit_sql()} from wl120 group by entity"
+
+
+def _facts_sql() -> str:
+    out = []
+    for n in (3, 5, 10, 20, 60, 119):
+        out.append(f"now / c[{120 - n}] - 1 as return_{n}")
+    for n in (5, 10, 20, 60, 120):
+        out.append(f"now / list_avg(c[{121 - n}:120]) - 1 as ma{n}_extension")
+    pairs = [(5, 10), (10, 20), (20, 60), (60, 120)]
+    out.append("(" + " + ".join(f"case when list_avg(c[{121 - a}:120]) >= list_avg(c[{121 - b}:120]) then 0.25e0 else 0 end" for a, b in pairs) + ") as ma_alignment")
+    for n in (20, 60, 120):
+        out.append(f"greatest(0, 1 - now / list_max(h[{121 - n}:120])) as drawdown_{n}")
+        out.append(f"(now - list_min(l[{121 - n}:120])) / (list_max(h[{121 - n}:120]) - list_min(l[{121 - n}:120])) as range_position_{n}")
+    out += ["now / list_max(h[98:117]) - 1 as breakout_vs_prior_20", "now / list_max(h[58:117]) - 1 as breakout_vs_prior_60",
+            "119 - pk as days_since_60_high", "case when ev is null then 99 else 119 - ev end as breakout_age",
+            "case when ev is null then -1 else list_min(c[ev + 1:120]) / res - 1 end as breakout_hold_margin",
+            "case when ev is null then -1 else now / res - 1 end as breakout_current_margin",
+            "case when ev is null then 1 else greatest(0, 1 - now / list_max(h[ev + 1:120])) end as breakout_post_event_drawdown",
+            "case when ev is not null and ev < 119 and list_min(c[ev + 1:120]) / res - 1 >= -0.015 then 1 else 0 end as breakout_confirmed",
+            "c[e + 1] / c[e] - 1 as breakout_day_return", "case when ev is null then 0 else 20 end as breakout_resistance_window",
+            "v[e + 1] / list_avg(v[e - 19:e]) as breakout_volume_ratio"]
+    for n in (40, 60, 100):
+        out += [f"{n} as pre_breakout_context_bars_{n}", f"c[ce] / c[ce - {n - 1}] - 1 as pre_breakout_return_{n}",
+                f"(list_max(h[ce - {n - 1}:ce]) - list_min(l[ce - {n - 1}:ce])) / list_avg(c[ce - {n - 1}:ce]) as pre_breakout_range_width_{n}",
+                f"(c[ce] - list_min(l[ce - {n - 1}:ce])) / (list_max(h[ce - {n - 1}:ce]) - list_min(l[ce - {n - 1}:ce])) as pre_breakout_range_position_{n}",
+                f"greatest(0, 1 - c[ce] / list_max(h[ce - {n - 1}:ce])) as pre_breakout_drawdown_from_high_{n}"]
+    out += ["40 as pre_breakout_context_bars", "c[e] / c[e - 5] - 1 as breakout_approach_return_5",
+            "len(list_filter(r[e - 10:e - 1], lambda x: x > 0)) / 10.0e0 as breakout_approach_positive_ratio_10",
+            "list_aggregate(r[case when ev is null then e - 19 else e - 20 end:e - 1], 'stddev_pop') as pre_breakout_volatility_20",
+            "coalesce(list_max(list_filter(r[100:119], lambda x: x > 0)) / list_sum(list_filter(r[100:119], lambda x: x > 0)), 0) as largest_up_day_share_20",
+            "now / early - 1 as old_high_gap_120", "120 - list_position(h[1:90], early) as days_since_old_high",
+            "len(list_filter(range(2, 90), lambda i: h[i] >= early * 0.97e0 and h[i] >= h[i - 1] and h[i] >= h[i + 1])) as old_high_rejection_count"]
+    for n in (10, 20, 60):
+        out.append(f"list_aggregate(r[{120 - n}:119], 'stddev_pop') as volatility_{n}")
+    for n in (20, 60):
+        out.append(f"len(list_filter(r[{120 - n}:119], lambda x: x > 0)) / {n}.0e0 as positive_day_ratio_{n}")
+    vol = "list_avg(list_transform(list_filter(range(100, 120), lambda i: r[i] {} 0), lambda i: v[i + 1]))"
+    out += ["list_avg(v[116:120]) / list_avg(v[96:115]) as volume_ratio_5_20",
+            f"coalesce(coalesce({vol.format('>')}, 0) / {vol.format('<')}, 1) as up_down_volume_ratio_20",
+            "(now - list_min(l[116:120])) / (list_max(h[116:120]) - list_min(l[116:120])) as close_location_5",
+            "now / list_min(l[111:120]) - 1 as rebound_from_10_low", "c[110] / c[60] - 1 as prior_return_60_ex_last_10",
+            "119 - pk as pullback_duration_60", "greatest(0, 1 - now / h[pk + 1]) / greatest(119 - pk, 1) as pullback_speed_60",
+            "greatest(0, h[pk + 1] / list_min(l[greatest(pk - 60, 0) + 1:pk + 1]) - 1) as prior_advance_before_peak",
+            "(h[pk + 1] - now) / (h[pk + 1] - list_min(l[greatest(pk - 60, 0) + 1:pk + 1])) as retracement_of_prior_advance",
+            "list_min(list_transform(range(101, 121), lambda i: c[i] / c[i - 5] - 1)) as worst_5day_return_20",
+            f"({_cl('(now / c[117] - 1) / 0.05e0')} + {_cl('(now / c[115] - 1) / 0.08e0')} + case when now >= list_avg(c[111:120]) then 1 else 0 end"
+            f" + {_cl('(now - list_min(l[116:120])) / (list_max(h[116:120]) - list_min(l[116:120]))')} + {_cl('(now / list_min(l[111:120]) - 1) / 0.1e0')}) / 5 as turn_confirmation",
+            "list_avg(list_transform(range(107, 121), lambda i: greatest(h[i] - l[i], abs(h[i] - c[i - 1]), abs(l[i] - c[i - 1])))) / now as atr_14_pct"]
+    return ", ".join(out)
+
+
+FRAMES["facts"] = f"""
+select x.*, f.* exclude (entity), ((1 - {_cl('abs(x.return_60) / 0.15e0')}) + (1 - {_cl('f.trend_fit_60')}) + {_cl('x.days_since_60_high / 40.0e0')}) / 3 as range_staleness_60
+from (select entity, bar_date, {_facts_sql()} from w120e) x join wfit f on x.entity = f.entity"""
+
+FRAMES["paths"] = """
+select entity, list_max(d120) as max_drawdown_120, list_max(d60) as max_drawdown_60, list_min(list_transform(range(6, 121), lambda i: c[i] / c[i - 5] - 1)) as worst_return_5,
+  list_min(list_transform(range(11, 121), lambda i: c[i] / c[i - 10] - 1)) as worst_return_10,
+  len(list_filter(range(1, 12), lambda k: c[10 * k + 1] > c[10 * k - 9])) / 11.0e0 as anchor_up_ratio, list_max(d40) as recent_pullback_depth_40,
+  40 - tr as recent_pullback_low_age, case when list_max(c[81:80 + tr]) > c[80 + tr] then (c[120] - c[80 + tr]) / (list_max(c[81:80 + tr]) - c[80 + tr]) else 0 end as recent_recovery_fraction
+from (select *, list_position(d40, list_max(d40)) as tr from (select *, list_transform(range(1, 121), lambda i: 1 - c[i] / list_max(c[1:i])) as d120,
+  list_transform(range(61, 121), lambda i: 1 - c[i] / list_max(c[61:i])) as d60, list_transform(range(81, 121), lambda i: 1 - c[i] / list_max(c[81:i])) as d40 from w120))"""
