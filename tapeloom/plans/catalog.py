@@ -3,6 +3,7 @@
 from tapeloom.plans import (  # noqa: F401
     similarity,
     breadth,
+    dynamics,
     patterns,
     projections,
     relational,

@@ -356,3 +356,25 @@ select entity, list_max(d120) as max_drawdown_120, list_max(d60) as max_drawdown
   40 - tr as recent_pullback_low_age, case when list_max(c[81:80 + tr]) > c[80 + tr] then (c[120] - c[80 + tr]) / (list_max(c[81:80 + tr]) - c[80 + tr]) else 0 end as recent_recovery_fraction
 from (select *, list_position(d40, list_max(d40)) as tr from (select *, list_transform(range(1, 121), lambda i: 1 - c[i] / list_max(c[1:i])) as d120,
   list_transform(range(61, 121), lambda i: 1 - c[i] / list_max(c[61:i])) as d60, list_transform(range(81, 121), lambda i: 1 - c[i] / list_max(c[81:i])) as d40 from w120))"""
+
+FRAMES["monthends"] = """select max(bar_date) as bar_date from cal where bar_date <= (select d from dayref) group by strftime(bar_date, '%Y%m')"""
+FRAMES["first12m"] = """
+select k.* from mkt k join monthends e on k.bar_date = e.bar_date qualify row_number() over (partition by template_id order by k.bar_date) <= 12"""
+FRAMES["frozen"] = """
+select template_id, quantile_cont(p99, 0.75) as threshold, median(p99) as p99_median, count(*) as months from first12m group by 1"""
+FRAMES["snaps"] = """
+select frequency, bar_date, row_number() over (partition by frequency order by bar_date) - 1 as seq from (
+  select 'weekly' as frequency, max(bar_date) as bar_date from cal where bar_date <= (select d from dayref) group by strftime(bar_date, '%G-%V')
+  union all select 'monthly', bar_date from monthends)"""
+FRAMES["dsc"] = """
+select s.frequency, s.seq, p.*, f.threshold, p.score >= f.threshold as q, (p.n_group - p.rank + 1) * 100.0e0 / p.n_group as percentile
+from panel p join snaps s on p.bar_date = s.bar_date join frozen f on p.template_id = f.template_id"""
+FRAMES["dstate"] = """
+select frequency, seq, bar_date, entity, case when count(case when q then 1 end) = 0 then 'none' when count(case when q then 1 end) > 1 then 'mixed'
+  else 't' || cast(max(case when q then template_id end) as varchar) end as state, coalesce(string_agg(case when q then 't' || cast(template_id as varchar) end, '+' order by template_id), 'none') as labels
+from dsc group by 1, 2, 3, 4"""
+FRAMES["states"] = """select unnest(['none', 'mixed', 't1', 't2', 't3', 't4']) as state"""
+FRAMES["dind"] = """
+select *, qualified * 1.0e0 / eligible as rate, sum(qualified) over g * 1.0e0 / sum(eligible) over g as market_rate, sum(qualified) over g as total_q, sum(eligible) over g as total_n
+from (select frequency, seq, bar_date, template_id, industry, count(*) as eligible, count(case when q then 1 end) as qualified from dsc group by all)
+window g as (partition by frequency, seq, template_id)"""
