@@ -4,6 +4,8 @@ from tapeloom.plans import (  # noqa: F401
     similarity,
     breadth,
     dynamics,
+    metrics,
+    quality,
     patterns,
     projections,
     relational,

@@ -20,7 +20,7 @@ from tapeloom.plans.windows import position_label, quintile
 from tapeloom.sources.staging import stage
 from tapeloom.sources.tables import Market
 
-FOCUS = "CHINA"
+FOCUS = "NATION_9"
 # Supplied extremes of the two control populations per template.
 CONTROLS = [(1, 0.86, 0.90), (2, 0.84, 0.91), (3, 0.88, 0.85), (4, 0.95, 0.97)]
 

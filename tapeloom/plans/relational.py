@@ -45,9 +45,9 @@ def _(m: Market) -> DataFrame:
 
 
 @query("flt_industry", "entity:i industry_code:i industry:s",
-       "select entity, industry_code, industry from membership where industry in ('CHINA', 'FRANCE') or industry_code in (3, 7, 12)")
+       "select entity, industry_code, industry from membership where industry in ('NATION_9', 'NATION_6') or industry_code in (3, 7, 12)")
 def _(m: Market) -> DataFrame:
-    return m.membership.where(F.col("industry").isin("CHINA", "FRANCE") | F.col("industry_code").isin(3, 7, 12))
+    return m.membership.where(F.col("industry").isin("NATION_9", "NATION_6") | F.col("industry_code").isin(3, 7, 12))
 
 
 @query("flt_exclude_st", "entity:i bar_date:d close:f",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.functions.ranking import exact_quantiles, top_k
@@ -114,11 +114,14 @@ def _(m: Market) -> DataFrame:
 RATING = {c: i for i, c in enumerate(S.CATEGORY_KEYS)}
 
 
-def records(m: Market) -> DataFrame:
-    """Long labelled facts: entity, category, feature, weight, value, rating."""
+def rating_of() -> Column:
     shift = F.create_map(*[F.lit(x) for kv in RATING.items() for x in kv])
-    rating = F.pmod(F.col("entity") * 7 + F.element_at(shift, F.col("category")) * 3, F.lit(4))
-    return S.long_facts(facts(m), ["entity"]).withColumn("rating", rating)
+    return F.pmod(F.col("entity") * 7 + F.element_at(shift, F.col("category")) * 3, F.lit(4))
+
+
+def records(m: Market, known: DataFrame | None = None) -> DataFrame:
+    """Long labelled facts: entity, category, feature, weight, value, rating."""
+    return S.long_facts(facts(m) if known is None else known, ["entity"]).withColumn("rating", rating_of())
 
 
 _LONG = "lf as (" + " union all ".join(
@@ -135,10 +138,10 @@ dist as (select entity, category, max(rating) as rating, sqrt(sum(weight * least
 scales as (select category, greatest(0.5e0, median(distance) / 0.6680472308e0) as distance_scale, count(*) as positives from dist where rating >= 2 group by 1)"""
 
 
-def model(m: Market) -> tuple[DataFrame, DataFrame]:
+def model(m: Market, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(feature statistics, distance scale) per category from the labelled windows."""
     keys = ["category", "feature"]
-    base = stage(records(m))
+    base = stage(records(m, known))
     quartiles = {"q25": 0.25, "median": 0.5, "q75": 0.75}
     positive = exact_quantiles(base.where(F.col("rating") >= 2), keys, "value", quartiles)
     every = exact_quantiles(base, keys, "value", {"a25": 0.25, "amed": 0.5, "a75": 0.75})
@@ -169,8 +172,8 @@ def _(m: Market) -> DataFrame:
 @query("cal_rating_hist", "category:s r0:i r1:i r2:i r3:i",
        f"with {_LONG}, r as (select distinct entity, category, rating from lf) select category, " + ", ".join(f"count(case when rating = {i} then 1 end) as r{i}" for i in range(4)) + " from r group by 1")
 def _(m: Market) -> DataFrame:
-    once = records(m).select("entity", "category", "rating").distinct()
-    wide = once.groupBy("category").pivot("rating", [0, 1, 2, 3]).count().fillna(0)
+    once = windows(m).select("entity", F.explode(F.array(*[F.lit(c) for c in S.CATEGORY_KEYS])).alias("category"))
+    wide = once.withColumn("rating", rating_of()).groupBy("category").pivot("rating", [0, 1, 2, 3]).count().fillna(0)
     return wide.select("category", *[F.col(str(i)).alias(f"r{i}") for i in range(4)])
 
 
@@ -192,8 +195,9 @@ v2 as (select d.entity, d.category, d.rating, d.distance, 3 * exp(-0.5e0 * power
 
 
 def v2_scores(m: Market) -> DataFrame:
-    stats, scales = model(m)
-    return S.category_scores(facts(m), stats.select("category", "feature", "median", "robust_scale"), scales, ["entity"])
+    known = stage(facts(m).drop("c", "h", "l", "v"))
+    stats, scales = model(m, known)
+    return S.category_scores(known, stats.select("category", "feature", "median", "robust_scale"), scales, ["entity"])
 
 
 @query("v2_score_category", "entity:i distance:f raw_score:f score:f first_contributor:s",
