@@ -29,10 +29,6 @@ def snapshots(m: Market) -> DataFrame:
     return D.number_snapshots(C.period_ends(m.cal.where(F.col("bar_date") <= m.as_of)))
 
 
-def thresholds(m: Market) -> DataFrame:
-    return frozen_thresholds(distribution(m), month_ends(m))
-
-
 def snapped(m: Market, frequency: str | None = None) -> DataFrame:
     """Panel rows on snapshot dates with the frozen threshold and the qualified flag.
 
@@ -42,9 +38,11 @@ def snapped(m: Market, frequency: str | None = None) -> DataFrame:
     snaps = snapshots(m)
     if frequency:
         snaps = snaps.where(F.col("frequency") == frequency)
-    lines = stage(thresholds(m).select("template_id", "threshold"))
-    rows = panel(m).join(F.broadcast(snaps), "bar_date").join(lines, "template_id")
-    return stage(rows.withColumn("q", F.col("score") >= F.col("threshold")).drop("window_start"))
+    base = stage(panel(m).drop("window_start"))
+    monthly = base.join(F.broadcast(month_ends(m)), "bar_date", "left_semi")
+    lines = stage(frozen_thresholds(distribution(m, monthly), month_ends(m)).select("template_id", "threshold"))
+    rows = base.join(F.broadcast(snaps), "bar_date").join(lines, "template_id")
+    return stage(rows.withColumn("q", F.col("score") >= F.col("threshold")))
 
 
 @query("dyn_annotate", "template_id:i bar_date:d entity:i rank:i percentile:f industry:s tier:s quintile:s",

@@ -328,10 +328,10 @@ def _(m: Market) -> DataFrame:
     return current.groupBy("industry_code", "industry").agg(F.count(F.lit(1)).alias("n")).orderBy("industry", "industry_code")
 
 
-def distribution(m: Market) -> DataFrame:
+def distribution(m: Market, scores: DataFrame | None = None) -> DataFrame:
     """Per date and template: count, extremes, negative share and exact quantiles."""
     keys = ["template_id", "bar_date"]
-    base = stage(sim.scores(m).select(*keys, "score"))
+    base = stage(sim.scores(m).select(*keys, "score")) if scores is None else scores.select(*keys, "score")
     flat = base.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("eligible"), F.max("score").alias("max_score"), F.min("score").alias("min_score"),
         F.avg(flag(F.col("score") < 0)).alias("negative_share"),

@@ -20,7 +20,9 @@ def points(m: Market) -> DataFrame:
 
 def book(m: Market) -> S.TemplateBook:
     # Only the source securities are read: the filter reaches the Parquet scan.
-    return S.TemplateBook.load(points(m))
+    if not hasattr(m, "template_book"):
+        m.template_book = S.TemplateBook.load(points(m))
+    return m.template_book
 
 
 def scores(m: Market) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.operators import bars as B
 from tapeloom.operators import calendar as C
+from tapeloom.sources.staging import stage
 
 # Fixed values of the four registered template windows: source security -> bars.
 TEMPLATE_BARS = {1: 50, 2: 80, 3: 55, 4: 80}
@@ -30,6 +31,15 @@ class Market:
 
     @cached_property
     def bars0(self) -> DataFrame:
+        """The bar table, written once per market.
+
+        Bars, calendar, flags, factors, templates and the as-of date all come
+        from it, so a query would otherwise repeat this aggregate several times.
+        """
+        return stage(self.aggregate_lines())
+
+    def aggregate_lines(self) -> DataFrame:
+        """One row per security and week; partial aggregates absorb hot securities before the shuffle."""
         price = F.col("l_extendedprice") / F.col("l_quantity")
         order = F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
         week = F.next_day(F.date_sub(F.col("l_shipdate").cast("date"), 1), "FRI")
@@ -54,8 +64,7 @@ class Market:
 
     @cached_property
     def cal(self) -> DataFrame:
-        week = F.next_day(F.date_sub(F.col("l_shipdate").cast("date"), 1), "FRI")
-        return C.trading_calendar(self.table("lineitem").select(week.alias("bar_date")))
+        return C.trading_calendar(self.bars0)
 
     @cached_property
     def as_of(self) -> Column:
