@@ -318,6 +318,14 @@ for _period, _name in (("1w", "week"), ("1m", "month"), ("1q", "quarter"), ("1y"
     _register_resample(_period, _name)
 
 
+@query("agg_resample", "period:s entity:i bar_date:d open:f close:f volume:f pct_chg:f",
+       _PB + " union all ".join(f"select '{p}' as period, entity, bar_date, open, close, volume, pct_chg from {_resample_sql(p)}" for p in _KEY))
+def _(m: Market) -> DataFrame:
+    daily = _with_prev(m)
+    parts = [B.resample_bars(daily, p).withColumn("period", F.lit(p)) for p in _KEY]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
 @query("top_bars_page", "entity:i returned:i returned_start:d returned_end:d last_close:f oldest_available:d newest_available:d has_more_before:b has_more_after:b",
        _PB + f"""select p.entity, p.returned, p.returned_start, p.returned_end, p.last_close, b.oldest_available, b.newest_available,
           returned_start > oldest_available as has_more_before, returned_end < newest_available as has_more_after
