@@ -26,6 +26,9 @@ RANGES = 32
 def _with_range(df: DataFrame, keys: list[str], value: str, ranges: int) -> DataFrame:
     steps = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
     limits = df.groupBy(*keys).agg(F.percentile_approx(value, steps, F.lit(1000)).alias("_limits"))
+    # Written first, so that its true size is known when the join is planned: small
+    # limits are broadcast and the large side is not shuffled by the (few) group keys.
+    limits = stage(limits)
     return (
         df.join(limits, keys)
         .withColumn("_range", F.size(F.filter("_limits", lambda x: x < F.col(value))))
