@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeloom.llm import rules
+from tapeloom.llm import quality, rules, token_count
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,21 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def op1_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, folder, "labels")))
+
+
+def vocabulary_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_count.token_counts(table(spark, folder, "documents"), vocabulary_path("word_bpe_49k.json"))
+
+
 def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     judged = rules.quality_rules(table(spark, folder, "documents"))
     return judged.select(
@@ -22,5 +37,5 @@ def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in [op9_quality_rules]}
+QUERIES: dict[str, Query] = {f.__name__: f for f in [op1_quality_classifier, op8_token_counts, op9_quality_rules]}
 SQL: dict[str, str] = {}
