@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tapeloom.llm import quality, rules, token_count
+from tapeloom.llm import decontam, quality, rules, secrets, token_count
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,12 +21,57 @@ def op1_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, table(spark, folder, "labels")))
 
 
+def op2_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = secrets.find(docs, secrets.train(docs))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_random")
+
+
 def vocabulary_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
+def op7_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontam.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+OP7_SQL = r"""
+with docs as (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+    from documents),
+items as (
+    select cast(item_id as varchar) as item_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+    from benchmark),
+sizes as (select distinct least(10, len(w)) as size from items where len(w) > 0),
+windows as (
+    select item_id, size, array_to_string(w[i:i + size - 1], ' ') as words
+    from (select item_id, w, least(10, len(w)) as size, unnest(range(1, len(w) - least(10, len(w)) + 2)) as i
+          from items where len(w) > 0)),
+places as (
+    select doc_id, size, i, array_to_string(w[i:i + size - 1], ' ') as words
+    from (select doc_id, w, size, unnest(range(1, len(w) - size + 2)) as i from docs, sizes where len(w) >= size)),
+found as (select p.doc_id, p.i, p.size, x.item_id from places p join windows x using (size, words)),
+hits as (
+    select doc_id, count(distinct pos) as n_hit
+    from (select doc_id, unnest(range(i, i + size)) as pos from found) group by doc_id),
+named as (
+    select doc_id, count(*) as n_items, string_agg(item_id, ',' order by item_id) as items
+    from (select distinct doc_id, item_id from found) group by doc_id)
+select docs.doc_id, cast(len(docs.w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+    sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from docs left join hits using (doc_id) left join named using (doc_id)
+"""
+
+
 def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_count.token_counts(table(spark, folder, "documents"), vocabulary_path("word_bpe_49k.json"))
 
@@ -37,5 +83,5 @@ def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in [op1_quality_classifier, op8_token_counts, op9_quality_rules]}
-SQL: dict[str, str] = {}
+QUERIES: dict[str, Query] = {f.__name__: f for f in [op1_quality_classifier, op2_secret_scans, op7_benchmark_decontamination, op8_token_counts, op9_quality_rules]}
+SQL: dict[str, str] = {"op7_benchmark_decontamination": OP7_SQL}

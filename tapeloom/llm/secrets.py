@@ -1,0 +1,198 @@
+"""Secret scans: fixed patterns, and random-looking strings found by two character Markov models.
+
+One model learns random strings, the other ordinary identifiers.  The labelled samples are the
+corpus' own: what the fixed patterns find is random, every other run of identifier characters is
+ordinary.  A run whose log-likelihood ratio per character passes a threshold is a secret too.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import re
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tapeloom.llm.arrays import byte_set, chunks, code_points, runs
+from tapeloom.llm.frames import bounded, map_batches, pick
+
+# fixed values: kinds in their order, patterns and least lengths
+KINDS = ("assign", "access", "hex", "random")
+ASSIGN = re.compile(
+    rb"([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]"
+    rb"|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
+)
+ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
+MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 6, 20, 24
+WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
+
+LETTERS = b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
+SIZE = len(LETTERS) + 1  # the last symbol begins a string
+MIN_SAMPLE = 8  # characters of a run that teaches
+MIN_RUN = 20  # characters of a run that is judged
+THRESHOLD = 2.25  # nats for each character
+MIN_DISTINCT = 8  # different characters of a random string: rulers such as "=====" have few
+SMOOTHING = 1.0
+
+_CODE = np.full(256, SIZE - 1, np.int64)
+_CODE[list(LETTERS)] = np.arange(len(LETTERS))
+_IN_RUN = byte_set(LETTERS)
+_HEX = byte_set(b"0123456789abcdef")
+
+
+@dataclass(frozen=True)
+class Models:
+    """Log-likelihood ratio, random over ordinary, of a character after the two before it."""
+
+    ratio: np.ndarray
+
+
+def base_spans(data: bytes, raw: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int]]:
+    """(start, kind number, end) by byte of what the fixed patterns find within each text, ascending."""
+    found: list[tuple[int, int, int]] = []
+    lowered = data.lower()
+    first_key, first_access = any(w in lowered for w in WORDS), b"AKIA" in data
+    if first_key or first_access:
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            if first_key and any(lowered.find(w, a, b) >= 0 for w in WORDS):
+                found += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(data, a, b) if m.end(2) - m.start(2) >= MIN_ASSIGN]
+            if first_access and data.find(b"AKIA", a, b) >= 0:
+                found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(data, a, b) if m.end() - m.start() >= MIN_ACCESS]
+    starts, ends, _ = runs(_HEX[raw], at)
+    long = ends - starts >= MIN_HEX
+    found += [(a, 2, b) for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
+    return sorted(found)
+
+
+def _covered(starts: np.ndarray, ends: np.ndarray, spans: list[tuple[int, int, int]]) -> np.ndarray:
+    """Which runs meet a span."""
+    if not spans:
+        return np.zeros(len(starts), bool)
+    begin = np.array([s[0] for s in spans])
+    reach = np.maximum.accumulate([s[2] for s in spans])
+    last = np.searchsorted(begin, ends) - 1
+    return (last >= 0) & (reach[np.maximum(last, 0)] > starts)
+
+
+def _triples(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Transition cells of the characters of runs, and the run of each."""
+    sizes = ends - starts
+    place = np.repeat(starts, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    into = place - np.repeat(starts, sizes)
+    code = _CODE[raw[place]]
+    one = np.where(into > 0, np.roll(code, 1), SIZE - 1)
+    two = np.where(into > 1, np.roll(code, 2), SIZE - 1)
+    return (two * SIZE + one) * SIZE + code, np.repeat(np.arange(len(starts)), sizes)
+
+
+def train(docs: DataFrame, text: str = "text") -> Models:
+    """Count transitions of both kinds of runs in all texts; the tables have ``SIZE`` cubed cells.
+
+    Without samples of a kind its model is uniform, so an empty corpus finds nothing by ratio.
+    """
+
+    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
+        cells = np.zeros(2 * SIZE**3, np.int64)
+        for _, _, raw, at in chunks(batch.column(0)):
+            spans = base_spans(raw.tobytes(), raw, at)
+            starts, ends, _ = runs(_IN_RUN[raw], at)
+            long = ends - starts >= MIN_SAMPLE
+            starts, ends = starts[long], ends[long]
+            secret = _covered(starts, ends, spans)
+            cell, run = _triples(raw, starts, ends)
+            cells += np.bincount(cell + secret[run] * SIZE**3, minlength=len(cells))
+        used = np.flatnonzero(cells)
+        return pa.RecordBatch.from_arrays([pa.array(used), pa.array(cells[used])], ["cell", "n"])
+
+    counted = map_batches(pick(docs, text=text), count, "cell bigint, n bigint")
+    sums = bounded(counted.groupBy("cell").agg(F.sum("n").alias("n")), 2 * SIZE**3, "transition cells")
+    table = np.zeros(2 * SIZE**3)
+    for cell, n in sums:
+        table[cell] = n
+    logs = []
+    for counts in table.reshape(2, SIZE, SIZE, SIZE):
+        # a character after two others falls back on the character after one, and that on its share
+        one = counts.sum(0)
+        share = (one.sum(0) + SMOOTHING) / (one.sum() + SMOOTHING * SIZE)
+        short = (one + SMOOTHING * SIZE * share) / (one.sum(1, keepdims=True) + SMOOTHING * SIZE)
+        full = (counts + SMOOTHING * SIZE * short) / (counts.sum(2, keepdims=True) + SMOOTHING * SIZE)
+        logs.append(np.log(full))
+    return Models((logs[1] - logs[0]).ravel().astype(np.float32))
+
+
+def text_spans(raw: np.ndarray, at: np.ndarray, models: Models, threshold: float = THRESHOLD) -> list[tuple[int, int, int]]:
+    """Base spans and, where they meet none, runs that the models find random."""
+    spans = base_spans(raw.tobytes(), raw, at)
+    starts, ends, _ = runs(_IN_RUN[raw], at)
+    long = ends - starts >= MIN_RUN
+    starts, ends = starts[long], ends[long]
+    free = ~_covered(starts, ends, spans)
+    starts, ends = starts[free], ends[free]
+    if len(starts):
+        cell, run = _triples(raw, starts, ends)
+        ratio = np.bincount(run, weights=models.ratio[cell], minlength=len(starts)) / (ends - starts)
+        new = ratio > threshold
+        pairs = zip(starts[new].tolist(), ends[new].tolist(), strict=True)
+        spans = sorted(spans + [(a, 3, b) for a, b in pairs if len(set(raw[a:b].tolist())) >= MIN_DISTINCT])
+    return spans
+
+
+def _joined(spans: list[tuple[int, int, int]], points: np.ndarray, origin: int) -> str:
+    return ",".join(f"{KINDS[k]}:{points[a] - origin}:{points[b] - origin}" for a, k, b in spans)
+
+
+def find(docs: DataFrame, models: Models, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """Counts and spans of the secrets of every whole text; spans are in code points, end exclusive.
+
+    A null or empty text has no secrets and an empty list; repeated rows give repeated rows; other
+    columns are not read.
+    """
+
+    def scan(batch: pa.RecordBatch) -> pa.RecordBatch:
+        counts, digests, lists = [], [], []
+        for _, _, raw, at in chunks(batch.column(1)):
+            spans, points = text_spans(raw, at, models, threshold), code_points(raw)
+            cut = np.searchsorted([s[0] for s in spans], at)
+            for k in range(len(at) - 1):
+                own = spans[cut[k] : cut[k + 1]]
+                base = [s for s in own if s[1] < 3]
+                counts.append([sum(s[1] == kind for s in own) for kind in range(4)])
+                digests.append(hashlib.sha256(_joined(base, points, points[at[k]]).encode()).hexdigest())
+                lists.append(_joined(own, points, points[at[k]]))
+        columns = [pa.array(c, pa.int64()) for c in zip(*counts, strict=True)]
+        names = ["doc_id", "n_assign", "n_access", "n_hex", "n_random", "base_sha256", "spans"]
+        return pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array(digests), pa.array(lists)], names)
+
+    named = pick(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("bigint"))
+    schema = "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, n_random bigint, base_sha256 string, spans string"
+    return map_batches(named, scan, schema)
+
+
+def redact(docs: DataFrame, models: Models, text: str = "text", mark: str = "[SECRET]", threshold: float = THRESHOLD) -> DataFrame:
+    """The documents with each stretch covered by secrets replaced by ``mark``; null texts stay null."""
+    place = docs.columns.index(text)
+    put = mark.encode()
+
+    def scan(batches):
+        for batch in batches:
+            out: list[str | None] = []
+            column = batch.column(place)
+            for first, end, raw, at in chunks(column):
+                data, spans = raw.tobytes(), text_spans(raw, at, models, threshold)
+                cut = np.searchsorted([s[0] for s in spans], at)
+                for k in range(end - first):
+                    if not column[first + k].is_valid:
+                        out.append(None)
+                        continue
+                    pieces, done = [], int(at[k])
+                    for a, _, b in spans[cut[k] : cut[k + 1]]:
+                        if a >= done:
+                            pieces += [data[done:a], put]
+                        done = max(done, b)
+                    out.append(b"".join([*pieces, data[done : at[k + 1]]]).decode())
+            yield batch.set_column(place, text, pa.array(out, pa.string()))
+
+    return docs.mapInArrow(scan, docs.schema)
