@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import decontam, quality, rules, secrets, token_count
+from tapeloom.llm import bpe, decontam, quality, rules, secrets, token_count
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -83,5 +83,12 @@ def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in [op1_quality_classifier, op2_secret_scans, op7_benchmark_decontamination, op8_token_counts, op9_quality_rules]}
+def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = bpe.read_ranks(vocabulary_path("byte_bpe_multi_50k.tiktoken"))
+    return bpe.encode_digests(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN)
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in [op1_quality_classifier, op2_secret_scans, op7_benchmark_decontamination, op8_token_counts, op9_quality_rules, op10_byte_bpe]}
 SQL: dict[str, str] = {"op7_benchmark_decontamination": OP7_SQL}
