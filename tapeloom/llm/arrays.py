@@ -135,10 +135,7 @@ def window_hashes(words: np.ndarray, owner: np.ndarray, size: int) -> tuple[np.n
 
 def sequence_hash(words: np.ndarray) -> np.uint64:
     """Hash of a whole short sequence, equal to ``window_hashes`` of a window of its length."""
-    h = np.zeros(1, np.uint64)
-    for k, w in enumerate(words):
-        h += w * _STEPS[1 + k]
-    return mix(h)[0]
+    return mix((words * _STEPS[1 : 1 + len(words)]).sum(keepdims=True))[0]
 
 
 def code_points(raw: np.ndarray) -> np.ndarray:
