@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import bpe, decontam, neardup, quality, rules, secrets, token_count
+from tapeloom.llm import bpe, decontam, neardup, quality, rules, secrets, token_count, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +33,62 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.judge(table(spark, folder, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+OP3_SQL = r"""
+with cut as (
+    select page_id, url, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest
+    from pages),
+parts as (
+    select page_id, url,
+        translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+        regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path,
+        '^^' || regexp_replace(translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789',
+            'abcdefghijklmnopqrstuvwxyz000000000'), '[^a-z0/.:?=&#_%-]', '~', 'g') || '$' as signs
+    from cut),
+rules(action, site, start) as (values
+    ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
+    ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+ruled as (
+    select row_number() over () as id, p.*, r.rule, r.action
+    from parts p left join lateral (
+        select site || start as rule, action from rules
+        where (p.host = site or ends_with(p.host, '.' || site)) and starts_with(p.path, start)
+        order by length(site || start) desc limit 1) r on true),
+grams as (
+    select id, action, substr(signs, i, 3) as gram
+    from (select id, action, signs, unnest(range(1, length(signs) - 1)) as i from ruled)),
+counts as (
+    select gram, cast(count(*) filter (action = 'allow') as double) as a, cast(count(*) filter (action = 'block') as double) as b
+    from grams group by gram),
+sums as (
+    select gram, a, b,
+        (sum(a) over (partition by substr(gram, 3, 1)) + 1) / (sum(a) over () + 40) as a0,
+        (sum(b) over (partition by substr(gram, 3, 1)) + 1) / (sum(b) over () + 40) as b0,
+        sum(a) over (partition by substr(gram, 2, 2)) as a2, sum(a) over (partition by substr(gram, 2, 1)) as a1,
+        sum(b) over (partition by substr(gram, 2, 2)) as b2, sum(b) over (partition by substr(gram, 2, 1)) as b1,
+        sum(a) over (partition by substr(gram, 1, 2)) as actx, sum(b) over (partition by substr(gram, 1, 2)) as bctx
+    from counts),
+ratios as (
+    select gram, ln((a + 5 * (a2 + 5 * a0) / (a1 + 5)) / (actx + 5)) - ln((b + 5 * (b2 + 5 * b0) / (b1 + 5)) / (bctx + 5)) as ratio
+    from sums),
+scored as (select id, avg(ratio) as score from grams join ratios using (gram) group by id),
+bins as (
+    select least(greatest(cast(floor(score * 50) as bigint), -500), 500) as bin,
+        count(*) filter (action = 'allow') as a, count(*) filter (action = 'block') as b
+    from scored join ruled using (id) where action is not null group by 1),
+errors as (
+    select bin, coalesce(sum(a) over w / greatest(sum(a) over (), 1), 0) - coalesce(sum(b) over w / greatest(sum(b) over (), 1), 0) as error
+    from bins window w as (order by bin rows between unbounded preceding and 1 preceding)),
+best as (select bin from errors order by round(error, 9), bin limit 1)
+select page_id, host, path, rule,
+    coalesce(action, case when score >= coalesce((select bin from best), 0) / 50e0 then 'allow' else 'block' end) as verdict
+from ruled join scored using (id)
+"""
+
+
 def op4_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, folder, "documents"), shingle=3, percent=85)
 
@@ -94,5 +150,5 @@ def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_digests(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in [op1_quality_classifier, op2_secret_scans, op4_minhash_near_dedup, op7_benchmark_decontamination, op8_token_counts, op9_quality_rules, op10_byte_bpe]}
-SQL: dict[str, str] = {"op7_benchmark_decontamination": OP7_SQL}
+QUERIES: dict[str, Query] = {f.__name__: f for f in [op1_quality_classifier, op2_secret_scans, op3_url_filters, op4_minhash_near_dedup, op7_benchmark_decontamination, op8_token_counts, op9_quality_rules, op10_byte_bpe]}
+SQL: dict[str, str] = {"op3_url_filters": OP3_SQL, "op7_benchmark_decontamination": OP7_SQL}
