@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import bpe, decontam, neardup, quality, rules, secrets, token_count, urls
+from tapeloom.llm import bpe, decontam, neardup, quality, rules, secrets, substrings, token_count, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -93,6 +93,10 @@ def op4_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, folder, "documents"), shingle=3, percent=85)
 
 
+def op5_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, folder, "documents"))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = decontam.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return found.select(
@@ -150,5 +154,5 @@ def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_digests(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in [op1_quality_classifier, op2_secret_scans, op3_url_filters, op4_minhash_near_dedup, op7_benchmark_decontamination, op8_token_counts, op9_quality_rules, op10_byte_bpe]}
+QUERIES: dict[str, Query] = {f.__name__: f for f in [op1_quality_classifier, op2_secret_scans, op3_url_filters, op4_minhash_near_dedup, op5_suffix_array_dedup, op7_benchmark_decontamination, op8_token_counts, op9_quality_rules, op10_byte_bpe]}
 SQL: dict[str, str] = {"op3_url_filters": OP3_SQL, "op7_benchmark_decontamination": OP7_SQL}
