@@ -11,13 +11,13 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,8 +69,8 @@ def _unvarint(data: bytes) -> np.ndarray:
 class _Block:
     """The documents and distinct pre-tokens of one block."""
 
-    def __init__(self) -> None:
-        self.key = uuid.uuid4().hex
+    def __init__(self, number: int) -> None:
+        self.key = f"{TaskContext.get().partitionId()}-{number}"
         self.words: dict[str, int] = {}
         self.tokens = 0
         self.rows: list[tuple] = []
@@ -120,13 +120,14 @@ def cut(docs: DataFrame, pattern: str, buckets: int) -> DataFrame:
     """Rows of documents (bucket -1, their positions) and of word lists (bucket of the word)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, block = regex.compile(pattern), _Block()
+        pieces, block, number = regex.compile(pattern), _Block(0), 0
         for batch in batches:
             for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
                 block.add(doc_id.as_py(), pieces.findall(text.as_py() or ""))
                 if len(block.words) >= BLOCK_WORDS or block.tokens >= BLOCK_TOKENS:
                     yield from block.batches(buckets)
-                    block = _Block()
+                    number += 1
+                    block = _Block(number)
         if block.rows:
             yield from block.batches(buckets)
 
@@ -209,7 +210,7 @@ def _assembled(docs, ranks, pattern, doc_id, text, maker, schema: str) -> DataFr
     names = [f.split()[0] for f in schema.split(", ")]
 
     named = pick(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    pieces = stage(cut(named, pattern, buckets))  # written once: a second run would name its blocks anew
+    pieces = stage(cut(named, pattern, buckets))  # read twice
     lists = pieces.where("bucket >= 0").repartition("bucket").sortWithinPartitions("bucket")
     encoded = encode_words(lists, ranks, pattern)
 

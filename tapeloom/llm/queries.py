@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import bpe, decontam, neardup, quality, rules, secrets, substrings, token_count, urls
+from tapeloom.llm import bpe, decontam, neardup, quality, rules, secret_scan, shards, substrings, token_count, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,7 +23,7 @@ def op1_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
 
 def op2_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
-    found = secrets.find(docs, secrets.train(docs))
+    found = secret_scan.find(docs, secret_scan.train(docs))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_random")
 
 
@@ -97,6 +97,15 @@ def op5_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, folder, "documents"))
 
 
+def op6_training_order_shards(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = bpe.read_ranks(vocabulary_path("byte_bpe_multi_50k.tiktoken"))
+    docs = table(spark, folder, "documents")
+    ordered = shards.in_training_order(docs, ranks, public_tokenizers.PATTERN, key=20240229, end_id=50256)
+    return shards.shards(ordered)
+
+
 def op7_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = decontam.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return found.select(
@@ -154,5 +163,9 @@ def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_digests(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in [op1_quality_classifier, op2_secret_scans, op3_url_filters, op4_minhash_near_dedup, op5_suffix_array_dedup, op7_benchmark_decontamination, op8_token_counts, op9_quality_rules, op10_byte_bpe]}
+_ALL = [
+    op1_quality_classifier, op2_secret_scans, op3_url_filters, op4_minhash_near_dedup, op5_suffix_array_dedup,
+    op6_training_order_shards, op7_benchmark_decontamination, op8_token_counts, op9_quality_rules, op10_byte_bpe,
+]
+QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}
 SQL: dict[str, str] = {"op3_url_filters": OP3_SQL, "op7_benchmark_decontamination": OP7_SQL}
