@@ -113,10 +113,13 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
                 if end - head > 1 or len(raw) <= PIECE:
                     found = [anchors(raw, at, tables)]
                 else:
-                    found = []
+                    found, done = [], -1
                     for a, b, low, high in _pieces(len(raw)):
-                        place, *rest = anchors(raw[a:b], np.array([0, b - a]), tables, (low, high))
+                        own = anchors(raw[a:b], np.array([0, b - a]), tables, (low, high))
+                        new = own[0] + a > done  # the first windows of a piece may share the anchor of the last ones
+                        place, *rest = (x[new] for x in own)
                         found.append((place + a, *rest))
+                        done = max([done, *(place[-1:] + a).tolist()])
                 for place, owner, gram, context in found:
                     if len(place):
                         yield pa.RecordBatch.from_arrays(
