@@ -61,7 +61,7 @@ def test_models_find_random_strings_and_leave_words(spark, small):
     models = secret_scan.train(small)
     r = random.Random(4)
     key = "".join(r.choice(string.ascii_letters + string.digits) for _ in range(40))
-    plain = ["thatbleheringtionhandthereandwith", "=" * 60, "a" * 50, "aber-nicht-der-andere-und-mit-von"]
+    plain = ["thatbleheringtionhandthereandwith", "=" * 60, "z" * 50, "aber-nicht-der-andere-und-mit-von"]
     docs = spark.createDataFrame([(0, f"é {key} end"), *[(i + 1, t) for i, t in enumerate(plain)]], "doc_id bigint, text string")
     got = {x.doc_id: x.spans for x in secret_scan.find(docs, models).collect()}
     assert got == {0: "random:2:42", **{i + 1: "" for i in range(len(plain))}}
