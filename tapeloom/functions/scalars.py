@@ -72,6 +72,12 @@ def round_even(value: ColumnLike, digits: int) -> Column:
     return F.rint(col(value) * scale) / scale
 
 
+def padded(text: ColumnLike, size: int = 6) -> Column:
+    """Zeros in front up to ``size`` characters; longer texts stay whole."""
+    c = col(text).cast("string")
+    return F.lpad(c, F.greatest(F.lit(size), F.length(c)), F.lit("0"))
+
+
 def share(cond: Column) -> Column:
     """Aggregate: share of rows where the condition holds."""
     return F.avg(flag(cond))
@@ -89,7 +95,7 @@ def strict(agg: Column, counted: ColumnLike, window, n: int) -> Column:
     return F.when(F.count(col(counted)).over(window) == n, agg.over(window))
 
 
-def reasons(pairs: list[tuple[Column, str]], fallback: str, keep: int = 4) -> Column:
+def reasons(pairs: list[tuple[Column, str]], fallback: str) -> Column:
     """Texts whose condition holds, in order, or the fallback text."""
     texts = F.array_compact(F.array(*[F.when(cond, F.lit(text)) for cond, text in pairs]))
-    return F.when(F.size(texts) > 0, F.slice(texts, 1, keep)).otherwise(F.array(F.lit(fallback)))
+    return F.when(F.size(texts) > 0, texts).otherwise(F.array(F.lit(fallback)))

@@ -94,6 +94,15 @@ def adjust_prices(bars: DataFrame, mode: str, columns: tuple[str, ...] = PRICES)
     return df.drop("_f", "_m", "adj_factor")
 
 
+def adjust_as_of(bars: DataFrame, day: Column, mode: str = "batch_qfq") -> DataFrame:
+    """``adjust_prices`` on the bars up to ``day``; no later factor fills a gap or moves the anchor.
+
+    Bars whose factor is not known by then are left out, so a security that lacks its newest one
+    has no result as of that day.
+    """
+    return adjust_prices(bars.where(F.col("bar_date") <= day), mode).where(F.col("close").isNotNull())
+
+
 def with_previous_close(bars: DataFrame) -> DataFrame:
     return bars.withColumn("pre_close", F.lag("close").over(by_entity()))
 

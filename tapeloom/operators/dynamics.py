@@ -17,7 +17,6 @@ from tapeloom.operators.health import rank_share
 from tapeloom.operators.runs import dwell_runs
 
 SNAP = ["frequency", "seq"]
-STATES = ("none", "mixed", "t1", "t2", "t3", "t4")
 
 
 def number_snapshots(ends: DataFrame) -> DataFrame:
@@ -123,15 +122,20 @@ def states(snapped: DataFrame) -> DataFrame:
     return per.select(*SNAP, "bar_date", "entity", state.alias("state"), F.when(F.size("l") == 0, "none").otherwise(F.array_join("l", "+")).alias("labels"))
 
 
-def state_counts(st: DataFrame) -> DataFrame:
+def state_names(template_ids: list[int]) -> tuple[str, ...]:
+    """All states that the registered templates allow."""
+    return ("none", "mixed", *[f"t{t}" for t in template_ids])
+
+
+def state_counts(st: DataFrame, names: tuple[str, ...]) -> DataFrame:
     """Count and share of every state per snapshot, zeros included."""
-    wide = st.groupBy(*SNAP).agg(F.count(F.lit(1)).alias("total"), *[F.count_if(F.col("state") == s).alias(s) for s in STATES])
-    rows = F.array(*[F.struct(F.lit(s).alias("state"), F.col(s).alias("count")) for s in STATES])
+    wide = st.groupBy(*SNAP).agg(F.count(F.lit(1)).alias("total"), *[F.count_if(F.col("state") == s).alias(s) for s in names])
+    rows = F.array(*[F.struct(F.lit(s).alias("state"), F.col(s).alias("count")) for s in names])
     long = wide.select(*SNAP, "total", F.explode(rows).alias("r")).select(*SNAP, "total", "r.*")
     return long.withColumn("share", F.col("count") / F.col("total"))
 
 
-def transitions(st: DataFrame) -> DataFrame:
+def transitions(st: DataFrame, names: tuple[str, ...]) -> DataFrame:
     """Full state x state table per frequency: counts, rates, expectation, lift, asymmetry."""
     moved = previous(st, ["frequency", "entity"], ["state"]).groupBy("frequency", F.col("prev_state").alias("f"), F.col("state").alias("t")).agg(
         F.count(F.lit(1)).alias("n")
@@ -142,20 +146,20 @@ def transitions(st: DataFrame) -> DataFrame:
         return F.coalesce(F.try_element_at("m", F.lit(f"{a}>{b}")), F.lit(0))
 
     def row_sum(a: str) -> Column:
-        return sum((n(a, b) for b in STATES[1:]), n(a, STATES[0]))
+        return sum((n(a, b) for b in names[1:]), n(a, names[0]))
 
     def col_sum(b: str) -> Column:
-        return sum((n(a, b) for a in STATES[1:]), n(STATES[0], b))
+        return sum((n(a, b) for a in names[1:]), n(names[0], b))
 
     book = book.withColumns({
-        **{f"r_{s}": row_sum(s) for s in STATES}, **{f"c_{s}": col_sum(s) for s in STATES},
+        **{f"r_{s}": row_sum(s) for s in names}, **{f"c_{s}": col_sum(s) for s in names},
     })
-    book = book.withColumn("grand", sum((F.col(f"r_{s}") for s in STATES[1:]), F.col(f"r_{STATES[0]}")))
+    book = book.withColumn("grand", sum((F.col(f"r_{s}") for s in names[1:]), F.col(f"r_{names[0]}")))
     cells = F.array(*[
         F.struct(
             F.lit(a).alias("from_state"), F.lit(b).alias("to_state"), n(a, b).alias("count"), n(b, a).alias("back"),
             F.col(f"r_{a}").alias("row_total"), F.col(f"r_{b}").alias("back_total"), F.col(f"c_{b}").alias("col_total"),
-        ) for a in STATES for b in STATES
+        ) for a in names for b in names
     ])
     long = book.select("frequency", "grand", F.explode(cells).alias("x")).select("frequency", "grand", "x.*")
     rate = F.coalesce(F.try_divide("count", "row_total"), F.lit(0.0))

@@ -61,8 +61,10 @@ def matrix(top: DataFrame, membership: DataFrame, samples: DataFrame) -> DataFra
 
 def features(cells: DataFrame) -> DataFrame:
     """Slope and persistence of the last four samples, recent change, effective and cumulative count."""
-    recent = F.col("sample") >= SAMPLES - RECENT
-    per = cells.groupBy("industry_code", "industry").agg(
+    # every industry has a row for every sample
+    newest = F.max("sample").over(Window.partitionBy("industry_code"))
+    recent = F.col("_recent")
+    per = cells.withColumn("_recent", F.col("sample") > newest - RECENT).groupBy("industry_code", "industry").agg(
         F.sum("n").alias("cumulative"),
         F.array_sort(F.collect_list(F.when(recent, F.struct("sample", "n")))).alias("last"),
         F.regr_slope(F.when(recent, F.col("n")), F.when(recent, F.col("sample"))).alias("slope"),
@@ -86,7 +88,7 @@ def ranks(feats: DataFrame) -> DataFrame:
     level = Window.orderBy(F.col("current_count").desc(), F.col("cumulative").desc(), "industry_code")
     speed = Window.orderBy(F.abs("slope").desc(), F.col("persistence").desc(), F.col("effective").desc(), "industry_code")
     df = feats.withColumn("current_rank", F.row_number().over(level)).withColumn("rotation_rank", F.row_number().over(speed))
-    now, before = F.element_at("counts", -1), F.element_at("counts", -2)
+    now, before = F.element_at("counts", -1), F.try_element_at("counts", F.lit(-2))
     up, down = F.col("slope") >= SLOPE_EPSILON, F.col("slope") <= -SLOPE_EPSILON
     status = (
         F.when(up & (before <= 1) & (now - before >= RAPID_DELTA), "rapid_start")
@@ -116,7 +118,7 @@ def select_active(ranked: DataFrame, limit: int = VISIBLE) -> DataFrame:
 
 def summary(ranked: DataFrame, cells: DataFrame) -> DataFrame:
     """One row: coverage, strongest, fastest, concentration and new Top-10 industries."""
-    last = SAMPLES - 1
+    last = cells.agg(F.max("sample")).scalar()
     order = Window.orderBy(F.col("prev").desc(), "industry_code")
     start = Window.orderBy(F.col("start").desc())
     wide = cells.groupBy("industry_code").agg(

@@ -14,7 +14,6 @@ from pyspark.sql import types as T
 from tapeloom.operators.bars import by_entity
 
 FLAT = 1e-12
-MAX_TEMPLATES = 64
 MAX_WINDOW = 240
 MIN_WINDOW = 2
 
@@ -44,20 +43,17 @@ def template_points(bars: DataFrame, windows: dict[int, int], start: int) -> Dat
 
 @dataclass(frozen=True)
 class TemplateBook:
-    """The template registry: a bounded set of parameter vectors."""
+    """The template registry: parameter vectors of at most ``MAX_WINDOW`` values, named one by one."""
 
     templates: tuple[tuple[int, tuple[float, ...]], ...]
 
     @classmethod
     def load(cls, points: DataFrame) -> "TemplateBook":
-        """Read template vectors to the driver after checking the registry bounds."""
-        bound = MAX_TEMPLATES * MAX_WINDOW
-        rows = points.select("template_id", "t", "z").limit(bound + 1).collect()
+        """Read the registered vectors to the driver and check their lengths."""
+        rows = points.select("template_id", "t", "z").collect()
         vectors: dict[int, list[tuple[int, float]]] = {}
         for r in rows:
             vectors.setdefault(r.template_id, []).append((r.t, r.z))
-        if len(rows) > bound or len(vectors) > MAX_TEMPLATES:
-            raise ValueError(f"template registry exceeds {MAX_TEMPLATES} templates of {MAX_WINDOW} bars")
         for key, pts in vectors.items():
             if not MIN_WINDOW <= len(pts) <= MAX_WINDOW or any(z is None for _, z in pts):
                 raise ValueError(f"template {key} has no usable window")

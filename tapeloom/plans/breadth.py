@@ -55,7 +55,7 @@ def industry_daily(m: Market) -> DataFrame:
 
 
 @query("brd_industry_daily", _ICOLS + " lag:i eligible:i top_count:i selection_rate:f top_share:f new_count:i retained_count:i exit_count:i",
-       """select *, case when eligible > 0 then top_count * 1.0e0 / eligible else 0 end as selection_rate, top_count / 20.0e0 as top_share from brdind""")
+       """select *, case when eligible > 0 then top_count * 1.0e0 / eligible else 0 end as selection_rate, top_count / 100.0e0 as top_share from brdind""")
 def _(m: Market) -> DataFrame:
     return industry_daily(m)
 
@@ -161,7 +161,7 @@ def _(m: Market) -> DataFrame:
 
 
 @query("hlth_latest_panel", "industry_code:i eligible_count:i b_count:i b_breadth:f",
-       sim.BLEND_SQL + "select industry_code, count(*) as eligible_count, count(case when b_rank <= 20 then 1 end) as b_count, count(case when b_rank <= 20 then 1 end) * 1.0e0 / count(*) as b_breadth from bi group by 1")
+       sim.BLEND_SQL + "select industry_code, count(*) as eligible_count, count(case when b_rank <= 100 then 1 end) as b_count, count(case when b_rank <= 100 then 1 end) * 1.0e0 / count(*) as b_breadth from bi group by 1")
 def _(m: Market) -> DataFrame:
     scored = stage(sim.blended(m))
     key = F.floor(F.col("bscore") * F.lit(1e9) + 0.5)
@@ -272,11 +272,11 @@ def industry_threshold_daily(m: Market) -> DataFrame:
 IND_SQL = """
 lines as (select unnest([0.7e0, 0.75e0, 0.8e0]) as threshold),
 pr as (select p.*, row_number() over (partition by template_id, ord, industry_code order by score desc, entity) as rn from panel p),
-thi as (select l.threshold, template_id, ord, industry_code, count(*) as eligible, count(case when rank <= 20 then 1 end) as top_count, count(case when score >= threshold then 1 end) as above,
+thi as (select l.threshold, template_id, ord, industry_code, count(*) as eligible, count(case when rank <= 100 then 1 end) as top_count, count(case when score >= threshold then 1 end) as above,
   count(case when rn > 1 then 1 end) as eligible_without_top1, count(case when rn > 3 then 1 end) as eligible_without_top3,
   count(case when score >= threshold and rn > 1 then 1 end) as above_without_top1, count(case when score >= threshold and rn > 3 then 1 end) as above_without_top3,
-  count(case when rank <= 20 and rn > 1 then 1 end) as top_without_top1, count(case when rank <= 20 and rn > 3 then 1 end) as top_without_top3,
-  count(case when score >= threshold then 1 end) * 1.0e0 / count(*) as above_rate, count(case when rank <= 20 then 1 end) / 20.0e0 as top_share
+  count(case when rank <= 100 and rn > 1 then 1 end) as top_without_top1, count(case when rank <= 100 and rn > 3 then 1 end) as top_without_top3,
+  count(case when score >= threshold then 1 end) * 1.0e0 / count(*) as above_rate, count(case when rank <= 100 then 1 end) / 100.0e0 as top_share
   from pr, lines l group by 1, 2, 3, 4)"""
 _FLOW_SQL = """
 nx as (select template_id, industry_code, ord, lead(ord) over (partition by template_id, industry_code order by ord) as nxt from (select distinct template_id, industry_code, ord from panel)),

@@ -11,7 +11,7 @@ from tapeloom.operators.membership import industry_on
 from tapeloom.plans import similarity as sim
 from tapeloom.sources.tables import Market
 
-K = 20
+K = 100  # members of a daily list
 
 
 def best_first() -> list:

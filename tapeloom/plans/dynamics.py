@@ -21,6 +21,9 @@ from tapeloom.sources.staging import stage
 from tapeloom.sources.tables import Market
 
 FOCUS = "NATION_9"
+KS = (5, 10, 30, 100)  # list sizes of the stability study
+OVERLAP_K = 30
+LARGE = 30  # members from which an industry is ranked
 # Supplied extremes of the two control populations per template.
 CONTROLS = [(1, 0.86, 0.90), (2, 0.84, 0.91), (3, 0.88, 0.85), (4, 0.95, 0.97)]
 
@@ -29,6 +32,10 @@ def snapshots(m: Market) -> DataFrame:
     return D.number_snapshots(C.period_ends(m.cal.where(F.col("bar_date") <= m.as_of)))
 
 
+def state_names(m: Market) -> tuple[str, ...]:
+    return D.state_names([k for k, _ in sim.book(m).templates])
+
+
 def snapped(m: Market, frequency: str | None = None) -> DataFrame:
     """Panel rows on snapshot dates with the frozen threshold and the qualified flag.
 
@@ -106,13 +113,13 @@ def _(m: Market) -> DataFrame:
 
 
 @query("dyn_memberships", "template_id:i seq:i top_k:i entity:i rank:i streak:i",
-       """with t as (select d.template_id, d.seq, k.top_k, d.entity, d.rank from dsc d, (select unnest([5, 10, 20]) as top_k) k where frequency = 'monthly' and d.rank <= k.top_k)
+       """with t as (select d.template_id, d.seq, k.top_k, d.entity, d.rank from dsc d, (select unnest([5, 10, 30, 100]) as top_k) k where frequency = 'monthly' and d.rank <= k.top_k)
           select template_id, seq, top_k, entity, rank, row_number() over (partition by template_id, top_k, entity, g order by seq) as streak
           from (select *, seq - row_number() over (partition by template_id, top_k, entity order by seq) as g from t)""")
 def _(m: Market) -> DataFrame:
     snaps = snapshots(m).where(F.col("frequency") == "monthly")
-    best = top_k(scored(m).join(F.broadcast(snaps), "bar_date"), ["template_id", "seq"], best_first(), 20)
-    sizes = F.filter(F.array(F.lit(5), F.lit(10), F.lit(20)), lambda k: F.col("rank") <= k)
+    best = top_k(scored(m).join(F.broadcast(snaps), "bar_date"), ["template_id", "seq"], best_first(), KS[-1])
+    sizes = F.filter(F.array(*[F.lit(k) for k in KS]), lambda k: F.col("rank") <= k)
     return streaks(best.withColumn("top_k", F.explode(sizes)), ["template_id", "top_k", "entity"], "seq")
 
 
@@ -128,16 +135,16 @@ def _(m: Market) -> DataFrame:
             union all select template_id, seq + 1, entity, null, rank, null, n_group, null, percentile from a),
           b as (select template_id, s as seq, entity, max(rc) as rc, max(rp) as rp, max(nc) as nc, max(np) as np, max(pc) as pc, max(pp) as pp from u group by 1, 2, 3),
           w as (select template_id, seq, count(case when rc is not null and rp is not null then 1 end) as common, corr(pp, pc) as percentile_corr, avg(abs(pp - pc)) as percentile_mae,
-            corr(least(coalesce(rp, 21), 21), least(coalesce(rc, 21), 21)) filter (where coalesce(rc, 21) <= 20 or coalesce(rp, 21) <= 20) as top_rank_corr, greatest(max(nc), max(np)) as largest
+            corr(least(coalesce(rp, 101), 101), least(coalesce(rc, 101), 101)) filter (where coalesce(rc, 101) <= 100 or coalesce(rp, 101) <= 100) as top_rank_corr, greatest(max(nc), max(np)) as largest
             from b group by 1, 2 having count(rc) > 0 and count(rp) > 0),
           k as (select template_id, seq, k.top_k, count(case when rc <= k.top_k and rp <= k.top_k then 1 end) as kept,
             count(case when coalesce(rc <= k.top_k, false) <> coalesce(rp <= k.top_k, false) then 1 end) as changed,
             count(case when coalesce(rc <= k.top_k, false) <> coalesce(rp <= k.top_k, false) and (rc between k.top_k - 5 and k.top_k + 5 or rp between k.top_k - 5 and k.top_k + 5) then 1 end) as edge
-            from b, (select unnest([10, 20]) as top_k) k group by 1, 2, 3)
+            from b, (select unnest([5, 10, 30, 100]) as top_k) k group by 1, 2, 3)
           select w.*, k.top_k, kept * 1.0e0 / k.top_k as retention, 1 - kept * 1.0e0 / k.top_k as turnover, k.top_k * 1.0e0 / largest as baseline, coalesce(edge * 1.0e0 / nullif(changed, 0), 0) as boundary_share
           from w join k using (template_id, seq)""")
 def _(m: Market) -> DataFrame:
-    return D.stability(ranked_snapshots(m), (10, 20), 20)
+    return D.stability(ranked_snapshots(m), KS, KS[-1])
 
 
 def ranked_snapshots(m: Market) -> DataFrame:
@@ -149,8 +156,8 @@ def ranked_snapshots(m: Market) -> DataFrame:
 
 
 @query("dyn_jaccard", "frequency:s seq:i a:i b:i jaccard_top:f jaccard_q:f common_q:i",
-       """with t as (select frequency, seq, template_id, count(case when rank <= 20 then 1 end) as nt, count(case when q then 1 end) as nq from dsc group by 1, 2, 3),
-          c as (select x.frequency, x.seq, x.template_id as a, y.template_id as b, count(case when x.rank <= 20 and y.rank <= 20 then 1 end) as ct, count(case when x.q and y.q then 1 end) as cq
+       """with t as (select frequency, seq, template_id, count(case when rank <= 30 then 1 end) as nt, count(case when q then 1 end) as nq from dsc group by 1, 2, 3),
+          c as (select x.frequency, x.seq, x.template_id as a, y.template_id as b, count(case when x.rank <= 30 and y.rank <= 30 then 1 end) as ct, count(case when x.q and y.q then 1 end) as cq
             from dsc x join dsc y on x.frequency = y.frequency and x.seq = y.seq and x.entity = y.entity and x.template_id < y.template_id group by all)
           select l.frequency, l.seq, l.template_id as a, r.template_id as b, coalesce(coalesce(ct, 0) * 1.0e0 / nullif(l.nt + r.nt - coalesce(ct, 0), 0), 0) as jaccard_top,
             coalesce(coalesce(cq, 0) * 1.0e0 / nullif(l.nq + r.nq - coalesce(cq, 0), 0), 0) as jaccard_q, coalesce(cq, 0) as common_q
@@ -158,7 +165,7 @@ def ranked_snapshots(m: Market) -> DataFrame:
           left join c on c.frequency = l.frequency and c.seq = l.seq and c.a = l.template_id and c.b = r.template_id""")
 def _(m: Market) -> DataFrame:
     rows = snapped(m)
-    best = top_k(rows, ["frequency", "seq", "template_id"], best_first(), K).select("frequency", "seq", "template_id", "entity", F.lit(True).alias("top"))
+    best = top_k(rows, ["frequency", "seq", "template_id"], best_first(), OVERLAP_K).select("frequency", "seq", "template_id", "entity", F.lit(True).alias("top"))
     members = rows.join(best, ["frequency", "seq", "template_id", "entity"], "left").withColumn("top", F.coalesce("top", F.lit(False)))
     return D.pair_overlap(stage(members.select("frequency", "seq", "template_id", "entity", "top", "q")), {"top": "top", "q": "q"})
 
@@ -167,7 +174,7 @@ def _(m: Market) -> DataFrame:
        """select s.frequency, s.seq, x.state, count(case when d.state = x.state then 1 end) as count, count(case when d.state = x.state then 1 end) * 1.0e0 / count(*) as share
           from (select distinct frequency, seq from dstate) s cross join states x join dstate d on d.frequency = s.frequency and d.seq = s.seq group by 1, 2, 3""")
 def _(m: Market) -> DataFrame:
-    return D.state_counts(D.states(snapped(m)))
+    return D.state_counts(D.states(snapped(m)), state_names(m))
 
 
 @query("dyn_label_counts", "frequency:s seq:i labels:s n:i", "select frequency, seq, labels, count(*) as n from dstate group by 1, 2, 3")
@@ -187,7 +194,7 @@ tr as (select frequency, from_state, to_state, count, coalesce(count * 1.0e0 / n
 @query("dyn_transition", "frequency:s from_state:s to_state:s count:i row_rate:f expected:f lift:f reverse_rate:f asymmetry_pp:f",
        f"with {_TRANS} select *, case when expected > 0 then count / expected end as lift, (row_rate - reverse_rate) * 100 as asymmetry_pp from tr")
 def _(m: Market) -> DataFrame:
-    return D.transitions(stage(D.states(snapped(m))))
+    return D.transitions(stage(D.states(snapped(m))), state_names(m))
 
 
 @query("dyn_dwell", "frequency:s state:s runs:i mean_duration:f median_duration:f max_duration:i exit_rate:f",
@@ -197,7 +204,7 @@ def _(m: Market) -> DataFrame:
           from r left join tr on tr.frequency = r.frequency and tr.from_state = r.state and tr.to_state = r.state group by 1, 2""")
 def _(m: Market) -> DataFrame:
     st = stage(D.states(snapped(m)))
-    return D.dwell(st, D.transitions(st))
+    return D.dwell(st, D.transitions(st, state_names(m)))
 
 
 _WIL = """greatest(0, ((rate + 3.8416e0 / (2 * eligible)) / (1 + 3.8416e0 / eligible)) - 1.96e0 * sqrt(rate * (1 - rate) / eligible + 3.8416e0 / (4.0e0 * eligible * eligible)) / (1 + 3.8416e0 / eligible)) as wilson_low,
@@ -239,7 +246,7 @@ def current(m: Market) -> DataFrame:
             coalesce(sum(case when rn <= 3 then greatest(score - threshold, 0) end) / nullif(sum(greatest(score - threshold, 0)), 0), 0) as top3_share,
             count(case when q and rn > 1 then 1 end) * 1.0e0 / greatest(count(*) - 1, 1) as rate_without_top1, count(case when q and rn > 3 then 1 end) * 1.0e0 / greatest(count(*) - least(3, count(*)), 1) as rate_without_top3
             from cur group by 1, 2),
-          r as (select *, case when eligible >= 3 then (select count(*) from f g where g.template_id = f.template_id and g.eligible >= 3 and (g.rate > f.rate or (g.rate = f.rate and g.industry < f.industry))) + 1 end as rank_among_large from f)
+          r as (select *, case when eligible >= 30 then (select count(*) from f g where g.template_id = f.template_id and g.eligible >= 30 and (g.rate > f.rate or (g.rate = f.rate and g.industry < f.industry))) + 1 end as rank_among_large from f)
           select * from r where industry = '{FOCUS}'""")
 def _(m: Market) -> DataFrame:
     rows = current(m)
@@ -252,8 +259,8 @@ def _(m: Market) -> DataFrame:
         F.count(F.lit(1)).alias("eligible"), F.count_if(F.col("q")).alias("qualified"), F.sum(over).alias("excess")
     ).withColumn("rate", F.col("qualified") / F.col("eligible"))
     # One row per industry of the catalog reaches this window.
-    order = Window.partitionBy("template_id", F.col("eligible") >= 3).orderBy(F.col("rate").desc(), "industry")
-    ranked_ = rates.withColumn("rank_among_large", F.when(F.col("eligible") >= 3, F.row_number().over(order))).where(F.col("industry") == FOCUS)
+    order = Window.partitionBy("template_id", F.col("eligible") >= LARGE).orderBy(F.col("rate").desc(), "industry")
+    ranked_ = rates.withColumn("rank_among_large", F.when(F.col("eligible") >= LARGE, F.row_number().over(order))).where(F.col("industry") == FOCUS)
     n, q = F.col("eligible"), F.col("qualified")
     return ranked_.join(lead, "template_id").withColumns({
         "top3_share": F.coalesce(F.try_divide("top3", "excess"), F.lit(0.0)),
@@ -340,10 +347,10 @@ def _(m: Market) -> DataFrame:
 @query("dyn_history", "template_id:i seq:i eligible:i max_score:f median_score:f p99:f qualified:i coverage:i hhi:f turnover:f",
        """with b as (select template_id, seq, count(*) as eligible, max(score) as max_score, median(score) as median_score, quantile_cont(score, 0.99) as p99, count(case when q then 1 end) as qualified
             from dsc where frequency = 'monthly' group by 1, 2),
-          g as (select template_id, seq, industry, count(*) as n from dsc where frequency = 'monthly' and rank <= 20 group by 1, 2, 3),
+          g as (select template_id, seq, industry, count(*) as n from dsc where frequency = 'monthly' and rank <= 100 group by 1, 2, 3),
           h as (select template_id, seq, count(*) as coverage, sum(n * n) * 1.0e0 / (sum(n) * sum(n)) as hhi from g group by 1, 2),
-          t as (select a.template_id, b.seq, count(*) as kept from dsc a join dsc b on a.template_id = b.template_id and a.entity = b.entity and b.seq = a.seq + 1 and a.frequency = 'monthly' and b.frequency = 'monthly' and a.rank <= 20 and b.rank <= 20 group by 1, 2)
-          select b.*, h.coverage, h.hhi, case when p.seq is not null then 1 - coalesce(t.kept, 0) / 20.0e0 end as turnover from b join h using (template_id, seq)
+          t as (select a.template_id, b.seq, count(*) as kept from dsc a join dsc b on a.template_id = b.template_id and a.entity = b.entity and b.seq = a.seq + 1 and a.frequency = 'monthly' and b.frequency = 'monthly' and a.rank <= 100 and b.rank <= 100 group by 1, 2)
+          select b.*, h.coverage, h.hhi, case when p.seq is not null then 1 - coalesce(t.kept, 0) / 100.0e0 end as turnover from b join h using (template_id, seq)
           left join t on t.template_id = b.template_id and t.seq = b.seq left join b p on p.template_id = b.template_id and p.seq = b.seq - 1""")
 def _(m: Market) -> DataFrame:
     return history(m, snapped(m, "monthly"))
@@ -417,9 +424,9 @@ VARIANTS = (2, 4)
        """with a as (select * from ranked where template_id = 2), b as (select * from ranked where template_id = 4),
           c as (select a.bar_date, a.entity, row_number() over (partition by a.bar_date order by a.rank) as ra, row_number() over (partition by a.bar_date order by b.rank) as rb, a.rank as ka, b.rank as kb
             from a join b on a.bar_date = b.bar_date and a.entity = b.entity),
-          s as (select bar_date, case when count(*) >= 3 then corr(ra, rb) end as spearman, count(case when ka <= 20 and kb <= 20 then 1 end) as overlap from c group by 1),
-          n as (select bar_date, count(case when template_id = 2 then 1 end) as eligible_a, count(case when template_id = 4 then 1 end) as eligible_b, count(case when template_id = 2 and rank <= 20 then 1 end) as ta,
-            count(case when template_id = 4 and rank <= 20 then 1 end) as tb from ranked where template_id in (2, 4) group by 1)
+          s as (select bar_date, case when count(*) >= 3 then corr(ra, rb) end as spearman, count(case when ka <= 100 and kb <= 100 then 1 end) as overlap from c group by 1),
+          n as (select bar_date, count(case when template_id = 2 then 1 end) as eligible_a, count(case when template_id = 4 then 1 end) as eligible_b, count(case when template_id = 2 and rank <= 100 then 1 end) as ta,
+            count(case when template_id = 4 and rank <= 100 then 1 end) as tb from ranked where template_id in (2, 4) group by 1)
           select n.bar_date, eligible_a, eligible_b, spearman, coalesce(overlap, 0) as overlap, coalesce(coalesce(overlap, 0) * 1.0e0 / nullif(ta + tb - coalesce(overlap, 0), 0), 0) as jaccard from n left join s using (bar_date)""")
 def _(m: Market) -> DataFrame:
     rows = stage(scored(m).where(F.col("template_id").isin(*VARIANTS)).select("template_id", "bar_date", "entity", "score"))
@@ -494,8 +501,8 @@ def _(m: Market) -> DataFrame:
 
 @query("rev_top_review", "template_id:i standard:i gated:i shared:i mean_tail_return:f",
        _TAIL + """, g as (select *, cret * tret >= 0 and cdd >= tdd - 0.05e0 as passed from cand),
-         s as (select * from g qualify row_number() over (partition by template_id order by score desc, entity) <= 20),
-         t as (select * from g where passed qualify row_number() over (partition by template_id order by score desc, entity) <= 20)
+         s as (select * from g qualify row_number() over (partition by template_id order by score desc, entity) <= 100),
+         t as (select * from g where passed qualify row_number() over (partition by template_id order by score desc, entity) <= 100)
          select a.template_id, a.standard, coalesce(b.gated, 0) as gated, coalesce(c.n, 0) as shared, b.mean_tail_return from (select template_id, count(*) as standard from s group by 1) a
          left join (select template_id, count(*) as gated, avg(cret) as mean_tail_return from t group by 1) b using (template_id)
          left join (select s.template_id, count(*) as n from s join t on s.template_id = t.template_id and s.entity = t.entity group by 1) c using (template_id)""")

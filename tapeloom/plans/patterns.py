@@ -91,7 +91,7 @@ def screen(m: Market) -> DataFrame:
         cr as (select p.entity, p.category, row_number() over (partition by p.category order by p.score desc, p.entity) as category_rank
           from patlong p join last_bar l on p.entity = l.entity and p.bar_date = l.bar_date where p.entity in (select entity from pool)),
         rk as (select *, case when status = 'matched' then row_number() over (partition by status order by score desc, entity) end as rank from ev)
-        select rk.entity, rk.status, rk.category, rk.score, case when rk.rank <= 20 then rk.rank end as rank, case when rk.rank <= 20 and cr.category_rank <= 20 then cr.category_rank end as category_rank
+        select rk.entity, rk.status, rk.category, rk.score, case when rk.rank <= 100 then rk.rank end as rank, case when rk.rank <= 100 and cr.category_rank <= 100 then cr.category_rank end as category_rank
         from rk left join cr on rk.entity = cr.entity and rk.category = cr.category""")
 def _(m: Market) -> DataFrame:
     df = stage(screen(m)).withColumn("category", F.col("primary.category")).withColumn("score", F.col("primary.score"))
@@ -104,7 +104,7 @@ def _(m: Market) -> DataFrame:
 
 @query("top_per_category", "category:s category_rank:i entity:i score:f",
        f"""with {_LAST} select category, category_rank, entity, score from (select p.*, row_number() over (partition by p.category order by p.score desc, p.entity) as category_rank
-          from patlong p join last_bar l on p.entity = l.entity and p.bar_date = l.bar_date) where category_rank <= 20""")
+          from patlong p join last_bar l on p.entity = l.entity and p.bar_date = l.bar_date) where category_rank <= 100""")
 def _(m: Market) -> DataFrame:
     matches = P.category_list(P.latest_matches(m.bars0))
     return top_k(matches, ["category"], [F.col("score").desc(), F.col("entity")], K, "category_rank")
@@ -246,7 +246,7 @@ def _(m: Market) -> DataFrame:
 
 
 @query("rot_summary", "covered:i strongest:s fastest_up:s fastest_down:s rising:i falling:i top3:i top3_start:i new_top10:i concentration:s",
-       """with p as (select industry_code, max(case when sample = 22 then n end) as prev, max(case when sample = 20 then n end) as start from rotmat group by 1),
+       """with p as (select industry_code, max(case when sample = (select max(sample) from samples) - 1 then n end) as prev, max(case when sample = (select max(sample) from samples) - 3 then n end) as start from rotmat group by 1),
           q as (select *, row_number() over (order by prev desc, industry_code) as pr, row_number() over (order by start desc) as sr from p),
           s as (select count(case when n3 > 0 then 1 end) as covered, arg_min(industry, current_rank) filter (where n3 > 0) as strongest,
             arg_min(industry, rotation_rank) filter (where slope >= 0.25) as fastest_up, arg_min(industry, rotation_rank) filter (where slope <= -0.25) as fastest_down,
@@ -261,7 +261,7 @@ def _(m: Market) -> DataFrame:
 
 @query("rot_warnings", "incomplete_dates:i missing_industry:i samples:i warnings:s",
        """with d as (select x.sample, count(t.entity) as n, count(case when t.entity is not null and t.industry_code is null then 1 end) as miss from samples x left join rottop t on x.sample = t.sample group by 1),
-          s as (select count(case when n < 20 then 1 end) as incomplete_dates, sum(miss) as missing_industry, count(*) as samples from d)
+          s as (select count(case when n < 100 then 1 end) as incomplete_dates, sum(miss) as missing_industry, count(*) as samples from d)
           select *, concat_ws(';', case when incomplete_dates > 0 then 'incomplete' end, case when missing_industry > 0 then 'missing industry' end, case when samples <> 24 then 'short history' end) as warnings from s""")
 def _(m: Market) -> DataFrame:
     per = rotation_top(m).groupBy("sample").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("industry_code").isNull()).alias("miss"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.functions.ranking import top_k
-from tapeloom.functions.scalars import strict
+from tapeloom.functions.scalars import padded, strict
 from tapeloom.operators import bars as B
 from tapeloom.operators.membership import industry_on
 from tapeloom.plans import similarity as sim
@@ -185,12 +185,12 @@ def _(m: Market) -> DataFrame:
 
 
 @query("prj_resolve_code", "raw:s entity:i",
-       """with basic as (select entity, lpad(cast(entity as varchar), 6, '0') as symbol, lpad(cast(entity as varchar), 6, '0') || '.SH' as code from securities),
+       """with basic as (select entity, lpad(cast(entity as varchar), cast(greatest(6, length(cast(entity as varchar))) as integer), '0') as symbol, lpad(cast(entity as varchar), cast(greatest(6, length(cast(entity as varchar))) as integer), '0') || '.SH' as code from securities),
           asked as (select case when entity % 3 = 0 then lower(code) when entity % 3 = 1 then cast(entity as varchar) || ' ' else ' ' || symbol end as raw from basic)
           select a.raw, coalesce(x.entity, y.entity) as entity from asked a
-          left join basic x on upper(trim(a.raw)) = x.code left join basic y on lpad(upper(trim(a.raw)), 6, '0') = y.symbol""")
+          left join basic x on upper(trim(a.raw)) = x.code left join basic y on lpad(upper(trim(a.raw)), cast(greatest(6, length(trim(a.raw))) as integer), '0') = y.symbol""")
 def _(m: Market) -> DataFrame:
-    symbol = F.lpad(F.col("entity").cast("string"), 6, "0")
+    symbol = padded("entity")
     basic = m.securities.select("entity", symbol.alias("symbol"), F.concat(symbol, F.lit(".SH")).alias("code"))
     raw = (
         F.when(F.col("entity") % 3 == 0, F.lower("code"))
@@ -199,8 +199,8 @@ def _(m: Market) -> DataFrame:
     )
     asked = basic.select(raw.alias("raw")).withColumn("q", F.upper(F.trim("raw")))
     exact = basic.select(F.col("code").alias("q"), F.col("entity").alias("e1"))
-    padded = basic.select(F.col("symbol").alias("q6"), F.col("entity").alias("e2"))
-    found = asked.join(exact, "q", "left").withColumn("q6", F.lpad("q", 6, "0")).join(padded, "q6", "left")
+    by_symbol = basic.select(F.col("symbol").alias("q6"), F.col("entity").alias("e2"))
+    found = asked.join(exact, "q", "left").withColumn("q6", padded("q")).join(by_symbol, "q6", "left")
     return found.select("raw", F.coalesce("e1", "e2").alias("entity"))
 
 
@@ -227,14 +227,14 @@ def _(m: Market) -> DataFrame:
 
 
 @query("prj_candidate_bars", "template_id:i rank:i entity:i n:i first_close:f last_close:f",
-       """select template_id, rank, entity, (select count(*) from qfq q where q.entity = r.entity and q.pos between r.pos - r.n + 1 and r.pos) as n,
-            (select close from qfq q where q.entity = r.entity and q.pos = r.pos - r.n + 1) as first_close,
-            (select close from qfq q where q.entity = r.entity and q.pos = r.pos) as last_close
+       """select template_id, rank, entity, (select count(*) from qfqnow q where q.entity = r.entity and q.pos between r.pos - r.n + 1 and r.pos) as n,
+            (select close from qfqnow q where q.entity = r.entity and q.pos = r.pos - r.n + 1) as first_close,
+            (select close from qfqnow q where q.entity = r.entity and q.pos = r.pos) as last_close
           from (select *, row_number() over (partition by template_id order by score desc, entity) as rank
-                from allscores where bar_date = (select d from dayref)) r where rank <= 20""")
+                from nowscores) r where rank <= 20""")
 def _(m: Market) -> DataFrame:
     best = top_k(sim.latest(m), ["template_id"], [F.col("score").desc(), F.col("entity")], 20)
-    bars = m.qfq.select("entity", "bar_date", *B.PRICES, "volume")
+    bars = m.qfq_now.select("entity", "bar_date", *B.PRICES, "volume")
     joined = best.join(bars, "entity").where(F.col("bar_date").between(F.col("start_date"), F.col("end_date")))
     nested = joined.groupBy("template_id", "rank", "entity").agg(
         F.array_sort(F.collect_list(F.struct("bar_date", *B.PRICES, "volume"))).alias("bars")

@@ -9,10 +9,11 @@ from tapeloom.functions.ranking import top_k
 from tapeloom.operators import dynamics as D
 from tapeloom.operators import sampling as Z
 from tapeloom.operators import similarity as SIM
+from tapeloom.operators.bars import PRICES, adjust_as_of
 from tapeloom.plans import similarity as sim
 from tapeloom.plans.breadth import LINES, industry_daily, industry_threshold_daily, market_daily
 from tapeloom.plans.common import K, best_first, scored
-from tapeloom.plans.dynamics import snapped
+from tapeloom.plans.dynamics import snapped, state_names
 from tapeloom.plans.registry import query
 from tapeloom.sources.staging import stage
 from tapeloom.sources.store import unpivot_checks
@@ -101,7 +102,7 @@ def _(m: Market) -> DataFrame:
 @query("dq_dynamics", _SPEC, _clean("row_rates", "wilson", "rates", "pairs"))
 def _(m: Market) -> DataFrame:
     rows = snapped(m, "monthly")
-    moves = D.transitions(stage(D.states(rows))).groupBy("frequency", "from_state").agg(F.sum("row_rate").alias("r"), F.sum("count").alias("n"))
+    moves = D.transitions(stage(D.states(rows)), state_names(m)).groupBy("frequency", "from_state").agg(F.sum("row_rate").alias("r"), F.sum("count").alias("n"))
     a = moves.agg(F.count_if((F.col("n") > 0) & (F.abs(F.col("r") - 1) > 1e-9)).alias("row_rates"))
     b = D.industries(rows).agg(
         F.count_if((F.col("rate") < F.col("wilson_low") - 1e-9) | (F.col("rate") > F.col("wilson_high") + 1e-9)).alias("wilson"),
@@ -131,15 +132,37 @@ def _(m: Market) -> DataFrame:
     return unpivot_checks(diff).unionByName(unpivot_checks(want.exceptAll(means).agg(F.count(F.lit(1)).alias("ma5"))))
 
 
-@query("dq_leakage_split", _SPEC, _clean("group_in_two_splits", "unsorted_dates", "bar_after_score_date", "last_bar_differs"))
-def _(m: Market) -> DataFrame:
+def stored_samples(m: Market) -> DataFrame:
+    """A sample table as it may come from outside: some rows break a rule.
+
+    Every 29th security, from another start for each rule, has a second row in another split, its
+    dates in reverse, or a score date before its last bar.
+    """
     code = F.col("entity").cast("string")
-    tagged = m.bars0.where(F.col("bar_date") <= m.as_of).select("entity", "bar_date", Z.hash_split(code).alias("split"))
-    recent = top_k(tagged, ["entity"], [F.col("bar_date").desc()], 120)
-    samples = recent.groupBy("entity", "split").agg(
-        F.array_sort(F.collect_list("bar_date")).alias("dates"), F.max("bar_date").alias("score_date")
-    )
-    crossed = samples.groupBy("entity").agg(F.count(F.lit(1)).alias("n")).agg(F.count_if(F.col("n") > 1).alias("group_in_two_splits"))
+    recent = top_k(m.bars0.where(F.col("bar_date") <= m.as_of).select("entity", "bar_date"), ["entity"], [F.col("bar_date").desc()], 120)
+    sound = recent.groupBy("entity").agg(F.array_sort(F.collect_list("bar_date")).alias("dates"), F.max("bar_date").alias("score_date"))
+    sound = sound.withColumn("split", Z.hash_split(code))
+    place = F.col("entity") % 29
+    planted = sound.withColumns({
+        "dates": F.when(place == 7, F.reverse("dates")).otherwise(F.col("dates")),
+        "score_date": F.when(place == 11, F.date_sub("score_date", 7)).otherwise(F.col("score_date")),
+    })
+    return planted.unionByName(sound.where(place == 5).withColumn("split", F.concat(F.col("split").cast("string"), F.lit("-again"))))
+
+
+@query("dq_leakage_split", _SPEC,
+       """with r as (select entity, bar_date, row_number() over (partition by entity order by bar_date desc) as rn from bars0 where bar_date <= (select d from dayref)),
+          g as (select entity, list(bar_date order by bar_date) as dates, max(bar_date) as score_date, 'a' as split from r where rn <= 120 group by 1),
+          s as (select entity, case when entity % 29 = 7 then list_reverse(dates) else dates end as dates, case when entity % 29 = 11 then score_date - 7 else score_date end as score_date, split from g
+            union all select entity, dates, score_date, 'b' from g where entity % 29 = 5),
+          c as (select count(*) as n from (select entity from s group by 1 having count(distinct split) > 1)),
+          x as (select count(case when dates <> list_sort(list_distinct(dates)) then 1 end) as u, count(case when list_max(dates) > score_date then 1 end) as a,
+            count(case when dates[-1] <> score_date then 1 end) as l from s)
+          select 'group_in_two_splits' as check_name, n = 0 as passed, n as n_bad from c union all select 'unsorted_dates', u = 0, u from x
+          union all select 'bar_after_score_date', a = 0, a from x union all select 'last_bar_differs', l = 0, l from x""")
+def _(m: Market) -> DataFrame:
+    samples = stored_samples(m)
+    crossed = samples.groupBy("entity").agg(F.count_distinct("split").alias("n")).agg(F.count_if(F.col("n") > 1).alias("group_in_two_splits"))
     rows = samples.agg(
         F.count_if(F.col("dates") != F.array_sort(F.array_distinct("dates"))).alias("unsorted_dates"),
         F.count_if(F.exists("dates", lambda d: d > F.col("score_date"))).alias("bar_after_score_date"),
@@ -148,14 +171,26 @@ def _(m: Market) -> DataFrame:
     return unpivot_checks(crossed).unionByName(unpivot_checks(rows))
 
 
-@query("dq_censoring", _SPEC, _clean("future_rows_change_result"))
+@query("dq_censoring", _SPEC,
+       """with f as (select template_id, entity, round_even(score * 1e7, 0) as s from nowscores), g as (select template_id, entity, round_even(score * 1e7, 0) as s from plusscores),
+          h as (select template_id, entity, round_even(score * 1e7, 0) as s from allscores where bar_date = (select d from dayref)),
+          a as (select count(*) as n from (select * from ((select * from f except select * from g) union all (select * from g except select * from f)))),
+          b as (select count(*) as n from (select * from ((select * from f except select * from h) union all (select * from h except select * from f))))
+          select 'future_rows_change_result' as check_name, n = 0 as passed, n as n_bad from a union all select 'control_whole_history', n = 0, n from b""")
 def _(m: Market) -> DataFrame:
-    """The as-of result from censored bars equals the one from the full history."""
+    """Later bars do not change the as-of scores; the control shows that adjusting over all bars does."""
     book = sim.book(m)
 
     def result(bars: DataFrame) -> DataFrame:
-        return SIM.latest_scores(bars, book, m.as_of).select("template_id", "entity", F.rint(F.col("score") * 1e9).alias("score"))
-
-    full, cut = result(m.bars), result(m.bars.where(F.col("bar_date") <= m.as_of))
-    changed = full.exceptAll(cut).unionByName(cut.exceptAll(full))
-    return unpivot_checks(changed.agg(F.count(F.lit(1)).alias("future_rows_change_result")))
+        return SIM.latest_scores(bars, book, m.as_of).select("template_id", "entity", F.rint(F.col("score") * 1e7).alias("score"))
+
+    def changes(a: DataFrame, b: DataFrame, name: str) -> DataFrame:
+        return unpivot_checks(a.exceptAll(b).unionByName(b.exceptAll(a)).agg(F.count(F.lit(1)).alias(name)))
+
+    last = m.bars_in_place.where(F.col("bar_date") == m.as_of)
+    later = last.withColumns({c: F.col(c) * 3 for c in PRICES} | {
+        "bar_date": F.date_add("bar_date", 70), "adj_factor": F.lit(9.0), "pos": F.col("pos") + 1000,
+    })
+    now = result(m.qfq_now)
+    appended = result(adjust_as_of(m.bars_in_place.unionByName(later), m.as_of))
+    return changes(now, appended, "future_rows_change_result").unionByName(changes(now, result(m.qfq), "control_whole_history"))

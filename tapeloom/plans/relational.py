@@ -85,7 +85,7 @@ tt as (select t.template_id, b.k, arg_max(close, t) / arg_min(close, t) - 1 as t
   from templates t join tb b on t.template_id = b.template_id where t.t > t.n - b.k group by t.template_id, b.k),
 cand as (select a.template_id, a.entity, a.score, tt.tret, tt.tdd,
     arg_max(q.close, q.pos) / arg_min(q.close, q.pos) - 1 as cret, arg_max(q.close, q.pos) / max(q.close) - 1 as cdd
-  from allscores a join tt on a.template_id = tt.template_id join qfq q on q.entity = a.entity and q.pos between a.pos - tt.k + 1 and a.pos
+  from nowscores a join tt on a.template_id = tt.template_id join qfqnow q on q.entity = a.entity and q.pos between a.pos - tt.k + 1 and a.pos
   where a.bar_date = (select d from dayref) group by all)
 """
 
@@ -93,12 +93,11 @@ cand as (select a.template_id, a.entity, a.score, tt.tret, tt.tdd,
 def tail_gated(m: Market) -> DataFrame:
     """Latest scores with the tail rule: same direction as the template and near its tail high."""
     book = sim.book(m)
-    day = m.as_of
     bars = dict((k, max(5, -(-len(z) // 5))) for k, z in book.templates)
     sizes = F.create_map(*[F.lit(v) for kv in bars.items() for v in kv])
     newest = Window.partitionBy("entity").orderBy(F.col("bar_date").desc())
     tail = (
-        m.qfq.where(F.col("bar_date") <= day)
+        m.qfq_now
         .withColumn("back", F.row_number().over(newest))
         .where(F.col("back") <= max(bars.values()))
     )
@@ -122,7 +121,7 @@ def tail_gated(m: Market) -> DataFrame:
 
 
 def S_latest(m: Market, book) -> DataFrame:
-    return sim.S.latest_scores(m.qfq, book, m.as_of)
+    return sim.S.latest_scores(m.qfq_now, book, m.as_of)
 
 
 @query("flt_tail_gate", "template_id:i entity:i tail_return:f tail_drawdown:f",
@@ -242,7 +241,7 @@ with lim as (select *, prev * 1.1e0 as up_limit, prev * 0.9e0 as down_limit from
 ev as (select *, coalesce(close >= up_limit - greatest(abs(up_limit) * 1e-5, 0.001), false) as up,
     coalesce(close <= down_limit + greatest(abs(down_limit) * 1e-5, 0.001), false) as down from lim),
 wins as (select a.template_id, a.entity, a.score, a.n, a.bar_date as end_date, s.bar_date as start_date, a.pos
-  from allscores a join bars s on s.entity = a.entity and s.pos = a.pos - a.n + 1 where a.bar_date = (select d from dayref)),
+  from nowscores a join bars s on s.entity = a.entity and s.pos = a.pos - a.n + 1 where a.bar_date = (select d from dayref)),
 evc as (select w.template_id, w.entity, w.score, w.start_date, w.end_date,
     count(case when e.up then 1 end) as up_count, count(case when e.down then 1 end) as down_count,
     max(ce.ord) - max(cs.ord) + 1 - count(*) as suspension_count,
@@ -380,7 +379,7 @@ _LATEST_PANEL = """
 with lp as (select a.template_id, a.entity, a.score, coalesce(m.industry, 'missing') as industry,
     row_number() over (partition by a.template_id order by a.score desc, a.entity) as rank, c.total_mv,
     case when c.total_mv is null then 'missing' when c.total_mv / 1e4 < 50 then '<50' else 'more' end as tier
-  from allscores a left join membership m on a.entity = m.entity and m.in_date <= a.bar_date and (m.out_date is null or m.out_date > a.bar_date)
+  from nowscores a left join membership m on a.entity = m.entity and m.in_date <= a.bar_date and (m.out_date is null or m.out_date > a.bar_date)
   left join caps c on c.entity = a.entity and c.bar_date = a.bar_date
   where a.bar_date = (select d from dayref))
 """
@@ -397,8 +396,8 @@ def latest_panel(m: Market) -> DataFrame:
 
 @query("agg_breakdown", "template_id:i industry:s count:i share:f market_share:f excess_pp:f ratio:f",
        _LATEST_PANEL + """select template_id, industry, cnt as count, share, market_share, (share - market_share) * 100 as excess_pp, share / market_share as ratio
-         from (select template_id, industry, count(case when rank <= 20 then 1 end) as cnt,
-           count(case when rank <= 20 then 1 end) * 1.0e0 / 20 as share,
+         from (select template_id, industry, count(case when rank <= 100 then 1 end) as cnt,
+           count(case when rank <= 100 then 1 end) * 1.0e0 / sum(count(case when rank <= 100 then 1 end)) over (partition by template_id) as share,
            count(*) * 1.0e0 / sum(count(*)) over (partition by template_id) as market_share from lp group by 1, 2)""")
 def _(m: Market) -> DataFrame:
     return breakdown(latest_panel(m), ["template_id"], "industry", "chosen")
@@ -456,8 +455,8 @@ def industry_counts(m: Market, k: int = K) -> DataFrame:
 
 
 @query("agg_industry_counts", "template_id:i bar_date:d industry_code:i eligible:i top_count:i selection_rate:f top_share:f",
-       """select template_id, bar_date, industry_code, count(*) as eligible, count(case when rank <= 20 then 1 end) as top_count,
-          count(case when rank <= 20 then 1 end) * 1.0e0 / count(*) as selection_rate, count(case when rank <= 20 then 1 end) / 20.0e0 as top_share
+       """select template_id, bar_date, industry_code, count(*) as eligible, count(case when rank <= 100 then 1 end) as top_count,
+          count(case when rank <= 100 then 1 end) * 1.0e0 / count(*) as selection_rate, count(case when rank <= 100 then 1 end) / 100.0e0 as top_share
           from panel group by 1, 2, 3""")
 def _(m: Market) -> DataFrame:
     return industry_counts(m)
@@ -476,7 +475,7 @@ def other_rollup(counts: DataFrame, keys: list[str]) -> DataFrame:
 
 
 @query("agg_other_rollup", "template_id:i bar_date:d block:s eligible:i top_count:i components:s",
-       """with c as (select template_id, bar_date, industry, count(*) as eligible, count(case when rank <= 20 then 1 end) as top_count from panel group by 1, 2, 3)
+       """with c as (select template_id, bar_date, industry, count(*) as eligible, count(case when rank <= 100 then 1 end) as top_count from panel group by 1, 2, 3)
           select template_id, bar_date, case when top_count in (1, 2) then 'other' else industry end as block, sum(eligible) as eligible, sum(top_count) as top_count,
             coalesce(string_agg(case when top_count in (1, 2) then industry end, ',' order by industry), '') as components
           from c where top_count > 0 group by 1, 2, 3""")

@@ -22,7 +22,7 @@ from tapeloom.sources.tables import Market
 @query("top_template_latest", "template_id:i rank:i entity:i score:f start_date:d end_date:d industry:s",
        """select * from (select a.template_id, row_number() over (partition by a.template_id order by a.score desc, a.entity) as rank, a.entity, a.score,
             b.bar_date as start_date, a.bar_date as end_date, coalesce(m.industry, 'missing') as industry
-          from allscores a join bars b on b.entity = a.entity and b.pos = a.pos - a.n + 1
+          from nowscores a join bars b on b.entity = a.entity and b.pos = a.pos - a.n + 1
           left join membership m on a.entity = m.entity and m.in_date <= a.bar_date and (m.out_date is null or m.out_date > a.bar_date)
           where a.bar_date = (select d from dayref)) where rank <= 10""")
 def _(m: Market) -> DataFrame:

@@ -19,7 +19,7 @@ from tapeloom.sources.tables import Market
 
 
 def windows(m: Market) -> DataFrame:
-    return X.latest_windows(m.qfq, m.as_of)
+    return X.latest_windows(m.qfq_now, m.as_of)
 
 
 def facts(m: Market) -> DataFrame:
@@ -230,9 +230,9 @@ select a.template_id, a.entity, (arg_max(q.close, q.pos) / arg_min(q.close, q.po
   (regr_slope(ln(q.close), q.pos) filter (where q.pos - (a.pos - a.n + 1) < a.n // 2)) * 10000 as first_slope, (regr_slope(ln(q.close), q.pos) filter (where q.pos - (a.pos - a.n + 1) >= a.n // 2)) * 10000 as second_slope,
   min(q.close / q.peak - 1) * 100 as max_drawdown_pct, avg(case when q.prev is null then null when q.close > q.prev then 1.0e0 else 0 end) as positive_share
 from top a join (select t.template_id, t.entity, q.pos, q.close, max(q.close) over (partition by t.template_id, t.entity order by q.pos) as peak, lag(q.close) over (partition by t.template_id, t.entity order by q.pos) as prev
-    from top t join qfq q on q.entity = t.entity and q.pos between t.pos - t.n + 1 and t.pos) q on q.template_id = a.template_id and q.entity = a.entity
+    from top t join qfqnow q on q.entity = t.entity and q.pos between t.pos - t.n + 1 and t.pos) q on q.template_id = a.template_id and q.entity = a.entity
 group by a.template_id, a.entity, a.n, a.pos"""
-_TOPX = "top as (select * from (select *, row_number() over (partition by template_id order by score desc, entity) as rank from allscores where bar_date = (select d from dayref)) where rank <= 20)"
+_TOPX = "top as (select * from (select *, row_number() over (partition by template_id order by score desc, entity) as rank from nowscores) where rank <= 20)"
 
 
 def shape_metrics(windows_: DataFrame, keys: list[str]) -> DataFrame:
@@ -264,7 +264,7 @@ def shape_metrics(windows_: DataFrame, keys: list[str]) -> DataFrame:
 
 def top_window_bars(m: Market) -> DataFrame:
     best = top_k(sim.latest(m), ["template_id"], [F.col("score").desc(), F.col("entity")], 20)
-    bars = m.qfq.select("entity", "bar_date", "close")
+    bars = m.qfq_now.select("entity", "bar_date", "close")
     inside = best.join(bars, "entity").where(F.col("bar_date").between(F.col("start_date"), F.col("end_date")))
     w = Window.partitionBy("template_id", "entity").orderBy("bar_date")
     return inside.withColumn("i", F.row_number().over(w) - 1).withColumnRenamed("window_bars", "n")

@@ -14,6 +14,9 @@ from tapeloom.sources.staging import stage
 from tapeloom.sources.tables import TEMPLATE_BARS, TEMPLATE_START, Market
 
 
+BLEND_K = 100
+
+
 def points(m: Market) -> DataFrame:
     return S.template_points(m.qfq, TEMPLATE_BARS, TEMPLATE_START)
 
@@ -30,15 +33,15 @@ def scores(m: Market) -> DataFrame:
 
 
 def latest(m: Market) -> DataFrame:
-    return S.latest_scores(m.qfq, book(m), m.as_of)
+    return S.latest_scores(m.qfq_now, book(m), m.as_of)
 
 
 _LATEST = """
 select a.template_id, a.entity, a.score, a.bar_date as end_date, a.n as window_bars,
   min(q.bar_date) as start_date, max(q.pct) as max_abs_pct
-from allscores a
+from nowscores a
 join (select entity, bar_date, pos, abs(close / lag(close) over (partition by entity order by bar_date) - 1) * 100 as pct
-      from qfq) q on q.entity = a.entity and q.pos between a.pos - a.n + 1 and a.pos
+      from qfqnow) q on q.entity = a.entity and q.pos between a.pos - a.n + 1 and a.pos
 where a.bar_date = (select d from dayref)
 group by all
 """
@@ -114,12 +117,12 @@ def _(m: Market) -> DataFrame:
        std as (select template_id, f, n, len, i, (y - avg(y) over g) / stddev_pop(y) over g as z
          from (select *, a + (b - a) * w as y from curve) window g as (partition by template_id, f)),
        tail as (select entity, bar_date, ln(close) as x, row_number() over (partition by entity order by bar_date desc) - 1 as back,
-           max(bar_date) over (partition by entity) as last_day from qfq where bar_date <= (select d from dayref)),
+           max(bar_date) over (partition by entity) as last_day from qfqnow),
        alt as (select s.template_id, s.f, s.n, s.len, t.entity, sum(s.z * t.x) / (s.len * stddev_pop(t.x)) as score
          from std s join tail t on t.back = s.len - 1 - s.i and t.last_day = (select d from dayref)
          group by s.template_id, s.f, s.n, s.len, t.entity having count(*) = s.len),
        altk as (select * from alt qualify row_number() over (partition by template_id, f order by score desc, entity) <= 20),
-       basek as (select template_id, entity from allscores where bar_date = (select d from dayref)
+       basek as (select template_id, entity from nowscores
          qualify row_number() over (partition by template_id order by score desc, entity) <= 20),
        basef as (select template_id, f, entity from basek, (select unnest([0.9e0, 1.1e0]) as f)),
        ev as (select template_id, f, entity, max(a) * max(b) as hit from (
@@ -133,7 +136,7 @@ def _(m: Market) -> DataFrame:
     order = [F.col("score").desc(), F.col("entity")]
 
     def members(b: S.TemplateBook) -> DataFrame:
-        return top_k(S.latest_scores(m.qfq, b, m.as_of), ["template_id"], order, 20).select(
+        return top_k(S.latest_scores(m.qfq_now, b, m.as_of), ["template_id"], order, 20).select(
             "template_id", "entity", "window_bars"
         )
 
@@ -202,7 +205,7 @@ def blended(m: Market) -> DataFrame:
     """Mean percentile rank of the three window scores of a security (equal windows of 80 bars)."""
     b = book(m)
     three = S.TemplateBook(tuple(t for t in b.resized_to(80).templates[:3]))
-    flat = S.latest_scores(m.qfq, three, m.as_of)
+    flat = S.latest_scores(m.qfq_now, three, m.as_of)
     shares = average_rank_share(flat.select("template_id", "entity", "score"), ["template_id"], "score", "pct")
     return shares.groupBy("entity").agg(F.avg("pct").alias("bscore"))
 
@@ -214,7 +217,7 @@ curve as (select *, zl[cast(floor(p) as integer) + 1] as a, zl[least(cast(floor(
 std as (select template_id, i, (y - avg(y) over g) / stddev_pop(y) over g as z
   from (select *, a + (b - a) * w as y from curve) window g as (partition by template_id)),
 tail as (select entity, ln(close) as x, row_number() over (partition by entity order by bar_date desc) - 1 as back,
-    max(bar_date) over (partition by entity) as last_day from qfq where bar_date <= (select d from dayref)),
+    max(bar_date) over (partition by entity) as last_day from qfqnow),
 sc as (select s.template_id, t.entity, sum(s.z * t.x) / (80 * stddev_pop(t.x)) as score
   from std s join tail t on t.back = 79 - s.i and t.last_day = (select d from dayref) group by all having count(*) = 80),
 pct as (select *, (rank() over (partition by template_id order by score) + (count(*) over (partition by template_id, score) - 1) / 2.0e0)
@@ -227,11 +230,11 @@ bi as (select br.*, m.industry_code, m.industry from br join membership m on br.
 
 
 @query("sim_blend_score", "entity:i bscore:f b_rank:i industry_code:i",
-       BLEND_SQL + "select entity, bscore, b_rank, industry_code from bi where b_rank <= 20")
+       BLEND_SQL + "select entity, bscore, b_rank, industry_code from bi where b_rank <= 100")
 def _(m: Market) -> DataFrame:
     # The global Top-K is a sort with a limit (TakeOrdered), not a global window.
     key = F.floor(F.col("bscore") * F.lit(1e9) + 0.5)
-    best = blended(m).orderBy(key.desc(), F.col("entity")).limit(20)
+    best = blended(m).orderBy(key.desc(), F.col("entity")).limit(BLEND_K)
     ranked = best.withColumn("b_rank", F.row_number().over(Window.orderBy(key.desc(), F.col("entity"))))
     dated = ranked.withColumn("bar_date", m.as_of)
     return industry_on(dated, m.membership).where(F.col("industry_code") >= 0)
@@ -240,7 +243,7 @@ def _(m: Market) -> DataFrame:
 @query(
     "sim_tail_correlation", "template_id:i entity:i tail_bars:i r:f",
     """with tail as (select entity, ln(close) as x, row_number() over (partition by entity order by bar_date desc) - 1 as back,
-         max(bar_date) over (partition by entity) as last_day from qfq where bar_date <= (select d from dayref))
+         max(bar_date) over (partition by entity) as last_day from qfqnow)
        select z.template_id, t.entity, greatest(5, cast(ceil(z.n * 0.2e0) as integer)) as tail_bars,
          case when stddev_pop(t.x) > 1e-12 then covar_pop(z.x, t.x) / (stddev_pop(z.x) * stddev_pop(t.x)) end as r
        from templates z join tail t on t.back = z.n - z.t and t.last_day = (select d from dayref)
@@ -251,7 +254,7 @@ def _(m: Market) -> DataFrame:
     newest = Window.partitionBy("entity").orderBy(F.col("bar_date").desc())
     whole = Window.partitionBy("entity")
     tail = (
-        m.qfq.where(F.col("bar_date") <= m.as_of)
+        m.qfq_now
         .withColumn("back", F.row_number().over(newest) - 1)
         .withColumn("_end", F.max("bar_date").over(whole))
         .where((F.col("back") < S.MAX_WINDOW) & (F.col("_end") == m.as_of))

@@ -11,6 +11,7 @@ from tapeloom.functions.ranking import top_k
 from tapeloom.operators import bars as B
 from tapeloom.operators import calendar as C
 from tapeloom.plans import similarity as sim
+from tapeloom.functions.scalars import padded
 from tapeloom.plans.registry import query
 from tapeloom.sources import store
 from tapeloom.sources.staging import staging_root
@@ -110,7 +111,7 @@ def _(m: Market) -> DataFrame:
 
 @query("src_security_union", "code:s entity:i status:s",
        """select * from (select code, entity, status from (
-            select *, lpad(cast(entity as varchar), 6, '0') || case entity % 4 when 0 then '.SH' when 1 then '.SZ' when 2 then '.BJ' else '.XX' end as code
+            select *, lpad(cast(entity as varchar), cast(greatest(6, length(cast(entity as varchar))) as integer), '0') || case entity % 4 when 0 then '.SH' when 1 then '.SZ' when 2 then '.BJ' else '.XX' end as code
             from (select entity, 'L' as status, 0 as prio from securities
                   union all select entity, 'D', 1 from securities where delist_date is not null
                   union all select entity, 'P', 2 from securities where entity % 7 = 0))
@@ -122,7 +123,7 @@ def _(m: Market) -> DataFrame:
     paused = base.where(F.col("entity") % 7 == 0).select("entity", F.lit("P").alias("status"), F.lit(2).alias("prio"))
     suffix = F.element_at(F.array(*[F.lit(s) for s in (".SH", ".SZ", ".BJ", ".XX")]), (F.col("entity") % 4 + 1).cast("int"))
     all_rows = listed.unionByName(gone).unionByName(paused).withColumn(
-        "code", F.concat(F.lpad(F.col("entity").cast("string"), 6, "0"), suffix)
+        "code", F.concat(padded("entity"), suffix)
     )
     # min_by is a partial aggregate: no sort and no window per code.
     best = all_rows.where(F.col("code").rlike(r"\.(SH|SZ|BJ)$")).groupBy("code").agg(
@@ -140,7 +141,7 @@ def registry_path(m: Market) -> str:
     entry = F.struct(
         F.concat(F.lit("t"), F.col("template_id")).alias("key"),
         F.concat(F.lit("template "), F.col("template_id")).alias("label"),
-        F.lpad(F.col("template_id").cast("string"), 6, "0").alias("source_code"),
+        padded("template_id").alias("source_code"),
         text("a", "yyyyMMdd").alias("start_date"), text("b", "yyyyMMdd").alias("end_date"),
         F.col("n").alias("window_bars"),
     )
@@ -169,7 +170,7 @@ def _(m: Market) -> DataFrame:
 @query("src_ranking_file", "template_id:s rank:i entity:i score:f window_bars:i",
        """select cast(template_id as varchar) as template_id, rank, entity, score, n as window_bars from (
           select *, row_number() over (partition by template_id order by score desc, entity) as rank
-          from allscores where bar_date = (select d from dayref)) where rank <= 20""")
+          from nowscores) where rank <= 20""")
 def _(m: Market) -> DataFrame:
     path = _fresh(m, "rankings")
     best = top_k(sim.latest(m), ["template_id"], [F.col("score").desc(), F.col("entity")], 20)
@@ -215,7 +216,7 @@ def _(m: Market) -> DataFrame:
 @query("snk_nested_json", "template_id:i rank:i entity:i score:f",
        """select template_id, rank, entity, score from (
           select *, row_number() over (partition by template_id order by score desc, entity) as rank
-          from allscores where bar_date = (select d from dayref)) where rank <= 20""")
+          from nowscores) where rank <= 20""")
 def _(m: Market) -> DataFrame:
     path = _fresh(m, "nested")
     best = top_k(sim.latest(m), ["template_id"], [F.col("score").desc(), F.col("entity")], 20)

@@ -39,6 +39,9 @@ from (select *, f / last_value(f) over (partition by entity order by bar_date
       from (select *, first_value(adj_factor ignore nulls) over (partition by entity order by bar_date
               rows between current row and unbounded following) as f from barsf))"""
 
+# the same with what is known at the as-of date
+FRAMES["qfqnow"] = FRAMES["qfq"].replace("barsf)", "barsf where bar_date <= (select d from dayref))") + " where f is not null"
+
 FRAMES["securities"] = """
 select s_suppkey as entity, s_name as name,
   case s_suppkey % 3 when 0 then 'main' when 1 then 'growth' else 'star' end as board,
@@ -92,6 +95,17 @@ from (select z.template_id, x.entity, x.bar_date, x.pos, z.n,
         list_dot_product(z.zl, case z.n when 50 then x.l50 when 55 then x.l55 else x.l80 end) as d
       from xlists x join zlists z on x.pos >= z.n)"""
 
+FRAMES["xlistsnow"] = FRAMES["xlists"].replace("from qfq", "from qfqnow")
+FRAMES["nowscores"] = FRAMES["allscores"].replace("xlists", "xlistsnow").replace("x.pos >= z.n", "x.pos >= z.n and x.bar_date = (select d from dayref)")
+# future bars that must not matter: three times the price, another factor
+FRAMES["barsplus"] = """
+select entity, bar_date, open, high, low, close, volume, amount, pos, n_bars, adj_factor from barsf
+union all select entity, bar_date + 70, open * 3, high * 3, low * 3, close * 3, volume, amount, pos + 1000, n_bars, 9.0e0 from barsf
+where bar_date = (select d from dayref)"""
+FRAMES["qfqplus"] = FRAMES["qfqnow"].replace("barsf", "barsplus")
+FRAMES["xlistsplus"] = FRAMES["xlists"].replace("from qfq", "from qfqplus")
+FRAMES["plusscores"] = FRAMES["nowscores"].replace("xlistsnow", "xlistsplus")
+
 FRAMES["scores"] = """
 select a.template_id, a.entity, a.bar_date, a.pos, a.n, a.score
 from allscores a join securities s on a.entity = s.entity
@@ -115,7 +129,7 @@ select template_id, s.bar_date, c.ord, count(*) as eligible, count(case when sco
   quantile_cont(score, 0.99) as p99, avg(case when score < 0 then 1.0e0 else 0.0e0 end) as negative_share, min(score) as min_score
 from scores s join cal c on s.bar_date = c.bar_date group by all"""
 
-FRAMES["daily"] = """select * from panel where rank <= 20"""
+FRAMES["daily"] = """select * from panel where rank <= 100"""
 
 FRAMES["events_per_bar"] = """
 select entity, bar_date, close, pct, case when pct >= 10 - 1e-9 then 1 else 0 end as up, case when pct <= -10 + 1e-9 then 1 else 0 end as down
@@ -186,7 +200,7 @@ select * from (select sample, bar_date, entity, industry_code, score, row_number
     from universe u join (select x.sample, b.entity, max(b.bar_date) as last_bar from samples x join bars0 b on b.bar_date <= x.bar_date group by 1, 2) l
       on l.sample = u.sample and l.entity = u.entity
     join patlong p on p.entity = u.entity and p.bar_date = l.last_bar and p.category = 'breakout'))
-where rank <= 20"""
+where rank <= 100"""
 
 FRAMES["rotmat"] = """
 select i.industry_code, i.industry, x.sample, x.bar_date, coalesce(c.n, 0) as n, coalesce(c.n, 0) - coalesce(lag(coalesce(c.n, 0)) over (partition by i.industry_code order by x.sample), 0) as change
@@ -198,8 +212,8 @@ select f.*, case when abs(slope) < 0.25 then 0.0e0 else round_even((case when si
     + case when sign(n1 - n0) = sign(slope) then 1 else 0 end) / 3 * 100, 0) / 100 end as persistence,
   case when n3 > 0 then n3 when n2 > 0 then n2 when n1 > 0 then n1 else n0 end as effective, n3 - n0 as recent_change, n3 as current_count
 from (select industry_code, any_value(industry) as industry, sum(n) as cumulative,
-    max(case when sample = 20 then n end) as n0, max(case when sample = 21 then n end) as n1, max(case when sample = 22 then n end) as n2, max(case when sample = 23 then n end) as n3,
-    round_even(regr_slope(n, sample) filter (where sample >= 20) * 100, 0) / 100 as slope from rotmat group by 1) f"""
+    max(case when sample = (select max(sample) from samples) - 3 then n end) as n0, max(case when sample = (select max(sample) from samples) - 2 then n end) as n1, max(case when sample = (select max(sample) from samples) - 1 then n end) as n2, max(case when sample = (select max(sample) from samples) then n end) as n3,
+    round_even(regr_slope(n, sample) filter (where sample > (select max(sample) from samples) - 4) * 100, 0) / 100 as slope from rotmat group by 1) f"""
 
 FRAMES["rotrank"] = """
 select *, case when slope >= 0.25 and n2 <= 1 and n3 - n2 >= 3 then 'rapid_start' when slope >= 0.25 and persistence >= 0.66 then 'steady_rise'
@@ -208,7 +222,7 @@ from (select *, row_number() over (order by n3 desc, cumulative desc, industry_c
   row_number() over (order by abs(slope) desc, persistence desc, effective desc, industry_code) as rotation_rank from rotfeat)"""
 
 FRAMES["indday"] = """
-select template_id, bar_date, ord, industry_code, any_value(industry) as industry, count(*) as eligible, count(case when rank <= 20 then 1 end) as top_count
+select template_id, bar_date, ord, industry_code, any_value(industry) as industry, count(*) as eligible, count(case when rank <= 100 then 1 end) as top_count
 from panel group by 1, 2, 3, 4"""
 
 FRAMES["flowst"] = """
@@ -271,7 +285,7 @@ select *, case when act and st is not null then pos - st + 1 else 0 end as weak_
 
 FRAMES["w120"] = """
 select entity, (select d from dayref) as bar_date, list(close order by pos) as c, list(high order by pos) as h, list(low order by pos) as l, list(volume order by pos) as v
-from (select *, max(bar_date) over (partition by entity) as d2, row_number() over (partition by entity order by bar_date desc) as rn from qfq where bar_date <= (select d from dayref))
+from (select *, max(bar_date) over (partition by entity) as d2, row_number() over (partition by entity order by bar_date desc) as rn from qfqnow)
 where rn <= 120 and d2 = (select d from dayref) group by entity having count(*) = 120"""
 
 FRAMES["w120e"] = """
@@ -373,7 +387,7 @@ FRAMES["dstate"] = """
 select frequency, seq, bar_date, entity, case when count(case when q then 1 end) = 0 then 'none' when count(case when q then 1 end) > 1 then 'mixed'
   else 't' || cast(max(case when q then template_id end) as varchar) end as state, coalesce(string_agg(case when q then 't' || cast(template_id as varchar) end, '+' order by template_id), 'none') as labels
 from dsc group by 1, 2, 3, 4"""
-FRAMES["states"] = """select unnest(['none', 'mixed', 't1', 't2', 't3', 't4']) as state"""
+FRAMES["states"] = """select unnest(['none', 'mixed']) as state union all select distinct 't' || cast(template_id as varchar) from templates"""
 FRAMES["dind"] = """
 select *, qualified * 1.0e0 / eligible as rate, sum(qualified) over g * 1.0e0 / sum(eligible) over g as market_rate, sum(qualified) over g as total_q, sum(eligible) over g as total_n
 from (select frequency, seq, bar_date, template_id, industry, count(*) as eligible, count(case when q then 1 end) as qualified from dsc group by all)

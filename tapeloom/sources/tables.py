@@ -82,11 +82,21 @@ class Market:
         return B.attach_factors(self.bars, self.factors)
 
     @cached_property
-    def qfq(self) -> DataFrame:
-        """Bars adjusted with the batch policy."""
+    def bars_in_place(self) -> DataFrame:
+        """``bars_with_factor`` without the join: the factor is a function of the bar."""
         gap = (F.col("pos") % 17 == 0) & (F.col("pos") < F.col("n_bars"))
         step = F.lit(1.0) + F.lit(0.1) * F.floor(F.col("pos") / F.lit(50.0))
-        return B.adjust_prices(self.bars.withColumn("adj_factor", F.when(~gap, step)), "batch_qfq")
+        return self.bars.withColumn("adj_factor", F.when(~gap, step))
+
+    @cached_property
+    def qfq(self) -> DataFrame:
+        """Bars adjusted with the batch policy over the whole history."""
+        return B.adjust_prices(self.bars_in_place, "batch_qfq")
+
+    @cached_property
+    def qfq_now(self) -> DataFrame:
+        """Bars adjusted with what is known at the as-of date: later bars go before factors are filled."""
+        return B.adjust_as_of(self.bars_in_place, self.as_of)
 
     @cached_property
     def securities(self) -> DataFrame:
