@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm.frames import pick, stage
+from tapeloom.llm.frames import pick, stage_by
 
 BLOCK_WORDS = 400_000  # distinct pre-tokens after which a task closes its block
 BLOCK_TOKENS = 8_000_000  # pre-tokens after which it does
@@ -35,12 +35,12 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 def _ragged(parts: list[bytes]) -> tuple[bytes, bytes]:
-    """Joined bytes and their int32 ends."""
-    return b"".join(parts), np.cumsum([len(p) for p in parts], dtype=np.int32).tobytes()
+    """Joined bytes and their lengths."""
+    return b"".join(parts), _varint(np.array([len(p) for p in parts], np.int64))
 
 
-def _split(data: bytes, ends: bytes) -> list[bytes]:
-    at = np.frombuffer(ends, np.int32).tolist()
+def _split(data: bytes, lengths: bytes) -> list[bytes]:
+    at = np.cumsum(_unvarint(lengths)).tolist()
     return [data[a:b] for a, b in zip([0, *at[:-1]], at, strict=True)]
 
 
@@ -97,8 +97,9 @@ class _Block:
         rows = []
         for bucket, parts in groups.items():
             for i in range(0, len(parts), ROW_WORDS):
-                data, ends = _ragged(parts[i : i + ROW_WORDS])
-                rows.append((self.key, bucket, None, np.array(numbers[bucket][i : i + ROW_WORDS], np.int32).tobytes(), data, ends))
+                data, lengths = _ragged(parts[i : i + ROW_WORDS])
+                steps = np.diff(np.array(numbers[bucket][i : i + ROW_WORDS], np.int64), prepend=0)
+                rows.append((self.key, bucket, None, _varint(steps), data, lengths))
         for i in range(0, len(rows), 500):
             yield _batch(*zip(*rows[i : i + 500], strict=True))
 
@@ -107,9 +108,9 @@ def hash_bucket(word: bytes, buckets: int) -> int:
     return int.from_bytes(hashlib.blake2b(word, digest_size=4).digest(), "little") % buckets
 
 
-_NAMES = ["block", "bucket", "doc_id", "numbers", "data", "ends"]
+_NAMES = ["block", "bucket", "doc_id", "numbers", "data", "lengths"]
 _TYPES = [pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-_SCHEMA = "block string, bucket int, doc_id bigint, numbers binary, data binary, ends binary"
+_SCHEMA = "block string, bucket int, doc_id bigint, numbers binary, data binary, lengths binary"
 
 
 def _batch(*columns) -> pa.RecordBatch:
@@ -210,15 +211,15 @@ def _assembled(docs, ranks, pattern, doc_id, text, maker, schema: str) -> DataFr
     names = [f.split()[0] for f in schema.split(", ")]
 
     named = pick(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    pieces = stage(cut(named, pattern, buckets))  # read twice
+    pieces = stage_by(cut(named, pattern, buckets), "block", buckets // 4)  # documents stay where they are from here on
     lists = pieces.where("bucket >= 0").repartition("bucket").sortWithinPartitions("bucket")
     encoded = encode_words(lists, ranks, pattern)
 
     def rebuild(own: pa.Table, words: pa.Table) -> pa.Table:
         found: dict[int, np.ndarray] = {}
-        for numbers, data, ends in zip(*(words.column(c).to_pylist() for c in ("numbers", "data", "ends")), strict=True):
-            ids = [np.frombuffer(p, wide) for p in _split(data, ends)]
-            found.update(zip(np.frombuffer(numbers, np.int32).tolist(), ids, strict=True))
+        for steps, data, lengths in zip(*(words.column(c).to_pylist() for c in ("numbers", "data", "lengths")), strict=True):
+            ids = [np.frombuffer(p, wide) for p in _split(data, lengths)]
+            found.update(zip(np.cumsum(_unvarint(steps)).tolist(), ids, strict=True))
         make, kinds = maker([found[k] for k in range(len(found))], token_bytes)
         rows = [make(_unvarint(p.as_py())) for p in own.column("numbers")]
         columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]

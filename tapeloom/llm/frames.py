@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.sources.staging import stage
+from tapeloom.sources.staging import stage, staging_root
 
-__all__ = ["bounded", "held_out", "map_batches", "pick", "stage"]
+__all__ = ["bounded", "held_out", "map_batches", "pick", "stage", "stage_by"]
 
 
 def pick(df: DataFrame, **columns: str) -> DataFrame:
@@ -40,3 +41,12 @@ def bounded(df: DataFrame, rows: int, what: str) -> list:
     if len(out) > rows:
         raise ValueError(f"{what}: more than {rows} rows")
     return out
+
+
+def stage_by(df: DataFrame, column: str, buckets: int) -> DataFrame:
+    """As ``stage``, in buckets of ``column``, so that grouping by it needs no shuffle."""
+    spark, name = df.sparkSession, f"staged_{uuid.uuid4().hex}"
+    path = f"{staging_root(spark)}/tapeloom-stage/{name}"
+    writer = df.write.bucketBy(buckets, column).option("path", path).option("compression", "zstd")
+    writer.format("parquet").saveAsTable(name)
+    return spark.table(name)
