@@ -15,6 +15,7 @@ from tapeloom.operators.bars import by_entity
 
 FLAT = 1e-12
 MAX_WINDOW = 240
+BROADCAST_VALUES = 500_000  # of template vectors, about 16 MB
 MIN_WINDOW = 2
 
 
@@ -90,9 +91,9 @@ class TemplateBook:
 def latest_scores(bars: DataFrame, book: TemplateBook, as_of: Column) -> DataFrame:
     """Score every security's newest window per template; a flat or short window has no score.
 
-    The join of bar positions with the template vectors (a local relation of
-    checked size) and the aggregate both stay on the partitioning of the
-    security window, so scoring adds no shuffle.
+    The template vectors are broadcast while they are few (their number of values is known here), so
+    the join and the aggregate stay on the partitioning of the security window and scoring adds no
+    shuffle; a larger registry joins by position.
     """
     newest = Window.partitionBy("entity").orderBy(F.col("bar_date").desc())
     tail = (
@@ -103,9 +104,10 @@ def latest_scores(bars: DataFrame, book: TemplateBook, as_of: Column) -> DataFra
     )
     x = F.when(F.col("close") > 0, F.ln("close"))
     pct = F.abs(F.try_divide(F.col("close"), F.col("_prev")) - 1) * 100
-    joined = tail.select("entity", "bar_date", "back", x.alias("x"), pct.alias("pct")).join(
-        book.points(bars.sparkSession), "back"
-    )
+    points = book.points(bars.sparkSession)
+    if sum(len(z) for _, z in book.templates) <= BROADCAST_VALUES:
+        points = F.broadcast(points)
+    joined = tail.select("entity", "bar_date", "back", x.alias("x"), pct.alias("pct")).join(points, "back")
     per = joined.groupBy("template_id", "entity").agg(
         F.first("n").alias("n"),
         F.count("x").alias("_cnt"),
@@ -124,9 +126,12 @@ def latest_scores(bars: DataFrame, book: TemplateBook, as_of: Column) -> DataFra
     )
 
 
-def rolling_scores(bars: DataFrame, book: TemplateBook) -> DataFrame:
+def rolling_scores(bars: DataFrame, book: TemplateBook, days: DataFrame | None = None) -> DataFrame:
     """Score every trailing window of every security against every template.
 
+    With ``days`` (bar_date, a row per date of the calendar at most) only windows that end on one of
+    them are scored.
+
     Rows are hash-partitioned by security and sorted by date; tasks then stream
     Arrow batches and carry only the last ``longest - 1`` rows from one batch to
     the next, so memory does not depend on the length of a security's history.
@@ -143,13 +148,21 @@ def rolling_scores(bars: DataFrame, book: TemplateBook) -> DataFrame:
     whole = Window.partitionBy("entity")
     usable = bars.withColumn("_low", F.min("close").over(whole)).where(F.col("_low") > 0)
     series = (
-        usable.select("entity", "bar_date", F.ln("close").alias("x"))
+        _marked(usable, days).select("entity", "bar_date", F.ln("close").alias("x"), "wanted")
         .repartition("entity")
         .sortWithinPartitions("entity", "bar_date")
     )
     return series.mapInArrow(_window_scorer(book), schema)
 
 
+def _marked(bars: DataFrame, days: DataFrame | None) -> DataFrame:
+    """Bars with ``wanted``: whether their date is asked for."""
+    if days is None:
+        return bars.withColumn("wanted", F.lit(True))
+    asked = F.broadcast(days.select("bar_date").distinct().withColumn("_asked", F.lit(True)))
+    return bars.join(asked, "bar_date", "left").withColumn("wanted", F.coalesce("_asked", F.lit(False)))
+
+
 def _window_scorer(book: TemplateBook):
     """Arrow batch function; everything it uses is nested so that it ships by value."""
     templates = [(k, np.asarray(z)) for k, z in book.templates]
@@ -159,12 +172,13 @@ def _window_scorer(book: TemplateBook):
     def score_table(table: pa.Table, seen: int) -> Iterator[pa.RecordBatch]:
         owner = table.column("entity").to_numpy()
         x = table.column("x").to_numpy()
+        wanted = table.column("wanted").to_numpy()
         for key, z in templates:
             n = len(z)
             if len(x) < n:
                 continue
             ends = np.arange(n - 1, len(x))
-            ends = ends[(ends >= seen) & (owner[ends] == owner[ends - n + 1])]
+            ends = ends[wanted[ends] & (ends >= seen) & (owner[ends] == owner[ends - n + 1])]
             if not len(ends):
                 continue
             windows = np.lib.stride_tricks.sliding_window_view(x, n)[ends - n + 1]

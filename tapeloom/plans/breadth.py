@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapeloom.functions.ranking import top_k
 from tapeloom.functions.scalars import corr_or_null, flag
 from tapeloom.operators import health as H
 from tapeloom.operators.calendar import timeline_dates
@@ -34,7 +35,6 @@ def industry_daily(m: Market) -> DataFrame:
     """(template, lag, ord, industry): eligible and Top-K counts with flows against `lag` days earlier."""
     base = stage(panel(m).select("template_id", "bar_date", "ord", "entity", "score", "industry_code"))
     keys = ["template_id", "ord"]
-    from tapeloom.functions.ranking import top_k
     from tapeloom.plans.common import best_first
 
     top = top_k(base, keys, best_first(), K)
@@ -174,11 +174,15 @@ def _(m: Market) -> DataFrame:
 
 
 def health_panel(m: Market) -> DataFrame:
-    counts = industry_counts(m).where((F.col("template_id") == 1) & (F.col("industry_code") >= 0))
-    return counts.select(
-        "bar_date", "industry_code", "industry", F.col("eligible").alias("eligible_count"),
-        F.col("top_count").alias("b_count"), F.col("selection_rate").alias("b_breadth"),
+    """(date, industry): members, members among the day's best blended scores, and their share."""
+    scored = stage(sim.blended_daily(m))
+    key = F.floor(F.col("bscore") * F.lit(1e9) + 0.5)
+    best = top_k(scored, ["bar_date"], [key.desc(), F.col("entity")], K).select("bar_date", "entity", F.lit(1).alias("hit"))
+    base = industry_on(scored.join(best, ["bar_date", "entity"], "left"), m.membership).where(F.col("industry_code") >= 0)
+    out = base.groupBy("bar_date", "industry_code", "industry").agg(
+        F.count(F.lit(1)).alias("eligible_count"), F.count("hit").alias("b_count")
     )
+    return out.withColumn("b_breadth", F.col("b_count") / F.col("eligible_count"))
 
 
 def _health(name: str, columns: str, sql: str) -> None:
@@ -241,7 +245,6 @@ def _(m: Market) -> DataFrame:
 
 def industry_threshold_daily(m: Market) -> DataFrame:
     """Per line, template, date and industry: counts, flows and leader-removed counts."""
-    from tapeloom.functions.ranking import top_k
     from tapeloom.plans.common import best_first
 
     base = stage(panel(m).select("template_id", "bar_date", "ord", "entity", "score", "industry_code"))

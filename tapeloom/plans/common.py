@@ -18,14 +18,14 @@ def best_first() -> list:
     return [F.col("score").desc(), F.col("entity")]
 
 
-def scored(m: Market) -> DataFrame:
-    """Every listed score with its calendar ordinal."""
-    return with_ordinal(sim.scores(m), m.cal)
+def scored(m: Market, days: DataFrame | None = None) -> DataFrame:
+    """Every listed score (on ``days`` only, if given) with its calendar ordinal."""
+    return with_ordinal(sim.scores(m, days), m.cal)
 
 
-def panel(m: Market) -> DataFrame:
+def panel(m: Market, days: DataFrame | None = None) -> DataFrame:
     """Scores with industry (no rank): the central derived fact."""
-    return industry_on(scored(m), m.membership)
+    return industry_on(scored(m, days), m.membership)
 
 
 def ranked(m: Market) -> DataFrame:

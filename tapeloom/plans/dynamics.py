@@ -45,7 +45,8 @@ def snapped(m: Market, frequency: str | None = None) -> DataFrame:
     snaps = snapshots(m)
     if frequency:
         snaps = snaps.where(F.col("frequency") == frequency)
-    base = stage(panel(m).drop("window_start"))
+    wanted = snaps.select("bar_date").unionByName(month_ends(m).select("bar_date"))
+    base = stage(panel(m, wanted).drop("window_start"))
     monthly = base.join(F.broadcast(month_ends(m)), "bar_date", "left_semi")
     lines = stage(frozen_thresholds(distribution(m, monthly), month_ends(m)).select("template_id", "threshold"))
     rows = base.join(F.broadcast(snaps), "bar_date").join(lines, "template_id")
@@ -57,7 +58,7 @@ def snapped(m: Market, frequency: str | None = None) -> DataFrame:
             'Q' || cast(cast(ceil(5.0e0 * row_number() over (partition by d.template_id, d.bar_date order by c.total_mv, d.entity) / count(*) over (partition by d.template_id, d.bar_date)) as integer) as varchar) as quintile
           from dsc d join caps c on c.entity = d.entity and c.bar_date = d.bar_date where frequency = 'monthly'""")
 def _(m: Market) -> DataFrame:
-    rows = panel(m).join(F.broadcast(month_ends(m)), "bar_date", "left_semi").join(m.caps, ["entity", "bar_date"], "left")
+    rows = panel(m, month_ends(m)).join(m.caps, ["entity", "bar_date"], "left")
     keys = ["template_id", "bar_date"]
     by_score = stage(order_positions(rows, keys, "score", ["entity"]))
     sized = order_positions(by_score.withColumnRenamed("n_group", "n"), keys, "total_mv", ["entity"], descending=False, out="size_rank", total="n_sized", staged=True)
@@ -118,7 +119,7 @@ def _(m: Market) -> DataFrame:
           from (select *, seq - row_number() over (partition by template_id, top_k, entity order by seq) as g from t)""")
 def _(m: Market) -> DataFrame:
     snaps = snapshots(m).where(F.col("frequency") == "monthly")
-    best = top_k(scored(m).join(F.broadcast(snaps), "bar_date"), ["template_id", "seq"], best_first(), KS[-1])
+    best = top_k(scored(m, snaps).join(F.broadcast(snaps), "bar_date"), ["template_id", "seq"], best_first(), KS[-1])
     sizes = F.filter(F.array(*[F.lit(k) for k in KS]), lambda k: F.col("rank") <= k)
     return streaks(best.withColumn("top_k", F.explode(sizes)), ["template_id", "top_k", "entity"], "seq")
 
@@ -149,7 +150,7 @@ def _(m: Market) -> DataFrame:
 
 def ranked_snapshots(m: Market) -> DataFrame:
     snaps = snapshots(m).where(F.col("frequency") == "monthly")
-    rows = scored(m).join(F.broadcast(snaps), "bar_date")
+    rows = scored(m, snaps).join(F.broadcast(snaps), "bar_date")
     pos = order_positions(rows, ["frequency", "template_id", "seq"], "score", ["entity"])
     n = F.col("n_group")
     return stage(pos.withColumn("percentile", (n - F.col("rank") + 1) / n * 100))

@@ -443,10 +443,11 @@ def _(m: Market) -> DataFrame:
 
 def industry_counts(m: Market, k: int = K) -> DataFrame:
     """(date, template, industry): eligible, chosen, rate and share; counted before any shuffle of rows."""
-    base = panel(m)
     keys = ["template_id", "bar_date", "industry_code", "industry"]
+    base = stage(panel(m).select(*keys, "entity", "score"))  # scored once, read for both counts
     eligible = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("eligible"))
-    chosen = daily_top(m, k).groupBy(*keys).agg(F.count(F.lit(1)).alias("top_count"))
+    best = top_k(base, ["template_id", "bar_date"], best_first(), k)
+    chosen = best.groupBy(*keys).agg(F.count(F.lit(1)).alias("top_count"))
     return (
         eligible.join(chosen, keys, "left").fillna(0, ["top_count"])
         .withColumn("selection_rate", F.col("top_count") / F.col("eligible"))

@@ -28,8 +28,8 @@ def book(m: Market) -> S.TemplateBook:
     return m.template_book
 
 
-def scores(m: Market) -> DataFrame:
-    return active_listing(S.rolling_scores(m.qfq, book(m)), m.securities)
+def scores(m: Market, days: DataFrame | None = None) -> DataFrame:
+    return active_listing(S.rolling_scores(m.qfq, book(m), days), m.securities)
 
 
 def latest(m: Market) -> DataFrame:
@@ -82,7 +82,7 @@ def _(m: Market) -> DataFrame:
        "select s.template_id, s.entity, s.bar_date, s.score from scores s join cal c on s.bar_date = c.bar_date where c.ord % 5 = 0")
 def _(m: Market) -> DataFrame:
     days = m.cal.where(F.col("ord") % 5 == 0).select("bar_date")
-    return scores(m).join(F.broadcast(days), "bar_date", "left_semi")
+    return scores(m, days)
 
 
 @query(
@@ -210,6 +210,14 @@ def blended(m: Market) -> DataFrame:
     return shares.groupBy("entity").agg(F.avg("pct").alias("bscore"))
 
 
+def blended_daily(m: Market) -> DataFrame:
+    """(entity, bar_date, bscore): the blended score of every day, among that day's listed securities."""
+    three = S.TemplateBook(tuple(t for t in book(m).resized_to(80).templates[:3]))
+    rows = active_listing(S.rolling_scores(m.qfq, three), m.securities).select("template_id", "entity", "bar_date", "score")
+    shares = average_rank_share(stage(rows.withColumn("score", F.rint(F.col("score") * 1e9))), ["template_id", "bar_date"], "score", "pct")
+    return shares.groupBy("entity", "bar_date").agg(F.avg("pct").alias("bscore"))
+
+
 BLEND_SQL = """
 with base as (select template_id, n, zl from zlists where template_id <= 3),
 spot as (select *, i * (n - 1) / 79.0e0 as p from (select *, unnest(range(80)) as i from base)),

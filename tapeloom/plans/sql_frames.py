@@ -240,9 +240,32 @@ full join (select template_id, lag, ord, coalesce(c, p) as industry_code, count(
     count(case when state = 'exit' then 1 end) as x from flowst group by all) f
   on i.template_id = f.template_id and i.lag = f.lag and i.ord = f.ord and i.industry_code = f.industry_code"""
 
+FRAMES["bcurves"] = """
+select template_id, list(z order by i) as zl from (
+  select template_id, i, (y - avg(y) over g) / stddev_pop(y) over g as z from (
+    select template_id, i, zl[cast(floor(p) as integer) + 1] + (zl[least(cast(floor(p) as integer) + 2, n)] - zl[cast(floor(p) as integer) + 1]) * (p - floor(p)) as y
+    from (select *, i * (n - 1) / 79.0e0 as p from (select *, unnest(range(80)) as i from zlists where template_id <= 3)))
+  window g as (partition by template_id))
+group by template_id"""
+
+FRAMES["bscores"] = """
+select x.entity, x.bar_date, avg(pct) as bscore from (
+  select *, (rank() over (partition by template_id, bar_date order by s) + (count(*) over (partition by template_id, bar_date, s) - 1) / 2.0e0)
+    / count(*) over (partition by template_id, bar_date) as pct
+  from (select c.template_id, l.entity, l.bar_date, round_even(case when l.s80 > 1e-12 then list_dot_product(c.zl, l.l80) / (80 * l.s80) else 0 end * 1e9, 0) as s
+    from (select * from xlists where pos >= 80) l cross join bcurves c join securities q on q.entity = l.entity
+    where q.list_date <= l.bar_date and (q.delist_date is null or q.delist_date > l.bar_date))) x
+group by 1, 2"""
+
 FRAMES["healthp"] = """
-select bar_date, ord, industry_code, industry, eligible as eligible_count, top_count as b_count, top_count * 1.0e0 / eligible as b_breadth
-from indday where template_id = 1 and industry_code >= 0"""
+select r.bar_date, c.ord, w.m.industry_code as industry_code, any_value(w.m.industry) as industry, count(*) as eligible_count,
+  count(case when r.b_rank <= 100 then 1 end) as b_count, count(case when r.b_rank <= 100 then 1 end) * 1.0e0 / count(*) as b_breadth
+from (select *, row_number() over (partition by bar_date order by floor(bscore * 1e9 + 0.5e0) desc, entity) as b_rank from bscores) r
+join cal c on c.bar_date = r.bar_date
+join (select x.entity, x.bar_date, arg_max(struct_pack(industry_code := y.industry_code, industry := y.industry), y.in_date) as m
+  from bscores x join membership y on y.entity = x.entity and y.in_date <= x.bar_date and (y.out_date is null or y.out_date > x.bar_date) group by 1, 2) w
+  on w.entity = r.entity and w.bar_date = r.bar_date
+group by r.bar_date, c.ord, w.m.industry_code"""
 
 FRAMES["healthr"] = """
 select *, (rank() over (partition by bar_date order by b_breadth) + (count(*) over (partition by bar_date, b_breadth) - 1) / 2.0e0) / count(*) over (partition by bar_date) as rk
