@@ -88,17 +88,24 @@ _confusion("met_confusion")
 _confusion("agg_confusion")
 
 
-@query("cal_join_rounds", "doc_id:i in_labels:b in_audit:b complete:b",
-       """select d.doc_id, l.doc_id is not null as in_labels, b.item_id is not null as in_audit, l.doc_id is not null and b.item_id is not null as complete
-          from documents d left join labels l on d.doc_id = l.doc_id left join (select distinct item_id from benchmark) b on b.item_id = d.doc_id""")
+@query("cal_join_rounds", "doc_id:i in_manifest:b in_labels:b in_audit:b same_content:b complete:b",
+       """select doc_id, m is not null as in_manifest, l is not null as in_labels, a is not null as in_audit, coalesce(m = a, false) as same_content,
+            m is not null and l is not null and a is not null and coalesce(m = a, false) as complete
+          from (select doc_id, sha256(text) as m from documents) full join (select distinct doc_id, 1 as l from labels) using (doc_id)
+          full join (select item_id * 3 as doc_id, sha256(text) as a from benchmark) using (doc_id)""")
 def _(m: Market) -> DataFrame:
-    manifest = m.table("documents").select("doc_id", F.lit(True).alias("m"))
-    labels = m.table("labels").select("doc_id", F.lit(True).alias("l"))
-    audit = m.table("benchmark").select(F.col("item_id").alias("doc_id"), F.lit(True).alias("a")).distinct()
-    joined = manifest.join(labels, "doc_id", "full_outer").join(audit, "doc_id", "full_outer").where(F.col("m"))
-    no = F.lit(False)
-    return joined.select("doc_id", F.coalesce("l", no).alias("in_labels"), F.coalesce("a", no).alias("in_audit")).withColumn(
-        "complete", F.col("in_labels") & F.col("in_audit")
+    """Manifest, labels and audit by sample: who lacks a sample, and whose content differs; no side is filtered.
+
+    The benchmark stands for the audit, its ids tripled, so that some have no document.
+    """
+    manifest = m.table("documents").select("doc_id", F.sha2("text", 256).alias("m"))
+    labels = m.table("labels").select("doc_id", F.lit(True).alias("l")).distinct()
+    audit = m.table("benchmark").select((F.col("item_id") * 3).alias("doc_id"), F.sha2("text", 256).alias("a"))
+    joined = manifest.join(labels, "doc_id", "full_outer").join(audit, "doc_id", "full_outer")
+    there = {f"in_{n}": F.col(c).isNotNull() for n, c in (("manifest", "m"), ("labels", "l"), ("audit", "a"))}
+    same = F.coalesce(F.col("m") == F.col("a"), F.lit(False))
+    return joined.withColumns({**there, "same_content": same}).withColumn(
+        "complete", F.col("in_manifest") & F.col("in_labels") & F.col("in_audit") & F.col("same_content")
     )
 
 

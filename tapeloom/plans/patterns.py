@@ -34,14 +34,14 @@ for _name, _category in (("pat_breakout", "breakout"), ("pat_pullback", "pullbac
     _single(_name, _category)
 
 
-_LAST = """
+LAST_SQL = """
 last_bar as (select * from bars where pos = n_bars),
 prim as (select p.entity, count(*) as matches, arg_max(p.category, struct_pack(a := p.score, b := p.prio)) as category, max(p.score) as score
   from patlong p join last_bar l on p.entity = l.entity and p.bar_date = l.bar_date group by 1)"""
 
 
 @query("pat_score_stock", "entity:i bar_date:d n_past:i status:s matches:i category:s score:f",
-       f"""with {_LAST} select l.entity, l.bar_date, least(l.pos, 120) as n_past, case when l.pos < 60 then 'not_calculated' when p.entity is not null then 'matched' else 'no_match' end as status,
+       f"""with {LAST_SQL} select l.entity, l.bar_date, least(l.pos, 120) as n_past, case when l.pos < 60 then 'not_calculated' when p.entity is not null then 'matched' else 'no_match' end as status,
           coalesce(p.matches, 0) as matches, p.category, p.score from last_bar l left join prim p on l.entity = p.entity""")
 def _(m: Market) -> DataFrame:
     df = P.latest_matches(m.bars0)
@@ -86,7 +86,7 @@ def screen(m: Market) -> DataFrame:
 
 
 @query("pat_screen", "entity:i status:s category:s score:f rank:i category_rank:i",
-       f"""with {_LAST}, {_POOL}, ev as (select l.entity, case when l.pos < 60 then 'not_calculated' when p.entity is not null then 'matched' else 'no_match' end as status, p.category, p.score
+       f"""with {LAST_SQL}, {_POOL}, ev as (select l.entity, case when l.pos < 60 then 'not_calculated' when p.entity is not null then 'matched' else 'no_match' end as status, p.category, p.score
           from pool o join last_bar l on l.entity = o.entity left join prim p on l.entity = p.entity),
         cr as (select p.entity, p.category, row_number() over (partition by p.category order by p.score desc, p.entity) as category_rank
           from patlong p join last_bar l on p.entity = l.entity and p.bar_date = l.bar_date where p.entity in (select entity from pool)),
@@ -103,7 +103,7 @@ def _(m: Market) -> DataFrame:
 
 
 @query("top_per_category", "category:s category_rank:i entity:i score:f",
-       f"""with {_LAST} select category, category_rank, entity, score from (select p.*, row_number() over (partition by p.category order by p.score desc, p.entity) as category_rank
+       f"""with {LAST_SQL} select category, category_rank, entity, score from (select p.*, row_number() over (partition by p.category order by p.score desc, p.entity) as category_rank
           from patlong p join last_bar l on p.entity = l.entity and p.bar_date = l.bar_date) where category_rank <= 100""")
 def _(m: Market) -> DataFrame:
     matches = P.category_list(P.latest_matches(m.bars0))
@@ -111,7 +111,7 @@ def _(m: Market) -> DataFrame:
 
 
 @query("pat_pool", "category:s total:i best:f",
-       f"""with {_LAST}, {_POOL} select p.category, count(*) as total, max(p.score) as best from patlong p join last_bar l on p.entity = l.entity and p.bar_date = l.bar_date
+       f"""with {LAST_SQL}, {_POOL} select p.category, count(*) as total, max(p.score) as best from patlong p join last_bar l on p.entity = l.entity and p.bar_date = l.bar_date
           where p.entity in (select entity from pool) group by 1""")
 def _(m: Market) -> DataFrame:
     rows = P.category_list(screen(m).where(F.col("status") == "matched"))

@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.functions.ranking import top_k
-from tapeloom.functions.scalars import flag
+from tapeloom.functions.scalars import flag, padded
 from tapeloom.operators.calendar import with_ordinal
 from tapeloom.operators.flows import flow_counts, flows_to_last_seen, shifted_states
 from tapeloom.operators.membership import industry_on
+from tapeloom.operators.patterns import latest_matches
 from tapeloom.operators.runs import streaks
 from tapeloom.plans import similarity as sim
 from tapeloom.plans.common import K, best_first, daily_top, panel, scored
+from tapeloom.plans.patterns import LAST_SQL
 from tapeloom.plans.registry import query
 from tapeloom.plans.relational import EVENTS_SQL, latest_panel
 from tapeloom.sources.staging import stage
@@ -37,36 +39,50 @@ def _(m: Market) -> DataFrame:
 
 
 @query("top_primary_match", "entity:i bar_date:d category:s score:f",
-       """select entity, bar_date, case when a >= b and a >= c then 'breakout' when b >= c then 'pullback' else 'range' end as category, greatest(a, b, c) as score
-          from (select entity, bar_date, floor(open % 7) as a, floor(high % 7) as b, floor(low % 7) as c from bars0)""")
+       f"with {LAST_SQL} select l.entity, l.bar_date, p.category, p.score from last_bar l join prim p on p.entity = l.entity where l.pos >= 60")
 def _(m: Market) -> DataFrame:
-    # Ties go to the first category: the struct orders by score, then by minus position.
-    parts = [("breakout", "open"), ("pullback", "high"), ("range", "low")]
-    options = F.array(*[
-        F.struct(F.floor(F.col(c) % 7).cast("double").alias("score"), F.lit(-i).alias("o"), F.lit(name).alias("category"))
-        for i, (name, c) in enumerate(parts)
-    ])
-    return m.bars0.withColumn("p", F.array_max(options)).select("entity", "bar_date", "p.category", "p.score")
-
-
-@query("top_search", "p_partkey:i p_name:s match_rank:i",
-       """with t as (select (select upper(arg_min(p_brand, p_partkey)) from part) as q)
-          select * from (select p_partkey, p_name, case when upper(p_brand) = q then 95 else 0 end + case when starts_with(upper(p_name), q) then 50 else 0 end
-            + case when starts_with(upper(p_type), left(q, 1)) then 60 else 0 end as match_rank
-          from part, t where contains(upper(p_brand), q) or contains(upper(p_name), q) or contains(upper(p_type), q))
-          order by match_rank desc, p_partkey limit 20""")
+    # Ties of the pattern scores go to the first category: the struct orders by score, then by minus position.
+    found = latest_matches(m.bars0).where(F.col("status") == "matched")
+    return found.select("entity", "bar_date", "primary.category", "primary.score")
+
+
+# Weights of the ways in which a security can match a query.
+SEARCH_WEIGHTS = {"code": 100, "symbol": 95, "name": 90, "symbol_start": 70, "spelling_start": 60, "name_start": 50}
+SEARCHES = ["000001", " 000012.sh", "Supplier#000000007", "s00000", "Supplier#00000000", "nobody"]
+
+
+def search(securities: DataFrame, queries: list[str], limit: int = 20) -> DataFrame:
+    """The best matches of each query text: (query, match_rank, place) over code, symbol, name and spelling.
+
+    The query texts ride along as one short literal array per security.
+    """
+    q = F.explode(F.array(*[F.lit(text.strip()) for text in queries if text.strip()])).alias("query")
+    rows = securities.select("entity", "symbol", "code", "name", "spelling", q).withColumn("q", F.upper("query"))
+    hit = F.contains("symbol", F.col("q")) | F.contains("code", F.col("q")) | F.contains("name", F.col("query")) | F.contains("spelling", F.col("q"))
+    ways = {
+        "code": F.col("code") == F.col("q"), "symbol": F.col("symbol") == F.col("q"), "name": F.col("name") == F.col("query"),
+        "symbol_start": F.startswith("symbol", F.col("q")), "spelling_start": F.startswith("spelling", F.col("q")),
+        "name_start": F.startswith("name", F.col("query")),
+    }
+    weights = [F.when(cond, SEARCH_WEIGHTS[way]).otherwise(0) for way, cond in ways.items()]
+    ranked_ = rows.where(hit).withColumn("match_rank", sum(weights[1:], weights[0]))
+    return top_k(ranked_, ["query"], [F.col("match_rank").desc(), F.col("symbol")], limit, "place")
+
+
+@query("top_search", "query:s place:i entity:i match_rank:i",
+       f"""with b as (select entity, lpad(cast(entity as varchar), cast(greatest(6, length(cast(entity as varchar))) as integer), '0') as symbol, name from securities),
+          c as (select *, symbol || '.SH' as code, 'S' || symbol as spelling from b),
+          t as (select trim(x) as query, upper(trim(x)) as q from (select unnest({SEARCHES!r}) as x)),
+          h as (select query, entity, symbol, case when code = q then 100 else 0 end + case when symbol = q then 95 else 0 end + case when name = query then 90 else 0 end
+              + case when starts_with(symbol, q) then 70 else 0 end + case when starts_with(spelling, q) then 60 else 0 end + case when starts_with(name, query) then 50 else 0 end as match_rank
+            from c, t where contains(symbol, q) or contains(code, q) or contains(name, query) or contains(spelling, q))
+          select * from (select *, row_number() over (partition by query order by match_rank desc, symbol) as place from h) where place <= 20""")
 def _(m: Market) -> DataFrame:
-    part = m.table("part")
-    q = part.agg(F.upper(F.min_by("p_brand", "p_partkey"))).scalar()
-    df = part.select("p_partkey", "p_name", F.upper("p_brand").alias("b"), F.upper("p_name").alias("n"), F.upper("p_type").alias("t"))
-    hit = F.contains("b", q) | F.contains("n", q) | F.contains("t", q)
-    rank = (
-        F.when(F.col("b") == q, 95).otherwise(0)
-        + F.when(F.startswith("n", q), 50).otherwise(0)
-        + F.when(F.startswith("t", F.left(q, F.lit(1))), 60).otherwise(0)
+    symbol = padded("entity")
+    listed = m.securities.select(
+        "entity", symbol.alias("symbol"), F.concat(symbol, F.lit(".SH")).alias("code"), "name", F.concat(F.lit("S"), symbol).alias("spelling"),
     )
-    # Sort with a limit compiles to a per-task top-20 and one small merge.
-    return df.where(hit).withColumn("match_rank", rank).orderBy(F.col("match_rank").desc(), "p_partkey").limit(20)
+    return search(listed, SEARCHES)
 
 
 @query("top_one_per_security", "entity:i template_id:i bar_date:d score:f",

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from tapeloom.functions.ranking import average_rank_share, exact_quantiles, order_positions
 from tapeloom.operators import bars as B
 from tapeloom.operators import calendar as C
-from tapeloom.operators import flows, metrics, rotation, runs, sampling
+from tapeloom.functions.scalars import padded
+from tapeloom.operators import dynamics, flows, metrics, rotation, runs, sampling
 from tapeloom.operators import similarity as S
 from tapeloom.operators.asof import as_of_samples
 from tapeloom.operators.selection import fill_quotas
@@ -226,3 +227,41 @@ def test_rotation_samples_are_every_fifth_of_the_last_120(spark):
     cal = spark.createDataFrame([(day(i), i) for i in range(130)], "bar_date date, ord int")
     got = [r.ord for r in C.rotation_samples(cal).orderBy("sample").collect()]
     assert got == list(range(14, 130, 5)) and len(got) == 24
+
+
+def test_long_codes_are_not_cut(spark):
+    rows = spark.createDataFrame([(1,), (999_999,), (1_000_001,)], "entity long")
+    assert [r.c for r in rows.select(padded("entity").alias("c")).collect()] == ["000001", "999999", "1000001"]
+
+
+def test_later_factor_does_not_fill_a_gap_as_of_a_day(spark):
+    rows = [(1, day(0), 10.0, 1.0), (1, day(1), 20.0, 2.0), (1, day(2), 30.0, None), (1, day(3), 40.0, 8.0)]
+    raw = spark.createDataFrame([(e, d, c, c, c, c, f) for e, d, c, f in rows],
+                                "entity long, bar_date date, open double, high double, low double, close double, adj_factor double")
+    got = {r.bar_date: r.close for r in B.adjust_as_of(raw, F.lit(day(2)).cast("date")).collect()}
+    assert got == {day(0): 5.0, day(1): 20.0}  # the bar whose factor comes later is left out
+
+
+def test_states_of_five_templates(spark):
+    names = dynamics.state_names([1, 2, 3, 4, 5])
+    st = spark.createDataFrame([("w", s, 1, t) for s, t in ((0, "t5"), (1, "t5"), (2, "none"))], "frequency string, seq int, entity long, state string")
+    counts = {(r.seq, r.state): r["count"] for r in dynamics.state_counts(st.withColumn("bar_date", F.lit(None)), names).collect()}
+    assert counts[(0, "t5")] == 1 and len({s for _, s in counts}) == 7
+    moves = {(r.from_state, r.to_state): r["count"] for r in dynamics.transitions(st, names).collect()}
+    assert moves[("t5", "t5")] == 1 and moves[("t5", "none")] == 1 and sum(moves.values()) == 2
+
+
+def test_rotation_features_of_a_short_history(spark):
+    cells = spark.createDataFrame([(7, "x", s, n) for s, n in enumerate([9, 9, 9, 9, 9, 9, 1, 2, 3, 4])], "industry_code long, industry string, sample int, n long")
+    r = rotation.features(cells).first()
+    assert (r.counts, r.slope, r.recent_change, r.effective, r.current_count) == ([1, 2, 3, 4], 1.0, 3, 4, 4)
+
+
+def test_only_wanted_days_are_scored(spark):
+    rng = random.Random(8)
+    bars = bars_of(spark, {e: [rng.uniform(5, 15) for _ in range(40)] for e in (1, 2)})
+    book = S.TemplateBook(((1, tuple(np.linspace(-1.5, 1.5, 12))),))
+    full = {(r.entity, r.bar_date): r.score for r in S.rolling_scores(bars, book).collect()}
+    days = spark.createDataFrame([(day(3),), (day(20),), (day(39),)], "bar_date date")
+    some = {(r.entity, r.bar_date): r.score for r in S.rolling_scores(bars, book, days).collect()}
+    assert some == {k: v for k, v in full.items() if k[1] in (day(20), day(39))}
