@@ -103,7 +103,8 @@ def in_training_order(
             slots = permutation(batch.column(0).to_numpy())
             yield pa.RecordBatch.from_arrays([pa.array(slots), *batch.columns[1:]], ["slot", "doc_id", "part", "ids"])
 
-    numbered = cut.join(offsets, "block").select((F.col("offset") + F.col("number")).alias("at"), "doc_id", "part", "ids")
+    # offsets are a row of two numbers for each input task, so the ids stay where they are
+    numbered = cut.join(F.broadcast(offsets), "block").select((F.col("offset") + F.col("number")).alias("at"), "doc_id", "part", "ids")
     return numbered.mapInArrow(assign, "slot bigint, doc_id bigint, part int, ids binary")
 
 
