@@ -30,10 +30,13 @@ def latest_windows(bars: DataFrame, as_of: Column) -> DataFrame:
 
 def sliding_windows(bars: DataFrame, stride: int) -> DataFrame:
     """Windows ending at every `stride`-th bar of a security, and at its last bar."""
-    point = F.struct("bar_date", *[F.col(src).alias(k) for k, src in FIELDS.items()])
-    every = bars.withColumn("w", F.collect_list(point).over(by_entity().rowsBetween(1 - N, 0)))
-    at_stop = ((F.col("pos") - N) % stride == 0) | (F.col("pos") == F.col("n_bars"))
-    return _unpack(every.where((F.col("pos") >= N) & at_stop).select("entity", "bar_date", "w"))
+    # One array per security (bounded by the calendar), cut at the stops only.
+    point = F.struct("pos", "bar_date", *[F.col(src).alias(k) for k, src in FIELDS.items()])
+    whole = bars.groupBy("entity").agg(F.array_sort(F.collect_list(point)).alias("all")).where(F.size("all") >= N)
+    n = F.size("all")
+    stops = F.filter(F.sequence(F.lit(N), n), lambda i: ((i - N) % stride == 0) | (i == n))
+    cut = whole.select("entity", "all", F.explode(stops).alias("stop"))
+    return _unpack(cut.select("entity", F.get("all", F.col("stop") - 1)["bar_date"].alias("bar_date"), F.slice("all", F.col("stop") - N + 1, N).alias("w")))
 
 
 def _unpack(df: DataFrame) -> DataFrame:

@@ -100,14 +100,26 @@ for _q, _n in (("v2_prefilter_visual", "visual"), ("v2_prefilter_healthy", "heal
     _prior(_q, _n)
 
 
-@query("v2_mine_segments", "entity:i bar_date:d prior:f clean:b")
+MINED = ("healthy", "breakout", "pullback")
+MINED_K = 60
+
+
+@query("v2_mine_segments", "profile:s entity:i windows:i clean_windows:i bar_date:d prior:f place:i")
 def _(m: Market) -> DataFrame:
-    """Best window of every security over its whole history, clean ones first, Top-60."""
-    df = scored_windows(m, X.sliding_windows(m.qfq, 15), ("healthy",))
-    key = F.struct(F.col("prior_healthy"), F.col("bar_date"), F.col("clean_healthy"))
-    best = df.groupBy("entity").agg(F.max(key).alias("b"))
-    flat = best.select("entity", "b.bar_date", F.col("b.prior_healthy").alias("prior"), F.col("b.clean_healthy").alias("clean"))
-    return flat.orderBy(F.col("clean").desc(), F.col("prior").desc(), "entity").limit(60)
+    """Windows and clean windows of every security by profile, its best clean one, and the place among the Top-60.
+
+    Unclean windows are counted but never mined: without a clean one, date, prior and place are null.
+    """
+    df = stage(scored_windows(m, X.sliding_windows(m.qfq, 15), MINED).select(
+        "entity", "bar_date", *[f"{k}_{n}" for n in MINED for k in ("prior", "clean")]
+    ))
+    options = F.array(*[F.struct(F.lit(n).alias("profile"), F.col(f"prior_{n}").alias("prior"), F.col(f"clean_{n}").alias("clean")) for n in MINED])
+    best = df.select("entity", "bar_date", F.inline(options)).groupBy("profile", "entity").agg(
+        F.count(F.lit(1)).alias("windows"), F.count_if("clean").alias("clean_windows"),
+        F.max(F.when(F.col("clean"), F.struct("prior", "bar_date"))).alias("b"),
+    ).select("profile", "entity", "windows", "clean_windows", "b.bar_date", "b.prior")
+    mined = top_k(best.where("clean_windows > 0"), ["profile"], [F.col("prior").desc(), F.col("entity")], MINED_K, "place")
+    return best.join(mined.select("profile", "entity", "place"), ["profile", "entity"], "left")
 
 
 # Ratings for the calibration queries: a fixed 0..3 label per security and category.
