@@ -245,7 +245,8 @@ def repeated_ranges(texts: DataFrame) -> DataFrame:
     ``texts`` has key and text, equal keys for equal texts.
     """
     offered = _anchor_rows(texts)
-    repeated = offered.groupBy("gram").agg(F.count("*").alias("times")).where("times > 1").drop("times")
+    # written, so that the join reads two plain shuffles and can split the partition of a frequent gram
+    repeated = stage(offered.groupBy("gram").agg(F.count("*").alias("times")).where("times > 1").drop("times"))
     suffixes = stage(offered.join(repeated, "gram", "left_semi"))
 
     by_context = suffixes.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("key", "place")).alias("one"))
