@@ -129,7 +129,7 @@ def postings(members: DataFrame, counts: np.ndarray, matches: int) -> DataFrame:
     usual = 2 * int(counts.mean()) + 1  # what other tokens add to a cell
 
     def post(batch: pa.RecordBatch) -> pa.RecordBatch:
-        prints, (rows, tokens) = batch.column(0), _tokens(batch.column(1))
+        nodes, (rows, tokens) = batch.column(0), _tokens(batch.column(1))
         load = counts[(tokens >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
         order = np.lexsort((tokens, load), axis=1)[:, :prefix]
         token, load = np.take_along_axis(tokens, order, 1).ravel(), np.take_along_axis(load, order, 1).ravel()
@@ -143,8 +143,8 @@ def postings(members: DataFrame, counts: np.ndarray, matches: int) -> DataFrame:
         data = pa.array([r.tobytes() for r in short], pa.binary())
         member = pa.array(member[copy])
         return pa.RecordBatch.from_arrays(
-            [pa.array(token[copy].view(np.int64)), pa.array((low << 20 | high)), prints.take(member), data.take(member)],
-            ["token", "block", "print", "short"],
+            [pa.array(token[copy].view(np.int64)), pa.array((low << 20 | high)), nodes.take(member), data.take(member)],
+            ["token", "block", "node", "short"],
         )
 
     def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +152,7 @@ def postings(members: DataFrame, counts: np.ndarray, matches: int) -> DataFrame:
             for i in range(0, batch.num_rows, 1000):
                 yield post(batch.slice(i, 1000))
 
-    return members.select("print", "signature").mapInArrow(small, "token bigint, block bigint, print binary, short binary")
+    return members.select("node", "signature").mapInArrow(small, "token bigint, block bigint, node bigint, short binary")
 
 
 def _forest(n: int, linked) -> list[tuple[int, int]]:
@@ -204,7 +204,7 @@ def matches_of_lists(posted: DataFrame, matches: int) -> DataFrame:
             sizes = np.diff(np.append(starts, table.num_rows))
             if sizes.max() < 2:
                 continue
-            short, prints = fixed(table.column("short"), K), table.column("print").combine_chunks()
+            short, nodes = fixed(table.column("short"), K), table.column("node").to_numpy()
             pair = starts[sizes == 2]
             pair = pair[(short[pair] == short[pair + 1]).sum(1) >= matches]
             left, right = [pair], [pair + 1]
@@ -217,11 +217,11 @@ def matches_of_lists(posted: DataFrame, matches: int) -> DataFrame:
                     right.append(edge[:, 1])
             left, right = np.concatenate(left), np.concatenate(right)
             for i in range(0, len(left), 10_000):
-                ends = [prints.take(pa.array(side[i : i + 10_000])) for side in (left, right)]
+                ends = [pa.array(nodes[side[i : i + 10_000]]) for side in (left, right)]
                 yield pa.RecordBatch.from_arrays(ends, ["a", "b"])
 
     listed = posted.repartition("token", "block").sortWithinPartitions("token", "block")
-    return listed.mapInArrow(scan, "a binary, b binary").distinct()
+    return listed.mapInArrow(scan, "a bigint, b bigint").distinct()
 
 
 def _slots(prints: np.ndarray, doc_ids: np.ndarray) -> np.ndarray:
@@ -293,17 +293,17 @@ def _links(blocks: DataFrame, percent: int) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in whole_groups(batches, 2):
-            edges: list[tuple[bytes, bytes]] = []
-            prints = table.column("print").to_pylist()
+            edges: list[tuple[int, int]] = []
+            nodes = table.column("node").to_pylist()
             for a, b in zip(starts.tolist(), [*starts[1:].tolist(), table.num_rows], strict=True):
                 if b - a > 1:
                     sets = [np.frombuffer(s.as_py(), np.uint64) for s in table.column("shingles").slice(a, b - a)]
-                    edges += [(prints[a + i], prints[a + j]) for i, j in edges_of(sets)]
+                    edges += [(nodes[a + i], nodes[a + j]) for i, j in edges_of(sets)]
             if edges:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*edges, strict=True)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*edges, strict=True)], ["a", "b"])
 
     listed = blocks.repartition("family", "block").sortWithinPartitions("family", "block")
-    return listed.mapInArrow(scan, "a binary, b binary").distinct()
+    return listed.mapInArrow(scan, "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -320,22 +320,22 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     whole = sketched.where("print is not null")
     classes = stage(whole.groupBy("print").agg(
         F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n_shingles"), F.min("signature").alias("signature"),
-    ))
+    ).withColumn("node", F.monotonically_increasing_id()))  # numbered as written
     counts = token_counts(classes)
     families = components(matches_of_lists(postings(classes, counts, matches), matches))
-    members = families.join(classes.drop("signature"), F.col("node") == F.col("print")).drop("node")
+    members = families.join(classes.drop("signature"), "node")
     size = F.ceil(F.sum("n_shingles") / FAMILY_SHINGLES).cast("int").alias("blocks")
     members = stage(members.join(members.groupBy("root").agg(size), "root"))
 
     sets = _full_sets(docs, doc_id, text, shingle, _member_filter(members)).groupBy("print").agg(F.min("shingles").alias("shingles"))
-    own, other = F.pmod(F.xxhash64("print"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    family = F.xxhash64("root").alias("family")
-    blocks = sets.join(members.select("print", family, "blocks", own.alias("own"), other.alias("other")), "print")
+    own, other = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    family = F.col("root").alias("family")
+    blocks = sets.join(members.select("print", "node", family, "blocks", own.alias("own"), other.alias("other")), "print")
     block = (F.least("own", "other").cast("bigint") * (1 << 20) + F.greatest("own", "other")).alias("block")
-    linked = components(_links(blocks.select("family", block, "print", "shingles"), percent))
+    linked = components(_links(blocks.select("family", block, "node", "shingles"), percent))
 
-    joined = classes.select("print", "doc_id").join(linked, F.col("print") == F.col("node"), "left")
-    joined = joined.select("print", "doc_id", F.coalesce("root", "print").alias("root"))
+    joined = classes.select("node", "print", "doc_id").join(linked, "node", "left")
+    joined = joined.select("print", "doc_id", F.coalesce("root", "node").alias("root"))
     least = joined.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = joined.select("print", "root").join(least, "root").select(F.col("print").alias("own_print"), "component_id")
     out = sketched.drop("signature").join(named, F.col("print") == F.col("own_print"), "left")
