@@ -2,7 +2,8 @@
 
 One model learns random strings, the other ordinary identifiers.  The labelled samples are the
 corpus' own: what the fixed patterns find is random, every other run of identifier characters is
-ordinary.  A run whose log-likelihood ratio per character passes a threshold is a secret too.
+ordinary.  A run, or a long enough part of one, whose log-likelihood ratio per character passes a
+threshold is a secret too; the fixed patterns' finds are cut out of runs first.
 """
 
 from __future__ import annotations
@@ -40,6 +41,7 @@ SMOOTHING = 1.0
 _CODE = np.full(256, SIZE - 1, np.int64)
 _CODE[list(LETTERS)] = np.arange(len(LETTERS))
 _IN_RUN = byte_set(LETTERS)
+_IS_CUT = byte_set(b"=/_-")
 _HEX = byte_set(b"0123456789abcdef")
 
 
@@ -67,14 +69,12 @@ def base_spans(data: bytes, raw: np.ndarray, at: np.ndarray) -> list[tuple[int,
     return sorted(found)
 
 
-def _covered(starts: np.ndarray, ends: np.ndarray, spans: list[tuple[int, int, int]]) -> np.ndarray:
-    """Which runs meet a span."""
-    if not spans:
-        return np.zeros(len(starts), bool)
-    begin = np.array([s[0] for s in spans])
-    reach = np.maximum.accumulate([s[2] for s in spans])
-    last = np.searchsorted(begin, ends) - 1
-    return (last >= 0) & (reach[np.maximum(last, 0)] > starts)
+def _base_bytes(size: int, spans: list[tuple[int, int, int]]) -> np.ndarray:
+    """Which bytes lie in a base span."""
+    inside = np.zeros(size, bool)
+    for a, _, b in spans:
+        inside[a:b] = True
+    return inside
 
 
 def _triples(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -98,12 +98,12 @@ def train(docs: DataFrame, text: str = "text") -> Models:
         cells = np.zeros(2 * SIZE**3, np.int64)
         for _, _, raw, at in chunks(batch.column(0)):
             spans = base_spans(raw.tobytes(), raw, at)
-            starts, ends, _ = runs(_IN_RUN[raw], at)
-            long = ends - starts >= MIN_SAMPLE
-            starts, ends = starts[long], ends[long]
-            secret = _covered(starts, ends, spans)
-            cell, run = _triples(raw, starts, ends)
-            cells += np.bincount(cell + secret[run] * SIZE**3, minlength=len(cells))
+            in_run, in_base = _IN_RUN[raw], _base_bytes(len(raw), spans)
+            for kind, inside in enumerate((in_run & ~in_base, in_run & in_base)):
+                starts, ends, _ = runs(inside, at)
+                long = ends - starts >= MIN_SAMPLE
+                cell, _ = _triples(raw, starts[long], ends[long])
+                cells[kind * SIZE**3 : (kind + 1) * SIZE**3] += np.bincount(cell, minlength=SIZE**3)
         used = np.flatnonzero(cells)
         return pa.RecordBatch.from_arrays([pa.array(used), pa.array(cells[used])], ["cell", "n"])
 
@@ -123,20 +123,48 @@ def train(docs: DataFrame, text: str = "text") -> Models:
     return Models((logs[1] - logs[0]).ravel().astype(np.float32))
 
 
+def _stretches(over: np.ndarray, cuts: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of a piece that are random: all of it, or its best stretches of ``MIN_RUN`` characters or more.
+
+    ``over`` is the ratio of each character less the threshold, ``cuts`` the separators.  A stretch is
+    widened to the separators around it; what lies left and right of it is judged again.
+    """
+    out, rest = [], [(0, len(over))]
+    while rest:
+        a, b = rest.pop()
+        if b - a < MIN_RUN:
+            continue
+        total = np.concatenate([[0.0], np.cumsum(over[a:b])])
+        if total[-1] > 0:
+            out.append((a, b))
+            continue
+        gain = total[MIN_RUN:] - np.minimum.accumulate(total[:-MIN_RUN])
+        best = int(np.argmax(gain))
+        if gain[best] <= 0:
+            continue
+        low = a + int(np.argmin(total[: best + 1]))
+        high = a + best + MIN_RUN
+        before, after = np.flatnonzero(cuts[a:low]), np.flatnonzero(cuts[high:b])
+        low = a + int(before[-1]) + 1 if len(before) else a
+        high = high + int(after[0]) if len(after) else b
+        out.append((low, high))
+        rest += [(a, low), (high, b)]
+    return out
+
+
 def text_spans(raw: np.ndarray, at: np.ndarray, models: Models, threshold: float = THRESHOLD) -> list[tuple[int, int, int]]:
-    """Base spans and, where they meet none, runs that the models find random."""
+    """Base spans and what the models find random in the runs, or parts of runs, between them."""
     spans = base_spans(raw.tobytes(), raw, at)
-    starts, ends, _ = runs(_IN_RUN[raw], at)
+    starts, ends, _ = runs(_IN_RUN[raw] & ~_base_bytes(len(raw), spans), at)
     long = ends - starts >= MIN_RUN
     starts, ends = starts[long], ends[long]
-    free = ~_covered(starts, ends, spans)
-    starts, ends = starts[free], ends[free]
     if len(starts):
-        cell, run = _triples(raw, starts, ends)
-        ratio = np.bincount(run, weights=models.ratio[cell], minlength=len(starts)) / (ends - starts)
-        new = ratio > threshold
-        pairs = zip(starts[new].tolist(), ends[new].tolist(), strict=True)
-        spans = sorted(spans + [(a, 3, b) for a, b in pairs if len(set(raw[a:b].tolist())) >= MIN_DISTINCT])
+        over = models.ratio[_triples(raw, starts, ends)[0]].astype(np.float64) - threshold
+        begins = np.cumsum(ends - starts) - (ends - starts)
+        found = []
+        for a, b, k in zip(starts.tolist(), ends.tolist(), begins.tolist(), strict=True):
+            found += [(a + i, 3, a + j) for i, j in _stretches(over[k : k + b - a], _IS_CUT[raw[a:b]])]
+        spans = sorted(spans + [s for s in found if len(set(raw[s[0] : s[2]].tolist())) >= MIN_DISTINCT])
     return spans
 
 

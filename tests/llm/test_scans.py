@@ -68,6 +68,26 @@ def test_models_find_random_strings_and_leave_words(spark, small):
     assert secret_scan.redact(docs, models).where("doc_id = 0").first().text == "é [SECRET] end"
 
 
+def test_models_find_random_parts_of_runs(spark, small):
+    models = secret_scan.train(small)
+    r = random.Random(5)
+    key = lambda n: "".join(r.choice(string.ascii_letters + string.digits) for _ in range(n))
+    texts, secrets = [], []
+    for _ in range(20):
+        long, short, tail, last, both = key(32), key(24), key(40), key(32), key(40)
+        texts += [
+            f"é private_key={long} end", f"client_key_for_service={short} x", f"path/words/and/{last}",
+            f"AKIA{'Q7' * 8}/{tail} x", f"{'0123456789ab' * 2}-{tail}", f"{both}/ordinary/words/and/others/{tail}",
+        ]
+        secrets += [[long], [short], [last], [tail], [tail], [both, tail]]
+    plain = ["aber-nicht-der-andere-und-mit-von", "path/words/and/others/and/the/rest", "=" * 30 + "AKIA" + "Q7" * 8]
+    docs = spark.createDataFrame(list(enumerate(texts + plain)), "doc_id bigint, text string")
+    got = {x.doc_id: x.text for x in secret_scan.redact(docs, models).collect()}
+    left = [s for i, own in enumerate(secrets) for s in own if any(s[k : k + 8] in got[i] for k in range(len(s) - 7))]
+    assert len(left) <= 2 and not any("AKIA" in t or "0123456789ab" in t for t in got.values())
+    assert [got[len(texts) + i] for i in range(3)] == [plain[0], plain[1], "=" * 30 + "[SECRET]"]
+
+
 def test_secrets_of_no_rows_and_redaction(odd, odd_texts, nothing):
     models = secret_scan.train(nothing)
     assert secret_scan.find(nothing, models).count() == 0
