@@ -1,8 +1,8 @@
 """Secret scans: fixed patterns, and random-looking strings found by two character Markov models.
 
 One model learns random strings, the other ordinary identifiers.  The labelled samples are the
-corpus' own: what the fixed patterns find is random, every other run of identifier characters is
-ordinary.  A run, or a long enough part of one, whose log-likelihood ratio per character passes a
+corpus' own: what the fixed patterns find is random, other runs of identifier characters are
+ordinary but for what looks random in them.  A run, or a long enough part of one, whose log-likelihood ratio per character passes a
 threshold is a secret too; the fixed patterns' finds are cut out of runs first.
 """
 
@@ -37,10 +37,13 @@ MIN_RUN = 20  # characters of a run that is judged
 THRESHOLD = 2.25  # nats for each character
 MIN_DISTINCT = 8  # different characters of a random string: rulers such as "=====" have few
 SMOOTHING = 1.0
+SWITCHES = 0.28  # share of changes of kind (lower to upper case, letter to digit or back) from which a stretch teaches no ordinary run
 
 _CODE = np.full(256, SIZE - 1, np.int64)
 _CODE[list(LETTERS)] = np.arange(len(LETTERS))
 _IN_RUN = byte_set(LETTERS)
+_KIND = np.zeros(256, np.int8)  # 0 separators
+_KIND[list(LETTERS[:26])], _KIND[list(LETTERS[26:52])], _KIND[list(LETTERS[52:62])] = 1, 2, 3
 _IS_CUT = byte_set(b"=/_-")
 _HEX = byte_set(b"0123456789abcdef")
 
@@ -88,11 +91,42 @@ def _triples(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
     return (two * SIZE + one) * SIZE + code, np.repeat(np.arange(len(starts)), sizes)
 
 
-def train(docs: DataFrame, text: str = "text") -> Models:
+def _switches(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which characters of runs change kind; a lower-case letter after a capital does not."""
+    sizes = ends - starts
+    begins = np.cumsum(sizes) - sizes
+    kind = _KIND[raw[np.repeat(starts - begins, sizes) + np.arange(sizes.sum())]]
+    last = np.roll(kind, 1)
+    changed = (kind != last) & (kind > 0) & (last > 0) & ~((last == 2) & (kind == 1))
+    changed[begins] = False
+    return changed
+
+
+def _inside_windows(values: np.ndarray, sizes: np.ndarray, limit: float) -> np.ndarray:
+    """Which characters lie in a window of ``MIN_RUN`` characters, or a shorter run, whose mean passes ``limit``."""
+    total = np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)])
+    ends = np.repeat(np.cumsum(sizes), sizes)
+    first = np.arange(len(values))
+    last = first + np.repeat(np.minimum(sizes, MIN_RUN), sizes)
+    first, last = first[last <= ends], last[last <= ends]
+    hit = total[last] - total[first] > limit * (last - first)
+    step = np.bincount(first[hit], minlength=len(total)) - np.bincount(last[hit], minlength=len(total))
+    return np.cumsum(step)[:-1] > 0
+
+
+def train(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> Models:
     """Count transitions of both kinds of runs in all texts; the tables have ``SIZE`` cubed cells.
 
-    Without samples of a kind its model is uniform, so an empty corpus finds nothing by ratio.
+    What looks random teaches no ordinary run, so that secrets which no pattern knows stay improbable
+    there however frequent they are: first runs with a stretch that often changes between cases and
+    digits are left out, then also those with one which the models learnt in this way find random.  Without samples of a
+    kind its model is uniform, so an empty corpus finds nothing by ratio.
     """
+    return _fit(docs, text, _fit(docs, text, None, threshold), threshold)
+
+
+def _fit(docs: DataFrame, text: str, known: Models | None, threshold: float) -> Models:
+    """Models of one pass; those of the pass before tell which runs are not ordinary."""
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         cells = np.zeros(2 * SIZE**3, np.int64)
@@ -102,7 +136,13 @@ def train(docs: DataFrame, text: str = "text") -> Models:
             for kind, inside in enumerate((in_run & ~in_base, in_run & in_base)):
                 starts, ends, _ = runs(inside, at)
                 long = ends - starts >= MIN_SAMPLE
-                cell, _ = _triples(raw, starts[long], ends[long])
+                starts, ends = starts[long], ends[long]
+                cell, run = _triples(raw, starts, ends)
+                if kind == 0 and len(cell):
+                    odd = _inside_windows(_switches(raw, starts, ends), ends - starts, SWITCHES)
+                    if known is not None:
+                        odd |= _inside_windows(known.ratio[cell], ends - starts, threshold)
+                    cell = cell[np.bincount(run, weights=odd)[run] == 0]
                 cells[kind * SIZE**3 : (kind + 1) * SIZE**3] += np.bincount(cell, minlength=SIZE**3)
         used = np.flatnonzero(cells)
         return pa.RecordBatch.from_arrays([pa.array(used), pa.array(cells[used])], ["cell", "n"])
@@ -113,13 +153,14 @@ def train(docs: DataFrame, text: str = "text") -> Models:
     for cell, n in sums:
         table[cell] = n
     logs = []
-    for counts in table.reshape(2, SIZE, SIZE, SIZE):
-        # a character after two others falls back on the character after one, and that on its share
+    for kind, counts in enumerate(table.reshape(2, SIZE, SIZE, SIZE)):
+        # a character after two others falls back on the character after one, and that on its share;
+        # random strings may use the whole alphabet, whatever the samples use
         one = counts.sum(0)
-        share = (one.sum(0) + SMOOTHING) / (one.sum() + SMOOTHING * SIZE)
+        share = (one.sum(0) + SMOOTHING) / (one.sum() + SMOOTHING * SIZE) if kind == 0 else np.full(SIZE, 1 / SIZE)
         short = (one + SMOOTHING * SIZE * share) / (one.sum(1, keepdims=True) + SMOOTHING * SIZE)
         full = (counts + SMOOTHING * SIZE * short) / (counts.sum(2, keepdims=True) + SMOOTHING * SIZE)
-        logs.append(np.log(full))
+        logs.append(np.log(full if kind == 0 else (full + 1 / SIZE) / 2))
     return Models((logs[1] - logs[0]).ravel().astype(np.float32))
 
 

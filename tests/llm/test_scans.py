@@ -88,6 +88,23 @@ def test_models_find_random_parts_of_runs(spark, small):
     assert [got[len(texts) + i] for i in range(3)] == [plain[0], plain[1], "=" * 30 + "[SECRET]"]
 
 
+@pytest.mark.parametrize("each", [1, 40])
+def test_models_find_random_strings_where_they_are_frequent(spark, small_texts, each):
+    r = random.Random(6)
+    base64 = string.ascii_letters + string.digits + "+/"
+    secrets, rows = {}, []
+    for i, t in small_texts.items():
+        own = ["".join(r.choice(base64) for _ in range(40)) for _ in range(each if i % 3 == 0 else 0)]
+        hexes = " ".join("".join(r.choice("0123456789abcdef") for _ in range(32)) for _ in range(5))
+        secrets[i] = own
+        rows.append((i, " ".join([t or "", hexes, *own])))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {x.doc_id: x.text for x in secret_scan.redact(docs, secret_scan.train(docs)).collect()}
+    left = sum(s in got[i] for i, own in secrets.items() for s in own)
+    assert left <= 0.02 * sum(map(len, secrets.values()))
+    assert all(got[i] == " ".join([brute.redacted(small_texts[i] or ""), *["[SECRET]"] * 5]) for i, own in secrets.items() if not own)
+
+
 def test_secrets_of_no_rows_and_redaction(odd, odd_texts, nothing):
     models = secret_scan.train(nothing)
     assert secret_scan.find(nothing, models).count() == 0
