@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.llm.arrays import FOLDED_PUNCTUATION, chunks, runs, window_hashes, word_hashes
-from tapeloom.llm.frames import bounded, map_batches, pick, stage
+from tapeloom.llm.frames import ROW, bounded, map_batches, numbered, pick, stage
 
 WINDOW = 10  # words; a shorter item is one window
 SHINGLE = 3  # words; a shorter item is one shingle
@@ -178,6 +178,10 @@ def contamination(
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """The documents without any occurrence of a benchmark window; rows without an id stay."""
-    hit = contamination(docs, items, doc_id=doc_id).where("n_hit > 0").select(F.col("doc_id").alias("__hit")).distinct()
-    return docs.join(hit, F.col(doc_id) == F.col("__hit"), "left_anti")
+    """The documents without any occurrence of a benchmark window; each row is judged by its own text.
+
+    Rows are told apart by a key of their own: ``doc_id`` may be null or shared and is not read.
+    """
+    rows = numbered(docs)
+    hit = contamination(rows, items, doc_id=ROW).where("n_hit > 0").select(F.col("doc_id").alias("__hit"))
+    return rows.join(hit, F.col(ROW) == F.col("__hit"), "left_anti").drop(ROW)

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from tapeloom.sources.staging import stage, staging_root
 
-__all__ = ["bounded", "held_out", "map_batches", "pick", "stage", "stage_by"]
+__all__ = ["ROW", "bounded", "held_out", "map_batches", "numbered", "pick", "stage", "stage_by"]
+
+ROW = "__row"
 
 
 def pick(df: DataFrame, **columns: str) -> DataFrame:
@@ -30,6 +32,11 @@ def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | No
     return df.mapInArrow(run, schema)
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` written once with a key ``ROW`` of its own for each row, whatever ids the rows have."""
+    return stage(df.withColumn(ROW, F.monotonically_increasing_id()))
+
+
 def held_out(doc_id: Column) -> Column:
     """crc32 of the id as text leaves 1 when divided by 3; a null id is never held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.llm.arrays import BLANKS, chunks, mix, runs, sequence_hash, window_hashes, word_hashes
 from tapeloom.llm.components import components
-from tapeloom.llm.frames import map_batches, pick, stage
+from tapeloom.llm.frames import ROW, map_batches, numbered, pick, stage
 
 K = 64
 MISS = 1e-6  # chance that one linked pair agrees in too few coordinates
@@ -345,7 +345,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", **settings) -> DataFrame:
-    """The documents without those whose component another document leads; all columns stay."""
-    gone = near_duplicates(docs, doc_id=doc_id, **settings).where("not kept and doc_id is not null")
-    gone = gone.select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(doc_id) == F.col("__gone"), "left_anti")
+    """Exactly one row of each component, with its least id or none if no row has one; all columns stay.
+
+    Rows are told apart by a key of their own, so rows without id, repeated rows and different texts under
+    one id are each judged for themselves; a row without shingles is a component of its own.
+    """
+    rows = numbered(docs)
+    judged = near_duplicates(rows, doc_id=ROW, **settings).select(F.col("doc_id").alias("__key"), "component_id")
+    ids = rows.select(F.col(ROW).alias("__key"), F.col(f"`{doc_id}`").alias("__id"))
+    least = F.min(F.struct(F.col("__id").isNull(), "__id", "__key"))["__key"].alias("__first")
+    first = judged.join(ids, "__key").groupBy("component_id").agg(least).select("__first")
+    return rows.join(first, F.col(ROW) == F.col("__first"), "left_semi").drop(ROW)

@@ -81,6 +81,22 @@ def test_near_duplicates_of_odd_rows(odd, odd_texts, nothing):
     assert neardup.near_duplicates(nothing).count() == 0
 
 
+def test_rows_without_or_with_shared_ids_are_judged_for_themselves(spark):
+    r = random.Random(8)
+    word = lambda: f"w{r.randrange(10**6)}"
+    a, b, c, d, hit = (" ".join(word() for _ in range(60)) for _ in range(5))
+    rows = [(5, a), (None, a), (5, a), (3, a), (3, b), (None, c), (None, c), (7, d), (8, d + " x"), (9, None), (None, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    key = lambda x: (x[0] is None, x[0] or 0, x[1] or "")
+    kept = sorted(map(tuple, neardup.keep_one(docs, shingle=3, percent=85).collect()), key=key)
+    assert kept == sorted([(3, a), (3, b), (None, c), (7, d), (9, None), (None, None), (None, "")], key=key)
+    items = spark.createDataFrame([(1, hit)], "item_id bigint, text string")
+    rows = [(None, f"x {hit} y"), (None, a), (1, b), (1, hit), (2, hit), (2, hit), (4, c), (4, c), (6, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = sorted(map(tuple, decontam.drop_contaminated(docs, items).collect()), key=key)
+    assert kept == sorted([(None, a), (1, b), (4, c), (4, c), (6, None)], key=key)
+
+
 def passages(seed: int = 5) -> dict:
     r = random.Random(seed)
     letters = lambda n: "".join(r.choice("abcdefgé \n") for _ in range(n))
