@@ -3,8 +3,8 @@
 Tasks cut texts into pre-tokens and keep, for a block of documents, one list of its distinct
 pre-tokens and for each document the positions as numbers into that list.  The lists are shuffled by
 word, so that a word meets its like from all blocks and is encoded once; its ids go back to the
-blocks, and each block puts its documents together again by position.  Ids are decoded with the
-table of token bytes, which the vocabulary bounds.
+blocks, and each block puts its documents together again by position.  Ids of whole texts are decoded
+with the table of token bytes, which the vocabulary bounds.
 """
 
 from __future__ import annotations
@@ -171,7 +171,46 @@ def encode_digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str, doc_i
     return _assembled(docs, ranks, pattern, doc_id, text, _digest_row, schema)
 
 
-def _ids_row(pieces: list[np.ndarray], token_bytes: list[bytes]):
+def token_table(ranks: dict[bytes, int]) -> dict[int, bytes]:
+    """The bytes of each token id."""
+    return {rank: token for token, rank in ranks.items()}
+
+
+def decoded(ids: bytes, token_bytes: dict[int, bytes]) -> bytes:
+    """The bytes that little-endian int32 ids stand for."""
+    try:
+        return b"".join([token_bytes[i] for i in np.frombuffer(ids, "<i4").tolist()])
+    except KeyError as unknown:
+        raise ValueError(f"no token has the id {unknown.args[0]}") from None
+
+
+def decode(encoded: DataFrame, ranks: dict[bytes, int], doc_id: str = "doc_id", ids: str = "ids") -> DataFrame:
+    """doc_id, the ``data`` bytes of the ids that ``encode_documents`` gave, and these as ``text``.
+
+    Null ids give nulls; bytes that are not UTF-8 (ids cut inside a character) have no text; an id
+    without a token is an error; repeated rows give repeated rows; other columns are not read.
+    """
+    token_bytes = token_table(ranks)
+
+    def text_of(data: bytes | None) -> str | None:
+        try:
+            return None if data is None else data.decode()
+        except UnicodeDecodeError:
+            return None
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 500):
+                part = batch.slice(i, 500)
+                data = [None if v is None else decoded(v, token_bytes) for v in part.column(1).to_pylist()]
+                columns = [part.column(0), pa.array(data, pa.binary()), pa.array(map(text_of, data), pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "data", "text"])
+
+    named = pick(encoded, doc_id=doc_id, ids=ids).withColumn("doc_id", F.col("doc_id").cast("bigint"))
+    return named.mapInArrow(scan, "doc_id bigint, data binary, text string")
+
+
+def _ids_row(pieces: list[np.ndarray], token_bytes: dict[int, bytes]):
     """Row maker of plain ids."""
     sizes = np.array([len(p) for p in pieces], np.int64)
     begins = np.cumsum(sizes) - sizes
@@ -186,17 +225,15 @@ def _ids_row(pieces: list[np.ndarray], token_bytes: list[bytes]):
     return make, [pa.int64(), pa.binary()]
 
 
-def _digest_row(pieces: list[np.ndarray], token_bytes: list[bytes]):
-    """Row maker of digests: a word's ids are decoded and written out once in a block."""
-    counts = np.array([len(p) for p in pieces], np.int64)
-    written = [",".join(map(str, p.tolist())).encode() for p in pieces]
-    decoded = [b"".join([token_bytes[i] for i in p.tolist()]) for p in pieces]
+def _digest_row(pieces: list[np.ndarray], token_bytes: dict[int, bytes]):
+    """Row maker of digests: both are taken from the ids of the whole text, put together and then decoded."""
+    whole, _ = _ids_row(pieces, token_bytes)
+    written = {i: str(i).encode() for i in token_bytes}
 
     def make(places: np.ndarray) -> tuple:
-        order = places.tolist()
-        ids = hashlib.sha256(b",".join([written[p] for p in order])).hexdigest()
-        back = hashlib.sha256(b"".join([decoded[p] for p in order])).hexdigest()
-        return int(counts[places].sum()), ids, back
+        total, data = whole(places)
+        ids = b",".join([written[i] for i in np.frombuffer(data, "<i4").tolist()])
+        return total, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded(data, token_bytes)).hexdigest()
 
     return make, [pa.int64(), pa.string(), pa.string()]
 
@@ -205,9 +242,7 @@ def _assembled(docs, ranks, pattern, doc_id, text, maker, schema: str) -> DataFr
     spark = docs.sparkSession
     buckets = 4 * max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     wide = np.uint16 if max(ranks.values(), default=0) < 1 << 16 else np.int32
-    token_bytes = [b""] * (max(ranks.values(), default=-1) + 1)
-    for token, rank in ranks.items():
-        token_bytes[rank] = token
+    token_bytes = token_table(ranks)
     names = [f.split()[0] for f in schema.split(", ")]
 
     named = pick(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("bigint"))

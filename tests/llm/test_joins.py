@@ -201,6 +201,26 @@ def test_encoding_equals_the_library(odd, odd_texts, nothing, monkeypatch):
     assert bpe.encode_digests(nothing, RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+def test_decoding_gives_the_texts_back(spark, odd, nothing, monkeypatch):
+    monkeypatch.setattr(bpe, "BLOCK_TOKENS", 2000)
+    encoded = bpe.encode_documents(odd, RANKS, public_tokenizers.PATTERN)
+    got = collections.Counter((r.doc_id, r.text, bytes(r.data)) for r in bpe.decode(encoded, RANKS).collect())
+    rows = odd.select("doc_id", "text").collect()
+    assert got == collections.Counter((r.doc_id, r.text or "", (r.text or "").encode()) for r in rows)
+    assert bpe.decode(bpe.encode_documents(nothing, RANKS, public_tokenizers.PATTERN), RANKS).count() == 0
+    half = next(i for t, i in RANKS.items() if t == b"\xc3")
+    cut = spark.createDataFrame([(1, np.array([half], "<i4").tobytes()), (2, None), (3, b"")], "doc_id bigint, ids binary")
+    assert {r.doc_id: (r.data, r.text) for r in bpe.decode(cut, RANKS).collect()} == {1: (b"\xc3", None), 2: (None, None), 3: (b"", "")}
+    with pytest.raises(ValueError, match="no token"):
+        bpe.decoded(np.array([-1], "<i4").tobytes(), bpe.token_table(RANKS))
+
+
+def test_digests_are_taken_from_the_assembled_ids():
+    pieces = [np.array([CODER.encode_ordinary(w)[0]]) for w in (" the", " of")]
+    make, _ = bpe._digest_row(pieces, bpe.token_table(RANKS))
+    assert make(np.array([1, 0, 1]))[2] == brute.sha(b"".join(CODER.decode_single_token_bytes(int(pieces[k][0])) for k in (1, 0, 1)))
+
+
 def test_pipeline_equals_brute_force(spark):
     import corpus_pipeline
 
