@@ -65,7 +65,7 @@ def item_windows(items: DataFrame, item_id: str, text: str, window: int, shingle
 
     named = pick(items, item_id=item_id, text=text).withColumn("item_id", F.col("item_id").cast("string"))
     schema = "item_id string, words string, size int, part int, key bigint, offset int"
-    return map_batches(named.where("item_id is not null"), scan, schema)
+    return map_batches(named, scan, schema)
 
 
 def _filter_of(keys: DataFrame) -> tuple[np.ndarray, list[int]]:
@@ -141,9 +141,10 @@ def contamination(
     docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
     item_text: str = "text", window: int = WINDOW, shingle: int = SHINGLE,
 ) -> DataFrame:
-    """doc_id, n_words, n_hit (words inside occurrences of windows) and the sorted ``items`` of each document.
+    """doc_id, n_words, n_hit (words inside occurrences of windows), the sorted ``items`` of each document and their number.
 
-    Null and empty texts have no words; items without words or id occur nowhere; repeated items and
+    Null and empty texts have no words; items without words occur nowhere; items without an id count for
+    n_hit and, all together, as one of n_items, but are not in ``items``; repeated items and
     documents are judged alike; an empty benchmark hits nothing; other columns are not read.
     """
     shingles = stage(item_windows(items, item_id, item_text, window, shingle))
@@ -166,7 +167,10 @@ def contamination(
     )
     owners = shingles.select("item_id", "words").distinct()
     named = found.select("doc_id", "print", "words").distinct().join(owners, "words")
-    named = named.groupBy("doc_id", "print").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
+    nameless = F.max(F.col("item_id").isNull().cast("bigint"))
+    named = named.groupBy("doc_id", "print").agg(
+        F.sort_array(F.collect_set("item_id")).alias("items"), (F.size(F.collect_set("item_id")) + nameless).alias("n_items"),
+    )
     own = {"doc_id": "own_id", "print": "own_print"}
     same = F.col("print").eqNullSafe(F.col("own_print")) & F.col("doc_id").eqNullSafe(F.col("own_id"))
     joined = scanned.drop("places").join(hits.withColumnsRenamed(own), same, "left").drop("own_id", "own_print")
@@ -174,6 +178,7 @@ def contamination(
     return joined.select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
+        F.coalesce("n_items", F.lit(0)).cast("bigint").alias("n_items"),
     )
 
 

@@ -109,7 +109,7 @@ def op6_training_order_shards(spark: SparkSession, folder: str) -> DataFrame:
 def op7_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = decontam.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return found.select(
-        "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+        "doc_id", "n_words", "n_hit", "n_items",
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
     )
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import random
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -159,6 +160,24 @@ def test_decontamination_of_odd_rows_and_short_items(spark, odd, odd_texts, noth
     assert {r.n_hit for r in decontam.contamination(odd, table.where("false")).collect()} == {0}
 
 
+def test_items_without_id_count_as_hits_as_in_sql(spark, tmp_path):
+    words = [f"w{k}" for k in range(40)]
+    docs = [(1, " ".join(words[:12])), (2, " ".join(words[20:35])), (3, "nothing of it"), (4, " ".join(words))]
+    items = [(None, " ".join(words[:11])), (None, " ".join(words[1:12])), (7, " ".join(words[20:30]))]
+    spark.createDataFrame(docs, "doc_id bigint, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id bigint, text string").coalesce(1).write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = queries.op7_benchmark_decontamination(spark, str(tmp_path)).toPandas()
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"create view {name} as select * from read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    ok, why = same(canonical(got), canonical(con.execute(queries.SQL["op7_benchmark_decontamination"]).df()))
+    assert ok, why
+    assert dict(zip(got.doc_id, got.n_hit, strict=True)) == {1: 12, 2: 10, 3: 0, 4: 22}
+    table = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    kept = decontam.drop_contaminated(table, spark.read.parquet(str(tmp_path / "benchmark.parquet")))
+    assert [r.doc_id for r in kept.collect()] == [3]
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 17, 64, 1000, 65537])
 def test_permutation_is_one_to_one(n):
     slots = shards.Permutation(n, 99)(np.arange(n))
