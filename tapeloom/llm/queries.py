@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import bpe, decontam, neardup, quality, rules, secret_scan, shards, substrings, token_count, urls
+from tapeloom.llm import (
+    bpe, decontam, html_text, neardup, negatives, quality, rules, secret_scan, shards, substrings, token_count, urls,
+    whitening,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -163,9 +166,46 @@ def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_digests(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    vec_id, label = F.col("vec_id"), F.col("label")
+    shifted = F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label)
+    return negatives.mine(table(spark, folder, "embeddings"), anchor=vec_id % 50 == 0, label=shifted)
+
+
+OP11_SQL = r"""
+with whole as (
+    select row_number() over () as id, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+        list_transform(embedding, lambda c: floor(256 * cast(c as double))) as q
+    from embeddings
+    where vec_id is not null and label is not null and len(embedding) > 0
+        and len(list_filter(embedding, lambda c: isfinite(c))) = len(embedding)),
+scored as (
+    select a.id as anchor, a.vec_id as anchor_id, r.id, r.vec_id, a.label = r.label as same,
+        cast(list_dot_product(a.q, r.q) as bigint) as score
+    from whole a join whole r on a.vec_id % 50 = 0 and a.id <> r.id),
+positives as (
+    select anchor, anchor_id, id as positive, vec_id as positive_id, score as positive_score
+    from scored where same qualify row_number() over (partition by anchor order by score desc, vec_id, id) <= 5)
+select anchor_id, positive_id, cast(row_number() over w as integer) as rank, vec_id as negative_id, positive_score, score as negative_score
+from positives p join scored s using (anchor, anchor_id)
+where not same and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score
+window w as (partition by anchor, positive order by score desc, vec_id, id)
+qualify row_number() over w <= 3
+"""
+
+
+def op12_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
+def op13_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract(table(spark, folder, "pages"))
+
+
 _ALL = [
     op1_quality_classifier, op2_secret_scans, op3_url_filters, op4_minhash_near_dedup, op5_suffix_array_dedup,
     op6_training_order_shards, op7_benchmark_decontamination, op8_token_counts, op9_quality_rules, op10_byte_bpe,
+    op11_hard_negatives, op12_embedding_whitening, op13_html_extraction,
 ]
 QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}
-SQL: dict[str, str] = {"op3_url_filters": OP3_SQL, "op7_benchmark_decontamination": OP7_SQL}
+SQL: dict[str, str] = {"op3_url_filters": OP3_SQL, "op7_benchmark_decontamination": OP7_SQL, "op11_hard_negatives": OP11_SQL}
