@@ -94,6 +94,64 @@ def adjust_prices(bars: DataFrame, mode: str, columns: tuple[str, ...] = PRICES)
     return df.drop("_f", "_m", "adj_factor")
 
 
+def factors_before(starts: DataFrame, factors: DataFrame) -> DataFrame:
+    """The last known factor on or before each (entity, page, first) start, by one pass over both in date order."""
+    known = factors.where(F.col("adj_factor").isNotNull()).select("entity", "bar_date", "adj_factor", F.lit(None).cast("bigint").alias("page"))
+    asked = starts.select("entity", F.col("first").alias("bar_date"), F.lit(None).cast("double").alias("adj_factor"), F.col("page").cast("bigint"))
+    order = Window.partitionBy("entity").orderBy("bar_date", F.col("page").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    both = known.unionByName(asked).withColumn("seed", F.last("adj_factor", ignorenulls=True).over(order))
+    return both.where(F.col("page").isNotNull()).select("entity", "page", "seed")
+
+
+def adjust_pages(pages: DataFrame, factors: DataFrame, latest: Column, mode: str = "qfq") -> DataFrame:
+    """Adjust bars page by page so that pages fit together, whichever of them are asked for.
+
+    ``pages`` has entity, page, bar_date, prices and pre_close; ``factors`` is the whole factor table.  Inside
+    a page factors are filled forward, a leading gap takes the last factor known before the page, and only
+    what is still open is filled backward.  ``qfq`` divides by one anchor for all pages of a security, its last
+    factor on or before ``latest``; ``hfq`` does not.  Prices have 4 digits, change and pct_chg 2.
+
+    A page without any factor stays raw, with ``used`` raw and the reason in ``warning``; where factors end
+    before ``latest`` the last one goes on and the warning says so.
+    """
+    starts = pages.groupBy("entity", "page").agg(F.min("bar_date").alias("first"))
+    known = factors.where(F.col("adj_factor").isNotNull() & (F.col("bar_date") <= latest))
+    anchors = known.groupBy("entity").agg(F.max_by("adj_factor", "bar_date").alias("_anchor"), F.max("bar_date").alias("_until"))
+    df = attach_factors(pages, factors).join(factors_before(starts, factors), ["entity", "page"], "left").join(anchors, "entity", "left")
+    page = Window.partitionBy("entity", "page").orderBy("bar_date")
+    ahead = F.last("adj_factor", ignorenulls=True).over(page.rowsBetween(Window.unboundedPreceding, 0))
+    df = df.withColumn("_f", F.coalesce(ahead, "seed"))
+    df = df.withColumn("_f", F.coalesce("_f", F.first("adj_factor", ignorenulls=True).over(page.rowsBetween(0, Window.unboundedFollowing))))
+    df = df.withColumn("_m", F.try_divide(F.col("_f"), F.col("_anchor")) if mode == "qfq" else F.col("_f"))
+    for name in (*PRICES, "pre_close"):
+        df = df.withColumn(name, F.when(F.col("_m").isNull(), F.col(name)).otherwise(round_even(F.col(name) * F.col("_m"), 4)))
+    change = round_even(F.col("close") - F.col("pre_close"), 2)
+    warning = F.when(F.col("_m").isNull(), "no factor: bars are raw").when(F.col("_until") < latest, "factors end early: the last one goes on")
+    return df.withColumns({
+        "change": change, "pct_chg": round_even(F.try_divide(change, F.col("pre_close")) * 100, 2), "warning": warning,
+        "used": F.when(F.col("_m").isNull(), "raw").otherwise(mode),
+    }).drop("_f", "_m", "_anchor", "_until", "seed", "adj_factor")
+
+
+def in_pages(bars: DataFrame, size: int) -> DataFrame:
+    """Pages of ``size`` bars of each security, number 1 the newest."""
+    newest = Window.partitionBy("entity").orderBy(F.col("bar_date").desc())
+    return bars.withColumn("page", F.floor((F.row_number().over(newest) - 1) / size) + 1)
+
+
+def adjustment_errors(bars: DataFrame, day: Column) -> DataFrame:
+    """Securities that the batch policy cannot adjust as of ``day``: one row each with what is wrong and since when.
+
+    A bar's factor is missing if neither it nor a later bar up to ``day`` has one.
+    """
+    filled = bars.where(F.col("bar_date") <= day).withColumn("_f", fill_backward("adj_factor"))
+    missing, wrong = F.col("_f").isNull(), F.col("_f") <= 0
+    found = filled.where(missing | wrong).groupBy("entity").agg(
+        F.count_if(missing).alias("n_missing"), F.count_if(wrong).alias("n_not_positive"), F.min("bar_date").alias("since")
+    )
+    return found.withColumn("error", F.when(F.col("n_missing") > 0, "missing factor").otherwise("factor not positive"))
+
+
 def adjust_as_of(bars: DataFrame, day: Column, mode: str = "batch_qfq") -> DataFrame:
     """``adjust_prices`` on the bars up to ``day``; no later factor fills a gap or moves the anchor.
 
@@ -138,12 +196,11 @@ def resample_bars(bars: DataFrame, period: str) -> DataFrame:
     return with_change(out)
 
 
-def bars_page(bars: DataFrame, period: str, limit: int, until: Column | None = None) -> DataFrame:
-    """Last `limit` period bars per security up to `until`, with paging flags.
+def bars_page(visible: DataFrame, history: DataFrame, period: str, limit: int) -> DataFrame:
+    """Last ``limit`` period bars per security of the visible bars, with paging flags.
 
-    Period bars are built before the limit; bounds describe the raw history.
+    Period bars are built before the limit; bounds describe the whole history.
     """
-    visible = bars if until is None else bars.where(F.col("bar_date") <= until)
     periods = resample_bars(visible, period)
     newest = Window.partitionBy("entity").orderBy(F.col("bar_date").desc())
     page = periods.withColumn("_rn", F.row_number().over(newest)).where(F.col("_rn") <= limit)
@@ -152,8 +209,9 @@ def bars_page(bars: DataFrame, period: str, limit: int, until: Column | None = N
         F.min("bar_date").alias("returned_start"),
         F.max("bar_date").alias("returned_end"),
         F.max_by("close", "bar_date").alias("last_close"),
+        F.max_by("change", "bar_date").alias("last_change"),
     )
-    bounds = bars.groupBy("entity").agg(
+    bounds = history.groupBy("entity").agg(
         F.min("bar_date").alias("oldest_available"), F.max("bar_date").alias("newest_available")
     )
     return page.join(bounds, "entity").withColumn(

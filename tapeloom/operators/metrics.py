@@ -32,9 +32,11 @@ def ndcg(ranked: DataFrame) -> DataFrame:
     return sums.withColumn("ndcg", F.coalesce(F.try_divide("dcg", "idcg"), F.lit(0.0)))
 
 
-def purity(items: DataFrame, k: int) -> DataFrame:
-    best = top_k(items, ["category"], [F.col("score").desc(), F.col("sample_id")], k)
-    return best.groupBy("category").agg(
+def purity(items: DataFrame, ks: tuple[int, ...]) -> DataFrame:
+    """Share of good and of bad ratings in the first k items of a category, for each k (all items, if fewer)."""
+    best = top_k(items, ["category"], [F.col("score").desc(), F.col("sample_id")], max(ks))
+    sizes = F.filter(F.array(*[F.lit(k) for k in ks]), lambda k: F.col("rank") <= k)
+    return best.withColumn("top_k", F.explode(sizes)).groupBy("category", "top_k").agg(
         F.count(F.lit(1)).alias("n"), F.avg(flag(F.col("rating") >= 2)).alias("purity"), F.avg(flag(F.col("rating") == 0)).alias("severe")
     )
 

@@ -5,10 +5,17 @@ A term is a tuple (kind, fact, numbers...):
 ``ramp``  0 at the first number, 1 at the second       ``fall``  1 - ramp
 ``down``  ramp of the negated fact                      ``band``  1 inside [a, b], soft edge s
 ``in``    1 when a <= fact <= b                         ``raw``   the fact itself
+``abs``   its size                                      ``value`` a number in place of a fact
+``steps`` by ranges (from, to, value at from, slope), inside [0, 1], 0 elsewhere
+
+Terms combine as ``most``, ``least``, ``product`` (of any number) and ``ratio``; ``none`` is 1 unless all
+findings of one of its groups hold.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,6 +82,11 @@ QUOTAS = {
     "trend_clean": 3, "trend_old_high": 2, "trend_overextended": 1, "trend_range_boundary": 1,
     "pullback_shallow_confirmed": 2, "pullback_deep_fast": 2, "pullback_long_stale": 2, "pullback_moderate": 1,
 }
+# The second set, stages of a breakout.
+STAGE_QUOTAS = {
+    "breakout_stage_day": 2, "breakout_stage_hold_1_3": 3, "breakout_stage_aging_5_15": 3,
+    "breakout_stage_range_retest": 2, "breakout_stage_downtrend_surge": 2,
+}
 
 # Weighted priors (weight, term), hard findings (fact, comparison, limit) and penalty.
 PRIORS = {
@@ -175,24 +187,48 @@ WEIGHTS = {
 }
 CATEGORY_KEYS = tuple(WEIGHTS)
 
-# Ceilings per category as (ceiling, all of these conditions).
+# Ceilings per category as (ceiling, code, message, groups); one group of which all hold is enough.
 CAPS = {
     "fresh_breakout": [
-        (0.75, [("breakout_age", ">=", 99)]), (2.0, [("breakout_age", "=", 0)]), (1.0, [("breakout_age", ">", 15)]),
-        (0.75, [("breakout_hold_margin", "<", -0.03)]), (0.75, [("breakout_post_event_drawdown", ">", 0.12)]),
-        (1.0, [("breakout_vs_prior_20", "<", -0.03), ("breakout_vs_prior_60", "<", -0.05)])],
+        (0.75, "no_detectable_breakout", "no breakout within the last 15 bars", [[("breakout_age", ">=", 99)]]),
+        (2.0, "breakout_day_ceiling", "breakout day not yet confirmed", [[("breakout_age", "=", 0)]]),
+        (1.0, "breakout_stale", "breakout older than 15 bars", [[("breakout_age", ">", 15)]]),
+        (0.75, "lost_breakout_level", "fell back below the level", [[("breakout_hold_margin", "<", -0.03)]]),
+        (0.75, "post_breakout_weakness", "drawdown after the breakout too deep", [[("breakout_post_event_drawdown", ">", 0.12)]]),
+        (1.0, "no_meaningful_structure_break", "no 20 or 60 bar structure broken",
+         [[("breakout_vs_prior_20", "<", -0.03), ("breakout_vs_prior_60", "<", -0.05)]])],
     "healthy_uptrend": [
-        (0.75, [("trend_slope_60", "<=", 0), ("return_60", "<=", 0)]), (1.0, [("drawdown_60", ">", 0.25)]),
-        (1.0, [("range_staleness_60", ">", 0.85)]), (1.25, [("largest_up_day_share_20", ">", 0.65)])],
+        (0.75, "non_rising_midterm_structure", "60 bar structure not rising", [[("trend_slope_60", "<=", 0), ("return_60", "<=", 0)]]),
+        (1.0, "trend_drawdown_broken", "60 bar drawdown too deep", [[("drawdown_60", ">", 0.25)]]),
+        (1.0, "stale_range", "moving sideways in a wide range", [[("range_staleness_60", ">", 0.85)]]),
+        (1.25, "single_spike_distortion", "recent rise rests on one day", [[("largest_up_day_share_20", ">", 0.65)]])],
     "pullback_strengthening": [
-        (0.75, [("prior_advance_before_peak", "<", 0.08)]), (0.75, [("drawdown_60", ">", 0.30)]), (0.75, [("retracement_of_prior_advance", ">", 0.90)]),
-        (1.0, [("pullback_duration_60", ">", 40)]), (0.75, [("turn_confirmation", "<", 0.25)]), (1.0, [("worst_5day_return_20", "<", -0.18)])],
+        (0.75, "no_prior_advance", "no rise before the pullback", [[("prior_advance_before_peak", "<", 0.08)]]),
+        (0.75, "pullback_too_deep", "pullback near or beyond the rise before it",
+         [[("drawdown_60", ">", 0.30)], [("retracement_of_prior_advance", ">", 0.90)]]),
+        (1.0, "pullback_too_long", "pullback turning into a range", [[("pullback_duration_60", ">", 40)]]),
+        (0.75, "no_turn_confirmation", "no turn near the score date", [[("turn_confirmation", "<", 0.25)]]),
+        (1.0, "pullback_too_fast", "deep and fast pullback of late", [[("worst_5day_return_20", "<", -0.18)]])],
 }
 
 
 def term(t: tuple) -> Column:
-    kind, name, *p = t
-    c = F.col(name)
+    kind, first, *p = t
+    if kind in ("most", "least", "product", "ratio"):
+        parts = [term(x) for x in (first, *p)]
+        if kind in ("most", "least"):
+            return (F.greatest if kind == "most" else F.least)(*parts)
+        return reduce(Column.__mul__ if kind == "product" else Column.__truediv__, parts)
+    if kind == "none":
+        return flag(~reduce(Column.__or__, [_all([holds(x) for x in group]) for group in (first, *p)]))
+    if kind == "value":
+        return F.lit(float(first))
+    c = F.col(first)
+    if kind == "steps":
+        out = F.lit(0.0)
+        for low, high, start, slope in p:
+            out = F.when(c.between(low, high), clamp(F.lit(float(start)) + (c - low) * slope)).otherwise(out)
+        return out
     if kind == "ramp":
         return ramp(c, *p)
     if kind == "fall":
@@ -203,7 +239,7 @@ def term(t: tuple) -> Column:
         return band(c, *p)
     if kind == "in":
         return flag(c.between(*p))
-    return c
+    return F.abs(c) if kind == "abs" else c
 
 
 def holds(finding: tuple) -> Column:
@@ -221,41 +257,53 @@ def profile_scores(facts: DataFrame, keys: list[str]) -> DataFrame:
     return facts.select(*keys, F.explode(options).alias("p")).select(*keys, "p.*")
 
 
+# Rises before a breakout that count as an established trend, by bars looked back:
+# return, slope and fit above these; the last two only while the transition is below the limit.
+RISES = ((40, 0.06, 0.045, 0.70, None), (100, 0.08, 0.07, 0.60, None), (60, 0.10, 0.10, 0.50, 0.40), (100, 0.18, 0.15, 0.50, 0.40))
+
+
+def _before(measure: str, bars: int) -> str:
+    return f"pre_breakout_{measure}_{bars}"
+
+
+def _rise(bars: int, gain: float, slope: float, fit: float, below: float | None) -> tuple:
+    limits = (("return", gain), ("trend_slope", slope), ("trend_fit", fit))
+    group = tuple((_before(measure, bars), ">", limit) for measure, limit in limits)
+    return group if below is None else (("transition", "<", below), *group)
+
+
+# Derived inputs of the priors, layer by layer; a layer may use those before it.
+CONTEXT = (
+    {
+        "terminal_concentration": ("ratio", ("most", ("value", 0.0), ("raw", "return_20")), ("most", ("value", 0.05), ("raw", "return_119"))),
+        "weakest_full_rise": ("least", ("raw", "trend_slope_120"), ("raw", "return_119")),
+        "breakout_contrast": ("ratio", ("raw", "breakout_day_return"), ("most", ("value", 0.008), ("raw", "pre_breakout_volatility_20"))),
+        "freshness": ("steps", "breakout_age", (0, 0, 0.72, 0.0), (1, 3, 1.0, 0.0), (4, 7, 0.82, -0.12), (8, 15, 0.38, -0.04)),
+        "structure_quality": ("steps", "breakout_resistance_window", (20, 59, 0.72, 0.0), (60, 1e9, 1.0, 0.0)),
+        "tilt": ("abs", _before("trend_slope", 40)),
+        "decline": ("product", ("down", _before("return", 40), 0.05, 0.24), ("down", _before("trend_slope", 40), 0.04, 0.24)),
+        **{f"rise_{n}": ("most", ("raw", _before("return", n)), ("raw", _before("trend_slope", n))) for n in (60, 100)},
+    },
+    {
+        "pause": ("product", ("band", _before("return", 40), -0.12, 0.08, 0.10), ("fall", "tilt", 0.08, 0.22),
+                  ("band", _before("range_width", 40), 0.05, 0.24, 0.16)),
+        "reset": ("most", ("raw", "decline"), ("fall", "rise_100", 0.15, 0.30), ("fall", _before("range_position", 100), 0.70, 0.92),
+                  ("ramp", _before("drawdown_from_high", 100), 0.04, 0.12)),
+    },
+    {
+        "setup_quality": ("most", ("raw", "pause"), ("raw", "decline")),
+        "transition": ("most", ("raw", "decline"), ("product", ("raw", "pause"), ("fall", "rise_60", 0.08, 0.18), ("raw", "reset"))),
+    },
+    {"not_uptrend": ("none", *[_rise(*row) for row in RISES])},
+    {"transition_quality": ("least", ("raw", "transition"), ("steps", "not_uptrend", (0, 0, 0.20, 0.0), (1, 1, 1.0, 0.0)))},
+)
+
+
 def with_context(df: DataFrame) -> DataFrame:
-    """Derived inputs of the priors: concentration, freshness, setup and transition quality."""
-    age = F.col("breakout_age")
-    fresh = (
-        F.when(age.between(1, 3), 1.0).when(age == 0, 0.72)
-        .when(age.between(4, 7), clamp(0.82 - (age - 4) * 0.12))
-        .when(age.between(8, 15), clamp(0.38 - (age - 8) * 0.04)).otherwise(0.0)
-    )
-    window = F.col("breakout_resistance_window")
-    ret40, slope40, fit40 = (F.col(f"pre_breakout_{k}_40") for k in ("return", "trend_slope", "trend_fit"))
-    ret60, slope60, fit60 = (F.col(f"pre_breakout_{k}_60") for k in ("return", "trend_slope", "trend_fit"))
-    ret100, slope100, fit100 = (F.col(f"pre_breakout_{k}_100") for k in ("return", "trend_slope", "trend_fit"))
-    df = df.withColumns({
-        "terminal_concentration": F.greatest(F.lit(0.0), F.col("return_20")) / F.greatest(F.col("return_119"), F.lit(0.05)),
-        "weakest_full_rise": F.least("trend_slope_120", "return_119"),
-        "freshness": fresh,
-        "structure_quality": F.when(window >= 60, 1.0).when(window >= 20, 0.72).otherwise(0.0),
-        "breakout_contrast": F.col("breakout_day_return") / F.greatest(F.col("pre_breakout_volatility_20"), F.lit(0.008)),
-        "consolidation_quality": band(ret40, -0.12, 0.08, 0.10) * (1 - ramp(F.abs(slope40), 0.08, 0.22)) * band(F.col("pre_breakout_range_width_40"), 0.05, 0.24, 0.16),
-        "decline_quality": ramp(-ret40, 0.05, 0.24) * ramp(-slope40, 0.04, 0.24),
-        "recent_non_rising": 1 - ramp(F.greatest(ret60, slope60), 0.08, 0.18),
-        "long_non_rising": 1 - ramp(F.greatest(ret100, slope100), 0.15, 0.30),
-        "bottom_context": 1 - ramp(F.col("pre_breakout_range_position_100"), 0.70, 0.92),
-        "reset_drawdown": ramp(F.col("pre_breakout_drawdown_from_high_100"), 0.04, 0.12),
-    })
-    reset = F.greatest("long_non_rising", "bottom_context", "reset_drawdown", "decline_quality")
-    df = df.withColumns({
-        "setup_quality": F.greatest("consolidation_quality", "decline_quality"),
-        "raw_transition": F.greatest(F.col("decline_quality"), F.col("consolidation_quality") * F.col("recent_non_rising") * reset),
-    })
-    mature = ((ret40 > 0.06) & (slope40 > 0.045) & (fit40 > 0.70)) | ((ret100 > 0.08) & (slope100 > 0.07) & (fit100 > 0.60))
-    rising = ((ret60 > 0.10) & (slope60 > 0.10) & (fit60 > 0.50)) | ((ret100 > 0.18) & (slope100 > 0.15) & (fit100 > 0.50))
-    df = df.withColumn("not_uptrend", flag(~(mature | ((F.col("raw_transition") < 0.40) & rising))))
-    ceiling = F.when(F.col("not_uptrend") == 1, 1.0).otherwise(0.20)
-    return df.withColumn("transition_quality", F.least(F.col("raw_transition"), ceiling))
+    """The columns of ``CONTEXT``, a projection for each layer."""
+    for layer in CONTEXT:
+        df = df.withColumns({name: term(t) for name, t in layer.items()})
+    return df
 
 
 def prior_scores(df: DataFrame, priors: tuple[str, ...] = tuple(PRIORS)) -> DataFrame:
@@ -286,16 +334,21 @@ def long_facts(facts: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def ceilings(facts: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, category, ceiling, hits): the lowest ceiling that applies, 3 when none does."""
+    """(keys, category, ceiling, hits, codes, messages): the lowest ceiling that applies, 3 when none does."""
     cells = []
     for category, rules in CAPS.items():
         hits = F.array_compact(F.array(*[
-            F.when(_all([holds(c) for c in conditions]), F.lit(float(limit))) for limit, conditions in rules
+            F.when(
+                reduce(Column.__or__, [_all([holds(c) for c in group]) for group in groups]),
+                F.struct(F.lit(float(limit)).alias("limit"), F.lit(code).alias("code"), F.lit(message).alias("message")),
+            )
+            for limit, code, message, groups in rules
         ]))
-        cells.append(F.struct(
-            F.lit(category).alias("category"), F.coalesce(F.array_min(hits), F.lit(3.0)).alias("ceiling"), F.size(hits).alias("hits")
-        ))
-    return facts.select(*keys, F.explode(F.array(*cells)).alias("x")).select(*keys, "x.*")
+        cells.append(F.struct(F.lit(category).alias("category"), hits.alias("hits")))
+    rows = facts.select(*keys, F.explode(F.array(*cells)).alias("x")).select(*keys, "x.*")
+    return rows.withColumns({
+        "ceiling": F.coalesce(F.array_min("hits.limit"), F.lit(3.0)), "codes": F.col("hits.code"), "messages": F.col("hits.message"),
+    }).withColumn("hits", F.size("hits"))
 
 
 def _all(conditions: list[Column]) -> Column:

@@ -11,10 +11,11 @@ from tapeloom.operators import calendar as C
 from tapeloom.operators import dynamics as D
 from tapeloom.operators.membership import industry_on
 from tapeloom.operators.runs import streaks
+from tapeloom.operators.verdicts import Rule, evaluate, evaluate_sql, one_row
 from tapeloom.plans import similarity as sim
 from tapeloom.plans.common import K, best_first, panel, scored
 from tapeloom.plans.projections import cap_tier
-from tapeloom.plans.registry import query
+from tapeloom.plans.registry import QUERIES, query
 from tapeloom.plans.relational import EVENTS_SQL, concentration, distribution, events, frozen_thresholds, month_ends, tail_gated, _TAIL
 from tapeloom.plans.windows import position_label, quintile
 from tapeloom.sources.staging import stage
@@ -37,6 +38,11 @@ def state_names(m: Market) -> tuple[str, ...]:
 
 
 def snapped(m: Market, frequency: str | None = None) -> DataFrame:
+    """``snapshot_rows``, built once for a query."""
+    return m.once(f"snapped {frequency}", lambda: snapshot_rows(m, frequency))
+
+
+def snapshot_rows(m: Market, frequency: str | None) -> DataFrame:
     """Panel rows on snapshot dates with the frozen threshold and the qualified flag.
 
     Thresholds are one row per template of the bounded registry, snapshots one
@@ -75,6 +81,10 @@ def _(m: Market) -> DataFrame:
             case when threshold <= least(rmax, omax) then 'high' when threshold <= greatest(rmax, omax) then 'mid' else 'lower' end as risk
           from frozen f join c using (template_id) join l using (template_id)""")
 def _(m: Market) -> DataFrame:
+    return threshold_table(m)
+
+
+def threshold_table(m: Market) -> DataFrame:
     dist = stage(distribution(m))
     controls = m.spark.createDataFrame(CONTROLS, "template_id long, random_max double, ordinary_max double")
     newest = dist.where(F.col("bar_date") == m.as_of).select("template_id", F.col("max_score").alias("latest_max"))
@@ -165,7 +175,10 @@ def ranked_snapshots(m: Market) -> DataFrame:
           from t l join t r on l.frequency = r.frequency and l.seq = r.seq and l.template_id < r.template_id
           left join c on c.frequency = l.frequency and c.seq = l.seq and c.a = l.template_id and c.b = r.template_id""")
 def _(m: Market) -> DataFrame:
-    rows = snapped(m)
+    return pair_jaccard(snapped(m))
+
+
+def pair_jaccard(rows: DataFrame) -> DataFrame:
     best = top_k(rows, ["frequency", "seq", "template_id"], best_first(), OVERLAP_K).select("frequency", "seq", "template_id", "entity", F.lit(True).alias("top"))
     members = rows.join(best, ["frequency", "seq", "template_id", "entity"], "left").withColumn("top", F.coalesce("top", F.lit(False)))
     return D.pair_overlap(stage(members.select("frequency", "seq", "template_id", "entity", "top", "q")), {"top": "top", "q": "q"})
@@ -238,23 +251,29 @@ def _(m: Market) -> DataFrame:
 
 def current(m: Market) -> DataFrame:
     """Rows of the as-of date with their frozen threshold."""
-    return snapped(m, "weekly").where(F.col("bar_date") == m.as_of)
+    return snapped(m, "monthly").where(F.col("bar_date") == m.as_of)
 
 
-@query("dyn_focus_industry", "template_id:i eligible:i qualified:i rate:f rank_among_large:i top3_share:f rate_without_top1:f rate_without_top3:f",
-       f"""with cur as (select d.*, row_number() over (partition by template_id, industry order by score desc, entity) as rn from dsc d where frequency = 'weekly' and bar_date = (select d from dayref)),
+@query("dyn_focus_industry", "template_id:i eligible:i qualified:i rate:f rank_among_large:i status:s rate_excess_pp:f top1:i top3_share:f rate_without_top1:f rate_without_top3:f",
+       f"""with {_IND}, cur as (select d.*, row_number() over (partition by template_id, industry order by score desc, entity) as rn from dsc d where frequency = 'monthly' and bar_date = (select d from dayref)),
           f as (select template_id, industry, count(*) as eligible, count(case when q then 1 end) as qualified, count(case when q then 1 end) * 1.0e0 / count(*) as rate,
             coalesce(sum(case when rn <= 3 then greatest(score - threshold, 0) end) / nullif(sum(greatest(score - threshold, 0)), 0), 0) as top3_share,
             count(case when q and rn > 1 then 1 end) * 1.0e0 / greatest(count(*) - 1, 1) as rate_without_top1, count(case when q and rn > 3 then 1 end) * 1.0e0 / greatest(count(*) - least(3, count(*)), 1) as rate_without_top3
             from cur group by 1, 2),
           r as (select *, case when eligible >= 30 then (select count(*) from f g where g.template_id = f.template_id and g.eligible >= 30 and (g.rate > f.rate or (g.rate = f.rate and g.industry < f.industry))) + 1 end as rank_among_large from f)
-          select * from r where industry = '{FOCUS}'""")
+          select r.*, coalesce(iy.status, 'missing') as status, iy.rate_excess_pp, c.entity as top1 from r
+          left join iy on iy.template_id = r.template_id and iy.industry = r.industry and iy.frequency = 'monthly' and iy.bar_date = (select d from dayref)
+          left join cur c on c.template_id = r.template_id and c.industry = r.industry and c.rn = 1 where r.industry = '{FOCUS}'""")
 def _(m: Market) -> DataFrame:
     rows = current(m)
     focus = rows.where(F.col("industry") == FOCUS)
     over = F.greatest(F.col("score") - F.col("threshold"), F.lit(0.0))
     lead = top_k(focus, ["template_id"], best_first(), 3, "rn").groupBy("template_id").agg(
-        F.sum(over).alias("top3"), F.count_if(F.col("q")).alias("q3"), F.count_if(F.col("q") & (F.col("rn") == 1)).alias("q1")
+        F.sum(over).alias("top3"), F.count_if(F.col("q")).alias("q3"), F.count_if(F.col("q") & (F.col("rn") == 1)).alias("q1"),
+        F.max(F.when(F.col("rn") == 1, F.col("entity"))).alias("top1"),
+    )
+    trend = D.industries(snapped(m, "monthly")).where((F.col("industry") == FOCUS) & (F.col("bar_date") == m.as_of)).select(
+        "template_id", "status", "rate_excess_pp"
     )
     rates = rows.groupBy("template_id", "industry").agg(
         F.count(F.lit(1)).alias("eligible"), F.count_if(F.col("q")).alias("qualified"), F.sum(over).alias("excess")
@@ -263,7 +282,8 @@ def _(m: Market) -> DataFrame:
     order = Window.partitionBy("template_id", F.col("eligible") >= LARGE).orderBy(F.col("rate").desc(), "industry")
     ranked_ = rates.withColumn("rank_among_large", F.when(F.col("eligible") >= LARGE, F.row_number().over(order))).where(F.col("industry") == FOCUS)
     n, q = F.col("eligible"), F.col("qualified")
-    return ranked_.join(lead, "template_id").withColumns({
+    return ranked_.join(lead, "template_id").join(trend, "template_id", "left").withColumns({
+        "status": F.coalesce("status", F.lit("missing")),
         "top3_share": F.coalesce(F.try_divide("top3", "excess"), F.lit(0.0)),
         "rate_without_top1": (q - F.col("q1")) / F.greatest(n - 1, F.lit(1)),
         "rate_without_top3": (q - F.col("q3")) / F.greatest(n - F.least(F.lit(3), n), F.lit(1)),
@@ -319,14 +339,18 @@ def _(m: Market) -> DataFrame:
 
 
 @query("dyn_exclusion", "template_id:i variant:s eligible:i qualified:i rate:f change_pp:f",
-       f"""with cur as (select d.*, row_number() over (partition by template_id, industry order by score desc, entity) as rn from dsc d where frequency = 'weekly' and bar_date = (select d from dayref)),
+       f"""with cur as (select d.*, row_number() over (partition by template_id, industry order by score desc, entity) as rn from dsc d where frequency = 'monthly' and bar_date = (select d from dayref)),
           v as (select template_id, q, 'base' as variant from cur union all select template_id, q, 'without focus' from cur where industry <> '{FOCUS}'
             union all select template_id, q, 'without top1' from cur where rn > 1 union all select template_id, q, 'without top3' from cur where rn > 3),
           g as (select template_id, variant, count(*) as eligible, count(case when q then 1 end) as qualified from v group by 1, 2)
           select *, qualified * 1.0e0 / greatest(eligible, 1) as rate, (qualified * 1.0e0 / greatest(eligible, 1) - max(case when variant = 'base' then qualified * 1.0e0 / eligible end) over (partition by template_id)) * 100 as change_pp from g""")
 def _(m: Market) -> DataFrame:
+    return exclusions(current(m))
+
+
+def exclusions(rows: DataFrame) -> DataFrame:
     """Leader removal is arithmetic on industry counts; the variants are columns of one pass."""
-    per = current(m).groupBy("template_id", "industry").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("q")).alias("k"))
+    per = rows.groupBy("template_id", "industry").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("q")).alias("k"))
 
     def cut(c: str, j: int):
         return F.greatest(F.col(c) - j, F.lit(0))
@@ -349,7 +373,7 @@ def _(m: Market) -> DataFrame:
        """with b as (select template_id, seq, count(*) as eligible, max(score) as max_score, median(score) as median_score, quantile_cont(score, 0.99) as p99, count(case when q then 1 end) as qualified
             from dsc where frequency = 'monthly' group by 1, 2),
           g as (select template_id, seq, industry, count(*) as n from dsc where frequency = 'monthly' and rank <= 100 group by 1, 2, 3),
-          h as (select template_id, seq, count(*) as coverage, sum(n * n) * 1.0e0 / (sum(n) * sum(n)) as hhi from g group by 1, 2),
+          h as (select template_id, seq, count(*) as coverage, cast(sum(n * n) as double) / cast(sum(n) * sum(n) as double) as hhi from g group by 1, 2),
           t as (select a.template_id, b.seq, count(*) as kept from dsc a join dsc b on a.template_id = b.template_id and a.entity = b.entity and b.seq = a.seq + 1 and a.frequency = 'monthly' and b.frequency = 'monthly' and a.rank <= 100 and b.rank <= 100 group by 1, 2)
           select b.*, h.coverage, h.hhi, case when p.seq is not null then 1 - coalesce(t.kept, 0) / 100.0e0 end as turnover from b join h using (template_id, seq)
           left join t on t.template_id = b.template_id and t.seq = b.seq left join b p on p.template_id = b.template_id and p.seq = b.seq - 1""")
@@ -384,36 +408,153 @@ def _(m: Market) -> DataFrame:
     })
 
 
-@query("dyn_verdicts", "id:s decision:s value:f",
-       """with h as (select template_id, seq, count(case when q then 1 end) as qualified, max(score) as mx, quantile_cont(score, 0.99) as p99, median(score) as md from dsc where frequency = 'monthly' group by 1, 2),
-          cv as (select max(case when m > 0 then s / m else 0 end) as v from (select template_id, stddev_pop(qualified) as s, avg(qualified) as m from h group by 1)),
-          sp as (select greatest(max(p99) - min(p99), max(md) - min(md)) as v from h where seq = (select max(seq) from h)),
-          tr as (select max(threshold) - min(threshold) as v from frozen),
-          lst as (select h.*, median(p99) over (partition by template_id) as mp, median(mx) over (partition by template_id) as mm from h),
-          wk as (select count(*) * 1.0e0 as v from lst where seq = (select max(seq) from h) and p99 < mp and mx < mm)
-          select 'score_spread' as id, case when v >= 0.08 then 'supported' else 'weak' end as decision, v as value from sp
-          union all select 'supply_variation', case when v >= 0.25 then 'supported' else 'weak' end, v from cv
-          union all select 'threshold_range', case when v >= 0.03 then 'supported' else 'weak' end, v from tr
-          union all select 'weak_supply', case when v > 0 then 'supported' else 'weak' end, v from wk""")
-def _(m: Market) -> DataFrame:
-    rows = snapped(m, "monthly")
-    h = stage(history(m, rows))
+VERDICTS = (
+    Rule("H1", "score levels differ between templates", (("supported", (("score_spread", ">=", 0.08),)),)),
+    Rule("H2", "the leading industry is the same in short and long lists", (("supported", (("stable_industry", ">=", 3),)),)),
+    Rule("H3", "the leading size tier is the same in short and long lists", (("supported", (("stable_tier", ">=", 3),)),)),
+    Rule("H4", "coverage and concentration tell wide supply from a crowded one", otherwise="supported",
+         evidence=("coverage_min", "coverage_max", "hhi_min", "hhi_max")),
+    Rule("H5", "templates pick different securities", (("supported", (("max_overlap", "<=", 0.25),)),)),
+    Rule("H6", "lists are not driven by single events",
+         (("not_supported", (("max_event", ">=", 0.8),)), ("weak", (("max_event", ">=", 0.5),))), "supported"),
+    Rule("H7", "supply and membership vary over time",
+         (("supported", (("supply_cv", ">=", 0.25),)), ("supported", (("list_turnover", ">=", 0.4),)))),
+    Rule("H8", "some template is weak against its own history", (("supported", (("weak_supply", ">=", 1),)),)),
+    Rule("A1", "templates need thresholds of their own", (("supported", (("threshold_range", ">=", 0.03),)),), evidence=("controls_hit",)),
+    Rule("A2", "a fixed top share hides changing supply", (("supported", (("max_cv", ">=", 0.25),)),)),
+    Rule("A3", "best scores do not beat the control populations", (("supported", (("controls_hit", ">=", 2),)),)),
+    Rule("B1", "highest score, tail and counts place the supply", (("supported", (("max_cv", ">=", 0.25),)),)),
+    Rule("C1", "turnover is mostly at the boundary of the list", (
+        ("supported", (("boundary", ">=", 0.35), ("whole_corr", ">=", 0.7), ("top100_turnover", "<=", 0.6))),
+        ("weak", (("boundary", ">=", 0.25), ("whole_corr", ">=", 0.7), ("top100_turnover", "<=", 0.8)))), "not_supported"),
+    Rule("D1", "template pairs differ and states follow each other", (("supported", (("jaccard_spread", ">=", 0.05), ("max_lift", ">=", 1.2))),)),
+    Rule("E1", "the focus industry is fading", (("supported", (("focus_weak", ">=", 2),)),)),
+    Rule("E2/E3", "industries by rate and excess share, sizes by fixed tiers and quintiles", otherwise="supported", evidence=("small_industries",)),
+    Rule("F1", "lists are robust to the window length", (("supported", (("window_median", ">=", 0.25),)),), evidence=("exclusion_change",)),
+)
+LISTS = (10, 30, 100)  # sizes in which a leader has to be the same
+
+
+def _as_rows(df: DataFrame, names: list[str]) -> DataFrame:
+    """One row of measures as (measure, value) rows."""
+    cells = F.array(*[F.struct(F.lit(n).alias("measure"), F.col(n).cast("double").alias("value")) for n in names])
+    return df.select(F.explode(cells).alias("c")).select("c.*")
+
+
+def _variation(counts: DataFrame, keys: list[str], out: str) -> DataFrame:
+    """Largest coefficient of variation of n over the groups; 0 for a group of zeros."""
+    per = counts.groupBy(*keys).agg(F.coalesce(F.try_divide(F.stddev_pop("n"), F.avg("n")), F.lit(0.0)).alias("cv"))
+    return _as_rows(per.agg(F.max("cv").alias(out)), [out])
+
+
+def _median(column: str):
+    return F.expr(f"percentile({column}, 0.5)")
+
+
+def verdict_measures(m: Market) -> DataFrame:
+    """(measure, value) of everything that ``VERDICTS`` looks at."""
+    rows = snapped(m)
+    monthly = rows.where(F.col("frequency") == "monthly")
+    m.once("snapped monthly", lambda: monthly)
+    h = stage(history(m, monthly))
     newest = h.agg(F.max("seq")).scalar()
-    medians = h.groupBy("template_id").agg(
-        F.expr("percentile(p99, 0.5)").alias("mp"), F.expr("percentile(max_score, 0.5)").alias("mm"),
-        F.coalesce(F.try_divide(F.stddev_pop("qualified"), F.avg("qualified")), F.lit(0.0)).alias("cv"),
+    own = h.groupBy("template_id").agg(_median("p99").alias("mp"), _median("max_score").alias("mm"))
+    now = stage(h.where(F.col("seq") == newest).join(own, "template_id"))
+    levels = now.agg(
+        F.greatest(F.max("p99") - F.min("p99"), F.max("median_score") - F.min("median_score")).alias("score_spread"),
+        F.count_if((F.col("p99") < F.col("mp")) & (F.col("max_score") < F.col("mm"))).alias("weak_supply"),
     )
-    now = h.where(F.col("seq") == newest).join(medians, "template_id").join(rows.select("template_id", "threshold").distinct(), "template_id")
-    one = now.agg(
-        F.greatest(F.max("p99") - F.min("p99"), F.max("median_score") - F.min("median_score")).alias("spread"), F.max("cv").alias("cv"),
-        (F.max("threshold") - F.min("threshold")).alias("range"),
-        F.count_if((F.col("p99") < F.col("mp")) & (F.col("max_score") < F.col("mm"))).cast("double").alias("weak"),
+    lines = now.select("template_id", F.col("p99").alias("line"))
+    reached = monthly.join(lines, "template_id").groupBy("template_id", "seq").agg(F.count_if(F.col("score") >= F.col("line")).alias("n"))
+    qualified = rows.groupBy("frequency", "template_id", "seq").agg(F.count_if(F.col("q")).alias("n"))
+    limits = threshold_table(m).agg(
+        (F.max("threshold") - F.min("threshold")).alias("threshold_range"),
+        F.count_if(~F.col("above_random") | ~F.col("above_ordinary")).alias("controls_hit"),
+    )
+
+    stable = stage(D.stability(ranked_snapshots(m), KS, KS[-1]))
+    short, long = stable.where(F.col("top_k") == 30), stable.where(F.col("top_k") == 100)
+    turnover = short.groupBy("template_id").agg(_median("turnover").alias("t")).agg(_median("t").alias("list_turnover"))
+    edge = short.agg(_median("boundary_share").alias("boundary"), _median("percentile_corr").alias("whole_corr"))
+    top100 = long.agg(_median("turnover").alias("top100_turnover"))
+
+    pairs = stage(pair_jaccard(rows))
+    middle = pairs.groupBy("a", "b").agg(_median("jaccard_top").alias("j")).agg((F.max("j") - F.min("j")).alias("jaccard_spread"))
+    overlap = pairs.where((F.col("frequency") == "monthly") & (F.col("seq") == newest)).agg(F.coalesce(F.max("jaccard_top"), F.lit(0.0)).alias("max_overlap"))
+    moves = D.transitions(stage(D.states(rows)), state_names(m)).where((F.col("from_state") != "none") & (F.col("to_state") != "none"))
+    lift = moves.agg(F.coalesce(F.max("lift"), F.lit(0.0)).alias("max_lift"))
+    latest = D.industries(monthly).where(F.col("seq") == newest)
+    focus = latest.agg(
+        F.count_if((F.col("industry") == FOCUS) & F.col("status").isin("strong_fading", "weak_fading")).alias("focus_weak"),
+        F.count_if("small_sample").alias("small_industries"),
     )
-    rules = [("score_spread", "spread", 0.08), ("supply_variation", "cv", 0.25), ("threshold_range", "range", 0.03), ("weak_supply", "weak", 1.0)]
-    cells = F.array(*[
-        F.struct(F.lit(i).alias("id"), F.when(F.col(c) >= lim, "supported").otherwise("weak").alias("decision"), F.col(c).alias("value")) for i, c, lim in rules
-    ])
-    return one.select(F.explode(cells).alias("r")).select("r.*")
+    window = sim.window_sensitivity(m).agg(_median("jaccard").alias("window_median"))
+    removed = exclusions(current(m)).where(F.col("variant") != "base").agg(F.max(F.abs("change_pp")).alias("exclusion_change"))
+
+    best = top_k(monthly.where(F.col("seq") == newest), ["template_id"], best_first(), LISTS[-1]).join(m.caps, ["entity", "bar_date"], "left")
+    lists = stage(best.withColumn("tier", size_tier(F.col("total_mv"))).withColumn(
+        "size", F.explode(F.filter(F.array(*[F.lit(k) for k in LISTS]), lambda k: F.col("rank") <= k))
+    ))
+    industry = concentration(lists, ["template_id", "size"], "industry")
+    same = industry.groupBy("template_id").agg(F.count_distinct("leader").alias("n")).agg(F.count_if(F.col("n") == 1).alias("stable_industry"))
+    tier = concentration(lists, ["template_id", "size"], "tier").groupBy("template_id").agg(F.count_distinct("leader").alias("n"))
+    tier = tier.agg(F.count_if(F.col("n") == 1).alias("stable_tier"))
+    width = industry.where(F.col("size") == 30).agg(
+        F.min("coverage").alias("coverage_min"), F.max("coverage").alias("coverage_max"), F.min("hhi").alias("hhi_min"), F.max("hhi").alias("hhi_max")
+    )
+    driven = top_k(events(m), ["template_id"], best_first(), 30)
+    hit = (F.col("up_count") + F.col("down_count") > 0) | (F.col("suspension_count") > 0) | (F.col("max_abs_pct") >= 9.5)
+    event = driven.groupBy("template_id").agg(F.avg(flag(hit)).alias("e")).agg(F.coalesce(F.max("e"), F.lit(0.0)).alias("max_event"))
+
+    frames = [levels, limits, turnover, edge, top100, middle, overlap, lift, focus, window, removed, same, tier, width, event]
+    out = _variation(reached, ["template_id"], "supply_cv").unionByName(_variation(qualified, ["frequency", "template_id"], "max_cv"))
+    for frame in frames:
+        out = out.unionByName(_as_rows(frame, frame.columns))
+    return out
+
+
+def _verdict_sql() -> str:
+    sql = {name: QUERIES[name].sql for name in ("dyn_thresholds", "dyn_stability", "dyn_jaccard", "dyn_transition", "dyn_industry", "dyn_exclusion", "sim_window_sensitivity")}
+    leader = """select count(*) from (select template_id from (select template_id, size, arg_max({g}, struct_pack(a := n, b := -fr)) as leader
+      from (select template_id, size, {g}, count(*) as n, min(rank) as fr from lists group by all) group by 1, 2) group by 1 having count(distinct leader) = 1)"""
+    return f"""with {EVENTS_SQL.strip().removeprefix("with").strip()},
+      h as (select template_id, seq, max(score) as mx, quantile_cont(score, 0.99) as p99, median(score) as md from dsc where frequency = 'monthly' group by 1, 2),
+      ns as (select max(seq) as s from h), nowh as (select h.*, median(p99) over w as mp, median(mx) over w as mm from h window w as (partition by template_id)),
+      nw as (select * from nowh where seq = (select s from ns)),
+      reached as (select d.template_id, d.seq, count(case when d.score >= n.p99 then 1 end) as n from dsc d join nw n using (template_id) where d.frequency = 'monthly' group by 1, 2),
+      qual as (select frequency, template_id, seq, count(case when q then 1 end) as n from dsc group by 1, 2, 3),
+      thr_t as ({sql["dyn_thresholds"]}), stab as ({sql["dyn_stability"]}), jac as ({sql["dyn_jaccard"]}), trn as ({sql["dyn_transition"]}), ind as ({sql["dyn_industry"]}),
+      exc as ({sql["dyn_exclusion"]}), wsn as ({sql["sim_window_sensitivity"]}),
+      best as (select d.*, case when c.total_mv < 100 then 'small' when c.total_mv < 200 then 'mid' when c.total_mv is not null then 'large' end as tier
+        from dsc d left join caps c on c.entity = d.entity and c.bar_date = d.bar_date where d.frequency = 'monthly' and d.seq = (select s from ns) and d.rank <= 100),
+      lists as (select b.*, k.size from best b join (select unnest([10, 30, 100]) as size) k on b.rank <= k.size),
+      conc as (select template_id, count(*) as coverage, cast(sum(n * n) as double) / cast(sum(n) * sum(n) as double) as hhi
+        from (select template_id, industry, count(*) as n from lists where size = 30 group by 1, 2) group by 1),
+      ev30 as (select * from evc qualify row_number() over (partition by template_id order by score desc, entity) <= 30),
+      row1 as (select
+        (select greatest(max(p99) - min(p99), max(md) - min(md)) from nw) as score_spread, cast((select count(*) from nw where p99 < mp and mx < mm) as double) as weak_supply,
+        (select max(v) from (select coalesce(stddev_pop(n) / nullif(avg(n), 0), 0) as v from reached group by template_id)) as supply_cv,
+        (select max(v) from (select coalesce(stddev_pop(n) / nullif(avg(n), 0), 0) as v from qual group by frequency, template_id)) as max_cv,
+        (select max(threshold) - min(threshold) from thr_t) as threshold_range, cast((select count(*) from thr_t where not above_random or not above_ordinary) as double) as controls_hit,
+        (select median(t) from (select median(turnover) as t from stab where top_k = 30 group by template_id)) as list_turnover,
+        (select median(boundary_share) from stab where top_k = 30) as boundary, (select median(percentile_corr) from stab where top_k = 30 and not isnan(percentile_corr)) as whole_corr,
+        (select median(turnover) from stab where top_k = 100) as top100_turnover,
+        (select max(j) - min(j) from (select median(jaccard_top) as j from jac group by a, b)) as jaccard_spread,
+        (select coalesce(max(jaccard_top), 0) from jac where frequency = 'monthly' and seq = (select s from ns)) as max_overlap,
+        (select coalesce(max(lift), 0) from trn where from_state <> 'none' and to_state <> 'none') as max_lift,
+        cast((select count(*) from ind where frequency = 'monthly' and seq = (select s from ns) and industry = '{FOCUS}' and status in ('strong_fading', 'weak_fading')) as double) as focus_weak,
+        cast((select count(*) from ind where frequency = 'monthly' and seq = (select s from ns) and small_sample) as double) as small_industries,
+        (select median(jaccard) from wsn) as window_median, (select max(abs(change_pp)) from exc where variant <> 'base') as exclusion_change,
+        cast(({leader.format(g="industry")}) as double) as stable_industry, cast(({leader.format(g="tier")}) as double) as stable_tier,
+        (select min(coverage) * 1.0e0 from conc) as coverage_min, (select max(coverage) * 1.0e0 from conc) as coverage_max, (select min(hhi) from conc) as hhi_min, (select max(hhi) from conc) as hhi_max,
+        (select coalesce(max(e), 0) from (select avg(case when up_count + down_count > 0 or suspension_count > 0 or max_abs_pct >= 9.5 then 1.0e0 else 0 end) as e from ev30 group by template_id)) as max_event)
+      {evaluate_sql(VERDICTS, "row1")}"""
+
+
+@query("dyn_verdicts", "id:s decision:s wording:s measure:s value:f", _verdict_sql())
+def _(m: Market) -> DataFrame:
+    names = list(dict.fromkeys(n for r in VERDICTS for n in r.measures()))
+    return evaluate(one_row(verdict_measures(m), names), VERDICTS)
 
 
 # ---------------------------------------------------------------- audits

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.functions.ranking import order_positions, top_k
-from tapeloom.operators import calendar as C
+from tapeloom.functions.scalars import round_even
 from tapeloom.operators import metrics as Q
 from tapeloom.operators import sampling as Z
 from tapeloom.operators import shape as S
@@ -15,6 +15,7 @@ from tapeloom.plans import shape
 from tapeloom.plans.projections import anonymous_windows
 from tapeloom.plans.registry import query
 from tapeloom.plans.relational import RATED, pair_counts, rated
+from tapeloom.plans.sql_terms import profile_sql
 from tapeloom.sources.staging import stage
 from tapeloom.sources.tables import Market
 
@@ -38,10 +39,11 @@ def _(m: Market) -> DataFrame:
     return p.withColumn("accuracy", (F.col("concordant") + 0.5 * F.col("tied")) / F.col("comparable"))
 
 
-@query("met_purity", "category:s n:i purity:f severe:f",
-       f"with {_RK} select category, count(*) as n, avg(case when rating >= 2 then 1.0e0 else 0 end) as purity, avg(case when rating = 0 then 1.0e0 else 0 end) as severe from rk where rank <= 20 group by 1")
+@query("met_purity", "category:s top_k:i n:i purity:f severe:f",
+       f"""with {_RK} select category, k.top_k, count(*) as n, avg(case when rating >= 2 then 1.0e0 else 0 end) as purity, avg(case when rating = 0 then 1.0e0 else 0 end) as severe
+         from rk join (select unnest([20, 50]) as top_k) k on rk.rank <= k.top_k group by 1, 2""")
 def _(m: Market) -> DataFrame:
-    return Q.purity(rated(m), 20)
+    return Q.purity(rated(m), (20, 50))
 
 
 @query("met_strata", "category:s stratum:i n:i score_min:f score_max:f mean_rating:f",
@@ -161,7 +163,32 @@ def _(m: Market) -> DataFrame:
     return picked.select("entity", F.get("pool", F.pmod(number, F.size("pool")).cast("int")).alias("bar_date"))
 
 
-@query("top_quota_greedy", "profile:s entity:i grp:i profile_score:f")
+QUOTA_SETS = {"profiles": S.QUOTAS, "stages": S.STAGE_QUOTAS}
+
+
+def _quota_sql() -> str:
+    """A step for each profile: best sample of every group not yet used, highest score first, then the smaller hash."""
+    steps, parts = [], []
+    for name, quotas in QUOTA_SETS.items():
+        used: list[str] = []
+        for i, (profile, quota) in enumerate(quotas.items()):
+            left = "".join(f" and grp not in (select grp from {u})" for u in used)
+            step = f"{name}_{i}"
+            steps.append(f"""{step} as (select profile, entity, grp, profile_score from (select *, row_number() over (partition by grp order by profile_score desc, h) as k
+              from pool where profile = '{profile}'{left}) where k = 1 order by profile_score desc, h limit {quota})""")
+            used.append(step)
+            parts.append(f"select '{name}' as quota_set, * from {step}")
+    rows = " union all ".join(
+        f"select entity, entity % 60 as grp, sha256(cast(entity as varchar)) as h, '{n}' as profile, round_even(({profile_sql(S.PROFILES[n])}) * 1e8, 0) / 1e8 as profile_score from facts"
+        for quotas in QUOTA_SETS.values() for n in quotas
+    )
+    return f"with pool as materialized ({rows}), {', '.join(steps)} {' union all '.join(parts)}"
+
+
+@query("top_quota_greedy", "quota_set:s profile:s entity:i grp:i profile_score:f", _quota_sql())
 def _(m: Market) -> DataFrame:
-    scored = S.profile_scores(shape.facts(m), ["entity"]).withColumn("grp", F.col("entity") % 60)
-    return fill_quotas(scored, S.QUOTAS)
+    scored = stage(S.profile_scores(shape.facts(m), ["entity"]).withColumns({
+        "grp": F.col("entity") % 60, "profile_score": round_even("profile_score", 8),
+    }))
+    parts = [fill_quotas(scored, quotas).withColumn("quota_set", F.lit(name)) for name, quotas in QUOTA_SETS.items()]
+    return parts[0].unionByName(parts[1])

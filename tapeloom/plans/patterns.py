@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.functions.ranking import top_k
 from tapeloom.functions.scalars import round_even
 from tapeloom.operators import calendar as C
+from tapeloom.operators import history as H
 from tapeloom.operators import patterns as P
 from tapeloom.operators import rotation as R
 from tapeloom.operators.asof import as_of_samples
+from tapeloom.operators.history import Filters
 from tapeloom.plans.common import K
 from tapeloom.plans.projections import heat_level
 from tapeloom.plans.registry import query
 from tapeloom.plans.relational import cap_range
+from tapeloom.plans.sources import _fresh
 from tapeloom.sources.staging import stage
 from tapeloom.sources.tables import Market
 
@@ -67,20 +70,23 @@ pool as (select s.entity, s.name, s.board, c.total_mv from securities s join cap
   where s.board in ('main', 'star') and c.total_mv >= 50 and f.entity is null)"""
 
 
-def pool(m: Market) -> DataFrame:
-    """Screened universe: board, size range and not flagged on the as-of date."""
-    day = F.col("bar_date") == m.as_of
-    caps = m.caps.where(day & cap_range(F.col("total_mv"), 50)).select("entity", "total_mv")
-    flagged = m.flags.where(day).select("entity")
-    listed = m.securities.where(F.col("board").isin("main", "star")).select("entity", "name", "board")
-    return listed.join(caps, "entity").join(flagged, "entity", "left_anti")
+def pool(m: Market, day: Column | None = None, chosen: Filters = Filters()) -> DataFrame:
+    """Screened universe on a day (the as-of date): boards, least size, not flagged."""
+    there = F.col("bar_date") == (m.as_of if day is None else day)
+    out = m.securities.where(F.col("board").isin(*chosen.boards)).select("entity", "name", "board")
+    if chosen.min_cap is not None:
+        caps = m.caps.where(there & cap_range(F.col("total_mv"), chosen.min_cap)).select("entity", "total_mv")
+        out = out.join(caps, "entity")
+    if chosen.exclude_flagged:
+        out = out.join(m.flags.where(there).select("entity"), "entity", "left_anti")
+    return out
 
 
-def screen(m: Market) -> DataFrame:
-    """Every eligible security with its status, matches and primary category."""
-    eligible = pool(m)
+def screen(m: Market, day: Column | None = None, chosen: Filters = Filters()) -> DataFrame:
+    """Every eligible security with its status, matches and primary category; with a day, as it was then."""
+    eligible = pool(m, day, chosen)
     bars = m.bars0.join(eligible.select("entity"), "entity", "left_semi")
-    found = P.latest_matches(bars)
+    found = P.latest_matches(bars if day is None else bars.where(F.col("bar_date") <= day))
     out = eligible.join(found, "entity", "left")
     return out.withColumn("status", F.coalesce("status", F.lit("not_calculated")))
 
@@ -125,53 +131,95 @@ def _(m: Market) -> DataFrame:
     return P.pattern_scores(m.bars.where(F.col("entity") == 7)).where(F.col("pos") >= 60)
 
 
-@query("his_previous_counts", "run:s category:s n:i previous:i",
-       f"""with runs as (select 'latest' as run, 1 as seq, (select o from dayref) as o union all select 'earlier', 0, (select o from dayref) - 10),
-          lb as (select r.run, r.seq, b.entity, max(b.bar_date) as bar_date from runs r join cal c on c.ord <= r.o join bars0 b on b.bar_date = c.bar_date group by all),
-          cnt as (select l.run, l.seq, p.category, count(*) as n from lb l join patlong p on p.entity = l.entity and p.bar_date = l.bar_date group by all)
-          select a.run, a.category, a.n, b.n as previous from cnt a left join cnt b on a.category = b.category and b.seq = a.seq - 1""")
-def _(m: Market) -> DataFrame:
-    runs = history_runs(m)
-    counts = runs.groupBy("run", "seq", "filter_key", "category").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("filter_key", "category").orderBy("seq")
-    return counts.withColumn("previous", F.lag("n").over(w))
-
-
-def history_runs(m: Market) -> DataFrame:
-    """Two runs of the same screen appended to a run-history table partitioned by run."""
-    from tapeloom.operators.history import append_run, read_runs
-    from tapeloom.plans.sources import _fresh
-
-    path = _fresh(m, "runs")
-    for seq, (run, back) in enumerate((("earlier", 11), ("latest", 1))):
+#: run, dates before the newest, filters, saved: the unsaved run and the other filters must not count as comparable
+WIDE = Filters(boards=("growth",), min_cap=None, exclude_flagged=False)
+RUNS = (("earlier", 11, Filters(), True), ("trial", 6, Filters(), False), ("latest", 1, Filters(), True), ("wide", 1, WIDE, True))
+
+_RUNS_SQL = f"""
+runs as (select * from (values {", ".join(f"('{run}', {seq}, {back - 1}, '{f.canonical()}', {str(saved).lower()})" for seq, (run, back, f, saved) in enumerate(RUNS))}) as r(run, seq, back, filters, saved)),
+dated as (select r.*, k.bar_date as snapshot, k.ord from runs r join cal k on k.ord = (select o from dayref) - r.back),
+chosen as (select d.*, s.entity from dated d join securities s on (d.run = 'wide' and s.board = 'growth')
+    or (d.run <> 'wide' and s.board in ('main', 'star')
+      and exists (select 1 from caps c where c.entity = s.entity and c.bar_date = d.snapshot and c.total_mv >= 50)
+      and not exists (select 1 from flags f where f.entity = s.entity and f.bar_date = d.snapshot))),
+lastb as (select c.run, c.entity, max(b.bar_date) as bar_date, least(count(*), 120) as history_bars
+    from chosen c join bars0 b on b.entity = c.entity and b.bar_date <= c.snapshot group by 1, 2),
+hits as (select l.run, l.entity, p.category, p.score, p.prio from lastb l join patlong p on p.entity = l.entity and p.bar_date = l.bar_date),
+evals as (select c.run, c.seq, c.snapshot, c.filters, c.saved, c.entity, l.bar_date, coalesce(l.history_bars, 0) as history_bars,
+    case when coalesce(l.history_bars, 0) < 60 then 'not_calculated' when h.matches is null then 'no_match' else 'matched' end as status,
+    case when l.entity is null then 'no bars' when l.history_bars < 60 then 'short history' end as warning, coalesce(h.matches, '') as matches
+    from chosen c left join lastb l using (run, entity)
+    left join (select run, entity, string_agg(category, ',' order by prio desc) as matches from hits group by all) h using (run, entity)),
+cats as (select * from (values ('breakout'), ('pullback'), ('range_bounce')) as v(category)),
+cnt as (select d.run, d.seq, d.snapshot, d.filters, d.saved, k.category, count(h.entity) as n
+    from dated d cross join cats k left join hits h on h.run = d.run and h.category = k.category group by all),
+prior as (select a.run, b.run as previous_run, b.snapshot as previous_snapshot from dated a join dated b
+    on a.filters = b.filters and b.saved and b.snapshot < a.snapshot
+    qualify row_number() over (partition by a.run order by b.snapshot desc, b.seq desc) = 1),
+listed as (select run, entity, category, score, row_number() over (partition by run order by score desc, entity) as rank from
+    (select *, row_number() over (partition by run, entity order by score desc, prio desc) as k from hits) where k = 1)"""
+
+
+def run_history(m: Market) -> str:
+    """The screens of ``RUNS`` published in a history of their own; its folder."""
+    root = _fresh(m, "runs")
+    for seq, (run, back, chosen, saved) in enumerate(RUNS):
         day = C.nth_newest(m.cal, back)
-        rows = P.category_list(P.latest_matches(m.bars0.where(F.col("bar_date") <= day)))
-        append_run(rows.select("entity", "bar_date", "category", "score"), path, run, seq, {"boards": ["main", "star"], "top_k": K})
-    return read_runs(m.spark, path)
-
-
-@query("his_append_run", "run:s category:s n:i best:f",
-       f"""with runs as (select 'latest' as run, (select o from dayref) as o union all select 'earlier', (select o from dayref) - 10),
-          lb as (select r.run, b.entity, max(b.bar_date) as bar_date from runs r join cal c on c.ord <= r.o join bars0 b on b.bar_date = c.bar_date group by all)
-          select l.run, p.category, count(*) as n, max(p.score) as best from lb l join patlong p on p.entity = l.entity and p.bar_date = l.bar_date group by all""")
+        rows = screen(m, day, chosen).withColumn("history_bars", F.coalesce("n_past", F.lit(0)))
+        short = F.when(F.col("bar_date").isNull(), "no bars").when(F.col("status") == "not_calculated", "short history")
+        H.append_run(m.spark, root, run, seq, day, chosen, rows.withColumn("warning", short), P.CATEGORIES, saved)
+    return root
+
+
+@query("his_append_run", "run:s part:s item:s n:i best:f filters:s",
+       f"""with {_RUNS_SQL}
+        select run, 'evaluations' as part, status as item, count(*) as n, cast(null as double) as best, filters from evals group by all
+        union all select l.run, 'results', category, count(*), max(score), d.filters from listed l join dated d using (run) where rank <= 100 group by all
+        union all select d.run, 'manifest', 'results', (select count(*) from listed l where l.run = d.run and rank <= 100), null, d.filters from dated d
+        union all select d.run, 'manifest', 'evaluated', (select count(*) from evals e where e.run = d.run), null, d.filters from dated d""")
 def _(m: Market) -> DataFrame:
-    return history_runs(m).groupBy("run", "category").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("best"))
+    root = run_history(m)
+    evaluations, results, runs = H.published(m.spark, root, "evaluations"), H.published(m.spark, root, "results"), H.manifests(m.spark, root)
+    none, n = F.lit(None).cast("double").alias("best"), F.count(F.lit(1)).alias("n")
+    parts = [
+        evaluations.groupBy("run", F.lit("evaluations").alias("part"), F.col("status").alias("item"), "filters").agg(n).withColumn("best", F.lit(None).cast("double")),
+        results.groupBy("run", F.lit("results").alias("part"), F.col("category").alias("item"), "filters").agg(n, F.max("score").alias("best")),
+        runs.select("run", F.lit("manifest").alias("part"), F.lit("results").alias("item"), "filters", F.col("result_count").alias("n"), none),
+        runs.select("run", F.lit("manifest").alias("part"), F.lit("evaluated").alias("item"), "filters", F.col("evaluated").alias("n"), none),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+@query("his_previous_counts", "run:s category:s n:i previous_run:s previous_snapshot:d previous:i change:i",
+       f"""with {_RUNS_SQL} select a.run, a.category, a.n, p.previous_run, p.previous_snapshot, b.n as previous, a.n - b.n as change
+          from cnt a left join prior p using (run) left join cnt b on b.run = p.previous_run and b.category = a.category""")
+def _(m: Market) -> DataFrame:
+    return H.category_changes(H.manifests(m.spark, run_history(m)))
 
 
-_HIST = """with runs as (select 'latest' as run, 1 as seq, (select o from dayref) as o union all select 'earlier', 0, (select o from dayref) - 10),
-  lb as (select r.run, r.seq, b.entity, max(b.bar_date) as bar_date from runs r join cal c on c.ord <= r.o join bars0 b on b.bar_date = c.bar_date group by all)
-  select l.run, l.entity, p.category, p.score, p.bar_date from lb l join patlong p on p.entity = l.entity and p.bar_date = l.bar_date"""
+@query("agg_counts_by_category", "category:s n:i change:i compared_with:d",
+       f"""with {_RUNS_SQL} select a.category, a.n, a.n - b.n as change, p.previous_snapshot as compared_with
+          from cnt a left join prior p using (run) left join cnt b on b.run = p.previous_run and b.category = a.category where a.run = 'latest'""")
+def _(m: Market) -> DataFrame:
+    changes = H.category_changes(H.manifests(m.spark, run_history(m)))
+    return changes.where(F.col("run") == "latest").withColumnRenamed("previous_snapshot", "compared_with")
 
 
-@query("his_pattern_history", "run:s entity:i category:s score:f bar_date:d", _HIST)
+@query("his_pattern_history", "entity:i nth:i run:s snapshot:d status:s state:s matches:s bar_date:d history_bars:i warning:s",
+       f"""with {_RUNS_SQL}, nums as (select *, row_number() over w as nth, first_value(status) over w as newest from evals where saved
+            window w as (partition by entity order by snapshot desc, seq desc, run))
+          select entity, nth, run, snapshot, status, case newest when 'no_match' then 'calculated_no_match' else newest end as state, matches, bar_date, history_bars, warning
+          from nums where nth <= 10""")
 def _(m: Market) -> DataFrame:
-    return history_runs(m)
+    rows = H.security_history(H.published(m.spark, run_history(m), "evaluations"), keep=10)
+    return rows.withColumn("matches", F.array_join(F.transform("matches", lambda x: x["category"]), ","))
 
 
-@query("jn_pattern_history", "run:s entity:i category:s score:f", f"select run, entity, category, score from ({_HIST}) where entity % 5 = 1 order by run desc")
+@query("jn_pattern_history", "run:s snapshot:d entity:i status:s filters:s",
+       f"with {_RUNS_SQL} select run, snapshot, entity, status, filters from evals where saved order by snapshot desc, seq desc, entity")
 def _(m: Market) -> DataFrame:
-    saved = m.securities.where(F.col("entity") % 5 == 1).select("entity")
-    return history_runs(m).join(saved, "entity", "left_semi").orderBy(F.col("seq").desc(), "entity")
+    rows = H.published(m.spark, run_history(m), "evaluations").where("saved")
+    return rows.orderBy(F.col("snapshot").desc(), F.col("seq").desc(), "entity")
 
 
 # ---------------------------------------------------------------- rotation

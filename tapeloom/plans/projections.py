@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tapeloom.functions.ranking import top_k
 from tapeloom.functions.scalars import padded, strict
 from tapeloom.operators import bars as B
+from tapeloom.operators import calendar as C
 from tapeloom.operators.membership import industry_on
 from tapeloom.plans import similarity as sim
 from tapeloom.plans.registry import query
@@ -95,10 +96,47 @@ def _(m: Market) -> DataFrame:
     return B.adjust_prices(m.bars_with_factor, "chart_qfq")
 
 
-@query("prj_adjust_hfq", "entity:i bar_date:d open:f close:f",
-       _fills(f"{_round('open * f', 4)} as open, {_round('close * f', 4)} as close", ""))
+_PAGE_SIZE = 100
+_PAGED = f"""
+raw as (select b.*, lag(close) over (partition by entity order by bar_date) as pre_close,
+    (row_number() over (partition by entity order by bar_date desc) - 1) // {_PAGE_SIZE} + 1 as page from barsf b),
+whole as (select *, coalesce(ff, first_value(ff ignore nulls) over (partition by entity order by bar_date rows between current row and unbounded following)) as f
+    from (select *, last_value(adj_factor ignore nulls) over (partition by entity order by bar_date rows between unbounded preceding and current row) as ff from raw)),
+anchors as (select entity, arg_max(adj_factor, bar_date) filter (where adj_factor is not null) as anchor,
+    max(bar_date) filter (where adj_factor is not null) as until from barsf group by 1)"""
+
+
+def _adjusted_sql(multiplier: str, source: str = "whole join anchors using (entity)") -> str:
+    """Prices of the full series times a multiplier: what the pages have to add up to."""
+    prices = ", ".join(f"{_round(f'{c} * ({multiplier})', 4)} as {c}" for c in (*B.PRICES, "pre_close"))
+    return f"""select *, {_round('change / pre_close * 100', 2)} as pct_chg from (select *, {_round('close - pre_close', 2)} as change from (
+        select entity, bar_date, page, until, volume, amount, {prices} from {source}))"""
+
+
+_BAR = f"{_OHLC} pre_close:f change:f pct_chg:f"
+
+
+@query("prj_adjust_page", f"page:i entity:i bar_date:d {_BAR} used:s warning:s",
+       f"""with {_PAGED} select page, entity, bar_date, open, high, low, close, pre_close, change, pct_chg, 'qfq' as used,
+         case when until < (select max(bar_date) from cal) then 'factors end early: the last one goes on' end as warning from ({_adjusted_sql('f / anchor')})""")
+def _(m: Market) -> DataFrame:
+    pages = B.in_pages(B.with_previous_close(m.bars0), _PAGE_SIZE)
+    return B.adjust_pages(pages, m.factors, C.nth_newest(m.cal, 0))
+
+
+@query("prj_adjust_hfq", f"entity:i bar_date:d {_BAR}",
+       f"with {_PAGED} select entity, bar_date, open, high, low, close, pre_close, change, pct_chg from ({_adjusted_sql('f')})")
+def _(m: Market) -> DataFrame:
+    pages = B.in_pages(B.with_previous_close(m.bars0), _PAGE_SIZE)
+    return B.adjust_pages(pages, m.factors, C.nth_newest(m.cal, 0), "hfq")
+
+
+@query("prj_adjust_errors", "entity:i error:s n_missing:i n_not_positive:i since:d",
+       """select entity, 'missing factor' as error, count(*) as n_missing, 0 as n_not_positive, min(bar_date) as since from (
+            select *, first_value(adj_factor ignore nulls) over (partition by entity order by bar_date rows between current row and unbounded following) as f
+            from barsf where bar_date <= (select d from dayref)) where f is null group by 1""")
 def _(m: Market) -> DataFrame:
-    return B.adjust_prices(m.bars_with_factor, "chart_hfq")
+    return B.adjustment_errors(m.bars_in_place, m.as_of)
 
 
 @query("prj_adjust_review_qfq", "entity:i bar_date:d open:f close:f",
@@ -178,10 +216,9 @@ def _(m: Market) -> DataFrame:
 
 
 @query("prj_index100", "entity:i bar_date:d index_100:f",
-       """select entity, bar_date, close / first_value(close) over (partition by entity order by bar_date) * 100 as index_100
-          from qfq where bar_date >= date '2000-01-01'""")
+       "select entity, bar_date, close / first_value(close) over (partition by entity order by bar_date) * 100 as index_100 from qfq")
 def _(m: Market) -> DataFrame:
-    return B.index_100(m.qfq.where(F.col("bar_date") >= F.lit("2000-01-01").cast("date")), ["entity"])
+    return B.index_100(m.qfq, ["entity"])
 
 
 @query("prj_resolve_code", "raw:s entity:i",
@@ -326,12 +363,16 @@ def _(m: Market) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
-@query("top_bars_page", "entity:i returned:i returned_start:d returned_end:d last_close:f oldest_available:d newest_available:d has_more_before:b has_more_after:b",
-       _PB + f"""select p.entity, p.returned, p.returned_start, p.returned_end, p.last_close, b.oldest_available, b.newest_available,
+@query("top_bars_page", "entity:i returned:i returned_start:d returned_end:d last_close:f last_change:f oldest_available:d newest_available:d has_more_before:b has_more_after:b",
+       f"""with {_PAGED}, paged as ({_adjusted_sql('f / anchor')})
+          select p.entity, p.returned, p.returned_start, p.returned_end, p.last_close, p.last_change, b.oldest_available, b.newest_available,
           returned_start > oldest_available as has_more_before, returned_end < newest_available as has_more_after
-          from (select entity, count(*) as returned, min(bar_date) as returned_start, max(bar_date) as returned_end, arg_max(close, bar_date) as last_close
-            from (select * from {_resample_sql('1m', '(select * from pb where bar_date <= (select d from dayref))')}
+          from (select entity, count(*) as returned, min(bar_date) as returned_start, max(bar_date) as returned_end, arg_max(close, bar_date) as last_close, arg_max(change, bar_date) as last_change
+            from (select * from {_resample_sql('1m', '(select * from paged where bar_date <= (select d from dayref))')}
               qualify row_number() over (partition by entity order by bar_date desc) <= 24) group by 1) p
           join (select entity, min(bar_date) as oldest_available, max(bar_date) as newest_available from bars0 group by 1) b on p.entity = b.entity""")
 def _(m: Market) -> DataFrame:
-    return B.bars_page(_with_prev(m), "1m", 24, m.as_of)
+    # The page ends at the as-of date; its anchor is that of every other page.
+    visible = B.with_previous_close(m.bars0).where(F.col("bar_date") <= m.as_of).withColumn("page", F.lit(0))
+    adjusted = B.adjust_pages(visible, m.factors, C.nth_newest(m.cal, 0))
+    return B.bars_page(adjusted, m.bars0, "1m", 24)

@@ -406,20 +406,19 @@ def _(m: Market) -> DataFrame:
 def concentration(df: DataFrame, keys: list[str], group: str) -> DataFrame:
     """Coverage, top share, HHI and leading group; a tie goes to the group seen first by rank."""
     per = df.groupBy(*keys, group).agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("first_rank"))
-    w = Window.partitionBy(*keys)
-    share = F.col("n") / F.sum("n").over(w)
-    return per.withColumn("share", share).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("coverage"), F.max("share").alias("top_share"),
-        F.sum(F.col("share") * F.col("share")).alias("hhi"),
+    total = F.sum("n")
+    return per.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("coverage"), (F.max("n") / total).alias("top_share"),
+        (F.sum(F.col("n") * F.col("n")) / (total * total)).alias("hhi"),  # one division of whole numbers: no rounding noise
         F.max_by(group, F.struct("n", -F.col("first_rank"))).alias("leader"),
     )
 
 
 @query("agg_concentration", "template_id:i bar_date:d coverage:i top_share:f hhi:f leader:s",
        """with g as (select template_id, bar_date, industry, count(*) as n, min(rank) as fr from daily group by all),
-          s as (select *, n * 1.0e0 / sum(n) over (partition by template_id, bar_date) as share from g)
-          select template_id, bar_date, count(*) as coverage, max(share) as top_share, sum(share * share) as hhi,
-            arg_max(industry, struct_pack(a := n, b := -fr)) as leader from s group by 1, 2""")
+          s as (select template_id, bar_date, count(*) as coverage, cast(max(n) as double) as top_n, cast(sum(n) as double) as total, cast(sum(n * n) as double) as squares,
+            arg_max(industry, struct_pack(a := n, b := -fr)) as leader from g group by 1, 2)
+          select template_id, bar_date, coverage, top_n / total as top_share, squares / (total * total) as hhi, leader from s""")
 def _(m: Market) -> DataFrame:
     return concentration(daily_top(m), ["template_id", "bar_date"], "industry")
 
@@ -521,13 +520,3 @@ thr as (select template_id, quantile_cont(p99, 0.75) as threshold, median(p99) a
        f"with {THRESHOLD_SQL} select * from thr")
 def _(m: Market) -> DataFrame:
     return frozen_thresholds(distribution(m), month_ends(m))
-
-
-@query("agg_counts_by_category", "bar_date:d board:s n:i change:i",
-       """with c as (select b.bar_date, k.ord, s.board, count(*) as n from bars0 b join securities s on b.entity = s.entity join cal k on b.bar_date = k.bar_date where b.close > b.open group by all)
-          select a.bar_date, a.board, a.n, a.n - p.n as change from c a left join c p on a.board = p.board and p.ord = a.ord - 1""")
-def _(m: Market) -> DataFrame:
-    up = m.bars0.where(F.col("close") > F.col("open")).join(m.securities.select("entity", "board"), "entity")
-    counts = stage(C.with_ordinal(up, m.cal).groupBy("bar_date", "ord", "board").agg(F.count(F.lit(1)).alias("n")))
-    prior = counts.select("board", (F.col("ord") + 1).alias("ord"), F.col("n").alias("p"))
-    return counts.join(prior, ["board", "ord"], "left").withColumn("change", F.col("n") - F.col("p"))

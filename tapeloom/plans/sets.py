@@ -93,19 +93,34 @@ def _(m: Market) -> DataFrame:
     return best.select("entity", "b.template_id", "b.bar_date", "b.score")
 
 
-@query("top_leader_removal", "bar_date:d industry_code:i eligible:i above:i above_without_top1:i above_without_top3:i",
-       """with r as (select *, row_number() over (partition by bar_date, industry_code order by score desc, entity) as rn from panel where template_id = 1)
-          select bar_date, industry_code, count(*) as eligible, count(case when score >= 0.7 then 1 end) as above,
-            count(case when score >= 0.7 and rn > 1 then 1 end) as above_without_top1, count(case when score >= 0.7 and rn > 3 then 1 end) as above_without_top3 from r group by 1, 2""")
+@query("top_leader_removal", "template_id:i bar_date:d industry_code:i eligible:i above:i top100:i without:i eligible_left:i above_left:i above_rate_left:f top100_left:i top100_share_left:f",
+       """with r as (select p.*, row_number() over (partition by template_id, bar_date, industry_code order by score desc, entity) as rn,
+              row_number() over (partition by template_id, bar_date order by score desc, entity) as rank from panel p),
+          c as (select template_id, bar_date, industry_code, k.without, count(*) as eligible, count(case when score >= 0.7 then 1 end) as above, count(case when rank <= 100 then 1 end) as top100,
+            count(case when rn > k.without then 1 end) as eligible_left, count(case when score >= 0.7 and rn > k.without then 1 end) as above_left,
+            count(case when rank <= 100 and rn > k.without then 1 end) as top100_left from r, (select unnest([1, 3]) as without) k group by 1, 2, 3, 4)
+          select *, coalesce(above_left * 1.0e0 / nullif(eligible_left, 0), 0) as above_rate_left, top100_left / 100.0e0 as top100_share_left from c""")
 def _(m: Market) -> DataFrame:
-    """The leaders of a group are its highest scores, so removing them is arithmetic on counts."""
-    base = panel(m).where(F.col("template_id") == 1)
-    counts = base.groupBy("bar_date", "industry_code").agg(
-        F.count(F.lit(1)).alias("eligible"), F.count_if(F.col("score") >= 0.7).alias("above")
-    )
-    for k in (1, 3):
-        counts = counts.withColumn(f"above_without_top{k}", F.greatest(F.col("above") - k, F.lit(0)))
-    return counts
+    return leader_removal(panel(m), 0.7)
+
+
+def leader_removal(rows: DataFrame, threshold: float, leaders: tuple[int, ...] = (1, 3)) -> DataFrame:
+    """Counts of every template, day and industry with and without its leaders.
+
+    The leaders of a group are its highest scores, so whatever is kept by score (above a threshold, in
+    the daily list) loses them first: removing them is arithmetic on counts.
+    """
+    keys = ["template_id", "bar_date", "industry_code"]
+    listed = top_k(rows, ["template_id", "bar_date"], best_first(), K).groupBy(*keys).agg(F.count(F.lit(1)).alias("top100"))
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("eligible"), F.count_if(F.col("score") >= threshold).alias("above"))
+    code = F.coalesce("industry_code", F.lit(-1))  # a security without industry belongs to a group of its own
+    counts, listed = counts.withColumn("_code", code), listed.withColumn("_code", code).drop("industry_code")
+    counts = counts.join(listed, ["template_id", "bar_date", "_code"], "left")
+    counts = counts.fillna(0, ["top100"]).withColumn("without", F.explode(F.array(*[F.lit(k) for k in leaders])))
+    left = {f"{c}_left": F.greatest(F.col(c) - F.col("without"), F.lit(0)) for c in ("eligible", "above", "top100")}
+    return counts.withColumns(left).withColumns({
+        "above_rate_left": F.coalesce(F.try_divide("above_left", "eligible_left"), F.lit(0.0)), "top100_share_left": F.col("top100_left") / float(K),
+    })
 
 
 def day_states(m: Market, lags: list[int], group: list[str]) -> DataFrame:
@@ -216,10 +231,11 @@ def _(m: Market) -> DataFrame:
     )
 
 
-@query("set_union_rows", "template_id:i n:i", "select template_id, count(*) as n from scores group by 1")
+@query("set_union_rows", "template_id:i bar_date:d rank:i entity:i score:f",
+       "select template_id, bar_date, rank, entity, score from daily where bar_date = (select d from dayref)")
 def _(m: Market) -> DataFrame:
-    # The template is a column from the start: one plan, no union of per-template frames.
-    return sim.scores(m).groupBy("template_id").agg(F.count(F.lit(1)).alias("n"))
+    """The lists of all templates as one table: the template is a column from the start, no union of per-template frames."""
+    return daily_top(m).where(F.col("bar_date") == m.as_of)
 
 
 @query("set_cross_hits", "bar_date:d entity:i template_id:i others:s",

@@ -13,7 +13,7 @@ from tapeloom.operators import shape as S
 from tapeloom.operators.bars import by_entity
 from tapeloom.plans import similarity as sim
 from tapeloom.plans.registry import query
-from tapeloom.plans.sql_terms import finding_sql, profile_sql, term_sql
+from tapeloom.plans.sql_terms import any_sql, finding_sql, profile_sql, term_sql
 from tapeloom.sources.staging import stage
 from tapeloom.sources.tables import Market
 
@@ -57,24 +57,16 @@ def _(m: Market) -> DataFrame:
     return S.profile_scores(facts(m), ["entity"])
 
 
-CONTEXT_SQL = """
-cx0 as (select f.*, p.* exclude (entity), greatest(0, return_20) / greatest(return_119, 0.05e0) as terminal_concentration, least(trend_slope_120, return_119) as weakest_full_rise,
-  case when breakout_age between 1 and 3 then 1 when breakout_age = 0 then 0.72e0 when breakout_age between 4 and 7 then greatest(0, least(1, 0.82e0 - (breakout_age - 4) * 0.12e0))
-    when breakout_age between 8 and 15 then greatest(0, least(1, 0.38e0 - (breakout_age - 8) * 0.04e0)) else 0 end as freshness,
-  case when breakout_resistance_window >= 60 then 1 when breakout_resistance_window >= 20 then 0.72e0 else 0 end as structure_quality,
-  breakout_day_return / greatest(pre_breakout_volatility_20, 0.008e0) as breakout_contrast, abs(pre_breakout_trend_slope_40) as aslope40,
-  greatest(pre_breakout_return_60, pre_breakout_trend_slope_60) as rise60, greatest(pre_breakout_return_100, pre_breakout_trend_slope_100) as rise100
-  from facts f join paths p on f.entity = p.entity),
-cx1 as (select *, {cons} as cq, {decl} as dq, {rnr} as rnr, greatest({lnr}, {bot}, {rst}) as rq from cx0),
-cx2 as (select *, greatest(cq, dq) as setup_quality, greatest(dq, cq * rnr * greatest(rq, dq)) as rt from cx1),
-cx3 as (select *, case when (pre_breakout_return_40 > 0.06 and pre_breakout_trend_slope_40 > 0.045 and pre_breakout_trend_fit_40 > 0.7) or (pre_breakout_return_100 > 0.08 and pre_breakout_trend_slope_100 > 0.07 and pre_breakout_trend_fit_100 > 0.6)
-    or (rt < 0.4 and ((pre_breakout_return_60 > 0.1 and pre_breakout_trend_slope_60 > 0.1 and pre_breakout_trend_fit_60 > 0.5) or (pre_breakout_return_100 > 0.18 and pre_breakout_trend_slope_100 > 0.15 and pre_breakout_trend_fit_100 > 0.5)))
-    then 0.0e0 else 1.0e0 end as not_uptrend from cx2),
-cx as (select *, least(rt, case when not_uptrend = 1 then 1 else 0.2e0 end) as transition_quality from cx3)""".format(
-    cons=" * ".join([term_sql(("band", "pre_breakout_return_40", -0.12, 0.08, 0.10)), term_sql(("fall", "aslope40", 0.08, 0.22)), term_sql(("band", "pre_breakout_range_width_40", 0.05, 0.24, 0.16))]),
-    decl=" * ".join([term_sql(("down", "pre_breakout_return_40", 0.05, 0.24)), term_sql(("down", "pre_breakout_trend_slope_40", 0.04, 0.24))]),
-    rnr=term_sql(("fall", "rise60", 0.08, 0.18)), lnr=term_sql(("fall", "rise100", 0.15, 0.30)),
-    bot=term_sql(("fall", "pre_breakout_range_position_100", 0.70, 0.92)), rst=term_sql(("ramp", "pre_breakout_drawdown_from_high_100", 0.04, 0.12)))
+def _context_sql() -> str:
+    frames, source = ["cx0 as (select f.*, p.* exclude (entity) from facts f join paths p on f.entity = p.entity)"], "cx0"
+    for i, layer in enumerate(S.CONTEXT, 1):
+        name = "cx" if i == len(S.CONTEXT) else f"cx{i}"
+        frames.append(f"{name} as (select *, {', '.join(f'{term_sql(t)} as {c}' for c, t in layer.items())} from {source})")
+        source = name
+    return ",\n".join(frames)
+
+
+CONTEXT_SQL = _context_sql()
 
 
 def _prior_sql(name: str) -> str:
@@ -189,18 +181,27 @@ def _(m: Market) -> DataFrame:
     return wide.select("category", *[F.col(str(i)).alias(f"r{i}") for i in range(4)])
 
 
-@query("v2_caps", "entity:i category:s ceiling:f hits:i",
-       " union all ".join(
-           f"select entity, '{c}' as category, coalesce(least({', '.join('case when ' + ' and '.join(finding_sql(x) for x in cond) + f' then {lim}e0 end' for lim, cond in rules)}), 3) as ceiling, "
-           + " + ".join("case when " + " and ".join(finding_sql(x) for x in cond) + " then 1 else 0 end" for _, cond in rules) + " as hits from facts"
-           for c, rules in S.CAPS.items()))
+def _caps_sql(category: str, rules: list) -> str:
+    def hit(then: list[str]) -> list[str]:
+        return [f"case when {any_sql(groups)} then {value} end" for (_, _, _, groups), value in zip(rules, then, strict=True)]
+
+    limits = hit([f"{float(limit)!r}e0" for limit, *_ in rules])
+    codes, messages = hit([f"'{code}'" for _, code, *_ in rules]), hit([f"'{message}'" for _, _, message, _ in rules])
+    return f"""select entity, '{category}' as category, coalesce(least({', '.join(limits)}), 3) as ceiling,
+      {' + '.join(f"case when {any_sql(groups)} then 1 else 0 end" for *_, groups in rules)} as hits,
+      concat_ws(',', {', '.join(codes)}) as codes, concat_ws('; ', {', '.join(messages)}) as messages from facts"""
+
+
+_CAPS = " union all ".join(_caps_sql(c, rules) for c, rules in S.CAPS.items())
+
+
+@query("v2_caps", "entity:i category:s ceiling:f hits:i codes:s messages:s", _CAPS)
 def _(m: Market) -> DataFrame:
-    return S.ceilings(facts(m), ["entity"])
+    rows = S.ceilings(facts(m), ["entity"])
+    return rows.withColumn("codes", F.array_join("codes", ",")).withColumn("messages", F.array_join("messages", "; "))
 
 
-_CAP_SQL = "capx as (" + " union all ".join(
-    f"select entity, '{c}' as category, coalesce(least({', '.join('case when ' + ' and '.join(finding_sql(x) for x in cond) + f' then {lim}e0 end' for lim, cond in rules)}), 3) as ceiling from facts"
-    for c, rules in S.CAPS.items()) + ")"
+_CAP_SQL = f"capx as ({_CAPS})"
 SCORE_SQL = f"""{MODEL_SQL}, {_CAP_SQL},
 v2 as (select d.entity, d.category, d.rating, d.distance, 3 * exp(-0.5e0 * power(d.distance / s.distance_scale, 2)) as raw_score, least(c.ceiling, 3 * exp(-0.5e0 * power(d.distance / s.distance_scale, 2))) as score
   from dist d join scales s using (category) join capx c using (entity, category))"""
@@ -212,13 +213,12 @@ def v2_scores(m: Market) -> DataFrame:
     return S.category_scores(known, stats.select("category", "feature", "median", "robust_scale"), scales, ["entity"])
 
 
-@query("v2_score_category", "entity:i distance:f raw_score:f score:f first_contributor:s",
-       f"""with {SCORE_SQL}, k as (select entity, arg_max(feature, struct_pack(a := weight * least(power((value - median) / robust_scale, 2), 64), b := feature)) as first_contributor
-            from lf join model using (category, feature) where category = 'healthy_uptrend' group by 1)
-          select v2.*, k.first_contributor from v2 join k using (entity) where category = 'healthy_uptrend'""")
+@query("v2_score_category", "entity:i category:s distance:f raw_score:f score:f first_contributor:s",
+       f"""with {SCORE_SQL}, k as (select entity, category, arg_max(feature, struct_pack(a := weight * least(power((value - median) / robust_scale, 2), 64), b := feature)) as first_contributor
+            from lf join model using (category, feature) group by 1, 2)
+          select v2.*, k.first_contributor from v2 join k using (entity, category)""")
 def _(m: Market) -> DataFrame:
-    one = v2_scores(m).where(F.col("category") == "healthy_uptrend")
-    return one.withColumn("first_contributor", F.col("contributors")[0]["feature"])
+    return v2_scores(m).withColumn("first_contributor", F.col("contributors")[0]["feature"])
 
 
 @query("v2_score_all", "entity:i category:s distance:f raw_score:f score:f", f"with {SCORE_SQL} select * from v2")

@@ -132,6 +132,10 @@ def _(m: Market) -> DataFrame:
        from ev e join variants v on e.template_id = v.template_id and e.f = v.f group by e.template_id, e.f""",
 )
 def _(m: Market) -> DataFrame:
+    return window_sensitivity(m)
+
+
+def window_sensitivity(m: Market) -> DataFrame:
     base = book(m)
     order = [F.col("score").desc(), F.col("entity")]
 

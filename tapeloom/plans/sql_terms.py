@@ -13,6 +13,20 @@ def _ramp(x: str, lo: float, hi: float) -> str:
 
 def term_sql(t: tuple) -> str:
     kind, x, *p = t
+    if kind in ("most", "least", "product", "ratio"):
+        parts = [term_sql(y) for y in (x, *p)]
+        if kind in ("most", "least"):
+            return f"{'greatest' if kind == 'most' else 'least'}({', '.join(parts)})"
+        return "(" + (" * " if kind == "product" else " / ").join(parts) + ")"
+    if kind == "none":
+        return f"(case when {any_sql((x, *p))} then 0.0e0 else 1.0e0 end)"
+    if kind == "value":
+        return _n(x)
+    if kind == "steps":
+        cases = [f"when {x} between {_n(a)} and {_n(b)} then greatest(0.0e0, least(1.0e0, {_n(v)} + ({x} - {_n(a)}) * {_n(s)}))" for a, b, v, s in p]
+        return f"(case {' '.join(cases)} else 0.0e0 end)"
+    if kind == "abs":
+        return f"abs({x})"
     if kind == "ramp":
         return _ramp(x, *p)
     if kind == "fall":
@@ -34,3 +48,8 @@ def profile_sql(terms: list[tuple]) -> str:
 def finding_sql(f: tuple) -> str:
     name, op, limit = f
     return f"{name} {op} {_n(limit)}"
+
+
+def any_sql(groups) -> str:
+    """Whether all findings of one of the groups hold."""
+    return "(" + " or ".join("(" + " and ".join(finding_sql(f) for f in group) + ")" for group in groups) + ")"

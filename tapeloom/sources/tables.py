@@ -5,6 +5,7 @@ One supplier is one security; its sales lines form weekly bars.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -25,6 +26,13 @@ class Market:
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark = spark
         self.folder = folder
+        self._shared: dict[str, DataFrame] = {}
+
+    def once(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A frame that several parts of a query share, built at its first use."""
+        if name not in self._shared:
+            self._shared[name] = build()
+        return self._shared[name]
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
