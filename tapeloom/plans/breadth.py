@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeloom.functions.ranking import top_k
+from tapeloom.functions.ranking import prefix_share, top_k
 from tapeloom.functions.scalars import corr_or_null, flag
+from tapeloom.operators import documents as N
 from tapeloom.operators import health as H
 from tapeloom.operators.calendar import timeline_dates
 from tapeloom.operators.flows import flow_counts, flows_to_last_seen, shifted_states
@@ -15,8 +18,10 @@ from tapeloom.operators.runs import sign_runs
 from tapeloom.plans import similarity as sim
 from tapeloom.plans.common import K, daily_top, panel
 from tapeloom.plans.registry import query
+from tapeloom.plans.sources import _fresh
 from tapeloom.plans.relational import industry_counts, other_rollup
-from tapeloom.plans.windows import by_t, expanding_share, position_label, series
+from tapeloom.plans.windows import position_label, series
+from tapeloom.sources import store
 from tapeloom.sources.staging import stage
 from tapeloom.sources.tables import Market
 
@@ -60,27 +65,36 @@ def _(m: Market) -> DataFrame:
     return industry_daily(m)
 
 
-@query("brd_snapshot", "template_id:i ord:i block:s eligible:i top_count:i net_10:i net_20:i",
-       """with t as (select b.* from brdind b join cal c on b.ord = c.ord where c.ord % 5 = 0 or c.ord = (select max(ord) from cal)),
-          w as (select template_id, ord, industry_code, max(eligible) as eligible, max(top_count) as top_count, max(case when lag = 10 then new_count - exit_count end) as n10,
-            max(case when lag = 20 then new_count - exit_count end) as n20 from t group by 1, 2, 3)
-          select template_id, ord, case when top_count in (1, 2) then 'other' else cast(industry_code as varchar) end as block, sum(eligible) as eligible, sum(top_count) as top_count,
-            sum(coalesce(n10, 0)) as net_10, sum(coalesce(n20, 0)) as net_20 from w where top_count > 0 group by 1, 2, 3""")
-def _(m: Market) -> DataFrame:
-    sampled = industry_daily(m).join(F.broadcast(timeline_dates(m.cal).select("ord")), "ord", "left_semi")
-    wide = sampled.groupBy("template_id", "ord", "industry_code").agg(
-        F.max("eligible").alias("eligible"), F.max("top_count").alias("top_count"),
-        F.map_from_entries(F.collect_list(F.struct("lag", (F.col("new_count") - F.col("exit_count")).alias("net")))).alias("changes"),
-    )
-    small = F.col("top_count").isin(1, 2)
-    block = F.when(small, "other").otherwise(F.col("industry_code").cast("string"))
+HISTORY_DAYS, SERIES_DAYS, LAGS, DEFAULT_LAG = 252, 60, (10, 20), 10
 
-    def net(lag: int) -> Column:
-        return F.sum(F.coalesce(F.try_element_at("changes", F.lit(lag)), F.lit(0)))
 
-    return wide.where(F.col("top_count") > 0).groupBy("template_id", "ord", block.alias("block")).agg(
-        F.sum("eligible").alias("eligible"), F.sum("top_count").alias("top_count"), net(10).alias("net_10"), net(20).alias("net_20")
-    )
+def named_industry_daily(m: Market) -> DataFrame:
+    """``industry_daily`` with the name of the industry and the date that a lag compares with."""
+    names = m.membership.select("industry_code", "industry").distinct()
+    earlier = m.cal.select(F.col("bar_date").alias("comparison_date"), F.col("ord").alias("_then"))
+    rows = industry_daily(m).join(names, "industry_code", "left").withColumn("industry", F.coalesce("industry", F.lit("missing")))
+    rows = rows.join(earlier, F.col("ord") - F.col("lag") == F.col("_then"), "left").drop("_then")
+    return rows.join(m.cal.select("ord", "bar_date"), "ord")
+
+
+_NAMED_SQL = """
+nid as (select b.*, case when b.industry_code = -1 then 'missing' else n.n_name end as industry, c.bar_date, p.bar_date as comparison_date
+  from brdind b join cal c on c.ord = b.ord left join cal p on p.ord = b.ord - b.lag left join nation n on n.n_nationkey = b.industry_code),
+tags as (select *, case when top_count in (1, 2) then 'other' else cast(industry_code as varchar) end as block, case when top_count in (1, 2) then 'other' else industry end as block_name from nid)"""
+
+
+@query("brd_snapshot", "template_id:i ord:i block:s name:s eligible:i top_count:i selection_rate:f top_share:f components:s lag:i comparison_date:d new_count:i retained_count:i exit_count:i net_change:i",
+       f"""with {_NAMED_SQL} select template_id, ord, block, any_value(block_name) as name, sum(eligible) as eligible, sum(top_count) as top_count, sum(top_count) * 1.0e0 / sum(eligible) as selection_rate,
+            sum(top_count) / 100.0e0 as top_share, coalesce(string_agg(cast(industry_code as varchar), ',' order by industry_code) filter (where block = 'other'), '') as components,
+            lag, any_value(comparison_date) as comparison_date, sum(new_count) as new_count, sum(retained_count) as retained_count, sum(exit_count) as exit_count, sum(new_count - exit_count) as net_change
+          from tags where top_count > 0 and (ord % 5 = 0 or ord = (select max(ord) from cal)) group by template_id, ord, block, lag""")
+def _(m: Market) -> DataFrame:
+    sampled = named_industry_daily(m).join(F.broadcast(timeline_dates(m.cal).select("ord")), "ord", "left_semi")
+    blocks = N.snapshot_blocks(sampled, K)
+    return blocks.select(
+        "template_id", "ord", "block", "name", "eligible", "top_count", "selection_rate", "top_share", F.explode("changes").alias("c"),
+        F.array_join(F.transform("components", lambda c: c.cast("string")), ",").alias("components"),
+    ).select("*", "c.*")
 
 
 def timeline_blocks(m: Market) -> DataFrame:
@@ -102,17 +116,28 @@ def _(m: Market) -> DataFrame:
     return totals.withColumn("position", F.row_number().over(w))
 
 
-@query("brd_timeline", "template_id:i bar_date:d blocks:i total:i first_block:s",
-       f"with {_BLOCKS} select template_id, bar_date, count(*) as blocks, sum(top_count) as total, arg_min(block, struct_pack(a := -top_count, b := block)) as first_block from blk group by 1, 2")
+def timeline_documents(m: Market) -> DataFrame:
+    """One document a template: sampled snapshots of the last 252 days, blocks in one order for all of them."""
+    newest = m.cal.agg(F.max("ord")).scalar()
+    days = timeline_dates(m.cal).where(F.col("ord") > newest - HISTORY_DAYS).select("ord")
+    sampled = named_industry_daily(m).join(F.broadcast(days), "ord", "left_semi")
+    return N.timelines(N.snapshot_blocks(sampled, K))
+
+
+@query("brd_timeline", "template_id:i bar_date:d place:i position:i block:s name:s eligible:i top_count:i selection_rate:f components:i lag:i comparison_date:d new_count:i retained_count:i exit_count:i",
+       f"""with {_NAMED_SQL}, b as (select template_id, ord, bar_date, block, any_value(block_name) as name, lag, sum(eligible) as eligible, sum(top_count) as top_count, count(*) as parts,
+            any_value(comparison_date) as comparison_date, sum(new_count) as new_count, sum(retained_count) as retained_count, sum(exit_count) as exit_count
+          from tags where top_count > 0 and ord > (select max(ord) from cal) - {HISTORY_DAYS} and (ord % 5 = 0 or ord = (select max(ord) from cal)) group by template_id, ord, bar_date, block, lag),
+          lay as (select template_id, block, row_number() over (partition by template_id order by sum(top_count) desc, any_value(name), block) as position from b where lag = {DEFAULT_LAG} group by 1, 2)
+          select b.*, lay.position, dense_rank() over (partition by b.template_id, b.ord order by lay.position) as place, top_count * 1.0e0 / eligible as selection_rate,
+            case when block = 'other' then parts else 0 end as components from b join lay using (template_id, block)""")
 def _(m: Market) -> DataFrame:
-    nested = timeline_blocks(m).groupBy("template_id", "bar_date").agg(
-        F.array_sort(F.collect_list(F.struct((-F.col("top_count")).alias("o"), "block", "top_count", "eligible", "components"))).alias("snapshot")
-    )
-    return nested.select(
-        "template_id", "bar_date", F.size("snapshot").alias("blocks"),
-        F.aggregate("snapshot", F.lit(0).cast("bigint"), lambda a, s: a + s["top_count"]).alias("total"),
-        F.col("snapshot")[0]["block"].alias("first_block"),
+    flat = timeline_documents(m).select("template_id", "layout_order", F.explode("snapshots").alias("s")).select(
+        "template_id", "layout_order", "s.bar_date", F.posexplode("s.blocks").alias("place", "b")
     )
+    rows = flat.select("template_id", "bar_date", (F.col("place") + 1).alias("place"), F.array_position("layout_order", F.col("b.block")).alias("position"),
+                       "b.*", F.explode("b.changes").alias("c"))
+    return rows.withColumn("components", F.size("components")).select("*", "c.*")
 
 
 @query("brd_series60", "template_id:i industry_code:i bar_date:d top_count:i eligible:i rate:f",
@@ -127,27 +152,72 @@ def _(m: Market) -> DataFrame:
     return full.withColumn("rate", F.coalesce("selection_rate", F.lit(0.0)))
 
 
-@query("brd_detail", "template_id:i industry_code:i current_n:i new_n:i retained_n:i exit_n:i best:i",
-       """select template_id, coalesce(c, p) as industry_code, count(case when c is not null then 1 end) as current_n, count(case when state = 'new' then 1 end) as new_n,
-          count(case when state = 'retained' then 1 end) as retained_n, count(case when state = 'exit' then 1 end) as exit_n, min(cr) as best
-          from flowst where lag = 10 and ord = (select max(ord) from cal) group by 1, 2""")
-def _(m: Market) -> DataFrame:
+def detail_documents(m: Market) -> DataFrame:
+    """One document a template for the newest date: blocks with their lists, changes, 60 day series and components."""
     newest = m.cal.agg(F.max("ord")).scalar()
-    states = shifted_states(daily_top(m), ["template_id"], [10], ["industry_code", "rank"], newest).where(F.col("ord") == newest)
-    side = F.coalesce("cur", "prior")
-    lists = states.withColumn("industry_code", side["industry_code"]).groupBy("template_id", "industry_code").agg(
-        F.array_sort(F.collect_list(F.when(F.col("cur").isNotNull(), F.struct(F.col("cur.rank").alias("rank"), "entity", "state")))).alias("current"),
-        F.array_sort(F.collect_list(F.when(F.col("state") == "exit", F.struct(F.col("prior.rank").alias("rank"), "entity")))).alias("exits"),
-    )
+    daily = stage(named_industry_daily(m).where(F.col("ord") > newest - SERIES_DAYS))
+    now = daily.where(F.col("ord") == newest)
+    top = stage(daily_top(m).where((newest - F.col("ord")).isin(0, *LAGS)))
+    states = shifted_states(top, ["template_id"], list(LAGS), ["industry_code", "rank"], newest).where(F.col("ord") == newest)
+    days = m.cal.where(F.col("ord") > newest - SERIES_DAYS).agg(F.array_sort(F.collect_list("bar_date"))).scalar()
+    return N.details(now, states, daily.where(F.col("lag") == DEFAULT_LAG), days, K, DEFAULT_LAG)
+
+
+DETAIL = "template_id:i block:s kind:s lag:i item:s rank:i n:i of:i rate:f"
+_DETAIL_SQL = f"""with {_NAMED_SQL}, now as (select * from tags where ord = (select max(ord) from cal)),
+  home as (select template_id, industry_code, unnest(case when top_count in (1, 2) then [cast(industry_code as varchar), 'other'] else [cast(industry_code as varchar)] end) as block from now where lag = {DEFAULT_LAG}),
+  own as (select h.block, n.* exclude (block) from now n join home h using (template_id, industry_code)),
+  st as (select f.*, h.block from flowst f join home h on h.template_id = f.template_id and h.industry_code = coalesce(f.c, f.p) where f.ord = (select max(ord) from cal)),
+  days as (select bar_date, ord from cal where ord > (select max(ord) from cal) - {SERIES_DAYS}),
+  pts as (select h.template_id, h.block, d.bar_date, coalesce(sum(n.top_count), 0) as n, coalesce(sum(n.eligible), 0) as of
+    from home h cross join days d left join nid n on n.template_id = h.template_id and n.industry_code = h.industry_code and n.ord = d.ord and n.lag = {DEFAULT_LAG} group by 1, 2, 3)
+  select template_id, block, 'summary' as kind, cast(null as bigint) as lag, case when block = 'other' then 'other' else any_value(industry) end as item, cast(null as bigint) as rank, sum(top_count) as n, sum(eligible) as of,
+    coalesce(sum(top_count) * 1.0e0 / nullif(sum(eligible), 0), 0) as rate from own where lag = {DEFAULT_LAG} group by 1, 2
+  union all select template_id, block, 'change', lag, strftime(any_value(comparison_date), '%Y%m%d'), sum(retained_count), sum(new_count), sum(exit_count), sum(new_count - exit_count) from own group by template_id, block, lag
+  union all select template_id, block, 'current', null, cast(entity as varchar), cr, null, null, null from st where lag = {DEFAULT_LAG} and c is not null
+  union all select template_id, block, state, lag, cast(entity as varchar), coalesce(cr, pr), null, null, null from st
+  union all select template_id, block, 'point', null, strftime(bar_date, '%Y%m%d'), null, n, of, coalesce(n * 1.0e0 / nullif(of, 0), 0) from pts
+  union all select template_id, 'other', 'component', null, cast(industry_code as varchar), null, top_count, null, null from now where lag = {DEFAULT_LAG} and top_count in (1, 2)"""
+
+
+def detail_rows(documents: DataFrame) -> DataFrame:
+    """Every field of the detail documents as flat rows."""
+    block = documents.select("template_id", F.explode(F.concat("industries", F.array_compact(F.array("other")))).alias("b")).select("template_id", "b.*")
+    none, text = F.lit(None).cast("bigint"), F.lit(None).cast("double")
+
+    def rows(kind, source: DataFrame, lag=none, item=none, rank=none, n=none, of=none, rate=text) -> DataFrame:
+        kind = F.lit(kind) if isinstance(kind, str) else kind
+        named = {"kind": kind, "lag": lag.cast("bigint"), "item": item.cast("string"), "rank": rank.cast("bigint"), "n": n.cast("bigint"), "of": of.cast("bigint"), "rate": rate.cast("double")}
+        return source.select("template_id", "block", *[c.alias(k) for k, c in named.items()])
+
+    change = block.select("template_id", "block", F.explode("changes").alias("c"))
+    stocks = change.select("template_id", "block", "c.lag", F.explode("c.stocks").alias("s"))
+    current = block.select("template_id", "block", F.explode("current").alias("s"))
+    point = block.select("template_id", "block", F.explode("series").alias("p"))
+    parts = block.select("template_id", "block", F.explode("components").alias("p"))
+    day = lambda c: F.date_format(c, "yyyyMMdd")
+    out = [
+        rows("summary", block, item=F.col("name"), n=F.col("top_count"), of=F.col("eligible"), rate=F.col("selection_rate")),
+        rows("change", change, F.col("c.lag"), day(F.col("c.comparison_date")), F.col("c.retained_count"), F.col("c.new_count"), F.col("c.exit_count"), F.col("c.net_change")),
+        rows("current", current, item=F.col("s.entity"), rank=F.col("s.rank")), rows(F.col("s.state"), stocks, F.col("lag"), F.col("s.entity"), F.col("s.rank")),
+        rows("point", point, item=day(F.col("p.bar_date")), n=F.col("p.top_count"), of=F.col("p.eligible"), rate=F.col("p.selection_rate")),
+        rows("component", parts, item=F.col("p.industry_code"), n=F.col("p.top_count")),
+    ]
+    return reduce(DataFrame.unionByName, out)
+
+
+@query("brd_detail", DETAIL, _DETAIL_SQL)
+def _(m: Market) -> DataFrame:
+    return detail_rows(stage(detail_documents(m)))
 
-    def having(s: str) -> Column:
-        return F.size(F.filter("current", lambda x: x["state"] == s))
 
-    return lists.select(
-        "template_id", "industry_code", F.size("current").alias("current_n"), having("new").alias("new_n"),
-        having("retained").alias("retained_n"), F.size("exits").alias("exit_n"),
-        F.try_element_at("current", F.lit(1))["rank"].alias("best"),
-    )
+@query("snk_nested_json", DETAIL, _DETAIL_SQL)
+def _(m: Market) -> DataFrame:
+    """The detail documents written as JSON, one folder a template, and read again with their declared schema."""
+    documents, path = detail_documents(m), _fresh(m, "nested")
+    schema = documents.schema
+    store.write_nested_json(documents, path, "template_id")
+    return detail_rows(stage(m.spark.read.schema(schema).json(path)))
 
 
 @query("brd_ranking", "template_id:i rank:i entity:i name:s industry:s score:f",
@@ -212,7 +282,7 @@ def _(m: Market) -> DataFrame:
 
 
 def market_daily(m: Market) -> DataFrame:
-    """Counts above each fixed line with change, average and position; lines ride as a column."""
+    """Counts above each fixed line with change and average; lines ride as a column."""
     lines = F.array(*[
         F.struct(F.lit(t).alias("threshold"), F.col(f"n{int(round(t * 100))}").alias("above")) for t in LINES
     ])
@@ -224,10 +294,15 @@ def market_daily(m: Market) -> DataFrame:
         "change_1d": F.col("above") - F.lag("above").over(w),
         "change_5d": F.col("above") - F.lag("above", 5).over(w),
         "ma5": F.avg("above").over(w.rowsBetween(-4, 0)),
-        "position": expanding_share("above", w),
     })
 
 
+def with_position(market: DataFrame) -> DataFrame:
+    """The place of each count in its own history, and its label."""
+    placed = prefix_share(market, ["threshold", "template_id"], "bar_date", "above", "position")
+    return placed.withColumn("label", position_label(F.col("position")))
+
+
 THR_SQL = """
 lines as (select unnest([0.7e0, 0.75e0, 0.8e0]) as threshold),
 mk0 as (select l.threshold, k.template_id, k.bar_date, k.ord, k.eligible, case l.threshold when 0.7e0 then n70 when 0.75e0 then n75 else n80 end as above from mkt k, lines l),
@@ -240,7 +315,7 @@ mkd as (select *, above - lag(above) over w as change_1d, above - lag(above, 5)
             / (select count(*) from mk0 h where h.threshold = k.threshold and h.template_id = k.template_id and h.ord <= k.ord) as position from mkd k)
           select *, case when position >= 2/3.0e0 then 'high' when position <= 1/3.0e0 then 'low' else 'mid' end as label from p""")
 def _(m: Market) -> DataFrame:
-    return market_daily(m).withColumn("label", position_label(F.col("position")))
+    return with_position(stage(market_daily(m)))
 
 
 def industry_threshold_daily(m: Market) -> DataFrame:

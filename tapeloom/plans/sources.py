@@ -213,20 +213,6 @@ def _(m: Market) -> DataFrame:
     )
 
 
-@query("snk_nested_json", "template_id:i rank:i entity:i score:f",
-       """select template_id, rank, entity, score from (
-          select *, row_number() over (partition by template_id order by score desc, entity) as rank
-          from nowscores) where rank <= 20""")
-def _(m: Market) -> DataFrame:
-    path = _fresh(m, "nested")
-    best = top_k(sim.latest(m), ["template_id"], [F.col("score").desc(), F.col("entity")], 20)
-    nested = best.groupBy("template_id").agg(F.array_sort(F.collect_list(F.struct("rank", "entity", "score"))).alias("rows"))
-    store.write_nested_json(nested, path, "template_id")
-    schema = "template_id bigint, rows array<struct<rank:int,entity:bigint,score:double>>"
-    back = m.spark.read.schema(schema).json(path)
-    return back.select("template_id", F.explode("rows").alias("r")).select("template_id", "r.*")
-
-
 @query("top_tail_rows", "entity:i bar_date:d close:f",
        """select entity, bar_date, close from bars0
           qualify row_number() over (partition by entity order by bar_date desc) <= 30""")

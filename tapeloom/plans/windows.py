@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeloom.functions.ranking import average_rank_share, exact_quantiles, order_positions
+from tapeloom.functions.ranking import average_rank_share, exact_quantiles, order_positions, prefix_share
 from tapeloom.functions.scalars import strict
 from tapeloom.operators import bars as B
 from tapeloom.operators.calendar import rotation_samples, with_ordinal
@@ -63,12 +63,6 @@ def _(m: Market) -> DataFrame:
     return pos.withColumn("quintile", quintile(F.col("rank"), F.col("n_group")))
 
 
-def expanding_share(value: str, w) -> "Column":
-    """Share of the history up to and including each row that is at or below it."""
-    past = F.collect_list(value).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return F.size(F.filter(past, lambda x: x <= F.col(value))) / F.size(past)
-
-
 def position_label(share):
     return F.when(share >= 2 / 3, "high").when(share <= 1 / 3, "low").otherwise("mid")
 
@@ -80,7 +74,7 @@ _POS = """(select *, (select count(*) from mkt h where h.template_id = k.templat
 @query("win_expanding_position", "template_id:i bar_date:d p:f label:s",
        f"select template_id, bar_date, p, case when p >= 2/3.0e0 then 'high' when p <= 1/3.0e0 then 'low' else 'mid' end as label from {_POS}")
 def _(m: Market) -> DataFrame:
-    df = series(m).withColumn("p", expanding_share("n70", by_t()))
+    df = prefix_share(series(m), ["template_id"], "bar_date", "n70", "p")
     return df.withColumn("label", position_label(F.col("p")))
 
 
