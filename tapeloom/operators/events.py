@@ -33,37 +33,34 @@ def suspended_weeks(bars: DataFrame, cal: DataFrame) -> DataFrame:
     return dated.select("entity", "bar_date", F.coalesce(gap, F.lit(0)).alias("gap"))
 
 
-def window_events(windows: DataFrame, limits: DataFrame, gaps: DataFrame) -> DataFrame:
-    """Count events between start_date and end_date of each window.
+def window_events(windows: DataFrame, limits: DataFrame, gaps: DataFrame, longest: int) -> DataFrame:
+    """Counts of events, and the largest move, between start_date and end_date of each window of at most ``longest`` bars.
 
-    Counting is a difference of running totals at the two window ends: two
-    equi-joins per window instead of a range join over every bar inside it.
-    Only the largest move still needs the bars of the window.
+    Counting is a difference of running totals at the two window ends.  The largest move is the greater of
+    two blocks of the greatest power of two that fits, one from each end, so every bar keeps the maxima of
+    the blocks that end with it, and no window meets the bars inside it.
     """
     per_bar = limits.join(gaps, ["entity", "bar_date"])
     w = by_entity().rowsBetween(Window.unboundedPreceding, 0)
+    levels = range(max(longest, 1).bit_length())
     totals = per_bar.select(
-        "entity", "bar_date",
+        "entity", "bar_date", F.row_number().over(by_entity()).alias("at"),
         F.sum(F.col("up").cast("int")).over(w).alias("u"), F.sum(F.col("down").cast("int")).over(w).alias("d"),
         F.sum("gap").over(w).alias("g"), F.col("up").cast("int").alias("u0"), F.col("down").cast("int").alias("d0"),
+        F.array(*[F.max("abs_pct").over(by_entity().rowsBetween(1 - 2**j, 0)) for j in levels]).alias("most"),
     )
     first = totals.select(
         "entity", F.col("bar_date").alias("start_date"), (F.col("u") - F.col("u0")).alias("u1"),
-        (F.col("d") - F.col("d0")).alias("d1"), F.col("g").alias("g1"),
+        (F.col("d") - F.col("d0")).alias("d1"), F.col("g").alias("g1"), F.col("at").alias("at1"),
     )
-    last = totals.select("entity", F.col("bar_date").alias("end_date"), "u", "d", "g")
+    last = totals.select("entity", F.col("bar_date").alias("end_date"), "u", "d", "g", "at", F.col("most").alias("late"))
     counted = windows.join(first, ["entity", "start_date"]).join(last, ["entity", "end_date"])
-    counted = (
-        counted.withColumn("up_count", F.col("u") - F.col("u1"))
-        .withColumn("down_count", F.col("d") - F.col("d1"))
-        .withColumn("suspension_count", F.col("g") - F.col("g1"))
-        .drop("u", "d", "g", "u1", "d1", "g1")
-    )
-    # One history array per security, bounded by the calendar.
-    moves = limits.groupBy("entity").agg(F.collect_list(F.struct("bar_date", "abs_pct")).alias("_moves"))
-    inside = F.filter("_moves", lambda x: x["bar_date"].between(F.col("start_date"), F.col("end_date")))
-    return (
-        counted.join(moves, "entity")
-        .withColumn("max_abs_pct", F.array_max(F.transform(inside, lambda x: x["abs_pct"])))
-        .drop("_moves")
-    )
+    bars = F.col("at") - F.col("at1") + 1
+    level = F.length(F.bin(bars)) - 1
+    counted = counted.withColumn("_level", level).withColumn("_mid", F.col("at1") + F.call_function("shiftleft", F.lit(1), F.col("_level")) - 1)
+    middle = totals.select("entity", F.col("at").alias("_mid"), F.col("most").alias("early"))
+    both = counted.join(middle, ["entity", "_mid"])
+    return both.withColumns({
+        "up_count": F.col("u") - F.col("u1"), "down_count": F.col("d") - F.col("d1"), "suspension_count": F.col("g") - F.col("g1"),
+        "max_abs_pct": F.greatest(F.get("early", F.col("_level")), F.get("late", F.col("_level"))),
+    }).drop("u", "d", "g", "u1", "d1", "g1", "at", "at1", "early", "late", "_level", "_mid")

@@ -16,7 +16,7 @@ from tapeloom.operators.flows import flow_counts, flows_to_last_seen, shifted_st
 from tapeloom.operators.membership import industry_on
 from tapeloom.operators.runs import sign_runs
 from tapeloom.plans import similarity as sim
-from tapeloom.plans.common import K, daily_top, panel
+from tapeloom.plans.common import K, best_first, daily_top, panel, scored
 from tapeloom.plans.registry import query
 from tapeloom.plans.sources import _fresh
 from tapeloom.plans.relational import industry_counts, other_rollup
@@ -40,8 +40,6 @@ def industry_daily(m: Market) -> DataFrame:
     """(template, lag, ord, industry): eligible and Top-K counts with flows against `lag` days earlier."""
     base = stage(panel(m).select("template_id", "bar_date", "ord", "entity", "score", "industry_code"))
     keys = ["template_id", "ord"]
-    from tapeloom.plans.common import best_first
-
     top = top_k(base, keys, best_first(), K)
     counts = base.groupBy(*keys, "industry_code").agg(F.count(F.lit(1)).alias("eligible"))
     lags = counts.select(*keys, "industry_code", "eligible", F.explode(F.array(F.lit(10), F.lit(20))).alias("lag"))
@@ -320,8 +318,6 @@ def _(m: Market) -> DataFrame:
 
 def industry_threshold_daily(m: Market) -> DataFrame:
     """Per line, template, date and industry: counts, flows and leader-removed counts."""
-    from tapeloom.plans.common import best_first
-
     base = stage(panel(m).select("template_id", "bar_date", "ord", "entity", "score", "industry_code"))
     keys = ["template_id", "ord", "industry_code"]
     top = top_k(base, ["template_id", "ord"], best_first(), K).groupBy(*keys).agg(F.count(F.lit(1)).alias("top_count"))
@@ -485,21 +481,51 @@ def _(m: Market) -> DataFrame:
     return industry_evaluation(industry_threshold_daily(m))
 
 
-@query("thr_view", "template_id:i above:i change_1d:i change_5d:i ma5:f points:i first_point:i label:s",
-       f"""with {THR_SQL}, v as (select * from mkd where threshold = 0.75e0), p as (select *, (select count(*) from v h where h.template_id = v.template_id and h.ord <= v.ord and h.above <= v.above) * 1.0e0
-            / (select count(*) from v h where h.template_id = v.template_id and h.ord <= v.ord) as position, row_number() over (partition by template_id order by bar_date desc) as rn from v)
-          select template_id, max(case when rn = 1 then above end) as above, max(case when rn = 1 then coalesce(change_1d, 0) end) as change_1d, max(case when rn = 1 then coalesce(change_5d, 0) end) as change_5d,
-            max(case when rn = 1 then ma5 end) as ma5, count(case when rn <= 60 then 1 end) as points, arg_max(above, rn) filter (where rn <= 60) as first_point,
-            max(case when rn = 1 then case when position >= 2/3.0e0 then 'high' when position <= 1/3.0e0 then 'low' else 'mid' end end) as label from p group by 1""")
+VIEW_LINE, VIEW_TOP = 0.75, 30
+_VIEW = "template_id:i kind:s key:s text:s n:i a:i b:i c:i d:i x:f y:f"
+
+
+@query("thr_view", _VIEW,
+       f"""with {THR_SQL}, {", ".join(x.strip() for x in IND_SQL.strip().split("lines as (select unnest([0.7e0, 0.75e0, 0.8e0]) as threshold),")[1:])}, {_FLOW_SQL.strip()},
+          v as (select * from mkd where threshold = {VIEW_LINE}e0), p as (select *, (select count(*) from v h where h.template_id = v.template_id and h.ord <= v.ord and h.above <= v.above) * 1.0e0
+            / (select count(*) from v h where h.template_id = v.template_id and h.ord <= v.ord) as position, row_number() over (partition by template_id order by bar_date desc) as rn from v),
+          it as (select t.*, coalesce(new_count, 0) as new_count, coalesce(retained_count, 0) as retained_count, coalesce(exit_count, 0) as exit_count,
+              above - lag(above, 5) over (partition by template_id, industry_code order by ord) as change_5d, row_number() over (partition by template_id, industry_code order by ord desc) as rn
+            from thi t left join fl using (threshold, template_id, industry_code, ord) where threshold = {VIEW_LINE}e0)
+          select template_id, 'summary' as kind, strftime(bar_date, '%Y%m%d') as key, case when position >= 2/3.0e0 then 'high' when position <= 1/3.0e0 then 'low' else 'mid' end as text,
+            above as n, coalesce(change_1d, 0) as a, coalesce(change_5d, 0) as b, null as c, null as d, ma5 as x, position as y from p where rn = 1
+          union all select template_id, 'point', strftime(bar_date, '%Y%m%d'), null, above, null, null, null, null, ma5, null from p where rn <= {SERIES_DAYS}
+          union all select template_id, 'top', cast(entity as varchar), industry, rank, case when score >= {VIEW_LINE}e0 then 1 else 0 end, null, null, null, score, null from daily where ord = (select max(ord) from cal) and rank <= {VIEW_TOP}
+          union all select it.template_id, 'industry', cast(it.industry_code as varchar), case when it.industry_code = -1 then 'missing' else n.n_name end, above, new_count, retained_count, exit_count, coalesce(change_5d, 0), top_share, top_count
+            from it left join nation n on n.n_nationkey = it.industry_code where ord = (select max(ord) from cal)
+          union all select it.template_id, 'industry point', cast(it.industry_code as varchar), strftime(c.bar_date, '%Y%m%d'), above, null, null, null, null, null, null from it join cal c on c.ord = it.ord where rn <= {SERIES_DAYS}""")
 def _(m: Market) -> DataFrame:
-    view = market_daily(m).where(F.abs(F.col("threshold") - 0.75) < 1e-8)
-    newest = Window.partitionBy("template_id").orderBy(F.col("bar_date").desc())
-    recent = view.withColumn("rn", F.row_number().over(newest)).where(F.col("rn") <= 60)
-    point = F.struct("bar_date", "above", "change_1d", "change_5d", "ma5", "position")
-    nested = recent.groupBy("template_id").agg(F.array_sort(F.collect_list(point)).alias("series"))
-    last = F.element_at("series", -1)
-    return nested.select(
-        "template_id", last["above"].alias("above"), F.coalesce(last["change_1d"], F.lit(0)).alias("change_1d"),
-        F.coalesce(last["change_5d"], F.lit(0)).alias("change_5d"), last["ma5"].alias("ma5"), F.size("series").alias("points"),
-        F.col("series")[0]["above"].alias("first_point"), position_label(last["position"]).alias("label"),
-    )
+    """What a page of one fixed line shows, every kind of row in one table."""
+    newest = m.cal.agg(F.max("ord")).scalar()
+    market = stage(with_position(stage(market_daily(m).where(F.abs(F.col("threshold") - VIEW_LINE) < 1e-8))))
+    industry = stage(industry_threshold_daily(m).where(F.abs(F.col("threshold") - VIEW_LINE) < 1e-8).join(m.cal.select("ord", "bar_date"), "ord"))
+    by_industry = Window.partitionBy("template_id", "industry_code").orderBy("ord")
+    latest = Window.partitionBy("template_id", "industry_code").orderBy(F.col("ord").desc())
+    industry = industry.withColumns({"change_5d": F.col("above") - F.lag("above", 5).over(by_industry), "rn": F.row_number().over(latest)})
+    names = m.membership.select("industry_code", "industry").distinct()
+    named = industry.join(names, "industry_code", "left").withColumn("industry", F.coalesce("industry", F.lit("missing")))
+    recent = market.withColumn("rn", F.row_number().over(Window.partitionBy("template_id").orderBy(F.col("bar_date").desc())))
+    best = top_k(scored(m, m.cal.where(F.col("ord") == newest)), ["template_id"], best_first(), VIEW_TOP)
+
+    def rows(kind: str, df: DataFrame, **columns: Column | str) -> DataFrame:
+        picked = {"kind": F.lit(kind)} | {c: F.lit(None) for c in ("key", "text", "n", "a", "b", "c", "d", "x", "y")}
+        picked |= {c: F.col(v) if isinstance(v, str) else v for c, v in columns.items()}
+        kinds = {"kind": "string", "key": "string", "text": "string", "x": "double", "y": "double"}
+        return df.select("template_id", *[v.cast(kinds.get(c, "bigint")).alias(c) for c, v in picked.items()])
+
+    day = F.date_format("bar_date", "yyyyMMdd")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    parts = [
+        rows("summary", recent.where(F.col("rn") == 1), key=day, text="label", n="above", a=zero("change_1d"), b=zero("change_5d"), x="ma5", y="position"),
+        rows("point", recent.where(F.col("rn") <= SERIES_DAYS), key=day, n="above", x="ma5"),
+        rows("top", industry_on(best, m.membership), key="entity", text="industry", n="rank", a=(F.col("score") >= VIEW_LINE).cast("int"), x="score"),
+        rows("industry", named.where(F.col("ord") == newest), key="industry_code", text="industry", n="above", a="new_count", b="retained_count",
+             c="exit_count", d=zero("change_5d"), x="top_share", y="top_count"),
+        rows("industry point", named.where(F.col("rn") <= SERIES_DAYS), key="industry_code", text=day, n="above"),
+    ]
+    return reduce(DataFrame.unionByName, parts)

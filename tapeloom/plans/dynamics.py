@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ from tapeloom.plans import similarity as sim
 from tapeloom.plans.common import K, best_first, panel, scored
 from tapeloom.plans.projections import cap_tier
 from tapeloom.plans.registry import QUERIES, query
-from tapeloom.plans.relational import EVENTS_SQL, concentration, distribution, events, frozen_thresholds, month_ends, tail_gated, _TAIL
+from tapeloom.plans.relational import EVENTS_SQL, concentration, distribution, events, events_in, frozen_thresholds, month_ends, tail_gated, _TAIL
 from tapeloom.plans.windows import position_label, quintile
 from tapeloom.sources.staging import stage
 from tapeloom.sources.tables import Market
@@ -641,19 +643,86 @@ def _(m: Market) -> DataFrame:
     )
 
 
-@query("rev_top_review", "template_id:i standard:i gated:i shared:i mean_tail_return:f",
-       _TAIL + """, g as (select *, cret * tret >= 0 and cdd >= tdd - 0.05e0 as passed from cand),
-         s as (select * from g qualify row_number() over (partition by template_id order by score desc, entity) <= 100),
-         t as (select * from g where passed qualify row_number() over (partition by template_id order by score desc, entity) <= 100)
-         select a.template_id, a.standard, coalesce(b.gated, 0) as gated, coalesce(c.n, 0) as shared, b.mean_tail_return from (select template_id, count(*) as standard from s group by 1) a
-         left join (select template_id, count(*) as gated, avg(cret) as mean_tail_return from t group by 1) b using (template_id)
-         left join (select s.template_id, count(*) as n from s join t on s.template_id = t.template_id and s.entity = t.entity group by 1) c using (template_id)""")
+REVIEW_K, DRAFT = 20, 1.1  # items of a review; window of the draft as a multiple of the registered one
+_REVIEW = "template_id:i kind:s role:s rank:i entity:i score:f return_pct:f drawdown_pct:f max_day_pct:f up:i down:i suspensions:i flags:s n:i more:i"
+
+
+def _review_sql() -> str:
+    variants = QUERIES["sim_window_sensitivity"].sql
+    frames = variants[variants.index("variants as"):variants.index("altk as")].rstrip().rstrip(",")
+    return f"""{_TAIL.rstrip()},
+      g as (select *, cret * tret >= 0 and cdd >= tdd - 0.05e0 as passed from cand),
+      sx as (select * from g qualify row_number() over (partition by template_id order by score desc, entity) <= 100),
+      tx as (select * from g where passed qualify row_number() over (partition by template_id order by score desc, entity) <= 100),
+      {frames},
+      {EVENTS_SQL[EVENTS_SQL.index("lim as"):EVENTS_SQL.index("wins as")].rstrip().rstrip(",")},
+      allw as (select 'original' as role, a.template_id, a.entity, a.score, a.n, a.pos from nowscores a where a.bar_date = (select d from dayref)
+        union all select 'draft', a.template_id, a.entity, a.score, a.len, b.pos from alt a join bars b on b.entity = a.entity and b.bar_date = (select d from dayref) where a.f = {DRAFT}e0),
+      topw as (select *, greatest(5, cast(ceil(n * 0.2e0) as integer)) as k from (select *, row_number() over (partition by role, template_id order by score desc, entity) as rank from allw) where rank <= {REVIEW_K}),
+      path as (select w.role, w.template_id, w.entity, w.rank, w.score, w.n, w.k, w.pos as last_pos, q.pos, q.close, q.close / max(q.close) over (partition by w.role, w.template_id, w.entity order by q.pos) - 1 as down
+        from topw w join qfqnow q on q.entity = w.entity and q.pos between w.pos - w.n + 1 and w.pos),
+      shape as (select role, template_id, entity, any_value(rank) as rank, any_value(score) as score, arg_max(close, pos) / arg_min(close, pos) - 1 as ret, min(down) as drawdown,
+          arg_max(close, pos) / max(case when pos = last_pos - k + 1 then close end) - 1 as tail, arg_max(close, pos) / max(case when pos > last_pos - k then close end) - 1 as deep from path group by 1, 2, 3),
+      hits as (select w.role, w.template_id, w.entity, count(case when e.up then 1 end) as up, count(case when e.down then 1 end) as down, max(ce.ord) - max(cs.ord) + 1 - count(*) as susp,
+          max(abs(e.close / e.prev - 1) * 100) as most from topw w join bars bs on bs.entity = w.entity and bs.pos = w.pos - w.n + 1 join bars be on be.entity = w.entity and be.pos = w.pos
+          join ev e on e.entity = w.entity and e.bar_date between bs.bar_date and be.bar_date join cal cs on cs.bar_date = bs.bar_date join cal ce on ce.bar_date = be.bar_date group by 1, 2, 3)
+      select template_id, 'item' as kind, role, rank, entity, score, ret * 100 as return_pct, drawdown * 100 as drawdown_pct, most as max_day_pct, up, down, susp as suspensions,
+        concat_ws(',', case when up > 0 then 'limit up x' || up end, case when down > 0 then 'limit down x' || down end, case when susp > 0 then 'suspended x' || susp end,
+          case when most >= 9.5 and up = 0 and down = 0 then 'large day' end) as flags, null as n, null as more from shape join hits using (role, template_id, entity)
+      union all select template_id, 'role', role, null, null, null, null, null, null, null, null, (select count(*) from allw w where w.role = shape.role and w.template_id = shape.template_id), null,
+        count(case when rank <= 10 and tail < 0 then 1 end), count(case when rank <= 10 and deep < -0.1e0 then 1 end) from shape group by template_id, role
+      union all select a.template_id, 'overlap', null, null, null, null, null, null, null, null, null, null, null, count(b.entity), count(*) from topw a
+        left join topw b on b.template_id = a.template_id and b.entity = a.entity and b.role = 'draft' and b.rank <= 10 where a.role = 'original' and a.rank <= 10 group by 1
+      union all select a.template_id, 'gate', null, null, null, b.ret, null, null, null, a.standard, coalesce(b.gated, 0), null, null, coalesce(c.n, 0), null from (select template_id, count(*) as standard from sx group by 1) a
+        left join (select template_id, count(*) as gated, avg(cret) as ret from tx group by 1) b using (template_id)
+        left join (select sx.template_id, count(*) as n from sx join tx on sx.template_id = tx.template_id and sx.entity = tx.entity group by 1) c using (template_id)"""
+
+
+@query("rev_top_review", _REVIEW, _review_sql())
 def _(m: Market) -> DataFrame:
+    """Best windows of the registered templates beside those of a draft with longer windows, and of the tail rule."""
+    from tapeloom.operators import similarity as S
+
+    book = sim.book(m)
+    draft = book.resized(DRAFT)
+    windows = S.latest_scores(m.qfq_now, book, m.as_of).withColumn("role", F.lit("original")).unionByName(
+        S.latest_scores(m.qfq_now, draft, m.as_of).withColumn("role", F.lit("draft"))
+    )
+    windows = stage(windows)
+    keys = ["role", "template_id"]
+    top = stage(top_k(windows, keys, best_first(), REVIEW_K).drop("max_abs_pct"))
+    hits = events_in(m, top, max(book.longest, draft.longest))
+    inside = top.join(m.qfq_now.select(F.col("entity").alias("_e"), "bar_date", "close"), (F.col("entity") == F.col("_e")) & F.col("bar_date").between(F.col("start_date"), F.col("end_date")))
+    order = Window.partitionBy(*keys, "entity").orderBy("bar_date")
+    back = F.row_number().over(Window.partitionBy(*keys, "entity").orderBy(F.col("bar_date").desc()))
+    path = inside.withColumns({"_back": back, "_down": F.col("close") / F.max("close").over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1})
+    k = F.greatest(F.lit(5), F.ceil(F.col("window_bars") * 0.2))
+    shape_ = path.groupBy(*keys, "entity").agg(
+        F.max_by("close", "bar_date").alias("_last"), F.min_by("close", "bar_date").alias("_first"), F.min("_down").alias("_down"),
+        F.max(F.when(F.col("_back") == k, F.col("close"))).alias("_tail"), F.max(F.when(F.col("_back") <= k, F.col("close"))).alias("_peak"),
+    )
+    items = stage(hits.join(shape_, [*keys, "entity"]).withColumns({
+        "return_pct": (F.col("_last") / F.col("_first") - 1) * 100, "drawdown_pct": F.col("_down") * 100, "max_day_pct": F.col("max_abs_pct"),
+        "_falling": (F.col("rank") <= 10) & (F.col("_last") / F.col("_tail") - 1 < 0), "_deep": (F.col("rank") <= 10) & (F.col("_last") / F.col("_peak") - 1 < -0.1),
+    }))
+    up, down, gone = F.col("up_count"), F.col("down_count"), F.col("suspension_count")
+    flags = F.concat_ws(
+        ",", F.when(up > 0, F.concat(F.lit("limit up x"), up)), F.when(down > 0, F.concat(F.lit("limit down x"), down)),
+        F.when(gone > 0, F.concat(F.lit("suspended x"), gone)), F.when((F.col("max_day_pct") >= 9.5) & (up == 0) & (down == 0), F.lit("large day")),
+    )
+    eligible = windows.groupBy(*keys).agg(F.count(F.lit(1)).alias("suspensions"))
+    roles = items.groupBy(*keys).agg(F.count_if("_falling").alias("n"), F.count_if("_deep").alias("more")).join(eligible, keys)
+    ten = top.where(F.col("rank") <= 10)
+    first, second = (ten.where(F.col("role") == r).select("template_id", "entity") for r in ("original", "draft"))
+    overlap = first.join(second.withColumn("hit", F.lit(1)), ["template_id", "entity"], "left").groupBy("template_id").agg(
+        F.count("hit").alias("n"), F.count(F.lit(1)).alias("more")
+    )
     rows = stage(tail_gated(m))
     standard = top_k(rows, ["template_id"], best_first(), K).select("template_id", "entity", F.lit(1).alias("s"))
     gated = top_k(rows.where("passed"), ["template_id"], best_first(), K).select("template_id", "entity", "tail_return", F.lit(1).alias("g"))
-    merged = standard.join(gated, ["template_id", "entity"], "full_outer")
-    return merged.groupBy("template_id").agg(
-        F.count("s").alias("standard"), F.count("g").alias("gated"), F.count_if(F.col("s").isNotNull() & F.col("g").isNotNull()).alias("shared"),
-        F.avg("tail_return").alias("mean_tail_return"),
+    gate = standard.join(gated, ["template_id", "entity"], "full_outer").groupBy("template_id").agg(
+        F.count("s").alias("up"), F.count("g").alias("down"), F.count_if(F.col("s").isNotNull() & F.col("g").isNotNull()).alias("n"), F.avg("tail_return").alias("score"),
     )
+    listed = items.select("template_id", "role", "rank", "entity", "score", "return_pct", "drawdown_pct", "max_day_pct", up.alias("up"), down.alias("down"), gone.alias("suspensions"), flags.alias("flags"))
+    parts = [df.withColumn("kind", F.lit(kind)) for kind, df in (("item", listed), ("role", roles), ("overlap", overlap), ("gate", gate))]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

@@ -197,12 +197,19 @@ def _(m: Market) -> DataFrame:
 
 
 @query("jn_prior_ordinal", "template_id:i bar_date:d entity:i rank:i prior_rank:i",
-       """select a.template_id, a.bar_date, a.entity, a.rank, b.rank as prior_rank from daily a
-          join daily b on a.template_id = b.template_id and a.entity = b.entity and b.ord = a.ord - 10""")
-def _(m: Market) -> DataFrame:
-    top = stage(daily_top(m).select("template_id", "bar_date", "ord", "entity", "rank"))
-    prior = top.select("template_id", "entity", (F.col("ord") + 10).alias("ord"), F.col("rank").alias("prior_rank"))
-    return top.join(prior, ["template_id", "entity", "ord"])
+       """with d as (select template_id, ord, entity, rank as c, null as p from daily union all select template_id, ord + 10, entity, null, rank from daily)
+          select d.template_id, c.bar_date, d.entity, max(d.c) as rank, max(d.p) as prior_rank from d join cal c on d.ord = c.ord group by all having count(d.c) > 0 and count(d.p) > 0""")
+def _(m: Market) -> DataFrame:
+    """Each member speaks for its own day and for the day that looks back at it: one scored frame, one aggregate."""
+    none = F.lit(None).cast("int")
+    sides = F.array(
+        F.struct(F.col("ord").alias("ord"), F.col("rank").alias("rank"), none.alias("prior_rank")),
+        F.struct((F.col("ord") + 10).alias("ord"), none.alias("rank"), F.col("rank").alias("prior_rank")),
+    )
+    spoken = daily_top(m).select("template_id", "entity", F.explode(sides).alias("s")).select("template_id", "entity", "s.*")
+    both = spoken.groupBy("template_id", "entity", "ord").agg(F.max("rank").alias("rank"), F.max("prior_rank").alias("prior_rank"))
+    met = both.where(F.col("rank").isNotNull() & F.col("prior_rank").isNotNull())
+    return met.join(F.broadcast(m.cal), "ord")  # one row a date
 
 
 @query("jn_full_compare", "template_id:i bar_date:d entity:i in_current:b in_prior:b",
@@ -253,7 +260,11 @@ evc as (select w.template_id, w.entity, w.score, w.start_date, w.end_date,
 
 
 def events(m: Market) -> DataFrame:
-    return window_events(sim.latest(m).drop("max_abs_pct"), limit_flags(m.bars0), suspended_weeks(m.bars0, m.cal))
+    return events_in(m, sim.latest(m), sim.book(m).longest)
+
+
+def events_in(m: Market, windows: DataFrame, longest: int) -> DataFrame:
+    return window_events(windows.drop("max_abs_pct"), limit_flags(m.bars0), suspended_weeks(m.bars0, m.cal), longest)
 
 
 @query("jn_window_events", "template_id:i entity:i up_count:i down_count:i suspension_count:i",
