@@ -1,8 +1,8 @@
 """Secret scans: fixed patterns, and random-looking strings found by two character Markov models.
 
 One model learns random strings, the other ordinary identifiers.  The labelled samples are the
-corpus' own: what the fixed patterns find is random, other runs of identifier characters are
-ordinary but for what looks random in them.  A run, or a long enough part of one, whose log-likelihood ratio per character passes a
+corpus' own: the values that the fixed patterns find are random but for those that look like words, other
+runs of identifier characters, the names of keys among them, are ordinary but for what looks random in them.  A run, or a long enough part of one, whose log-likelihood ratio per character passes a
 threshold is a secret too; the fixed patterns' finds are cut out of runs first.
 """
 
@@ -80,6 +80,14 @@ def _base_bytes(size: int, spans: list[tuple[int, int, int]]) -> np.ndarray:
     return inside
 
 
+def _value_bytes(data: bytes, spans: list[tuple[int, int, int]]) -> np.ndarray:
+    """Which bytes lie in the secret part of a base span: the value of a key, not its name."""
+    inside = np.zeros(len(data), bool)
+    for a, kind, b in spans:
+        inside[ASSIGN.match(data, a, b).start(2) if kind == 0 else a : b] = True
+    return inside
+
+
 def _triples(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Transition cells of the characters of runs, and the run of each."""
     sizes = ends - starts
@@ -119,7 +127,9 @@ def train(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) ->
 
     What looks random teaches no ordinary run, so that secrets which no pattern knows stay improbable
     there however frequent they are: first runs with a stretch that often changes between cases and
-    digits are left out, then also those with one which the models learnt in this way find random.  Without samples of a
+    digits are left out, then also those with one which the models learnt in this way find random.  Likewise no
+    value of one kind of characters throughout, such as a word, teaches the random model, nor, the second
+    time, one that the models find ordinary.  Without samples of a
     kind its model is uniform, so an empty corpus finds nothing by ratio.
     """
     return _fit(docs, text, _fit(docs, text, None, threshold), threshold)
@@ -131,9 +141,9 @@ def _fit(docs: DataFrame, text: str, known: Models | None, threshold: float) ->
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         cells = np.zeros(2 * SIZE**3, np.int64)
         for _, _, raw, at in chunks(batch.column(0)):
-            spans = base_spans(raw.tobytes(), raw, at)
-            in_run, in_base = _IN_RUN[raw], _base_bytes(len(raw), spans)
-            for kind, inside in enumerate((in_run & ~in_base, in_run & in_base)):
+            data = raw.tobytes()
+            in_run, in_value = _IN_RUN[raw], _value_bytes(data, base_spans(data, raw, at))
+            for kind, inside in enumerate((in_run & ~in_value, in_run & in_value)):
                 starts, ends, _ = runs(inside, at)
                 long = ends - starts >= MIN_SAMPLE
                 starts, ends = starts[long], ends[long]
@@ -143,6 +153,11 @@ def _fit(docs: DataFrame, text: str, known: Models | None, threshold: float) ->
                     if known is not None:
                         odd |= _inside_windows(known.ratio[cell], ends - starts, threshold)
                     cell = cell[np.bincount(run, weights=odd)[run] == 0]
+                elif len(cell):
+                    mixed = np.bincount(run, weights=_switches(raw, starts, ends)) > 0
+                    if known is not None:
+                        mixed &= np.bincount(run, weights=known.ratio[cell]) > 0
+                    cell = cell[mixed[run]]
                 cells[kind * SIZE**3 : (kind + 1) * SIZE**3] += np.bincount(cell, minlength=SIZE**3)
         used = np.flatnonzero(cells)
         return pa.RecordBatch.from_arrays([pa.array(used), pa.array(cells[used])], ["cell", "n"])

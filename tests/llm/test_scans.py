@@ -105,6 +105,61 @@ def test_models_find_random_strings_where_they_are_frequent(spark, small_texts,
     assert all(got[i] == " ".join([brute.redacted(small_texts[i] or ""), *["[SECRET]"] * 5]) for i, own in secrets.items() if not own)
 
 
+def test_names_of_keys_and_words_as_values_teach_no_random_string(spark):
+    r = random.Random(7)
+    key = lambda n: "".join(r.choice(string.ascii_letters + string.digits) for _ in range(n))
+    words = ["summer", "holiday", "garden", "window", "paper", "river", "mountain", "orange"]
+    rows = [f"the {r.choice(words)} of the {r.choice(words)} password={key(16)} and api_key: {key(24)} token={'-'.join(r.sample(words, 3))}" for _ in range(400)]
+    models = secret_scan.train(spark.createDataFrame([(t,) for t in rows], "text string"))
+    plain = ["password_password_password", "api_key_token_password_secret", "summer-holiday-garden-window-paper"]
+    secrets = [key(32) for _ in range(20)]
+    docs = spark.createDataFrame(list(enumerate([*plain, *[f"private_key={s}" for s in secrets]])), "doc_id bigint, text string")
+    got = {x.doc_id: x.text for x in secret_scan.redact(docs, models).collect()}
+    assert [got[i] for i in range(len(plain))] == plain
+    assert sum(s in got[len(plain) + i] for i, s in enumerate(secrets)) == 0
+
+
+def brute_stretches(ratio, text: str, threshold: float) -> list[tuple[int, int]]:
+    """Random parts of a run, one by one: all of it, or the best stretch widened to separators, then what is left."""
+    code = lambda c: secret_scan.LETTERS.decode().index(c) if c in secret_scan.LETTERS.decode() else secret_scan.SIZE - 1
+    size, out, rest = secret_scan.SIZE, [], [(0, len(text))]
+    padded = [size - 1, size - 1, *[code(c) for c in text]]
+    over = [float(ratio[(padded[i] * size + padded[i + 1]) * size + padded[i + 2]]) - threshold for i in range(len(text))]
+    while rest:
+        a, b = rest.pop()
+        if b - a < secret_scan.MIN_RUN:
+            continue
+        if sum(over[a:b]) > 0:
+            out.append((a, b))
+            continue
+        best = max(((sum(over[i:j]), -j, -i) for i in range(a, b) for j in range(i + secret_scan.MIN_RUN, b + 1)))
+        if best[0] <= 0:
+            continue
+        low, high = -best[2], -best[1]
+        while low > a and text[low - 1] not in "=/_-":
+            low -= 1
+        while high < b and text[high] not in "=/_-":
+            high += 1
+        out.append((low, high))
+        rest += [(a, low), (high, b)]
+    return sorted(s for s in out if len(set(text[s[0] : s[1]])) >= secret_scan.MIN_DISTINCT)
+
+
+def test_added_spans_equal_brute_force(spark, small):
+    models = secret_scan.train(small)
+    r = random.Random(8)
+    letters = string.ascii_letters + string.digits
+    parts = lambda: r.choice([lambda: "".join(r.choice(letters) for _ in range(r.randrange(5, 45))), lambda: "ordinary", lambda: "thehering", lambda: "Q7" * 5])()
+    runs = ["".join(parts() + r.choice(["", "=", "/", "_", "-"]) for _ in range(r.randrange(1, 6))) for _ in range(150)]
+    runs = [t for t in runs if not brute.base_secrets(t)]
+    docs = spark.createDataFrame(list(enumerate(runs)), "doc_id bigint, text string")
+    got = {x.doc_id: x.spans for x in secret_scan.find(docs, models).collect()}
+    for i, t in enumerate(runs):
+        want = brute_stretches(models.ratio, t, secret_scan.THRESHOLD) if len(t) >= secret_scan.MIN_RUN else []
+        assert got[i] == ",".join(f"random:{a}:{b}" for a, b in want), t
+    assert sum(bool(s) for s in got.values()) > 40
+
+
 def test_secrets_of_no_rows_and_redaction(odd, odd_texts, nothing):
     models = secret_scan.train(nothing)
     assert secret_scan.find(nothing, models).count() == 0
