@@ -141,7 +141,9 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     answers = pick(labels, doc_id=doc_id, label=label).where("doc_id is not null and label is not null")
     answers = answers.where(~held_out(F.col("doc_id"))).withColumn("doc_id", F.col("doc_id").cast("bigint"))
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
-    rows = with_statistics(docs, doc_id, text).join(answers, "doc_id")
+    # texts that are held out teach nothing: they go before statistics are taken of them
+    texts = docs.where(F.col(f"`{doc_id}`").isNotNull() & ~held_out(F.col(f"`{doc_id}`")))
+    rows = with_statistics(texts, doc_id, text).join(answers, "doc_id")
     rows = stage(rows.select("statistics", F.col("label").cast("double").alias("label"), (fold == 0).alias("fits")))
 
     known = rows.groupBy("fits").agg(
