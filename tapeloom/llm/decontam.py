@@ -14,11 +14,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.llm.arrays import FOLDED_PUNCTUATION, chunks, runs, window_hashes, word_hashes
-from tapeloom.llm.frames import ROW, bounded, map_batches, numbered, pick, stage
+from tapeloom.llm.frames import bounded, filter_bits, fresh, map_batches, numbered, pick, stage
 
 WINDOW = 10  # words; a shorter item is one window
 SHINGLE = 3  # words; a shorter item is one shingle
-FILTER_BITS = 23  # the filter that tasks hold has this many address bits, so 1 MB whatever the benchmark
+FILTER_BITS = 23  # least address bits of the filter that tasks hold (1 MB); more shingles have more, up to 32 MB
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -70,18 +70,18 @@ def item_windows(items: DataFrame, item_id: str, text: str, window: int, shingle
 
 def _filter_of(keys: DataFrame) -> tuple[np.ndarray, list[int]]:
     """A bitmap of the low bits of ``key`` and the shingle sizes in use."""
-    slot = F.col("key").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    size = filter_bits(keys.select("key").distinct().count(), FILTER_BITS)
+    slot = F.col("key").bitwiseAND(F.lit((1 << size) - 1))
     bit = F.expr("shiftleft(1L, cast(key & 63 as int))")
-    words = keys.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
-    bitmap = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    for word, bits in bounded(words, len(bitmap), "filter words"):
-        bitmap[word] = bits
+    words = keys.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    bitmap = np.zeros(1 << (size - 6), np.int64)
+    bitmap[words.column("word").to_numpy()] = words.column("bits").to_numpy()
     parts = [r[0] for r in bounded(keys.select("part").distinct(), 64, "shingle sizes")]
     return bitmap.view(np.uint64), sorted(parts)
 
 
 def _passing(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    slot = (keys & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
+    slot = (keys & np.uint64(64 * len(bitmap) - 1)).astype(np.int64)
     return (bitmap[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) == 1
 
 
@@ -187,6 +187,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id")
 
     Rows are told apart by a key of their own: ``doc_id`` may be null or shared and is not read.
     """
-    rows = numbered(docs)
-    hit = contamination(rows, items, doc_id=ROW).where("n_hit > 0").select(F.col("doc_id").alias("__hit"))
-    return rows.join(hit, F.col(ROW) == F.col("__hit"), "left_anti").drop(ROW)
+    rows, key = numbered(docs)
+    hit = fresh(rows, "hit_key")
+    hits = contamination(rows, items, doc_id=key).where("n_hit > 0").select(F.col("doc_id").alias(hit))
+    return rows.join(hits, F.col(key) == F.col(hit), "left_anti").drop(key)

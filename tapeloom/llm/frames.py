@@ -11,9 +11,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.sources.staging import stage, staging_root
 
-__all__ = ["ROW", "bounded", "held_out", "map_batches", "numbered", "pick", "stage", "stage_by"]
-
-ROW = "__row"
+__all__ = ["bounded", "filter_bits", "fresh", "held_out", "map_batches", "numbered", "pick", "stage", "stage_by"]
 
 
 def pick(df: DataFrame, **columns: str) -> DataFrame:
@@ -32,9 +30,26 @@ def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | No
     return df.mapInArrow(run, schema)
 
 
-def numbered(df: DataFrame) -> DataFrame:
-    """``df`` written once with a key ``ROW`` of its own for each row, whatever ids the rows have."""
-    return stage(df.withColumn(ROW, F.monotonically_increasing_id()))
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def numbered(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` written once with a key of its own for each row, whatever ids the rows have, and the key's name."""
+    key = fresh(df, "row_key")
+    return stage(df.withColumn(key, F.monotonically_increasing_id())), key
+
+
+def filter_bits(entries: int, least: int, most: int = 28) -> int:
+    """Address bits of a filter of so many entries: sixteen bits an entry, between ``least`` and ``most`` (32 MB).
+
+    A filter that is too small for its entries lets more through, which costs time and loses nothing.
+    """
+    return min(most, max(least, (16 * max(entries, 1) - 1).bit_length()))
 
 
 def held_out(doc_id: Column) -> Column:

@@ -12,6 +12,7 @@ Equal sets count as one member from the start.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from math import comb
 
@@ -22,14 +23,14 @@ from pyspark.sql import functions as F
 
 from tapeloom.llm.arrays import BLANKS, chunks, mix, runs, sequence_hash, window_hashes, word_hashes
 from tapeloom.llm.components import components
-from tapeloom.llm.frames import ROW, map_batches, numbered, pick, stage
+from tapeloom.llm.frames import filter_bits, fresh, map_batches, numbered, pick, stage
 
 K = 64
 MISS = 1e-6  # chance that one linked pair agrees in too few coordinates
 CELL_BITS = 18  # of the count table that orders tokens by rarity; 2 MB whatever the corpus
 LIST_ROWS = 8192  # a longer posting list is split into blocks, which meet in pairs
 FAMILY_SHINGLES = 2_000_000  # a family with more is split likewise
-FILTER_BITS = 24  # of the filter of family members; 2 MB whatever the corpus
+FILTER_BITS = 24  # least address bits of the filter of family members (2 MB); more members have more, up to 32 MB
 
 _rng = np.random.default_rng(64)
 _A = _rng.integers(0, 2**32, K, dtype=np.uint32) | np.uint32(1)
@@ -224,10 +225,10 @@ def matches_of_lists(posted: DataFrame, matches: int) -> DataFrame:
     return listed.mapInArrow(scan, "a bigint, b bigint").distinct()
 
 
-def _slots(prints: np.ndarray, doc_ids: np.ndarray) -> np.ndarray:
+def _slots(prints: np.ndarray, doc_ids: np.ndarray, bits: int) -> np.ndarray:
     """The filter address of a class and the document that stands for it."""
     first = np.ascontiguousarray(prints[:, :8]).view(np.uint64).ravel()
-    return (mix(first ^ mix(doc_ids.astype(np.uint64))) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+    return (mix(first ^ mix(doc_ids.astype(np.uint64))) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def _ids(column: pa.Array) -> np.ndarray:
@@ -237,19 +238,22 @@ def _ids(column: pa.Array) -> np.ndarray:
 def _member_filter(members: DataFrame) -> np.ndarray:
     """A bitmap of the documents that stand for the members of families."""
 
+    size = filter_bits(members.count(), FILTER_BITS)
+
     def address(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(_slots(fixed(batch.column(0), 16), _ids(batch.column(1))))], ["slot"])
+        return pa.RecordBatch.from_arrays([pa.array(_slots(fixed(batch.column(0), 16), _ids(batch.column(1)), size))], ["slot"])
 
     slots = map_batches(members.select("print", "doc_id"), address, "slot bigint")
     words = slots.groupBy(F.shiftright("slot", 6).alias("word"))
     found = words.agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")).toArrow()
-    bitmap = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    bitmap = np.zeros(1 << (size - 6), np.int64)
     bitmap[found.column("word").to_numpy()] = found.column("bits").to_numpy()
     return bitmap.view(np.uint64)
 
 
 def _full_sets(docs: DataFrame, doc_id: str, text: str, size: int, bitmap: np.ndarray) -> DataFrame:
     """print and shingle set of the documents that pass the filter."""
+    bits = len(bitmap).bit_length() + 5
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -260,7 +264,7 @@ def _full_sets(docs: DataFrame, doc_id: str, text: str, size: int, bitmap: np.nd
                 if not len(full):
                     continue
                 prints = [_print(sets[k]) for k in full]
-                slot = _slots(np.frombuffer(b"".join(prints), np.uint8).reshape(-1, 16), ids[first:end][full])
+                slot = _slots(np.frombuffer(b"".join(prints), np.uint8).reshape(-1, 16), ids[first:end][full], bits)
                 hit = (bitmap[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) == 1
                 rows = [(prints[j], sets[full[j]].tobytes()) for j in np.flatnonzero(hit).tolist()]
                 if rows:
@@ -306,6 +310,30 @@ def _links(blocks: DataFrame, percent: int) -> DataFrame:
     return listed.mapInArrow(scan, "a bigint, b bigint").distinct()
 
 
+def _placed(members: DataFrame, percent: int) -> DataFrame:
+    """Members of families with their block (``own``) and all blocks that they have to meet (``others``).
+
+    A family of at most ``FAMILY_SHINGLES`` is one block.  In a larger one, members are dealt by set size
+    first, in classes so wide that sets of similar documents lie in the same class or in neighbours, and
+    then to blocks of their class: blocks of other classes are never compared.
+    """
+    width = max(-math.log(percent / 100) * (1 + 1e-9), 0.005)
+    whole = members.groupBy("root").agg(F.sum("n_shingles").alias("load"))
+    level = F.when(F.col("load") > FAMILY_SHINGLES, F.floor(F.log(F.greatest("n_shingles", F.lit(1)).cast("double")) / width)).otherwise(0)
+    dealt = members.join(whole, "root").withColumn("level", level.cast("bigint"))
+    sizes = dealt.groupBy("root", "level").agg(F.ceil(F.sum("n_shingles") / FAMILY_SHINGLES).cast("bigint").alias("blocks"))
+    plan = sizes.groupBy("root").agg(F.map_from_entries(F.collect_list(F.struct("level", "blocks"))).alias("plan"))  # an entry a level
+    dealt = dealt.join(plan, "root")
+
+    def ids(level):
+        blocks = F.coalesce(F.try_element_at("plan", level), F.lit(0).cast("bigint"))
+        return F.transform(F.filter(F.sequence(F.lit(0).cast("bigint"), blocks), lambda i: i < blocks), lambda i: level * (1 << 18) + i)
+
+    level = F.col("level")
+    own = level * (1 << 18) + F.pmod(F.xxhash64("node"), F.element_at("plan", level))
+    return dealt.withColumns({"own": own, "others": F.concat(ids(level), ids(level - 1), ids(level + 1))}).drop("load", "level", "plan")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document.
 
@@ -324,14 +352,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     counts = token_counts(classes)
     families = components(matches_of_lists(postings(classes, counts, matches), matches))
     members = families.join(classes.drop("signature"), "node")
-    size = F.ceil(F.sum("n_shingles") / FAMILY_SHINGLES).cast("int").alias("blocks")
-    members = stage(members.join(members.groupBy("root").agg(size), "root"))
+    members = stage(_placed(members, percent))
 
     sets = _full_sets(docs, doc_id, text, shingle, _member_filter(members)).groupBy("print").agg(F.min("shingles").alias("shingles"))
-    own, other = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     family = F.col("root").alias("family")
-    blocks = sets.join(members.select("print", "node", family, "blocks", own.alias("own"), other.alias("other")), "print")
-    block = (F.least("own", "other").cast("bigint") * (1 << 20) + F.greatest("own", "other")).alias("block")
+    blocks = sets.join(members.select("print", "node", family, "own", F.explode("others").alias("other")), "print")
+    block = (F.least("own", "other") * (1 << 31) + F.greatest("own", "other")).alias("block")
     linked = components(_links(blocks.select("family", block, "node", "shingles"), percent))
 
     joined = classes.select("node", "print", "doc_id").join(linked, "node", "left")
@@ -350,9 +376,10 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", **settings) -> DataFrame:
     Rows are told apart by a key of their own, so rows without id, repeated rows and different texts under
     one id are each judged for themselves; a row without shingles is a component of its own.
     """
-    rows = numbered(docs)
-    judged = near_duplicates(rows, doc_id=ROW, **settings).select(F.col("doc_id").alias("__key"), "component_id")
-    ids = rows.select(F.col(ROW).alias("__key"), F.col(f"`{doc_id}`").alias("__id"))
-    least = F.min(F.struct(F.col("__id").isNull(), "__id", "__key"))["__key"].alias("__first")
-    first = judged.join(ids, "__key").groupBy("component_id").agg(least).select("__first")
-    return rows.join(first, F.col(ROW) == F.col("__first"), "left_semi").drop(ROW)
+    rows, key = numbered(docs)
+    judged = near_duplicates(rows, doc_id=key, **settings).select(F.col("doc_id").alias("own_key"), "component_id")
+    ids = rows.select(F.col(key).alias("key"), F.col(f"`{doc_id}`").alias("id"))
+    name = fresh(rows, "first_key")
+    least = F.min(F.struct(F.col("id").isNull(), "id", "key"))["key"].alias(name)
+    first = judged.join(ids, F.col("own_key") == F.col("key")).groupBy("component_id").agg(least).select(name)
+    return rows.join(first, F.col(key) == F.col(name), "left_semi").drop(key)

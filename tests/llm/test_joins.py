@@ -68,6 +68,43 @@ def test_split_lists_and_families_lose_no_link(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in got} == brute.near_components(texts, 3, 85)
 
 
+@pytest.mark.parametrize(("size", "percent", "family"), [(3, 85, 300), (5, 80, 150), (3, 100, 200)])
+def test_large_families_are_dealt_by_size_and_lose_no_link(spark, monkeypatch, size, percent, family):
+    monkeypatch.setattr(neardup, "FAMILY_SHINGLES", family)
+    r = random.Random(9)
+    base = [f"w{r.randrange(10**5)}" for _ in range(400)]
+    texts = {i: " ".join(base[: 40 + 3 * i]) for i in range(120)}  # each contains the ones before it: links only between neighbours in size
+    texts |= {200 + i: texts[i] for i in range(0, 120, 7)}
+    got = neardup.near_duplicates(frame(spark, texts), shingle=size, percent=percent).collect()
+    assert {x.doc_id: x.component_id for x in got} == brute.near_components(texts, size, percent)
+
+
+def test_filters_of_any_size_lose_nothing(spark, monkeypatch):
+    for least in (6, 28):
+        monkeypatch.setattr(neardup, "FILTER_BITS", least)
+        monkeypatch.setattr(decontam, "FILTER_BITS", least)
+        monkeypatch.setattr(neardup, "filter_bits", lambda n, bits: bits)
+        monkeypatch.setattr(decontam, "filter_bits", lambda n, bits: bits)
+        texts = copies(seed=4, groups=4, size=8)
+        got = neardup.near_duplicates(frame(spark, texts), shingle=3, percent=85).collect()
+        assert {x.doc_id: x.component_id for x in got} == brute.near_components(texts, 3, 85)
+        words = [t.split() for t in texts.values()]
+        items = frame(spark, {i: " ".join(w[5:25]) for i, w in enumerate(words[::5])}).withColumnRenamed("doc_id", "item_id")
+        found = {x.doc_id: x.n_hit for x in decontam.contamination(frame(spark, texts), items).collect()}
+        assert all(found[i] >= 20 for i in list(texts)[::5])
+
+
+def test_columns_named_like_keys_stay(spark):
+    names = ["row_key", "_row_key", "first_key", "hit_key", "own_key", "key", "id"]
+    rows = [(i, t, *[f"{n}{i}" for n in names]) for i, t in enumerate(["one two three four five six"] * 2 + ["seven eight nine ten eleven twelve", None])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, " + ", ".join(f"`{n}` string" for n in names))
+    items = spark.createDataFrame([(1, "seven eight nine ten eleven twelve")], "item_id bigint, text string")
+    kept = neardup.keep_one(docs, shingle=3, percent=85)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == sorted([rows[0], rows[2], rows[3]])
+    clean = decontam.drop_contaminated(docs, items)
+    assert clean.columns == docs.columns and sorted(map(tuple, clean.collect())) == sorted([rows[0], rows[1], rows[3]])
+
+
 def test_near_duplicates_of_odd_rows(odd, odd_texts, nothing):
     got = neardup.near_duplicates(odd, shingle=3, percent=85).collect()
     want = brute.near_components(odd_texts, 3, 85)
