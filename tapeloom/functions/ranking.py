@@ -2,15 +2,19 @@
 
 A cross-section (all securities of one date) grows with the universe, so a
 window partitioned by date alone would put a whole cross-section into one
-task.  The primitives here split every group into value ranges first:
+task.  A group of at most ``RANGE_ROWS`` rows is one window.  Larger ones are
+split first, into a number of ranges that follows the rows of the largest:
 
 1. distinct values per group are counted (map-side combined),
 2. a mergeable quantile sketch gives each group its own range limits; the
    limits only steer the split, they never influence a result,
-3. range totals (at most ``ranges`` rows per group) are accumulated,
-4. the exact position inside a range is a window over (group, range).
+3. a value that is itself a limit has a range of its own, which may be split
+   further by the column that orders equal values,
+4. range totals are accumulated, and the exact position inside a range is a
+   window over (group, range).
 
-Results are exact for any distribution; ties collapse in step 1.
+Results are exact for any distribution; ties collapse in step 1, or are dealt
+over as many tasks as they need in step 3.
 """
 
 from __future__ import annotations
@@ -20,29 +24,62 @@ from pyspark.sql import functions as F
 
 from tapeloom.sources.staging import stage
 
-RANGES = 32
+RANGE_ROWS = 1 << 16  # rows of a window
 
 
-def _with_range(df: DataFrame, keys: list[str], value: str, ranges: int) -> DataFrame:
-    steps = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
-    limits = df.groupBy(*keys).agg(F.percentile_approx(value, steps, F.lit(1000)).alias("_limits"))
-    # Written first, so that its true size is known when the join is planned: small
-    # limits are broadcast and the large side is not shuffled by the (few) group keys.
-    limits = stage(limits)
-    return (
-        df.join(limits, keys)
-        .withColumn("_range", F.size(F.filter("_limits", lambda x: x < F.col(value))))
-        .drop("_limits")
-    )
+def _ranges(staged: DataFrame, keys: list[str]) -> int:
+    """How many ranges the largest group of a written table needs."""
+    most = staged.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    return -(-most // RANGE_ROWS)
 
 
-def running_totals(
-    df: DataFrame, keys: list[str], value: str, measures: list[str], ranges: int = RANGES
-) -> DataFrame:
-    """For each row of distinct (keys, value): below_<m> and total_<m> of every measure."""
-    ranged = _with_range(df, keys, value, ranges)
-    by_range = Window.partitionBy(*keys).orderBy("_range")
+def _limits(df: DataFrame, keys: list[str], value: str | Column, ranges: int, out: str) -> DataFrame:
+    """Range limits of each group, written first, so that their true size is known when the join is planned:
+    small limits are broadcast and the large side is not shuffled by the (few) group keys."""
+    steps = F.array(*[F.lit(i / ranges) for i in range(1, max(ranges, 2))])
+    return stage(df.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(value, steps, F.lit(max(1000, 4 * ranges)))).alias(out)))
+
+
+def _with_range(df: DataFrame, keys: list[str], value: str, ranges: int) -> DataFrame:
+    """``_range`` ascends with the value; odd ones hold a single value, which is a limit."""
+    below = F.size(F.filter("_limits", lambda x: x < F.col(value)))
+    at = F.coalesce(F.array_contains("_limits", F.col(value)), F.lit(False)).cast("int")
+    return df.join(_limits(df, keys, value, ranges, "_limits"), keys).withColumn("_range", below * 2 + at).drop("_limits")
+
+
+def _order_number(df: DataFrame, column: str) -> Column:
+    """A number that never falls when the column rises: itself, or the first six bytes of a text."""
+    kind = df.schema[column].dataType.typeName()
+    if kind == "string":
+        return F.conv(F.rpad(F.hex(F.substring(F.encode(column, "utf-8"), 1, 6)), 12, "0"), 16, 10).cast("bigint")
+    return F.datediff(column, F.lit("1970-01-01").cast("date")) if kind == "date" else F.col(column)
+
+
+def _with_part(ranged: DataFrame, keys: list[str], tie: str) -> DataFrame:
+    """``_part`` splits ranges of a single value that are too large for a window, ascending with the tie column."""
+    counts = ranged.where(F.col("_range") % 2 == 1).groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    heavy = stage(counts.where(F.col("_n") > RANGE_ROWS))
+    most = heavy.agg(F.max("_n")).first()[0]
+    if not most:
+        return ranged.withColumn("_part", F.lit(0))
+    number = _order_number(ranged, tie)
+    tied = ranged.join(heavy.drop("_n"), [*keys, "_range"], "left_semi")
+    limits = _limits(tied, [*keys, "_range"], number, -(-most // RANGE_ROWS), "_ties")
+    part = F.size(F.filter(F.coalesce("_ties", F.array().cast("array<bigint>")), lambda x: x < number))
+    return ranged.join(limits, [*keys, "_range"], "left").withColumn("_part", part).drop("_ties")
+
+
+def running_totals(staged: DataFrame, keys: list[str], value: str, measures: list[str]) -> DataFrame:
+    """For each row of distinct (keys, value) of a written table: below_<m> and total_<m> of every measure."""
+    ranges = _ranges(staged, keys)
     whole = Window.partitionBy(*keys)
+    if ranges <= 1:
+        before = whole.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+        return staged.withColumns({
+            **{f"below_{m}": F.coalesce(F.sum(m).over(before), F.lit(0)) for m in measures}, **{f"total_{m}": F.sum(m).over(whole) for m in measures},
+        })
+    ranged = _with_range(staged, keys, value, ranges)
+    by_range = Window.partitionBy(*keys).orderBy("_range")
     offsets = ranged.groupBy(*keys, "_range").agg(*[F.sum(m).alias(f"_{m}") for m in measures])
     for m in measures:
         offsets = offsets.withColumn(f"_off_{m}", F.sum(f"_{m}").over(by_range) - F.col(f"_{m}"))
@@ -56,12 +93,12 @@ def running_totals(
     return out.drop("_range", *[f"_{m}" for m in measures], *[f"_off_{m}" for m in measures])
 
 
-def value_positions(df: DataFrame, keys: list[str], value: str, ranges: int = RANGES) -> DataFrame:
+def value_positions(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """(keys, value, n_below, n_equal, n_total) for every distinct value of a group."""
     counts = stage(
         df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n_equal"))
     )
-    totals = running_totals(counts, keys, value, ["n_equal"], ranges)
+    totals = running_totals(counts, keys, value, ["n_equal"])
     return totals.select(
         *keys, value, F.col("below_n_equal").alias("n_below"), "n_equal",
         F.col("total_n_equal").alias("n_total"),
@@ -136,31 +173,35 @@ def order_positions(
     descending: bool = True,
     out: str = "rank",
     total: str | None = "n_group",
-    ranges: int = RANGES,
     staged: bool = False,
 ) -> DataFrame:
     """Dense 1..n order of every row of a group (value, then ties ascending)."""
     base = df if staged else stage(df)
-    ranged = _with_range(base, keys, value, ranges)
+    value_order = F.col(value).desc() if descending else F.col(value).asc()
+    ranges = _ranges(base, keys)
+    if ranges <= 1:
+        whole = Window.partitionBy(*keys)
+        ranked = base.withColumn(out, F.row_number().over(whole.orderBy(value_order, *ties)))
+        return ranked.withColumn(total, F.count(F.lit(1)).over(whole)) if total else ranked
+    ranged = _with_part(_with_range(base, keys, value, ranges), keys, ties[0])
     key_order = F.col("_range").desc() if descending else F.col("_range").asc()
     offsets = (
-        ranged.groupBy(*keys, "_range")
+        ranged.groupBy(*keys, "_range", "_part")
         .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn(
             "_offset",
-            F.sum("_n").over(Window.partitionBy(*keys).orderBy(key_order)) - F.col("_n"),
+            F.sum("_n").over(Window.partitionBy(*keys).orderBy(key_order, "_part")) - F.col("_n"),
         )
         .withColumn("_total", F.sum("_n").over(Window.partitionBy(*keys)))
         .drop("_n")
     )
-    value_order = F.col(value).desc() if descending else F.col(value).asc()
-    inside = Window.partitionBy(*keys, "_range").orderBy(value_order, *ties)
-    ranked = ranged.join(offsets, [*keys, "_range"]).withColumn(
+    inside = Window.partitionBy(*keys, "_range", "_part").orderBy(value_order, *ties)
+    ranked = ranged.join(offsets, [*keys, "_range", "_part"]).withColumn(
         out, F.row_number().over(inside) + F.col("_offset")
     )
     if total:
         ranked = ranked.withColumn(total, F.col("_total"))
-    return ranked.drop("_range", "_offset", "_total")
+    return ranked.drop("_range", "_part", "_offset", "_total")
 
 
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, out: str = "rank") -> DataFrame:

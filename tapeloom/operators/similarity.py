@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tapeloom.functions.ranking import top_k
 from tapeloom.operators.bars import by_entity
+from tapeloom.sources.staging import stage
 
 FLAT = 1e-12
 MAX_WINDOW = 240
@@ -126,6 +128,64 @@ def latest_scores(bars: DataFrame, book: TemplateBook, as_of: Column) -> DataFra
     )
 
 
+TEMPLATE_BLOCK, SECURITY_BLOCK = 256, 2048  # rows of a block; two blocks and their products are what a task holds
+
+
+def best_of_registry(bars: DataFrame, registry: DataFrame, as_of: Column, keep: int) -> DataFrame:
+    """The ``keep`` securities that fit each template best, for a registry of any size.
+
+    ``registry`` is (template_id, z), its vectors of any lengths.  Templates and newest windows are dealt to
+    blocks by hash; each pair of blocks meets in one task, as a matrix product for every length, and hands on
+    only the best of each template.  The driver learns the longest length and two counts.  A security
+    has a score if its newest bar is of ``as_of``, its window is whole, positive and not flat.
+    """
+    longest, templates = registry.agg(F.max(F.size("z")), F.count(F.lit(1))).first()
+    schema = "template_id bigint, entity bigint, score double"
+    if not templates:
+        return registry.sparkSession.createDataFrame([], f"{schema}, rank int")
+    newest = Window.partitionBy("entity").orderBy(F.col("bar_date").desc())
+    recent = bars.where(F.col("bar_date") <= as_of).withColumn("back", F.row_number().over(newest)).where(F.col("back") <= longest)
+    tails = recent.groupBy("entity").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct((-F.col("back")).alias("at"), "close"))), lambda p: p["close"]).alias("closes"),
+        F.max("bar_date").alias("end_date"),
+    ).where(F.col("end_date") == as_of).select(F.col("entity").cast("bigint"), "closes")
+    tails = stage(tails)
+    t_blocks, s_blocks = -(-templates // TEMPLATE_BLOCK), max(1, -(-tails.count() // SECURITY_BLOCK))
+
+    def dealt(df: DataFrame, key: str, own: str, number: int, other: str, others: int) -> DataFrame:
+        placed = df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(number)))
+        return placed.withColumn(other, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(others - 1).cast("bigint"))))
+
+    left = dealt(registry.select(F.col("template_id").cast("bigint"), "z"), "template_id", "t_block", t_blocks, "s_block", s_blocks)
+    right = dealt(tails, "entity", "s_block", s_blocks, "t_block", t_blocks)
+
+    def score(some: pa.Table, windows: pa.Table) -> pa.Table:
+        vectors = [np.asarray(v, float) for v in some.column("z").to_pylist()]
+        closes = [np.asarray(v, float) for v in windows.column("closes").to_pylist()]
+        names, entities = some.column("template_id").to_numpy(), windows.column("entity").to_numpy()
+        found = [np.zeros((0, 3))]
+        for n in sorted({len(v) for v in vectors}):
+            which = np.array([i for i, v in enumerate(vectors) if len(v) == n])
+            able = np.array([j for j, c in enumerate(closes) if len(c) >= n and (c[-n:] > 0).all()], int)
+            if not len(able) or not n:
+                continue
+            x = np.log(np.stack([closes[j][-n:] for j in able]))
+            sigma = x.std(1)
+            able, x, sigma = able[sigma > FLAT], x[sigma > FLAT], sigma[sigma > FLAT]
+            if not len(able):
+                continue
+            scores = np.clip(np.stack([vectors[i] for i in which]) @ x.T / (n * sigma), -1, 1)
+            order = np.lexsort((np.broadcast_to(entities[able], scores.shape), -scores), axis=1)[:, :keep]
+            lines = np.arange(len(which))[:, None]
+            cells = np.stack([np.broadcast_to(which[:, None], order.shape), able[order], scores[lines, order]], 2)
+            found.append(cells.reshape(-1, 3))
+        out = np.concatenate(found)
+        return pa.table({"template_id": names[out[:, 0].astype(int)], "entity": entities[out[:, 1].astype(int)], "score": out[:, 2]})
+
+    pairs = left.groupBy("t_block", "s_block").cogroup(right.groupBy("t_block", "s_block")).applyInArrow(score, schema)
+    return top_k(pairs, ["template_id"], [F.col("score").desc(), F.col("entity")], keep)
+
+
 def rolling_scores(bars: DataFrame, book: TemplateBook, days: DataFrame | None = None) -> DataFrame:
     """Score every trailing window of every security against every template.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions.ranking import order_positions, top_k
 from tapeloom.functions.scalars import round_even
+from tapeloom.operators import facts as X
 from tapeloom.operators import metrics as Q
 from tapeloom.operators import sampling as Z
 from tapeloom.operators import shape as S
@@ -111,6 +112,37 @@ def _(m: Market) -> DataFrame:
     )
 
 
+_STORED_FAULTS = {4: ("return_20", "+ 0.01e0"), 5: ("volatility_20", "* 1.5e0"), 6: ("ma_alignment", None)}
+
+
+@query("cal_recompute_facts", "entity:i field:s stored:f recomputed:f same_content:b",
+       " union all ".join(
+           f"""select entity, '{name}' as field, {f"{name} {change}" if change else "null"} as stored, {name} as recomputed, true as same_content from facts
+               where entity % 13 = {place} and {f"abs(({name} {change}) - {name}) > 1e-9" if change else f"{name} is not null"}""" for place, (name, change) in _STORED_FAULTS.items())
+       + " union all select entity, 'content', null, null, false from facts where entity % 13 = 7")
+def _(m: Market) -> DataFrame:
+    """Samples as they were stored, facts and content hash beside the bars, against what their own bars give now.
+
+    A rule has planted faults: three facts changed or lost, and bars that are no longer those of the manifest.
+    """
+    place, arrays = F.col("entity") % 13, ["c", "h", "l", "v"]
+    content = F.sha2(F.to_json(F.struct(*arrays)), 256)
+    kept = shape.facts(m).withColumn("content", F.when(place == 7, F.sha2(content, 256)).otherwise(content))
+    names = [f for f in kept.columns if f not in ("entity", "bar_date", "content", *arrays) and kept.schema[f].dataType.typeName() == "double"]
+    for at, (name, change) in _STORED_FAULTS.items():
+        kept = kept.withColumn(name, F.when(place == at, F.expr(f"{name} {change}") if change else F.lit(None)).otherwise(F.col(name)))
+    stored = stage(kept.select("entity", "bar_date", "content", *arrays, *[F.col(n).alias(f"stored_{n}") for n in names]))
+    again = X.shared_facts(stored.select("entity", "bar_date", *arrays)).select("entity", *names)
+    both = stored.join(again, "entity").withColumn("same_content", F.col("content") == content)
+    fields = F.array(*[F.struct(F.lit(n).alias("field"), F.col(f"stored_{n}").alias("stored"), F.col(n).alias("recomputed")) for n in names])
+    differs = F.filter(
+        fields, lambda f: (f["stored"].isNull() & f["recomputed"].isNotNull()) | (F.abs(f["stored"] - f["recomputed"]) > 1e-9)
+    )
+    changed = F.when(~F.col("same_content"), F.array(F.struct(F.lit("content").alias("field"), F.lit(None).cast("double").alias("stored"), F.lit(None).cast("double").alias("recomputed"))))
+    found = F.concat(differs, F.coalesce(changed, F.array().cast("array<struct<field:string,stored:double,recomputed:double>>")))
+    return both.select("entity", "same_content", F.explode(found).alias("f")).select("entity", "same_content", "f.*")
+
+
 @query("cal_round_disjoint", "o_custkey:i rounds:i",
        "select o_custkey, count(distinct year(o_orderdate) % 3) as rounds from orders group by 1 having count(distinct year(o_orderdate) % 3) > 1")
 def _(m: Market) -> DataFrame:

@@ -279,3 +279,28 @@ def _(m: Market) -> DataFrame:
     return tail.join(near, "back").groupBy("template_id", "entity", "tail_bars").agg(
         S.window_correlation(S.MAX_WINDOW).alias("r")
     )
+
+
+REGISTRY_BARS, REGISTRY_STRIDE, REGISTRY_KEEP = 60, 40, 3
+
+
+@query("sim_registry_top", "template_id:i rank:i entity:i score:f",
+       f"""with x as (select entity, pos, ln(close) as x, max(pos) over (partition by entity) as last_pos, max(bar_date) over (partition by entity) as last_day from qfqnow),
+          cut as (select e.entity * 10000 + e.pos as template_id, list(w.x order by w.pos) as xs from x e join x w on w.entity = e.entity and w.pos between e.pos - {REGISTRY_BARS - 1} and e.pos
+            where e.pos % {REGISTRY_STRIDE} = 0 and e.last_day = (select d from dayref) group by 1 having count(*) = {REGISTRY_BARS}),
+          mom as (select template_id, xs, list_aggregate(xs, 'avg') as mu, list_aggregate(xs, 'stddev_pop') as sigma from cut),
+          z as (select template_id, list_transform(xs, lambda v: (v - mu) / sigma) as z from mom where sigma > 1e-12),
+          tails as (select entity, list(x order by pos) as xs, stddev_pop(x) as sigma from x where pos > last_pos - {REGISTRY_BARS} and last_day = (select d from dayref) group by 1 having count(*) = {REGISTRY_BARS}),
+          sc as (select template_id, entity, list_dot_product(z, xs) / ({REGISTRY_BARS} * sigma) as score from z, tails where sigma > 1e-12)
+          select * from (select *, row_number() over (partition by template_id order by score desc, entity) as rank from sc) where rank <= {REGISTRY_KEEP}""")
+def _(m: Market) -> DataFrame:
+    """A registry cut from the bars themselves, a window of each adjusted security every few bars: it grows with the table."""
+    adjusted = m.qfq_now.withColumn("_end", F.max("bar_date").over(Window.partitionBy("entity"))).where(F.col("_end") == m.as_of)
+    frame = Window.partitionBy("entity").orderBy("pos").rowsBetween(1 - REGISTRY_BARS, 0)
+    x = F.ln("close")
+    moments = adjusted.select("entity", "pos", F.collect_list(x).over(frame).alias("xs"), F.avg(x).over(frame).alias("mu"), F.stddev_pop(x).over(frame).alias("sigma"))
+    cut = moments.where((F.col("pos") % REGISTRY_STRIDE == 0) & (F.size("xs") == REGISTRY_BARS) & (F.col("sigma") > S.FLAT))
+    registry = cut.select(
+        (F.col("entity") * 10000 + F.col("pos")).alias("template_id"), F.transform("xs", lambda v: (v - F.col("mu")) / F.col("sigma")).alias("z")
+    )
+    return S.best_of_registry(m.qfq_now, stage(registry), m.as_of, REGISTRY_KEEP)

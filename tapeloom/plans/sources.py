@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -160,11 +161,48 @@ def _(m: Market) -> DataFrame:
     return store.read_registry(m.spark, registry_path(m)).where(F.col("algorithm") == store.ALGORITHM)
 
 
+#: faults planted in a copy of the registry, by template: a repeated key, a bad date, a window of one bar, reversed dates, a
+#: window that its security does not have, one that starts between two bars, and one that is longer than it says
+_FAULTY = """
+fr as (select 't' || template_id as key, template_id, strftime(min(bar_date), '%Y%m%d') as start_date, strftime(max(bar_date), '%Y%m%d') as end_date, count(*) as window_bars from templates group by template_id),
+reg as (select 'sound' as copy, key, template_id as source, start_date, end_date, window_bars from fr
+  union all select 'planted', key, template_id, start_date, end_date, window_bars from fr
+  union all select 'planted', 't1', template_id, start_date, end_date, window_bars from fr where template_id = 2
+  union all select 'planted', 'x1', template_id, '2000-1-7', end_date, window_bars from fr where template_id = 1
+  union all select 'planted', 'x2', template_id, start_date, end_date, 1 from fr where template_id = 2
+  union all select 'planted', 'x3', template_id, end_date, start_date, window_bars from fr where template_id = 3
+  union all select 'planted', 'x4', 999999, start_date, end_date, window_bars from fr where template_id = 4
+  union all select 'planted', 'x5', template_id, cast(cast(start_date as bigint) - 1 as varchar), end_date, window_bars from fr where template_id = 1)"""
+
+
 @query("dq_registry", "check_name:s passed:b n_bad:i",
-       """select unnest(['algorithm','unique_key','date_format','date_order','window_bars','not_empty']) as check_name,
-          true as passed, 0 as n_bad""")
+       f"""with {_FAULTY},
+          fmt as (select copy, 0 as algorithm, count(key) - count(distinct key) as unique_key, count(case when not (regexp_full_match(start_date, '[0-9]{{8}}') and regexp_full_match(end_date, '[0-9]{{8}}')) then 1 end) as date_format,
+            count(case when start_date > end_date then 1 end) as date_order, count(case when window_bars < 2 then 1 end) as window_bars, 0 as not_empty from reg group by 1),
+          win as (select r.copy, r.key, r.start_date, r.end_date, r.window_bars, count(b.entity) as n, min(strftime(b.bar_date, '%Y%m%d')) as f, max(strftime(b.bar_date, '%Y%m%d')) as l
+            from reg r left join bars0 b on b.entity = r.source and strftime(b.bar_date, '%Y%m%d') between r.start_date and r.end_date group by 1, 2, 3, 4, 5),
+          src as (select copy, count(case when n = 0 then 1 end) as window_exists, count(case when n > 0 and (f <> start_date or l <> end_date) then 1 end) as window_ends,
+            count(case when n > 0 and n <> window_bars then 1 end) as window_length, 0 as repeated_dates, 0 as prices from win group by 1),
+          c as (select * from fmt join src using (copy)),
+          u as (unpivot c on algorithm, unique_key, date_format, date_order, window_bars, not_empty, window_exists, window_ends, window_length, repeated_dates, prices into name check_name value n_bad)
+          select case when copy = 'sound' then check_name else 'planted ' || check_name end as check_name, n_bad = 0 as passed, n_bad from u""")
 def _(m: Market) -> DataFrame:
-    return store.registry_findings(store.read_registry(m.spark, registry_path(m)))
+    sound = store.read_registry(m.spark, registry_path(m))
+    first, second, third, fourth = (sound.where(F.col("key") == f"t{i}") for i in range(1, 5))
+    earlier = (F.col("start_date").cast("bigint") - 1).cast("string")
+    planted = [
+        sound, second.withColumn("key", F.lit("t1")), first.withColumns({"key": F.lit("x1"), "start_date": F.lit("2000-1-7")}),
+        second.withColumns({"key": F.lit("x2"), "window_bars": F.lit(1)}), third.withColumns({"key": F.lit("x3"), "start_date": F.col("end_date"), "end_date": F.col("start_date")}),
+        fourth.withColumns({"key": F.lit("x4"), "source_code": F.lit("999999")}), first.withColumns({"key": F.lit("x5"), "start_date": earlier}),
+    ]
+    faulty = reduce(DataFrame.unionByName, planted)
+    bars = m.bars0.withColumn("source_code", padded("entity"))
+
+    def checks(registry: DataFrame, prefix: str) -> DataFrame:
+        both = store.registry_findings(registry).unionByName(store.registry_windows(registry, bars))
+        return both.withColumn("check_name", F.concat(F.lit(prefix), F.col("check_name")))
+
+    return checks(sound, "").unionByName(checks(faulty, "planted "))
 
 
 @query("src_ranking_file", "template_id:s rank:i entity:i score:f window_bars:i",

@@ -81,6 +81,29 @@ def registry_findings(registry: DataFrame) -> DataFrame:
     return unpivot_checks(agg)
 
 
+def registry_windows(registry: DataFrame, bars: DataFrame) -> DataFrame:
+    """One row per rule of the source windows: (check_name, n_bad) counts of templates.
+
+    A window must start and end on bars of its security, hold exactly as many bars as it says, each date
+    once, and only sound prices.
+    """
+    day = F.date_format("bar_date", "yyyyMMdd")
+    own = bars.select(F.col("source_code").alias("_code"), day.alias("_day"), "open", "high", "low", "close")
+    inside = registry.join(own, (F.col("source_code") == F.col("_code")) & F.col("_day").between(F.col("start_date"), F.col("end_date")), "left")
+    prices = [F.col(c) for c in ("open", "high", "low", "close")]
+    sound = (F.col("low") > 0) & (F.least(*prices) >= F.col("low")) & (F.greatest(*prices) <= F.col("high"))
+    per = inside.groupBy("key", "start_date", "end_date", "window_bars").agg(
+        F.count("_day").alias("n"), F.count_distinct("_day").alias("days"), F.min("_day").alias("first"), F.max("_day").alias("last"),
+        F.count_if(F.col("_day").isNotNull() & ~F.coalesce(sound, F.lit(False))).alias("unsound"),
+    )
+    return unpivot_checks(per.agg(
+        F.count_if(F.col("n") == 0).alias("window_exists"),
+        F.count_if((F.col("n") > 0) & ((F.col("first") != F.col("start_date")) | (F.col("last") != F.col("end_date")))).alias("window_ends"),
+        F.count_if((F.col("n") > 0) & (F.col("n") != F.col("window_bars"))).alias("window_length"),
+        F.count_if(F.col("n") != F.col("days")).alias("repeated_dates"), F.count_if(F.col("unsound") > 0).alias("prices"),
+    ))
+
+
 def unpivot_checks(one_row: DataFrame) -> DataFrame:
     """Turn a one-row frame of bad-row counts into (check_name, passed, n_bad)."""
     pairs = F.array(*[

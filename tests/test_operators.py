@@ -9,13 +9,15 @@ import random
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
-from tapeloom.functions.ranking import average_rank_share, exact_quantiles, order_positions
+from tapeloom.functions import ranking
+from tapeloom.functions.ranking import average_rank_share, exact_quantiles, order_positions, prefix_share
 from tapeloom.operators import bars as B
 from tapeloom.operators import calendar as C
 from tapeloom.functions.scalars import padded
-from tapeloom.operators import dynamics, flows, metrics, rotation, runs, sampling
+from tapeloom.operators import dynamics, events, flows, metrics, rotation, runs, sampling
 from tapeloom.operators import similarity as S
 from tapeloom.operators.asof import as_of_samples
 from tapeloom.operators.selection import fill_quotas
@@ -101,7 +103,9 @@ def test_latest_scores_skip_flat_and_short(spark):
     assert abs(got[1] - 1) < 1e-12 and got[4] < 0
 
 
-def test_ranks_and_quantiles_with_a_hot_value(spark):
+@pytest.mark.parametrize("rows_of_a_window", [1 << 16, 100])
+def test_ranks_and_quantiles_with_a_hot_value(spark, monkeypatch, rows_of_a_window):
+    monkeypatch.setattr(ranking, "RANGE_ROWS", rows_of_a_window)
     random.seed(3)
     rows = [("a", 5.0 if i % 3 == 0 else random.choice([1.0, 2.5, random.random() * 100]), i) for i in range(3000)]
     rows += [("b", float(i), i) for i in range(7)]
@@ -120,6 +124,45 @@ def test_ranks_and_quantiles_with_a_hot_value(spark):
     assert order.groupby("g")["rank"].apply(list).map(lambda r: r == list(range(1, len(r) + 1))).all()
 
 
+@pytest.mark.parametrize("tie", ["id long", "id string"])
+def test_one_value_spreads_over_many_windows(spark, monkeypatch, tie):
+    monkeypatch.setattr(ranking, "RANGE_ROWS", 100)
+    name = str if tie.endswith("string") else int
+    rows = [("a", 5.0 if i % 10 else float(i), name(i * 7919 % 2000)) for i in range(2000)]
+    df = spark.createDataFrame(rows, f"g string, v double, {tie}")
+    ranged = ranking._with_part(ranking._with_range(ranking.stage(df), ["g"], "v", 20), ["g"], "id")
+    assert ranged.groupBy("g", "_range", "_part").count().agg(F.max("count")).first()[0] <= 250
+    for falling in (True, False):
+        got = [r.id for r in order_positions(df, ["g"], "v", ["id"], descending=falling).orderBy("rank").collect()]
+        assert got == [r[2] for r in sorted(rows, key=lambda r: (-r[1] if falling else r[1], r[2]))]
+
+
+def test_prefix_shares_equal_brute_force(spark):
+    r = random.Random(4)
+    rows = [(g, i * 3, r.randrange(9)) for g, n in (("a", 1), ("b", 2), ("c", 70), ("d", 129)) for i in range(n)]
+    got = {(x.g, x.o): x.p for x in prefix_share(spark.createDataFrame(rows, "g string, o int, v int"), ["g"], "o", "v", "p").collect()}
+    for g, o, v in rows:
+        past = [w for h, q, w in rows if h == g and q <= o]
+        assert got[g, o] == sum(w <= v for w in past) / len(past)
+    assert len(got) == len(rows)
+
+
+def test_window_events_equal_brute_force(spark):
+    r = random.Random(6)
+    bars = [(e, DAY + dt.timedelta(d), round(10 * r.uniform(0.8, 1.25), 3)) for e in (1, 2) for d in range(40)]
+    frame = spark.createDataFrame(bars, "entity long, bar_date date, close double")
+    windows = [(e, DAY + dt.timedelta(a), DAY + dt.timedelta(b)) for e in (1, 2) for a in range(40) for b in range(a, min(a + 17, 40))]
+    limits = events.limit_flags(frame)
+    gaps = limits.select("entity", "bar_date", F.lit(0).alias("gap"))
+    got = events.window_events(spark.createDataFrame(windows, "entity long, start_date date, end_date date"), limits, gaps, 17).collect()
+    move = {(x.entity, x.bar_date): x for x in limits.collect()}
+    assert len(got) == len(windows)
+    for x in got:
+        inside = [v for (e, d), v in move.items() if e == x.entity and x.start_date <= d <= x.end_date]
+        assert (x.up_count, x.down_count) == (sum(v.up for v in inside), sum(v.down for v in inside))
+        assert x.max_abs_pct == max((v.abs_pct for v in inside if v.abs_pct is not None), default=None)
+
+
 def test_pair_counts_equal_all_pairs(spark):
     random.seed(5)
     rows = [("x", random.randint(0, 3), float(random.randint(0, 9)), i) for i in range(80)]
@@ -265,3 +308,28 @@ def test_only_wanted_days_are_scored(spark):
     days = spark.createDataFrame([(day(3),), (day(20),), (day(39),)], "bar_date date")
     some = {(r.entity, r.bar_date): r.score for r in S.rolling_scores(bars, book, days).collect()}
     assert some == {k: v for k, v in full.items() if k[1] in (day(20), day(39))}
+
+
+def test_registry_blocks_equal_single_scores(spark, monkeypatch):
+    monkeypatch.setattr(S, "TEMPLATE_BLOCK", 3)
+    monkeypatch.setattr(S, "SECURITY_BLOCK", 4)
+    r = random.Random(12)
+    bars = [(e, DAY + dt.timedelta(d), 10 * r.uniform(0.5, 2)) for e in range(1, 14) for d in range(30 if e != 5 else 29)]
+    bars = [(e, d, 0.0 if (e, (d - DAY).days) == (6, 25) else 7.0 if e == 7 else c) for e, d, c in bars]  # 5 ends early, 6 has a price of 0, 7 is flat
+    z = lambda n: (lambda v: ((v - v.mean()) / v.std()).tolist())(np.array([r.random() for _ in range(n)]))
+    registry = [(k, z(n)) for k, n in enumerate([8, 8, 12, 3, 30, 31, 8, 12, 20, 3, 4], 100)]
+    frame = spark.createDataFrame(bars, "entity long, bar_date date, close double")
+    books = spark.createDataFrame(registry, "template_id long, z array<double>")
+    got = {(x.template_id, x.rank): (x.entity, x.score) for x in S.best_of_registry(frame, books, F.lit(DAY + dt.timedelta(29)), 4).collect()}
+    want = {}
+    for key, vector in registry:
+        scored = []
+        for e in range(1, 14):
+            closes = [c for b, d, c in bars if b == e][-len(vector):]
+            if e not in (5, 7) and len(closes) == len(vector) and min(closes) > 0:
+                x = np.log(closes)
+                scored.append((-float(np.dot(vector, x) / (len(x) * x.std())), e))
+        want |= {(key, i): (e, -s) for i, (s, e) in enumerate(sorted(scored)[:4], 1)}
+    assert got.keys() == want.keys() and len({k for k, _ in got}) == 10
+    assert all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-9 for k in want)
+    assert S.best_of_registry(frame, books.limit(0), F.lit(DAY), 4).count() == 0
