@@ -169,12 +169,22 @@ def _(m: Market) -> DataFrame:
     return Z.grouped_split(order_positions(hashed, ["one"], "h", ["entity"], descending=False), "rank", "n_group")
 
 
-@query("anon_id", "entity:i sample_id:s group_id:s")
+SECRET = b"tapeloom-demo-secret"
+
+
+def _hmac_sql(message: str) -> str:
+    pads = ["".join(f"{b ^ pad:02x}" for b in SECRET.ljust(64, b"\0")) for pad in (0x5C, 0x36)]
+    return f"upper(sha256(unhex('{pads[0]}') || unhex(sha256(unhex('{pads[1]}') || encode({message})))))"
+
+
+@query("anon_id", "entity:i sample_id:s group_id:s",
+       f"""select entity, 'S-' || substr({_hmac_sql("'v1|' || entity || '|' || strftime(bar_date, '%Y%m%d')")}, 1, 12) as sample_id,
+          'G-' || substr({_hmac_sql("'group|' || entity")}, 1, 16) as group_id from bars0""")
 def _(m: Market) -> DataFrame:
-    code, secret = F.col("entity").cast("string"), b"tapeloom-demo-secret"
+    code = F.col("entity").cast("string")
     day = F.date_format("bar_date", "yyyyMMdd")
     return m.bars0.select(
-        "entity", Z.anonymous_id(secret, "v1", code, day).alias("sample_id"), Z.group_id(secret, code).alias("group_id")
+        "entity", Z.anonymous_id(SECRET, "v1", code, day).alias("sample_id"), Z.group_id(SECRET, code).alias("group_id")
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from tapeloom.operators import shape as S
 from tapeloom.operators.bars import by_entity
 from tapeloom.plans import similarity as sim
 from tapeloom.plans.registry import query
+from tapeloom.plans.sql_frames import FRAMES
 from tapeloom.plans.sql_terms import any_sql, finding_sql, profile_sql, term_sql
 from tapeloom.sources.staging import stage
 from tapeloom.sources.tables import Market
@@ -94,15 +97,38 @@ for _q, _n in (("v2_prefilter_visual", "visual"), ("v2_prefilter_healthy", "heal
 
 MINED = ("healthy", "breakout", "pullback")
 MINED_K = 60
-
-
-@query("v2_mine_segments", "profile:s entity:i windows:i clean_windows:i bar_date:d prior:f place:i")
+MINED_STRIDE = 15
+
+
+def _mining_sql() -> str:
+    """The facts of every sliding window: the frames of the newest windows, over windows keyed by security and stop."""
+    renamed = {"w120": "m120", "w120e": "m120e", "wl120": "ml120", "wfit": "mfit", "facts": "mfacts", "paths": "mpaths"}
+    pattern = re.compile(rf"\b({'|'.join(renamed)})\b")
+    own = lambda text: pattern.sub(lambda m: renamed[m[1]], text)
+    frames = ", ".join(f"{renamed[n]} as ({own(FRAMES[n])})" for n in ("w120e", "wl120", "wfit", "facts", "paths"))
+    rows = []
+    for name in MINED:
+        spec = S.PRIORS[name]
+        raw = "(" + " + ".join(f"{w}e0 * {term_sql(t)}" for w, t in spec["terms"]) + f") / {sum(w for w, _ in spec['terms'])}e0"
+        bad = " or ".join(finding_sql(f) for f in spec["findings"])
+        rows.append(f"select '{name}' as profile, entity // 100000 as entity, bar_date, {raw} * case when {bad} then {spec['penalty']}e0 else 1 end as prior, not ({bad}) as clean from cx")
+    return f"""with m120 as (select s.entity * 100000 + s.pos as entity, any_value(s.bar_date) as bar_date, list(q.close order by q.pos) as c, list(q.high order by q.pos) as h,
+        list(q.low order by q.pos) as l, list(q.volume order by q.pos) as v from qfq s join qfq q on q.entity = s.entity and q.pos between s.pos - 119 and s.pos
+        where s.pos >= 120 and ((s.pos - 120) % {MINED_STRIDE} = 0 or s.pos = s.n_bars) group by 1 having count(*) = 120),
+      {frames}, {own(CONTEXT_SQL)}, every as ({" union all ".join(rows)}),
+      best as (select profile, entity, count(*) as windows, count(case when clean then 1 end) as clean_windows, arg_max(bar_date, struct_pack(a := prior, b := bar_date)) filter (where clean) as bar_date,
+        max(prior) filter (where clean) as prior from every group by 1, 2),
+      mined as (select profile, entity, row_number() over (partition by profile order by prior desc, entity) as place from best where clean_windows > 0)
+      select best.*, case when place <= {MINED_K} then place end as place from best left join mined using (profile, entity)"""
+
+
+@query("v2_mine_segments", "profile:s entity:i windows:i clean_windows:i bar_date:d prior:f place:i", _mining_sql())
 def _(m: Market) -> DataFrame:
     """Windows and clean windows of every security by profile, its best clean one, and the place among the Top-60.
 
     Unclean windows are counted but never mined: without a clean one, date, prior and place are null.
     """
-    df = stage(scored_windows(m, X.sliding_windows(m.qfq, 15), MINED).select(
+    df = stage(scored_windows(m, X.sliding_windows(m.qfq, MINED_STRIDE), MINED).select(
         "entity", "bar_date", *[f"{k}_{n}" for n in MINED for k in ("prior", "clean")]
     ))
     options = F.array(*[F.struct(F.lit(n).alias("profile"), F.col(f"prior_{n}").alias("prior"), F.col(f"clean_{n}").alias("clean")) for n in MINED])
