@@ -50,9 +50,10 @@ class Permutation:
 
 
 def sequences(docs: DataFrame, ranks: dict[bytes, int], pattern: str, end_id: int, doc_id: str, text: str, length: int) -> DataFrame:
-    """block (the task), number in the block, doc_id, part, ids (uint16) of each document's sequences.
+    """block (the task), number in the block, doc_id, part, n_ids, ids (uint16) of each document's sequences.
 
-    A document's ids and the end id are cut into parts of ``length``; the last is padded with the end id.
+    A document's ids and the end id are cut into parts of ``length``; the last is padded with the end id, and
+    ``n_ids`` says how many of its ids come before the padding.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,24 +68,25 @@ def sequences(docs: DataFrame, ranks: dict[bytes, int], pattern: str, end_id: in
                     padded = np.full(n * length, end_id, np.uint16)
                     padded[: len(ids)] = ids
                     for part in range(n):
-                        rows.append((block, number, doc.as_py(), part, padded[part * length : (part + 1) * length].tobytes()))
+                        real = min(length, len(ids) + 1 - part * length)
+                        rows.append((block, number, doc.as_py(), part, real, padded[part * length : (part + 1) * length].tobytes()))
                         number += 1
                 if rows:
-                    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+                    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)],
-                        ["block", "number", "doc_id", "part", "ids"],
+                        ["block", "number", "doc_id", "part", "n_ids", "ids"],
                     )
 
     named = pick(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    return named.mapInArrow(scan, "block int, number bigint, doc_id bigint, part int, ids binary")
+    return named.mapInArrow(scan, "block int, number bigint, doc_id bigint, part int, n_ids int, ids binary")
 
 
 def in_training_order(
     docs: DataFrame, ranks: dict[bytes, int], pattern: str, key: int, end_id: int, doc_id: str = "doc_id",
     text: str = "text", length: int = LENGTH,
 ) -> DataFrame:
-    """slot, doc_id, part and ids of every sequence; slots are 0 .. n-1, permuted by ``key``.
+    """slot, doc_id, part, n_ids and ids of every sequence; slots are 0 .. n-1, permuted by ``key``.
 
     A null or empty text is one sequence of end ids; null ids stay null; repeated rows are
     sequences of their own; an empty table has no slots; other columns are not read.
@@ -101,42 +103,44 @@ def in_training_order(
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             slots = permutation(batch.column(0).to_numpy())
-            yield pa.RecordBatch.from_arrays([pa.array(slots), *batch.columns[1:]], ["slot", "doc_id", "part", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(slots), *batch.columns[1:]], ["slot", "doc_id", "part", "n_ids", "ids"])
 
     # offsets are a row of two numbers for each input task, so the ids stay where they are
-    numbered = cut.join(F.broadcast(offsets), "block").select((F.col("offset") + F.col("number")).alias("at"), "doc_id", "part", "ids")
-    return numbered.mapInArrow(assign, "slot bigint, doc_id bigint, part int, ids binary")
+    numbered = cut.join(F.broadcast(offsets), "block").select((F.col("offset") + F.col("number")).alias("at"), "doc_id", "part", "n_ids", "ids")
+    return numbered.mapInArrow(assign, "slot bigint, doc_id bigint, part int, n_ids int, ids binary")
 
 
 def shards(ordered: DataFrame, per_shard: int = PER_SHARD) -> DataFrame:
-    """shard, first_slot, n_sequences, stride (bytes), payload and its sha256: a row for each shard, in order.
+    """shard, first_slot, n_sequences, stride (bytes), n_ids, payload and its sha256: a row for each shard, in order.
 
     ``payload`` holds the ids of the shard's slots one after the other, so each starts at a multiple of
-    the stride.  A range partition holds whole shards; only one shard is in memory at a time.
+    the stride; ``n_ids`` has the ids before the padding of each.  A range partition holds whole shards; only one shard is in memory at a time.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, first, held = None, 0, []
+        shard, first, held, real = None, 0, [], []
 
         def row() -> pa.RecordBatch:
             data = b"".join(held)
-            values = [shard, first, len(held), len(held[0]), data, hashlib.sha256(data).hexdigest()]
-            return pa.RecordBatch.from_arrays([pa.array([v]) for v in values], names)
+            values = [shard, first, len(held), len(held[0]), real, data, hashlib.sha256(data).hexdigest()]
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names)
 
         for batch in batches:
-            for s, slot, ids in zip(*(batch.column(i) for i in range(3)), strict=True):
+            for s, slot, n, ids in zip(*(batch.column(i) for i in range(4)), strict=True):
                 if s.as_py() != shard:
                     if held:
                         yield row()
-                    shard, first, held = s.as_py(), slot.as_py(), []
+                    shard, first, held, real = s.as_py(), slot.as_py(), [], []
                 held.append(ids.as_py())
+                real.append(n.as_py())
         if held:
             yield row()
 
-    names = ["shard", "first_slot", "n_sequences", "stride", "payload", "payload_sha256"]
-    placed = ordered.select(F.floor(F.col("slot") / per_shard).alias("shard"), "slot", "ids")
+    names = ["shard", "first_slot", "n_sequences", "stride", "n_ids", "payload", "payload_sha256"]
+    kinds = [*[pa.int64()] * 4, pa.list_(pa.int32()), pa.binary(), pa.string()]
+    placed = ordered.select(F.floor(F.col("slot") / per_shard).alias("shard"), "slot", "n_ids", "ids")
     listed = placed.repartitionByRange("shard").sortWithinPartitions("shard", "slot")
-    schema = "shard bigint, first_slot bigint, n_sequences bigint, stride bigint, payload binary, payload_sha256 string"
+    schema = "shard bigint, first_slot bigint, n_sequences bigint, stride bigint, n_ids array<int>, payload binary, payload_sha256 string"
     return listed.mapInArrow(pack, schema)
 
 
@@ -146,10 +150,10 @@ def write_shards(ordered: DataFrame, path: str, per_shard: int = PER_SHARD) -> N
 
 
 def read_slots(table: DataFrame, first: int, per_shard: int = PER_SHARD) -> DataFrame:
-    """slot and ids of all slots from ``first`` on; shards before are skipped by their number."""
+    """slot, n_ids and ids of all slots from ``first`` on; shards before are skipped by their number."""
     kept = table.where(F.col("shard") >= first // per_shard)
     step = F.explode(F.sequence(F.lit(0), F.col("n_sequences") - 1)).alias("step")
-    rows = kept.select("first_slot", "stride", "payload", step)
+    rows = kept.select("first_slot", "stride", "n_ids", "payload", step)
     slot = (F.col("first_slot") + F.col("step")).alias("slot")
     ids = F.substring(F.col("payload"), (F.col("step") * F.col("stride") + 1).cast("int"), F.col("stride").cast("int")).alias("ids")
-    return rows.select(slot, ids).where(F.col("slot") >= first)
+    return rows.select(slot, F.get("n_ids", F.col("step")).alias("n_ids"), ids).where(F.col("slot") >= first)

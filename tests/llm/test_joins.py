@@ -238,6 +238,10 @@ def test_shards_hold_every_sequence_and_resume(odd, tmp_path):
     later = sorted((r.slot, bytes(r.ids)) for r in shards.read_slots(table, 333, per_shard=50).collect())
     assert later == rows[333:]
     assert {r.stride for r in table.collect()} == {256}
+    # ids before the padding: each text's own and one end id, the rest of a sequence is end ids
+    real = [(r.n_ids, np.frombuffer(bytes(r.ids), np.uint16)) for r in shards.read_slots(table, 0, per_shard=50).collect()]
+    assert sum(n for n, _ in real) == sum(len(CODER.encode_ordinary(t or "")) + 1 for t in texts)
+    assert all(1 <= n <= 128 and (ids[n:] == 50256).all() for n, ids in real)
 
 
 def test_shards_of_no_rows(nothing):
