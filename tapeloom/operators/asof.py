@@ -23,3 +23,15 @@ def as_of_samples(df: DataFrame, first: Column, step: int, samples: int, columns
     return stretched.select(
         "entity", F.explode(F.sequence("sample", "until")).alias("sample"), "last.*"
     )
+
+
+def sampled_span(bars: DataFrame, first: Column, step: int, samples: int, lookback: int) -> DataFrame:
+    """The bars that rules of ``lookback`` bars can meet at the samples of ``as_of_samples``.
+
+    Bars after the last sample go, and of those up to the first one all but the newest ``lookback`` of each
+    security, however long its history is.
+    """
+    kept = bars.where(F.col("ord") <= first + step * (samples - 1))
+    newest = Window.partitionBy("entity").orderBy(F.col("ord").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    before = F.sum((F.col("ord") <= first).cast("int")).over(newest)
+    return kept.withColumn("_before", before).where(F.col("_before") <= lookback).drop("_before")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.functions.ranking import top_k
-from tapeloom.operators.asof import as_of_samples
+from tapeloom.operators.asof import as_of_samples, sampled_span
 from tapeloom.operators.membership import industry_on, listed_on
 from tapeloom.operators.patterns import RULES, pattern_scores
 from tapeloom.functions.scalars import round_even
@@ -41,7 +41,8 @@ def universe(securities: DataFrame, samples: DataFrame, flags: DataFrame, member
 def top_by_sample(bars_with_ord: DataFrame, eligible: DataFrame, first: Column, category: str, k: int) -> DataFrame:
     """Top-k of one pattern per sample date, scored on the last bar at or before it."""
     score = f"score_{category}"
-    scored = pattern_scores(bars_with_ord, (category,)).select("entity", "bar_date", "ord", score)
+    near = sampled_span(bars_with_ord, first, STEP, SAMPLES, RULES["screen"]["lookback_bars"])
+    scored = pattern_scores(near, (category,)).select("entity", "bar_date", "ord", score)
     last = as_of_samples(scored, first, STEP, SAMPLES, [score])
     passed = last.where(F.col(score) >= RULES[category]["minimum_score"])
     joined = passed.join(eligible, ["entity", "sample"]).withColumn("score", round_even(F.col(score), 2))

@@ -11,7 +11,7 @@ from tapeloom.operators import calendar as C
 from tapeloom.operators import history as H
 from tapeloom.operators import patterns as P
 from tapeloom.operators import rotation as R
-from tapeloom.operators.asof import as_of_samples
+from tapeloom.operators.asof import as_of_samples, sampled_span
 from tapeloom.operators.history import Filters
 from tapeloom.plans.common import K
 from tapeloom.plans.projections import heat_level
@@ -57,7 +57,8 @@ def _(m: Market) -> DataFrame:
 def _(m: Market) -> DataFrame:
     samples = C.rotation_samples(m.cal.where(F.col("bar_date") <= m.as_of))
     first = samples.agg(F.min("ord")).scalar()
-    scored = P.pattern_scores(C.with_ordinal(m.bars0, m.cal), ("pullback",))
+    near = sampled_span(C.with_ordinal(m.bars0, m.cal), first, R.STEP, R.SAMPLES, P.RULES["screen"]["lookback_bars"])
+    scored = P.pattern_scores(near, ("pullback",))
     last = as_of_samples(scored, first, R.STEP, R.SAMPLES, ["score_pullback"])
     return last.where(F.col("score_pullback") >= P.RULES["pullback"]["minimum_score"]).withColumn(
         "score", round_even(F.col("score_pullback"), 2)

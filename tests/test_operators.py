@@ -19,7 +19,7 @@ from tapeloom.operators import calendar as C
 from tapeloom.functions.scalars import padded
 from tapeloom.operators import dynamics, events, flows, metrics, rotation, runs, sampling
 from tapeloom.operators import similarity as S
-from tapeloom.operators.asof import as_of_samples
+from tapeloom.operators.asof import as_of_samples, sampled_span
 from tapeloom.operators.selection import fill_quotas
 from tapeloom.plans.relational import pair_counts
 from tapeloom.sources import store
@@ -333,3 +333,11 @@ def test_registry_blocks_equal_single_scores(spark, monkeypatch):
     assert got.keys() == want.keys() and len({k for k, _ in got}) == 10
     assert all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-9 for k in want)
     assert S.best_of_registry(frame, books.limit(0), F.lit(DAY), 4).count() == 0
+
+
+def test_sampled_span_keeps_what_samples_look_back_at(spark):
+    rows = [(e, o) for e in (1, 2, 3) for o in range(60) if e == 1 or (e == 2 and o % 7 == 0) or (e == 3 and o > 30)]
+    got = {}
+    for r in sampled_span(spark.createDataFrame(rows, "entity int, ord int"), F.lit(20), 5, 4, 6).collect():
+        got.setdefault(r.entity, []).append(r.ord)
+    assert sorted(got[1]) == list(range(15, 36)) and sorted(got[2]) == [0, 7, 14, 21, 28, 35] and sorted(got[3]) == list(range(31, 36))

@@ -11,6 +11,7 @@ FOLDER = "/root/testdata/sf0.001"
 SAMPLE = [
     "top_template_latest", "prj_normalize_bars", "sim_rolling", "set_flow_group", "agg_distribution",
     "pat_score_stock", "hlth_snapshot", "dyn_transition", "met_ndcg", "dq_top100_identities",
+    "prj_adjust_page", "his_previous_counts", "brd_detail", "thr_view", "sim_registry_top", "dq_registry",
 ]
 
 
