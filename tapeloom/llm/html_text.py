@@ -46,12 +46,12 @@ DROPPED = frozenset(
 )
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar".split())
 _NAMED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|popup|pop|modal|overlay"
-    r"|newsletter|subscri\w*|signup|login|sidebar|side|widget|menu|nav|navbar|navigation|breadcrumbs?|footer|masthead|toolbar"
-    r"|pagination|pager|share|sharing|social|related|recommend\w*|comments?|commentlist|respond|repl(?:y|ies)|disqus|disclaimer"
-    r"|topbar)(?=$|[\s_-])", re.I,
+    r"(?:^|[\s_-])(?:ads?|ad(?:box|slot|unit|wrap\w*|sense)|advert\w*|sponsor\w*|promo\w*|banners?|cookie\w*|consent|gdpr|notices?"
+    r"|notification\w*|alerts?|popup\w*|pop|modal|overlay|newsletter|subscri\w*|signup|login|sidebar|side|widgets?|menu\w*|nav|navbar"
+    r"|navigation|breadcrumbs?|footer|masthead|toolbar|pagination|pager|share|sharing|social|related|recommend\w*|comment\w*|respond"
+    r"|repl(?:y|ies)|disqus|disclaimer|topbar)(?=$|[\s_-])", re.I,
 )
-_COMMENT = re.compile(r"(?:^|[\s_-])(?:comments?|repl(?:y|ies)|ads?|advert\w*)(?=$|[\s_-])", re.I)
+_COMMENT = re.compile(r"(?:^|[\s_-])(?:comment\w*|repl(?:y|ies)|ads?|advert\w*)(?=$|[\s_-])", re.I)
 _HEADER = re.compile(r"(?:^|[\s_-])header(?=$|[\s_-])", re.I)
 
 _TOKEN = re.compile(

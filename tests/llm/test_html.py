@@ -37,6 +37,7 @@ def test_articles_of_a_table_equal_a_plain_cut(spark):
 
 @pytest.mark.parametrize("outside", [
     "<nav><a href=x>Home</a> and more</nav>", "<header><h1>Site</h1></header>", "<footer>All of the rights</footer>", f"<aside>{LONG}</aside>",
+    f'<div class="box adslot"><p>{LONG}</p></div>', f'<section class="site-notification"><p>{LONG}</p></section>', f'<ul class="commentlist"><li>{LONG}</ul>',
     f"<form><p>{LONG}</p></form>", f'<div class="cookie-notice"><p>{LONG}</p></div>', f"<div id='comments'><h2>Comments</h2><p>{LONG}</p></div>",
     f'<article class="comment"><p>{LONG}</p></article>', f'<div class="ad">{LONG}</div>', f'<div role="complementary">{LONG}</div>',
     f"<script>var t = '</p>{LONG}';</script>", "<style>p { margin: 0 }</style>", f"<!-- {LONG} -->", f"<div hidden>{LONG}</div>",
