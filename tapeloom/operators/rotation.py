@@ -50,12 +50,15 @@ def top_by_sample(bars_with_ord: DataFrame, eligible: DataFrame, first: Column,
 
 
 def matrix(top: DataFrame, membership: DataFrame, samples: DataFrame) -> DataFrame:
-    """Industry x sample counts with zeros, and the change to the previous sample (first against 0)."""
+    """Industry x sample counts with zeros, the change to the previous sample (first against 0), and the securities by rank."""
     grid = samples.agg(F.array_sort(F.collect_list(F.struct("sample", "bar_date")))).scalar()
     catalog = membership.select("industry_code", "industry").distinct()
     cells = catalog.select("industry_code", "industry", F.explode(grid).alias("s")).select("industry_code", "industry", "s.*")
-    counts = top.where(F.col("industry_code").isNotNull()).groupBy("sample", "industry_code").agg(F.count(F.lit(1)).alias("n"))
+    counts = top.where(F.col("industry_code").isNotNull()).groupBy("sample", "industry_code").agg(
+        F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("rank", "entity", "score"))).alias("stocks")  # at most a list's members
+    )
     full = cells.join(counts, ["sample", "industry_code"], "left").fillna(0, ["n"])
+    full = full.withColumn("stocks", F.coalesce("stocks", F.array().cast(counts.schema["stocks"].dataType)))
     w = Window.partitionBy("industry_code").orderBy("sample")
     return full.withColumn("change", F.col("n") - F.lag("n", 1, 0).over(w))
 

@@ -263,10 +263,13 @@ def _(m: Market) -> DataFrame:
     return rotation_top(m)
 
 
-@query("rot_matrix", "industry_code:i sample:i bar_date:d n:i change:i heat:i",
-       "select industry_code, sample, bar_date, n, change, case when n <= 0 then 0 when n <= 2 then 1 when n <= 4 then 2 when n <= 7 then 3 when n <= 10 then 4 else 5 end as heat from rotmat")
+@query("rot_matrix", "industry_code:i sample:i bar_date:d n:i change:i heat:i stocks:s",
+       """select r.industry_code, r.sample, r.bar_date, n, change, case when n <= 0 then 0 when n <= 2 then 1 when n <= 4 then 2 when n <= 7 then 3 when n <= 10 then 4 else 5 end as heat,
+          coalesce(s.stocks, '') as stocks from rotmat r left join (select industry_code, sample, string_agg(rank || ':' || entity, ',' order by rank) as stocks from rottop group by 1, 2) s
+          on s.industry_code = r.industry_code and s.sample = r.sample""")
 def _(m: Market) -> DataFrame:
-    return rotation_cells(m).withColumn("heat", heat_level(F.col("n")))
+    listed = F.transform("stocks", lambda x: F.concat_ws(":", x["rank"].cast("string"), x["entity"].cast("string")))
+    return rotation_cells(m).withColumn("heat", heat_level(F.col("n"))).withColumn("stocks", F.array_join(listed, ","))
 
 
 @query("rot_features", "industry_code:i slope:f persistence:f recent_change:i effective:i cumulative:i",
