@@ -23,6 +23,7 @@ from tapeloom.llm.vectors import complete, of_common_length, scaled
 COMPONENTS = 32
 LARGEST = float(2**40)  # entries beyond it, times 64, are not exact as double
 BLOCK_ROWS = 16384  # at most, in a block
+BLOCK_ENTRIES = 1 << 20  # likewise; while a block is put together each entry takes some 24 bytes
 MATRIX_BLOCKS = 4096  # at most, in one product: its plan is made on the driver block by block
 SPLIT_BLOCKS = 4  # blocks whose products one task sums
 RANK_TOLERANCE = 1e-12  # eigenvalues of less than this share of the largest count as zero
@@ -83,7 +84,7 @@ def whiten(
     task = F.shiftright("row", 33)
     sizes = kept.groupBy(task.alias("task")).count()
     n, tasks, most = sizes.agg(F.sum("count"), F.max("task") + 1, F.max("count")).first()
-    block_rows = min(block_rows, most)
+    block_rows = max(1, min(block_rows, most, BLOCK_ENTRIES // width))
     stride = -(-most // block_rows)  # blocks a task
     total = F.array(*[F.lit(int(sums[i])).cast("bigint") for i in range(width)])
     exact = F.transform("x", lambda x, i: F.lit(n).cast("bigint") * x - F.get(total, i))
