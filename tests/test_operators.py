@@ -335,6 +335,47 @@ def test_registry_blocks_equal_single_scores(spark, monkeypatch):
     assert S.best_of_registry(frame, books.limit(0), F.lit(DAY), 4).count() == 0
 
 
+def test_registry_scores_copies_once_and_ties_go_to_the_smaller_security(spark, monkeypatch):
+    monkeypatch.setattr(S, "SECURITY_BLOCK", 8)
+    r = np.random.default_rng(5)
+    own = {e: np.exp(r.normal(size=24)).tolist() for e in range(1, 8)}
+    bars = [(e + 100 * copy, DAY + dt.timedelta(d), c) for e, closes in own.items() for copy in range(30) for d, c in enumerate(closes)]
+    z = [((v - v.mean()) / v.std()).tolist() for v in (np.log(own[e]) for e in (3, 6, 3))]
+    frame = spark.createDataFrame(bars, "entity long, bar_date date, close double")
+    tails = frame.groupBy("entity").agg(F.sort_array(F.collect_list("close")).alias("closes"))
+    once = {tuple(x.entities) for x in S.equal_windows(tails, 3).collect()}
+    assert once == {(e, e + 100, e + 200) for e in own}
+    books = spark.createDataFrame(list(enumerate(z, 1)), "template_id long, z array<double>")
+    got = sorted((x.template_id, x.rank, x.entity) for x in S.best_of_registry(frame, books, F.lit(DAY + dt.timedelta(23)), 3).collect())
+    assert got == [(t, i + 1, e + 100 * i) for t, e in ((1, 3), (2, 6), (3, 3)) for i in range(3)]
+
+
+def test_screened_scores_equal_a_full_sort():
+    r = np.random.default_rng(8)
+    z, x = r.normal(size=(300, 9)), np.round(np.exp(0.02 * r.normal(size=(4500, 9))), 2)
+    z[:20] *= 40  # not standardised: scores beyond 1 and -1 are cut there and tie
+    entities, names = np.arange(4500) * 2 + 1, np.arange(300) * 3
+    table = S.pa.table({"entity": r.permutation(entities), "closes": list(x)})
+    got = S._block_scorer(3)(S.pa.table({"shape": names, "z": list(z)}), table).to_pydict()
+    logs, who = np.log(np.stack(table.column("closes").to_pylist())), table.column("entity").to_numpy()
+    sigma = logs.std(1)
+    logs, who, sigma = logs[sigma > S.FLAT], who[sigma > S.FLAT], sigma[sigma > S.FLAT]
+    scores = np.clip(np.einsum("ik,jk->ij", z, logs) / (9 * sigma), -1, 1)
+    want = {(n, who[j]): scores[i, j] for i, n in enumerate(names) for j in np.lexsort((who, -scores[i].round(12)))[:3]}
+    mine = dict(zip(zip(got["shape"], got["entity"]), got["score"]))
+    assert len(mine) == 900
+    for n in names:  # equal to the full sort but for windows that tie within rounding
+        assert np.allclose(sorted(v for (t, _), v in mine.items() if t == n), sorted(v for (t, _), v in want.items() if t == n), atol=1e-12)
+
+
+def test_backward_fill_reads_a_history_once(spark):
+    rows = [(1, DAY + dt.timedelta(d), None if d % 3 else float(d)) for d in range(10)] + [(2, DAY, None), (2, DAY + dt.timedelta(1), 5.0)]
+    filled = spark.createDataFrame(rows, "entity long, bar_date date, f double").withColumn("g", B.fill_backward("f"))
+    got = {(r.entity, (r.bar_date - DAY).days): r.g for r in filled.collect()}
+    assert got == {**{(1, d): float(-(-d // 3) * 3) for d in range(10)}, (2, 0): 5.0, (2, 1): 5.0}
+    assert "FOLLOWING" not in filled._jdf.queryExecution().toString().upper()
+
+
 def test_sampled_span_keeps_what_samples_look_back_at(spark):
     rows = [(e, o) for e in (1, 2, 3) for o in range(60) if e == 1 or (e == 2 and o % 7 == 0) or (e == 3 and o > 30)]
     got = {}
