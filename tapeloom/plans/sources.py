@@ -37,7 +37,8 @@ def _stored(m: Market, name: str, df) -> str:
 
 
 def bar_store(m: Market) -> DataFrame:
-    return store.read_partitioned(m.spark, _stored(m, "bars", lambda: m.bars0), _BARS)
+    # written once: the store is the table, unless the query has staged the bars before
+    return store.read_partitioned(m.spark, _stored(m, "bars", lambda: m.bars0 if "bars0" in vars(m) else m.aggregate_lines()), _BARS)
 
 
 def factor_store(m: Market) -> DataFrame:
