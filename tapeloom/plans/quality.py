@@ -13,7 +13,7 @@ from tapeloom.operators.bars import PRICES, adjust_as_of
 from tapeloom.plans import similarity as sim
 from tapeloom.plans.breadth import IND_SQL, THR_SQL, _FLOW_SQL, industry_daily, industry_threshold_daily, market_daily, with_position
 from tapeloom.plans.common import K, best_first, scored
-from tapeloom.plans.dynamics import _IND, _TRANS, snapped, state_names
+from tapeloom.plans.dynamics import _IND, _TRANS, snapped, state_names, states
 from tapeloom.plans.registry import query
 from tapeloom.sources.staging import stage
 from tapeloom.sources.store import unpivot_checks
@@ -192,7 +192,7 @@ _PAIR_GAP = "seq % 9 = 4"  # snapshots whose pairs are missing in the planted co
           {_findings_sql("c", "row_rates", "wilson", "rates", "pairs")}""")
 def _(m: Market) -> DataFrame:
     rows = snapped(m, "monthly")
-    moves = D.transitions(stage(D.states(rows)), state_names(m)).select("frequency", "from_state", "to_state", "count", "row_rate")
+    moves = D.transitions(stage(states(m, rows)), state_names(m)).select("frequency", "from_state", "to_state", "count", "row_rate")
     sums = _both(moves, _planted(moves, _MOVE_FAULTS)).groupBy("copy", "frequency", "from_state").agg(F.sum("row_rate").alias("r"), F.sum("count").alias("n"))
     a = sums.groupBy("copy").agg(F.count_if((F.col("n") > 0) & (F.abs(F.col("r") - 1) > 1e-9)).alias("row_rates"))
     ind = D.industries(rows).select("seq", "eligible", "rate", "wilson_low", "wilson_high")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 import hmac
+import math
 import random
 
 import numpy as np
@@ -21,8 +22,10 @@ from tapeloom.operators import dynamics, events, flows, metrics, rotation, runs,
 from tapeloom.operators import similarity as S
 from tapeloom.operators.asof import as_of_samples, sampled_span
 from tapeloom.operators.selection import fill_quotas
+from tapeloom.plans import similarity as sim
 from tapeloom.plans.relational import pair_counts
 from tapeloom.sources import store
+from tapeloom.sources.tables import Market
 
 DAY = dt.date(2025, 1, 1)
 BAR = "entity long, bar_date date, open double, high double, low double, close double, volume double, amount double"
@@ -376,6 +379,54 @@ def test_backward_fill_reads_a_history_once(spark):
     assert "FOLLOWING" not in filled._jdf.queryExecution().toString().upper()
 
 
+def test_binned_quantiles_equal_a_full_sort(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "BINNED_ROWS", 20)
+    ordered, real = [], ranking.value_positions
+    monkeypatch.setattr(ranking, "value_positions", lambda df, *a: (ordered.append(df.count()), real(df, *a))[1])
+    r = random.Random(4)
+    groups = {
+        "even": [r.uniform(-1, 1) for _ in range(900)], "ties": [float(r.randrange(4)) for _ in range(300)], "flat": [2.5] * 50,
+        "far": [r.gauss(0, 1) for _ in range(200)] + [1e300, -1e300], "wide": [-1.7e308, 1.7e308, 0.0, 1.0, 2.0], "one": [7.0], None: [3.0, 1.0],
+    }
+    rows = [(k, v) for k, vs in groups.items() for v in vs] + [("even", None)]
+    points = {"lo": 0.05, "mid": 0.5, "hi": 0.99, "first": 0.0, "last": 1.0}
+    got = {x.k: x for x in exact_quantiles(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", points).collect()}
+    assert got.keys() == groups.keys()
+    for k, vs in groups.items():
+        for name, p in points.items():
+            spot = (len(vs) - 1) * p
+            low, high = (sorted(vs)[i] for i in (math.floor(spot), math.ceil(spot)))
+            assert got[k][name] == pytest.approx(low + (high - low) * (spot - math.floor(spot)), rel=1e-12), (k, name)
+    assert ordered[0] < 900  # not every row is ordered
+
+
+def test_states_without_collected_lists(spark):
+    rows = [("weekly", 0, DAY, e, t, q) for e, qs in {1: (0, 0, 0), 2: (0, 1, 0), 3: (1, 0, 1), 4: (1, 1, 1)}.items() for t, q in zip((2, 10, 1), qs)]
+    st = dynamics.states(spark.createDataFrame(rows, "frequency string, seq int, bar_date date, entity int, template_id long, q int").withColumn("q", F.col("q") == 1), [1, 2, 10])
+    assert {r.entity: (r.state, r.labels) for r in st.collect()} == {1: ("none", "none"), 2: ("t10", "t10"), 3: ("mixed", "t1+t2"), 4: ("mixed", "t1+t10+t2")}
+    assert "collect_list" not in st._jdf.queryExecution().toString()
+
+
+def test_scores_carry_columns_of_their_last_bar(spark):
+    book = S.TemplateBook(((1, (-1.0, 0.0, 1.0)), (2, (1.0, -1.0))))
+    bars = spark.createDataFrame([(e, DAY + dt.timedelta(d), 5.0 + d * e % 4, f"i{e}{d}", d % 2 == 0) for e in (1, 2) for d in range(6)],
+                                 "entity long, bar_date date, close double, name string, open boolean")
+    every = {(r.template_id, r.entity, r.bar_date): r.score for r in S.rolling_scores(bars, book).collect()}
+    got = S.rolling_scores(bars, book, only=F.col("open"), carry=("name",)).collect()
+    assert {(r.template_id, r.entity, r.bar_date): r.score for r in got} == {k: v for k, v in every.items() if (k[2] - DAY).days % 2 == 0}
+    assert all(r.name == f"i{r.entity}{(r.bar_date - DAY).days}" for r in got)
+
+
+def test_panel_rows_are_not_shuffled_again(spark):
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = sim.scores(Market(spark, "/root/testdata/sf0.001"), industry=True)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert "Exchange" not in plan[:plan.index("MapInArrow")]
+
+
 def test_sampled_span_keeps_what_samples_look_back_at(spark):
     rows = [(e, o) for e in (1, 2, 3) for o in range(60) if e == 1 or (e == 2 and o % 7 == 0) or (e == 3 and o > 30)]
     got = {}
