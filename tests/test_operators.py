@@ -19,12 +19,13 @@ from tapeloom.operators import bars as B
 from tapeloom.operators import calendar as C
 from tapeloom.functions.scalars import padded
 from tapeloom.operators import dynamics, events, flows, metrics, rotation, runs, sampling
+from tapeloom.operators import facts as X
 from tapeloom.operators import similarity as S
 from tapeloom.operators.asof import as_of_samples, sampled_span
 from tapeloom.operators.selection import fill_quotas
 from tapeloom.plans import similarity as sim
 from tapeloom.plans.relational import pair_counts
-from tapeloom.sources import store
+from tapeloom.sources import store, tables
 from tapeloom.sources.tables import Market
 
 DAY = dt.date(2025, 1, 1)
@@ -427,6 +428,24 @@ def test_panel_rows_are_not_shuffled_again(spark):
     assert "Exchange" not in plan[:plan.index("MapInArrow")]
 
 
+def test_deepest_drawdown_in_one_pass(spark):
+    r = random.Random(9)
+    series = [[r.uniform(1, 2) for _ in range(40)] for _ in range(20)] + [[4.0, 2.0, 8.0, 4.0], [1.0, 2.0, 3.0], [5.0]]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(series)], "i int, c array<double>").select("i", X.deepest_drawdown(F.col("c")).alias("d"))
+    for row in df.collect():
+        falls = [1 - x / max(series[row.i][:k + 1]) for k, x in enumerate(series[row.i])]
+        assert (row.d.worst, row.d["at"]) == (max(falls), falls.index(max(falls)))
+    assert "array_append" not in df._jdf.queryExecution().toString()
+
+
+def test_tasks_by_security_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(tables, "TASK_ROWS", 100)
+    m = Market(spark, "/root/testdata/sf0.001")
+    rows = m.bars0.count()
+    assert m.bars_by_security.rdd.getNumPartitions() == -(-rows // 100) and m.bars.rdd.getNumPartitions() == -(-rows // 100)
+    assert m.bars.count() == rows
+
+
 def test_sampled_span_keeps_what_samples_look_back_at(spark):
     rows = [(e, o) for e in (1, 2, 3) for o in range(60) if e == 1 or (e == 2 and o % 7 == 0) or (e == 3 and o > 30)]
     got = {}
