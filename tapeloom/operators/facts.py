@@ -41,7 +41,11 @@ def sliding_windows(bars: DataFrame, stride: int) -> DataFrame:
 
 def _unpack(df: DataFrame) -> DataFrame:
     good = F.forall("w", lambda p: (p["c"] > 0) & p["h"].isNotNull() & p["l"].isNotNull() & p["v"].isNotNull())
-    return df.where(good).select("entity", "bar_date", *[F.col("w")[k].alias(k) for k in FIELDS])
+    def taken(field: str) -> Column:
+        # not w[field]: that counts as cheap, so the optimizer would take the array out again at every use, inside lambdas too
+        return F.transform("w", lambda p: p[field]).alias(field)
+
+    return df.where(good).select("entity", "bar_date", *[taken(k) for k in FIELDS])
 
 
 def at(arr: str, i: int | Column) -> Column:
@@ -287,15 +291,22 @@ PATH_FACTS = [
 ]
 
 
-def running_drawdowns(arr: Column) -> Column:
-    """struct(peak, out): out holds 1 - x / running peak for every element."""
-    start = F.struct(F.lit(0.0).alias("peak"), F.array().cast("array<double>").alias("out"))
+def deepest_drawdown(arr: Column) -> Column:
+    """struct(worst, at): the largest 1 - x / running peak and the 0-based place where it is first reached.
+
+    One pass with four numbers; an array of all drawdowns would be copied for every element.
+    """
+    start = F.struct(F.lit(0.0).alias("peak"), F.lit(-1.0).alias("worst"), F.lit(-1).alias("at"), F.lit(0).alias("k"))
 
     def step(s: Column, x: Column) -> Column:
         peak = F.greatest(s["peak"], x)
-        return F.struct(peak.alias("peak"), F.array_append(s["out"], 1 - x / peak).alias("out"))
+        fall = 1 - x / peak
+        deeper = fall > s["worst"]
+        return F.struct(
+            peak.alias("peak"), F.greatest(s["worst"], fall).alias("worst"), F.when(deeper, s["k"]).otherwise(s["at"]).alias("at"), (s["k"] + 1).alias("k")
+        )
 
-    return F.aggregate(arr, start, step, lambda s: s["out"])
+    return F.aggregate(arr, start, step, lambda s: F.struct(s["worst"].alias("worst"), s["at"].alias("at")))
 
 
 def path_facts(windows: DataFrame) -> DataFrame:
@@ -305,13 +316,13 @@ def path_facts(windows: DataFrame) -> DataFrame:
 
     anchors = F.filter(F.sequence(F.lit(10), F.lit(N - 10), F.lit(10)), lambda i: F.get("c", i) > F.get("c", i - 10))
     df = windows.withColumns({
-        "_dd120": running_drawdowns(F.col("c")), "_dd60": running_drawdowns(last("c", 60)),
-        "_c40": last("c", 40), "_dd40": running_drawdowns(last("c", 40)),
+        "_dd120": deepest_drawdown(F.col("c")), "_dd60": deepest_drawdown(last("c", 60)),
+        "_c40": last("c", 40), "_dd40": deepest_drawdown(last("c", 40)),
         "worst_return_5": worst(5), "worst_return_10": worst(10), "anchor_up_ratio": F.size(anchors) / F.lit(11.0),
     }).withColumns({
-        "max_drawdown_120": F.array_max("_dd120"), "max_drawdown_60": F.array_max("_dd60"),
-        "recent_pullback_depth_40": F.array_max("_dd40"),
-    }).withColumn("_trough", first_position(F.col("_dd40"), F.col("recent_pullback_depth_40")).cast("int"))
+        "max_drawdown_120": F.col("_dd120.worst"), "max_drawdown_60": F.col("_dd60.worst"),
+        "recent_pullback_depth_40": F.col("_dd40.worst"), "_trough": F.col("_dd40.at"),
+    })
     trough = F.get("_c40", F.col("_trough"))
     peak = F.array_max(F.slice("_c40", F.lit(1), F.col("_trough") + 1))
     df = df.withColumns({"_low": trough, "_peak": peak})

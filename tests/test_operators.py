@@ -446,6 +446,14 @@ def test_tasks_by_security_follow_the_rows(spark, monkeypatch):
     assert m.bars.count() == rows
 
 
+def test_window_arrays_are_taken_out_once(spark):
+    rows = [(1, i + 1, DAY + dt.timedelta(i), 5.0 + i % 7, 6.0 + i % 7, 4.0 + i % 7, 100.0) for i in range(130)]
+    bars = spark.createDataFrame(rows, "entity long, pos int, bar_date date, close double, high double, low double, volume double")
+    facts = X.shared_facts(X.sliding_windows(bars, 15))
+    plan = facts._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("w#") < 20 and facts.count() == 2
+
+
 def test_sampled_span_keeps_what_samples_look_back_at(spark):
     rows = [(e, o) for e in (1, 2, 3) for o in range(60) if e == 1 or (e == 2 and o % 7 == 0) or (e == 3 and o > 30)]
     got = {}
