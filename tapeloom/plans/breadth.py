@@ -26,6 +26,7 @@ from tapeloom.sources.staging import stage
 from tapeloom.sources.tables import Market
 
 LINES = (0.70, 0.75, 0.80)
+HISTORY_DAYS, SERIES_DAYS, LAGS, DEFAULT_LAG = 252, 60, (10, 20), 10
 _ICOLS = "template_id:i ord:i industry_code:i"
 
 
@@ -36,19 +37,38 @@ def _(m: Market) -> DataFrame:
     return daily_top(m)
 
 
-def industry_daily(m: Market) -> DataFrame:
-    """(template, lag, ord, industry): eligible and Top-K counts with flows against `lag` days earlier."""
-    base = stage(panel(m).select("template_id", "bar_date", "ord", "entity", "score", "industry_code"))
+def daily_base(m: Market, newest_days: int | None = None) -> DataFrame:
+    """Panel rows, scored and written once for a query; of the newest dates only, if so many are asked for."""
+    def build() -> DataFrame:
+        days = None if newest_days is None else m.cal.where(F.col("ord") > m.cal.agg(F.max("ord")).scalar() - newest_days)
+        return stage(panel(m, days).select("template_id", "bar_date", "ord", "entity", "score", "industry_code", "industry"))
+
+    return m.once(f"daily base {newest_days}", build)
+
+
+def daily_list(m: Market, newest_days: int | None = None) -> DataFrame:
+    """The Top-K of ``daily_base``, written once for a query."""
+    return m.once(f"daily list {newest_days}", lambda: stage(top_k(daily_base(m, newest_days), ["template_id", "ord"], best_first(), K)))
+
+
+def industry_daily(m: Market, days: int | None = None) -> DataFrame:
+    """(template, lag, ord, industry): eligible and Top-K counts with flows against `lag` days earlier.
+
+    With ``days`` only the newest of them, for which the dates that a lag looks back to are scored too.
+    """
+    scored_days = None if days is None else days + max(LAGS)
+    base, top = daily_base(m, scored_days), daily_list(m, scored_days)
     keys = ["template_id", "ord"]
-    top = top_k(base, keys, best_first(), K)
     counts = base.groupBy(*keys, "industry_code").agg(F.count(F.lit(1)).alias("eligible"))
-    lags = counts.select(*keys, "industry_code", "eligible", F.explode(F.array(F.lit(10), F.lit(20))).alias("lag"))
+    lags = counts.select(*keys, "industry_code", "eligible", F.explode(F.array(*[F.lit(n) for n in LAGS])).alias("lag"))
     newest = m.cal.agg(F.max("ord")).scalar()
-    states = shifted_states(top, ["template_id"], [10, 20], ["industry_code"], newest).withColumn(
+    states = shifted_states(top, ["template_id"], list(LAGS), ["industry_code"], newest).withColumn(
         "industry_code", F.coalesce("cur.industry_code", "prior.industry_code")
     )
     flows = flow_counts(states, ["template_id", "lag", "ord", "industry_code"])
     out = lags.join(flows, ["template_id", "lag", "ord", "industry_code"], "full_outer").fillna(0)
+    if days is not None:
+        out = out.where(F.col("ord") > newest - days)
     now = F.col("new_count") + F.col("retained_count")
     return out.withColumns({
         "top_count": now,
@@ -63,14 +83,11 @@ def _(m: Market) -> DataFrame:
     return industry_daily(m)
 
 
-HISTORY_DAYS, SERIES_DAYS, LAGS, DEFAULT_LAG = 252, 60, (10, 20), 10
-
-
-def named_industry_daily(m: Market) -> DataFrame:
+def named_industry_daily(m: Market, days: int | None = None) -> DataFrame:
     """``industry_daily`` with the name of the industry and the date that a lag compares with."""
     names = m.membership.select("industry_code", "industry").distinct()
     earlier = m.cal.select(F.col("bar_date").alias("comparison_date"), F.col("ord").alias("_then"))
-    rows = industry_daily(m).join(names, "industry_code", "left").withColumn("industry", F.coalesce("industry", F.lit("missing")))
+    rows = industry_daily(m, days).join(names, "industry_code", "left").withColumn("industry", F.coalesce("industry", F.lit("missing")))
     rows = rows.join(earlier, F.col("ord") - F.col("lag") == F.col("_then"), "left").drop("_then")
     return rows.join(m.cal.select("ord", "bar_date"), "ord")
 
@@ -118,7 +135,7 @@ def timeline_documents(m: Market) -> DataFrame:
     """One document a template: sampled snapshots of the last 252 days, blocks in one order for all of them."""
     newest = m.cal.agg(F.max("ord")).scalar()
     days = timeline_dates(m.cal).where(F.col("ord") > newest - HISTORY_DAYS).select("ord")
-    sampled = named_industry_daily(m).join(F.broadcast(days), "ord", "left_semi")
+    sampled = named_industry_daily(m, HISTORY_DAYS).join(F.broadcast(days), "ord", "left_semi")
     return N.timelines(N.snapshot_blocks(sampled, K))
 
 
@@ -153,9 +170,9 @@ def _(m: Market) -> DataFrame:
 def detail_documents(m: Market) -> DataFrame:
     """One document a template for the newest date: blocks with their lists, changes, 60 day series and components."""
     newest = m.cal.agg(F.max("ord")).scalar()
-    daily = stage(named_industry_daily(m).where(F.col("ord") > newest - SERIES_DAYS))
+    daily = stage(named_industry_daily(m, SERIES_DAYS))
     now = daily.where(F.col("ord") == newest)
-    top = stage(daily_top(m).where((newest - F.col("ord")).isin(0, *LAGS)))
+    top = daily_list(m, SERIES_DAYS + max(LAGS)).where((newest - F.col("ord")).isin(0, *LAGS))
     states = shifted_states(top, ["template_id"], list(LAGS), ["industry_code", "rank"], newest).where(F.col("ord") == newest)
     days = m.cal.where(F.col("ord") > newest - SERIES_DAYS).agg(F.array_sort(F.collect_list("bar_date"))).scalar()
     return N.details(now, states, daily.where(F.col("lag") == DEFAULT_LAG), days, K, DEFAULT_LAG)

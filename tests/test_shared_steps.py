@@ -7,7 +7,8 @@ import random
 
 from tapeloom.operators import events
 from tapeloom.operators import similarity as S
-from tapeloom.plans import dynamics
+from tapeloom.plans import breadth, dynamics
+from tapeloom.plans.registry import QUERIES
 from tapeloom.sources.tables import Market
 
 FOLDER = "/root/testdata/sf0.001"
@@ -41,3 +42,24 @@ def test_events_of_few_windows_equal_those_of_any(spark):
     any_ = events.window_events(asked, events.limit_flags(frame), events.suspended_weeks(frame, cal), 16).select(*names).collect()
     assert sorted(few) == sorted(any_) and len(few) == len(windows)
     assert any(x.suspension_count for x in few)
+
+
+def test_detail_documents_score_once(spark, monkeypatch):
+    rolling = counted(monkeypatch, S, "rolling_scores")
+    breadth.detail_documents(Market(spark, FOLDER))
+    assert len(rolling) == 1
+
+
+def test_newest_days_of_an_industry_equal_the_whole_table(spark):
+    m = Market(spark, FOLDER)
+    newest = m.cal.agg({"ord": "max"}).first()[0]
+    whole, some = breadth.industry_daily(m), breadth.industry_daily(m, 30)
+    names = sorted(whole.columns)
+    expected = [r for r in whole.select(*names).collect() if r.ord > newest - 30]
+    assert expected and sorted(expected) == sorted(some.select(*names).collect())
+
+
+def test_threshold_view_scores_once(spark, monkeypatch):
+    rolling = counted(monkeypatch, S, "rolling_scores")
+    QUERIES["thr_view"].build(Market(spark, FOLDER))
+    assert len(rolling) == 1
