@@ -16,7 +16,7 @@ from tapeloom.operators.flows import flow_counts, flows_to_last_seen, shifted_st
 from tapeloom.operators.membership import industry_on
 from tapeloom.operators.runs import sign_runs
 from tapeloom.plans import similarity as sim
-from tapeloom.plans.common import K, best_first, daily_top, panel, scored
+from tapeloom.plans.common import K, best_first, daily_top, panel
 from tapeloom.plans.registry import query
 from tapeloom.plans.sources import _fresh
 from tapeloom.plans.relational import industry_counts, other_rollup
@@ -296,12 +296,12 @@ def _(m: Market) -> DataFrame:
 # ---------------------------------------------------------------- fixed thresholds
 
 
-def market_daily(m: Market) -> DataFrame:
-    """Counts above each fixed line with change and average; lines ride as a column."""
+def market_daily(m: Market, rows: DataFrame | None = None) -> DataFrame:
+    """Counts above each fixed line with change and average; lines ride as a column.  ``rows`` are scores that exist already."""
     lines = F.array(*[
         F.struct(F.lit(t).alias("threshold"), F.col(f"n{int(round(t * 100))}").alias("above")) for t in LINES
     ])
-    long = series(m).select("template_id", "bar_date", "ord", "eligible", F.explode(lines).alias("l")).select(
+    long = series(m, rows).select("template_id", "bar_date", "ord", "eligible", F.explode(lines).alias("l")).select(
         "template_id", "bar_date", "ord", "eligible", "l.threshold", "l.above"
     )
     w = Window.partitionBy("threshold", "template_id").orderBy("bar_date")
@@ -333,20 +333,20 @@ def _(m: Market) -> DataFrame:
     return with_position(stage(market_daily(m)))
 
 
-def industry_threshold_daily(m: Market) -> DataFrame:
+def industry_threshold_daily(m: Market, lines: tuple[float, ...] = LINES) -> DataFrame:
     """Per line, template, date and industry: counts, flows and leader-removed counts."""
-    base = stage(panel(m).select("template_id", "bar_date", "ord", "entity", "score", "industry_code"))
+    base = daily_base(m)
     keys = ["template_id", "ord", "industry_code"]
-    top = top_k(base, ["template_id", "ord"], best_first(), K).groupBy(*keys).agg(F.count(F.lit(1)).alias("top_count"))
+    top = daily_list(m).groupBy(*keys).agg(F.count(F.lit(1)).alias("top_count"))
     counted = base.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("eligible"), *[F.count_if(F.col("score") >= t).alias(f"n{i}") for i, t in enumerate(LINES)]
+        F.count(F.lit(1)).alias("eligible"), *[F.count_if(F.col("score") >= t).alias(f"n{i}") for i, t in enumerate(lines)]
     ).join(top, keys, "left").fillna(0)
     long = counted.select(
         *keys, "eligible", "top_count",
-        F.explode(F.array(*[F.struct(F.lit(t).alias("threshold"), F.col(f"n{i}").alias("above")) for i, t in enumerate(LINES)])).alias("l"),
+        F.explode(F.array(*[F.struct(F.lit(t).alias("threshold"), F.col(f"n{i}").alias("above")) for i, t in enumerate(lines)])).alias("l"),
     ).select(*keys, "eligible", "top_count", "l.*")
-    members = base.where(F.col("score") >= min(LINES)).select(
-        *keys, "entity", F.explode(F.filter(F.array(*[F.lit(t) for t in LINES]), lambda t: F.col("score") >= t)).alias("threshold")
+    members = base.where(F.col("score") >= min(lines)).select(
+        *keys, "entity", F.explode(F.filter(F.array(*[F.lit(t) for t in lines]), lambda t: F.col("score") >= t)).alias("threshold")
     )
     flows = flows_to_last_seen(long.select("threshold", *keys), members, ["threshold", "template_id", "industry_code"])
     out = long.join(flows, ["threshold", *keys], "left")
@@ -519,15 +519,15 @@ _VIEW = "template_id:i kind:s key:s text:s n:i a:i b:i c:i d:i x:f y:f"
 def _(m: Market) -> DataFrame:
     """What a page of one fixed line shows, every kind of row in one table."""
     newest = m.cal.agg(F.max("ord")).scalar()
-    market = stage(with_position(stage(market_daily(m).where(F.abs(F.col("threshold") - VIEW_LINE) < 1e-8))))
-    industry = stage(industry_threshold_daily(m).where(F.abs(F.col("threshold") - VIEW_LINE) < 1e-8).join(m.cal.select("ord", "bar_date"), "ord"))
+    market = stage(with_position(stage(market_daily(m, daily_base(m)).where(F.abs(F.col("threshold") - VIEW_LINE) < 1e-8))))
+    industry = stage(industry_threshold_daily(m, (VIEW_LINE,)).join(m.cal.select("ord", "bar_date"), "ord"))
     by_industry = Window.partitionBy("template_id", "industry_code").orderBy("ord")
     latest = Window.partitionBy("template_id", "industry_code").orderBy(F.col("ord").desc())
     industry = industry.withColumns({"change_5d": F.col("above") - F.lag("above", 5).over(by_industry), "rn": F.row_number().over(latest)})
     names = m.membership.select("industry_code", "industry").distinct()
     named = industry.join(names, "industry_code", "left").withColumn("industry", F.coalesce("industry", F.lit("missing")))
     recent = market.withColumn("rn", F.row_number().over(Window.partitionBy("template_id").orderBy(F.col("bar_date").desc())))
-    best = top_k(scored(m, m.cal.where(F.col("ord") == newest)), ["template_id"], best_first(), VIEW_TOP)
+    best = daily_list(m).where((F.col("ord") == newest) & (F.col("rank") <= VIEW_TOP))
 
     def rows(kind: str, df: DataFrame, **columns: Column | str) -> DataFrame:
         picked = {"kind": F.lit(kind)} | {c: F.lit(None) for c in ("key", "text", "n", "a", "b", "c", "d", "x", "y")}
@@ -540,7 +540,7 @@ def _(m: Market) -> DataFrame:
     parts = [
         rows("summary", recent.where(F.col("rn") == 1), key=day, text="label", n="above", a=zero("change_1d"), b=zero("change_5d"), x="ma5", y="position"),
         rows("point", recent.where(F.col("rn") <= SERIES_DAYS), key=day, n="above", x="ma5"),
-        rows("top", industry_on(best, m.membership), key="entity", text="industry", n="rank", a=(F.col("score") >= VIEW_LINE).cast("int"), x="score"),
+        rows("top", best, key="entity", text="industry", n="rank", a=(F.col("score") >= VIEW_LINE).cast("int"), x="score"),
         rows("industry", named.where(F.col("ord") == newest), key="industry_code", text="industry", n="above", a="new_count", b="retained_count",
              c="exit_count", d=zero("change_5d"), x="top_share", y="top_count"),
         rows("industry point", named.where(F.col("rn") <= SERIES_DAYS), key="industry_code", text=day, n="above"),
