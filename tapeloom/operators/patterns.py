@@ -206,11 +206,12 @@ _LAYERS = {"breakout": _breakout_layers, "pullback": _pullback_layers, "range_bo
 _FITS = {"breakout": (20,), "pullback": (20, 40, 60), "range_bounce": (80,)}
 
 
-def pattern_scores(bars: DataFrame, categories: tuple[str, ...] = CATEGORIES) -> DataFrame:
+def pattern_scores(bars: DataFrame, categories: tuple[str, ...] = CATEGORIES, only: Column | None = None) -> DataFrame:
     """Scores and reasons of the chosen patterns for every bar (null below the minimum history).
 
     Columns are added layer by layer (running sums, window columns, metrics,
-    scores): five projections whatever the number of patterns.
+    scores): five projections whatever the number of patterns.  ``only`` says which bars
+    are scored; the others leave after the window columns, the last layer that looks back.
     """
     df = with_running_sums(bars.withColumn("volume", F.coalesce(F.col("volume"), F.lit(0.0))))
     df = df.withColumns({
@@ -229,7 +230,9 @@ def pattern_scores(bars: DataFrame, categories: tuple[str, ...] = CATEGORIES) ->
         enough = F.col("n_past") >= RULES[c]["minimum_bars"]
         final[f"score_{c}"] = F.when(enough, score)
         final[f"reasons_{c}"] = F.when(enough, notes)
-    df = df.withColumns(base).withColumns(fits).withColumns(derived).withColumns(final)
+    df = df.withColumns(base)
+    df = df if only is None else df.where(only)
+    df = df.withColumns(fits).withColumns(derived).withColumns(final)
     return df.drop(*[name for name in df.columns if name.startswith("_")])
 
 
@@ -240,9 +243,31 @@ def recent_bars(bars: DataFrame, n: int = RULES["screen"]["lookback_bars"]) -> D
 
 def latest_matches(bars: DataFrame) -> DataFrame:
     """One row per security: status, primary category and the list of matches at its last bar."""
-    scored = pattern_scores(recent_bars(bars))
-    newest = Window.partitionBy("entity").orderBy(F.col("bar_date").desc())
-    last = scored.withColumn("_rn", F.row_number().over(newest)).where(F.col("_rn") == 1)
+    recent = recent_bars(bars).withColumn("next_date", F.lead("bar_date").over(by_entity()))
+    return _matches(pattern_scores(recent, only=F.col("next_date").isNull()))
+
+
+def matches_on(bars: DataFrame, days: dict[str, Column]) -> DataFrame:
+    """``latest_matches`` as of each named day, with the name as ``day``; one pass over the bars whatever the number of days.
+
+    Kept are the bars up to the newest day, of those up to the earliest one the last of each security, as no rule looks further back.
+    """
+    first, last = F.array_min(F.array(*days.values())), F.array_max(F.array(*days.values()))
+    back = Window.partitionBy("entity").orderBy(F.col("bar_date").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    old = F.sum((F.col("bar_date") <= first).cast("int")).over(back)
+    near = bars.where(F.col("bar_date") <= last).withColumn("_old", old).where(F.col("_old") <= RULES["screen"]["lookback_bars"]).drop("_old")
+    near = near.withColumn("next_date", F.lead("bar_date").over(by_entity()))
+
+    def newest_on(day: Column) -> Column:
+        return (F.col("bar_date") <= day) & (F.col("next_date").isNull() | (F.col("next_date") > day))
+
+    named = F.array_compact(F.array(*[F.when(newest_on(d), F.lit(name)) for name, d in days.items()]))
+    near = near.withColumn("days", named)
+    return _matches(pattern_scores(near, only=F.size("days") > 0).withColumn("day", F.explode("days")), "day")
+
+
+def _matches(last: DataFrame, *keep: str) -> DataFrame:
+    """Status, primary category and matches of scored bars."""
     options = F.array(*[
         F.struct(
             round_even(F.col(f"score_{c}"), 2).alias("score"), F.lit(-i).alias("priority"), F.lit(c).alias("category"),
@@ -259,7 +284,7 @@ def latest_matches(bars: DataFrame) -> DataFrame:
     return (
         last.withColumn("matches", matches).withColumn("status", status)
         .withColumn("primary", F.array_max("matches"))
-        .select("entity", "bar_date", "close", "n_past", "status", "matches", "primary")
+        .select(*keep, "entity", "bar_date", "close", "n_past", "status", "matches", "primary")
     )
 
 

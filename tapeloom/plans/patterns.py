@@ -83,11 +83,11 @@ def pool(m: Market, day: Column | None = None, chosen: Filters = Filters()) -> D
     return out
 
 
-def screen(m: Market, day: Column | None = None, chosen: Filters = Filters()) -> DataFrame:
-    """Every eligible security with its status, matches and primary category; with a day, as it was then."""
+def screen(m: Market, day: Column | None = None, chosen: Filters = Filters(), found: DataFrame | None = None) -> DataFrame:
+    """Every eligible security with its status, matches and primary category; with a day and what was found then, as it was then."""
     eligible = pool(m, day, chosen)
-    bars = m.bars0.join(eligible.select("entity"), "entity", "left_semi")
-    found = P.latest_matches(bars if day is None else bars.where(F.col("bar_date") <= day))
+    if found is None:
+        found = P.latest_matches(m.bars0.join(eligible.select("entity"), "entity", "left_semi"))
     out = eligible.join(found, "entity", "left")
     return out.withColumn("status", F.coalesce("status", F.lit("not_calculated")))
 
@@ -164,9 +164,13 @@ listed as (select run, entity, category, score, row_number() over (partition by
 def run_history(m: Market) -> str:
     """The screens of ``RUNS`` published in a history of their own; its folder."""
     root = _fresh(m, "runs")
+    # the bars are read once for all days, and what each day found is written
+    days = {str(back): C.nth_newest(m.cal, back) for back in sorted({back for _, back, _, _ in RUNS})}
+    matches = stage(P.matches_on(m.bars_by_security, days))
     for seq, (run, back, chosen, saved) in enumerate(RUNS):
-        day = C.nth_newest(m.cal, back)
-        rows = screen(m, day, chosen).withColumn("history_bars", F.coalesce("n_past", F.lit(0)))
+        day = days[str(back)]
+        found = matches.where(F.col("day") == str(back)).drop("day")
+        rows = screen(m, day, chosen, found).withColumn("history_bars", F.coalesce("n_past", F.lit(0)))
         short = F.when(F.col("bar_date").isNull(), "no bars").when(F.col("status") == "not_calculated", "short history")
         H.append_run(m.spark, root, run, seq, day, chosen, rows.withColumn("warning", short), P.CATEGORIES, saved)
     return root

@@ -5,9 +5,12 @@ from __future__ import annotations
 import datetime as dt
 import random
 
-from tapeloom.operators import events
+from pyspark.sql import functions as F
+
+from tapeloom.operators import events, patterns
 from tapeloom.operators import similarity as S
 from tapeloom.plans import breadth, dynamics
+from tapeloom.plans import patterns as plans_patterns
 from tapeloom.plans.registry import QUERIES
 from tapeloom.sources.tables import Market
 
@@ -63,3 +66,21 @@ def test_threshold_view_scores_once(spark, monkeypatch):
     rolling = counted(monkeypatch, S, "rolling_scores")
     QUERIES["thr_view"].build(Market(spark, FOLDER))
     assert len(rolling) == 1
+
+
+def test_matches_of_several_days_equal_those_of_each(spark):
+    m = Market(spark, FOLDER)
+    days = sorted(r.bar_date for r in m.cal.collect())
+    asked = {"a": days[-2], "b": days[-12], "c": days[90], "d": days[30]}
+    names = ["entity", "bar_date", "close", "n_past", "status", "matches", "primary"]
+    got = patterns.matches_on(m.bars0, {k: F.lit(d) for k, d in asked.items()}).select("day", *names).collect()
+    for key, day in asked.items():
+        each = patterns.latest_matches(m.bars0.where(F.col("bar_date") <= day)).select(*names).collect()
+        assert each and sorted(tuple(r)[1:5] for r in got if r.day == key) == sorted(tuple(r)[:4] for r in each)
+        assert {r.entity: r.matches for r in got if r.day == key} == {r.entity: r.matches for r in each}
+
+
+def test_runs_of_a_history_share_one_pass(spark, monkeypatch):
+    passes = counted(monkeypatch, patterns, "pattern_scores")
+    plans_patterns.run_history(Market(spark, FOLDER))
+    assert len(passes) == 1
