@@ -7,6 +7,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from tapeloom.functions import ranking
 from tapeloom.operators import events, patterns
 from tapeloom.operators import similarity as S
 from tapeloom.plans import breadth, dynamics
@@ -84,3 +85,19 @@ def test_runs_of_a_history_share_one_pass(spark, monkeypatch):
     passes = counted(monkeypatch, patterns, "pattern_scores")
     plans_patterns.run_history(Market(spark, FOLDER))
     assert len(passes) == 1
+
+
+def test_rank_shares_join_no_rows_and_hold_for_any_split(spark, monkeypatch):
+    r = random.Random(3)
+    rows = [(g, i, r.choice([None, 1.0, 1.0, 1.0, round(r.uniform(0, 3), 2)])) for g in ("a", "b") for i in range(400)]
+    df = spark.createDataFrame(rows, "g string, id int, v double")
+    plan = ranking.average_rank_share(df, ["g"], "v", "p")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+    expected = {}
+    for g in ("a", "b"):
+        known = [v for x, _, v in rows if x == g and v is not None]
+        for _, i, v in (x for x in rows if x[0] == g):
+            expected[g, i] = None if v is None else (sum(k < v for k in known) + (known.count(v) + 1) / 2) / len(known)
+    for limit in (1 << 16, 50):
+        monkeypatch.setattr(ranking, "RANGE_ROWS", limit)
+        assert {(x.g, x.id): x.p for x in ranking.average_rank_share(df, ["g"], "v", "p").collect()} == expected
