@@ -170,6 +170,19 @@ def test_repeats_of_odd_rows(spark, odd, odd_texts, nothing):
     assert substrings.remove_repeats(nothing).count() == 0
 
 
+def test_a_phrase_repeated_for_a_long_way_is_sent_on_once_a_chunk(spark):
+    r = random.Random(6)
+    word = lambda: f"w{r.randrange(10**6)}"
+    line = " ".join(word() for _ in range(8)) + "\n"
+    texts = {i: word() + " " + line * r.randrange(40, 80) + " ".join(word() for _ in range(9)) for i in range(30)}
+    texts |= {i: " ".join(word() for _ in range(120)) + line * (i % 3 * 9) for i in range(30, 36)}
+    docs = frame(spark, texts)
+    offered = substrings._anchor_rows(docs.selectExpr("doc_id as key", "text").coalesce(1)).where("gram is not null")
+    assert offered.groupBy("gram", "context").count().where("count > 1").count() == 0
+    got = {r.doc_id: tuple(r)[1:] for r in substrings.remove_repeats(docs).collect()}
+    assert got == dict(zip(texts, brute.repeats([t.encode() for t in texts.values()]), strict=True))
+
+
 def test_decontamination_equals_sql(spark):
     got = queries.op7_benchmark_decontamination(spark, "/root/testdata/sf0.01").toPandas()
     want = connect("/root/testdata/sf0.01").execute(queries.SQL["op7_benchmark_decontamination"]).df()
