@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tapeloom.functions.ranking import top_k
 from tapeloom.functions.scalars import clamp, ratio, reasons, round_even
 from tapeloom.operators.bars import by_entity
+from tapeloom.sources.staging import stage
 
 # Rule parameters and weights of the three patterns.
 RULES = {
@@ -242,9 +243,13 @@ def recent_bars(bars: DataFrame, n: int = RULES["screen"]["lookback_bars"]) -> D
 
 
 def latest_matches(bars: DataFrame) -> DataFrame:
-    """One row per security: status, primary category and the list of matches at its last bar."""
+    """One row per security: status, primary category and the list of matches at its last bar.
+
+    The rows are written, so that what callers filter or explode never becomes a predicate on the score formulas: the
+    optimizer would put the whole formulas into it and go through their aliases until the driver has no memory left.
+    """
     recent = recent_bars(bars).withColumn("next_date", F.lead("bar_date").over(by_entity()))
-    return _matches(pattern_scores(recent, only=F.col("next_date").isNull()))
+    return stage(_matches(pattern_scores(recent, only=F.col("next_date").isNull())))
 
 
 def matches_on(bars: DataFrame, days: dict[str, Column]) -> DataFrame:
