@@ -27,3 +27,10 @@ def test_filters_do_not_reach_the_score_formulas(spark):
 def test_pool_equals_sql(spark):
     ok, why = equals_sql(spark, "pat_pool")
     assert ok, why
+
+
+def test_list_of_each_category_equals_sql(spark):
+    df = entry.queries()["top_per_category"](spark, FOLDER)
+    assert "volume" not in df._jdf.queryExecution().analyzed().toString()  # an input of the score formulas
+    ok, why = equals_sql(spark, "top_per_category")
+    assert ok, why
